@@ -38,9 +38,13 @@ def write_placed(df: DataFrame, placement: DataFrame, path: str) -> None:
     write_layout(place_rows(df, placement), path)
 
 
-def read_placed(spark: SparkSession, path: str) -> DataFrame:
-    """A stored table; filters on island_no and shard_no select directories."""
-    return spark.read.option("mergeSchema", "true").parquet(path)
+def read_placed(spark: SparkSession, path: str, drifting: bool = False) -> DataFrame:
+    """A stored table; filters on island_no and shard_no select directories.
+
+    With `drifting` the columns of all files are united, which opens every file's
+    footer; leave it off where shards have the same columns.
+    """
+    return spark.read.option("mergeSchema", drifting).parquet(path)
 
 
 def island_source(spark: SparkSession, path: str, island_no: int) -> DataFrame:
