@@ -114,7 +114,7 @@ def decommission(started: DataFrame, islands: DataFrame, nos: Decommission) -> t
     """Empty the given islands: (placement, remaining islands)."""
     left = remaining_islands(islands, nos)
     marks = _marked(islands, nos).select("plan_id", "island_no", "gone")
-    marked = started.join(marks, ["plan_id", "island_no"])
+    marked = started.join(marks, ["plan_id", "island_no"], "left")
     return _deal(marked, "gone", left, 1).drop("gone"), left
 
 
