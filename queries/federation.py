@@ -160,7 +160,7 @@ SELECT tab AS "table", (SELECT string_agg(s, ',' ORDER BY s) FROM (SELECT DISTIN
 FROM (SELECT DISTINCT tab FROM cols {{where}}) t"""
 
 _SUMMARY = """
-SELECT shard, count(*) AS rows, CAST(sum(round(acctbal * 100)) AS BIGINT) AS cents, count(mktsegment) AS segments
+SELECT shard, count(*) AS rows, CAST(sum(floor(acctbal * 100 + 0.5)) AS BIGINT) AS cents, count(mktsegment) AS segments
 FROM ({source}) GROUP BY shard"""
 
 ORACLES = {
@@ -168,7 +168,7 @@ ORACLES = {
         WITH {PARTIES}, placed AS (
           SELECT 'fdw_' || replace(r_name, ' ', '_') || '_db_host_5432' AS server, 'fdw_' || shard AS label, acctbal
           FROM cust JOIN nation ON n_nationkey = shard_no JOIN region ON r_regionkey = n_regionkey)
-        SELECT server, label, count(*) AS rows, CAST(sum(round(acctbal * 100)) AS BIGINT) AS cents, any_value(shards) AS shard_count
+        SELECT server, label, count(*) AS rows, CAST(sum(floor(acctbal * 100 + 0.5)) AS BIGINT) AS cents, any_value(shards) AS shard_count
         FROM placed JOIN (SELECT server, count(DISTINCT label) AS shards FROM placed GROUP BY 1) USING (server)
         GROUP BY 1, 2""",
     "mounted_shards": f"""

@@ -23,7 +23,7 @@ def as_int(col: Column) -> Column:
 
 def cents(col: str) -> Column:
     """Money as whole cents, so that sums do not depend on their order."""
-    return F.round(F.col(col) * 100).cast("bigint")
+    return F.floor(F.col(col) * 100 + 0.5)
 
 
 def labels(df: DataFrame, number: Column) -> DataFrame:

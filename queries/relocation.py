@@ -195,7 +195,7 @@ QUERIES = {
 }
 
 _TOTALS = """
-SELECT island_no, shard_no, count(*) AS rows, CAST(sum(round(o_totalprice * 100)) AS BIGINT) AS cents
+SELECT island_no, shard_no, count(*) AS rows, CAST(sum(floor(o_totalprice * 100 + 0.5)) AS BIGINT) AS cents
 FROM ({source}) GROUP BY 1, 2"""
 
 _CHANGES = """

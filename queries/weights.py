@@ -16,7 +16,7 @@ from shardkit.sources import layout
 
 def shard_weights(spark: SparkSession, sf: str) -> DataFrame:
     """Weight, revenue and share of every shard by island; lines are aggregated before they meet their suppliers."""
-    net = F.round(F.col("l_extendedprice") * 100 * (1 - F.col("l_discount"))).cast("bigint")
+    net = F.floor(F.col("l_extendedprice") * 100 * (1 - F.col("l_discount")) + 0.5)
     lines = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(
         F.count(F.lit(1)).alias("lines"), F.sum(net).alias("revenue")
     )
@@ -167,7 +167,7 @@ sizes AS (
 _WEIGHTS = f"""
 {ORDERS}, w AS (
   SELECT island_no, shard_no, count(*) AS weight, min(o_orderstatus) AS unit,
-         CAST(sum(round(o_totalprice * 100)) AS BIGINT) AS cents, max(o_orderkey) AS last_key,
+         CAST(sum(floor(o_totalprice * 100 + 0.5)) AS BIGINT) AS cents, max(o_orderkey) AS last_key,
          min(o_orderpriority) AS priority, sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS price,
          count(*) FILTER (o_totalprice > 499000) AS high
   FROM ord GROUP BY 1, 2),
@@ -181,7 +181,7 @@ ORACLES = {
     "shard_weights": f"""
         WITH w AS (
           SELECT n_regionkey AS island_no, s_nationkey AS shard_no, {sql_label('s_nationkey')} AS shard, count(*) AS weight,
-                 CAST(sum(round(l_extendedprice * 100 * (1 - l_discount))) AS BIGINT) AS revenue_cents
+                 CAST(sum(floor(l_extendedprice * 100 * (1 - l_discount) + 0.5)) AS BIGINT) AS revenue_cents
           FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY 1, 2),
         t AS (SELECT *, CAST(sum(weight) OVER (PARTITION BY island_no) AS BIGINT) AS total FROM w)
         SELECT island_no, shard_no, shard, weight, revenue_cents, weight / total AS ratio, {_SHARE} AS share FROM t""",
@@ -198,7 +198,7 @@ ORACLES = {
         UNION ALL SELECT DISTINCT c_nationkey, 'customer', true FROM customer""",
     "custom_weights": f"""
         WITH {ORDERS}, found AS (
-          SELECT shard, count(*) AS orders, CAST(sum(round(o_totalprice * 100)) AS BIGINT) AS cents,
+          SELECT shard, count(*) AS orders, CAST(sum(floor(o_totalprice * 100 + 0.5)) AS BIGINT) AS cents,
                  max(o_orderkey) AS last_key
           FROM ord GROUP BY 1)
         SELECT a.shard, coalesce(orders, 0) AS orders, cents, last_key
@@ -215,7 +215,7 @@ ORACLES = {
         FROM customer WHERE c_nationkey <> 0 GROUP BY 1, 2""",
     "island_weights": f"""
         WITH {PARTIES}, found AS (
-          SELECT shard_no, count(*) AS n, CAST(sum(round(acctbal * 100)) AS BIGINT) AS cents
+          SELECT shard_no, count(*) AS n, CAST(sum(floor(acctbal * 100 + 0.5)) AS BIGINT) AS cents
           FROM cust WHERE shard_no <> 3 GROUP BY 1)
         SELECT a.shard_no % 5 AS island_no, a.shard_no, coalesce(n, 0) AS weight, CASE WHEN n > 0 THEN '' END AS unit,
                coalesce(CAST(cents AS VARCHAR), 'null') AS cents

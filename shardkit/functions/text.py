@@ -14,7 +14,8 @@ _AUTHORITY = r"^([A-Za-z][A-Za-z0-9+.\-]*)://(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:]*)[
 
 def redact_credentials(text: Column) -> Column:
     """Text with the password of every `scheme://user:password@` taken out."""
-    return F.regexp_replace(text, CREDENTIALS_RE, "$1@")
+    # only text with a scheme can match, and most has none
+    return F.when(text.contains("://"), F.regexp_replace(text, CREDENTIALS_RE, "$1@")).otherwise(text)
 
 
 def url_host(url: Column) -> Column:

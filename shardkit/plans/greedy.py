@@ -15,94 +15,93 @@ RESULT_SCHEMA = (
 KERNEL_COLUMNS = [column.split()[0] for column in RESULT_SCHEMA.split(", ")]
 
 
-def balance_kernel(max_shards: int, moved_pos: int) -> Callable[[pa.Table], pa.Table]:
-    """The function for one plan's rows; nested, so that it travels to tasks by value.
+def balance_kernel(max_shards: int, moved_pos: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The function for one plan: its shards (KERNEL_COLUMNS) and its islands (island_no, island_ord, load).
 
-    Input rows: one per shard with its island, and one with a null shard_no for
-    an island without shards; `load` is the island's weight. Output: the shards,
-    with new islands for those that move. A plan has at most one row per shard
-    number and island, so its size is bounded.
+    Returns the shards, with new islands for those that move. Nested, so that it
+    travels to tasks by value. A plan has at most one row per shard number, so
+    its size is bounded.
     """
     factor = OVERLOADED_TO_OVERLOADED
     columns = list(KERNEL_COLUMNS)
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(shards: pa.Table, islands: pa.Table) -> pa.Table:
         import numpy as np
         import pyarrow as pa
 
-        rows = table.to_pylist()
-        islands = sorted({(r["island_ord"], r["island_no"], r["load"]) for r in rows})
-        numbers = [no for _, no, _ in islands]
-        loads = np.array([load for _, _, load in islands], dtype=np.int64)
-        at = {no: i for i, no in enumerate(numbers)}
-        order = {no: rank for rank, no, _ in islands}
-        everything = [r for r in rows if r["shard_no"] is not None]
-        if len(everything) > max_shards:
-            raise ValueError(f"a plan has more shards than there are shard numbers: {len(everything)}")
-        shards = [r for r in everything if not r["is_empty"]]
+        def column(table: pa.Table, name: str) -> np.ndarray:
+            return table.column(name).to_numpy(zero_copy_only=False)
+
+        shards = shards.select(columns)
+        count = shards.num_rows
+        if count > max_shards:
+            raise ValueError(f"a plan has more shards than there are shard numbers: {count}")
+        if count == 0 or islands.num_rows == 0:
+            return shards
+        by_order = np.argsort(column(islands, "island_ord"), kind="stable")
+        numbers = column(islands, "island_no")[by_order]
+        orders = column(islands, "island_ord")[by_order]
+        loads = column(islands, "load")[by_order].astype(np.int64).tolist()
+        at = {number: i for i, number in enumerate(numbers.tolist())}
+
+        weight, pos = column(shards, "weight"), column(shards, "pos").copy()
+        island = np.array([at[number] for number in column(shards, "island_no").tolist()])
+        full = np.flatnonzero(~column(shards, "is_empty").astype(bool))
         # heaviest first; ties in island order, then in the order of the island's list
-        shards.sort(key=lambda r: (-r["weight"], r["island_ord"], r["pos"]))
-        desired = sum(r["weight"] for r in shards) / len(islands)
-        moves = 0
+        queue = full[np.lexsort((pos[full], island[full], -weight[full]))].tolist()
+        weights = weight.tolist()
+        home = island.tolist()
+        desired = sum(weights[s] for s in queue) / len(loads)
+        targets: dict[int, int] = {}
 
         def lightest_but(source: int) -> int | None:
-            if len(loads) < 2:
-                return None
-            kept = loads[source]
-            loads[source] = np.iinfo(np.int64).max
-            found = int(loads.argmin())
-            loads[source] = kept
-            return found
-
-        def move(shard: dict, source: int, target: int) -> None:
-            nonlocal moves
-            loads[source] -= shard["weight"]
-            loads[target] += shard["weight"]
-            shard["island_no"] = numbers[target]
-            shard["island_ord"] = order[numbers[target]]
-            shard["pos"] = moved_pos + moves
-            moves += 1
-
-        head, tail = 0, len(shards)
-        credit = 0
+            others = [i for i in range(len(loads)) if i != source]
+            return min(others, key=loads.__getitem__) if others else None
+
+        def move(shard: int, target: int) -> None:
+            loads[home[shard]] -= weights[shard]
+            loads[target] += weights[shard]
+            targets[shard] = target
+
+        def lightest_after(shard: int, target: int) -> int:
+            changed = {home[shard]: -weights[shard], target: weights[shard]}
+            return min(load + changed.get(i, 0) for i, load in enumerate(loads))
+
+        head, tail, credit = 0, len(queue), 0
         while head < tail:
+            # one large shard off an overloaded island
             while head < tail:
-                shard = shards[head]
+                shard = queue[head]
                 head += 1
-                source, weight = at[shard["island_no"]], shard["weight"]
-                if not loads[source] > desired:
-                    continue
-                target = lightest_but(source)
+                source, size = home[shard], weights[shard]
+                target = lightest_but(source) if loads[source] > desired else None
                 if target is None:
                     continue
-                load = int(loads[target]) + weight
-                if load <= desired or int(loads[source]) - load > factor * weight:
-                    move(shard, source, target)
-                    credit += weight
+                load = loads[target] + size
+                if load <= desired or loads[source] - load > factor * size:
+                    move(shard, target)
+                    credit += size
                     break
+            # then small ones of about the same weight in all, as long as the lightest island gains
             while head < tail:
-                shard = shards[tail - 1]
-                source, weight = at[shard["island_no"]], shard["weight"]
-                if not loads[source] > desired or credit < weight:
+                shard = queue[tail - 1]
+                source, size = home[shard], weights[shard]
+                if loads[source] <= desired or credit < size:
                     break
                 target = lightest_but(source)
-                if target is None or not loads[target] < loads[source]:
-                    break
-                before = loads.min()
-                loads[source] -= weight
-                loads[target] += weight
-                after = loads.min()
-                loads[source] += weight
-                loads[target] -= weight
-                if not after > before:
+                if target is None or loads[target] >= loads[source] or lightest_after(shard, target) <= min(loads):
                     break
                 tail -= 1
-                move(shard, source, target)
-                credit -= weight
+                move(shard, target)
+                credit -= size
 
-        types = [table.schema.field(c).type for c in columns]
-        return pa.table(
-            {c: pa.array([r[c] for r in everything], t) for c, t in zip(columns, types)}
-        )
+        for turn, (shard, target) in enumerate(targets.items()):
+            island[shard] = target
+            pos[shard] = moved_pos + turn
+        for name, values in (("island_no", numbers[island]), ("island_ord", orders[island]), ("pos", pos)):
+            place = columns.index(name)
+            kind = shards.schema.field(name).type
+            shards = shards.set_column(place, name, pa.array(values, kind))
+        return shards
 
     return run

@@ -88,8 +88,8 @@ def _deal(shards: DataFrame, flag: str, islands: DataFrame, step: int) -> DataFr
     listed = islands.groupBy("plan_id").agg(
         F.sort_array(F.collect_list(F.struct("island_ord", "island_no"))).alias("listed")
     )
-    # only the flagged shards of a plan are counted
-    order = Window.partitionBy("plan_id", flag).orderBy("island_ord", "pos")
+    # flagged shards come first, so they alone are counted, without another shuffle of the plan's rows
+    order = Window.partitionBy("plan_id").orderBy(F.col(flag).desc(), "island_ord", "pos")
     turn = F.row_number().over(order) - 1
     dealt = (
         shards.withColumn("turn", turn)
@@ -145,10 +145,10 @@ def balance_greedy(started: DataFrame, loads: DataFrame) -> DataFrame:
     """
     if "is_empty" not in started.columns:
         started = started.withColumn("is_empty", F.lit(False))
-    shards = started.drop("island_ord")
-    rows = loads.select("plan_id", "island_no", "island_ord", "load").join(shards, ["plan_id", "island_no"], "left")
     kernel = balance_kernel(MAX_SHARDS, 2 * _APPENDED)
-    return rows.select(*KERNEL_COLUMNS, "load").groupBy("plan_id").applyInArrow(kernel, RESULT_SCHEMA)
+    islands = loads.select("plan_id", "island_no", "island_ord", "load")
+    pairs = started.select(*KERNEL_COLUMNS).groupBy("plan_id").cogroup(islands.groupBy("plan_id"))
+    return pairs.applyInArrow(kernel, RESULT_SCHEMA)
 
 
 def inject_uniform(started: DataFrame, islands: DataFrame, shards: DataFrame) -> DataFrame:
@@ -234,8 +234,9 @@ def rebalance(
     moves: one row per shard with from_island and to_island; see group_moves.
     """
     columns = ["plan_id", "island_no", "shard_no", "shard_ord", "weight"]
-    # weights are read once; each stage below works on this small table
+    # weights and islands are read once; each stage below works on these small tables
     placement = settle(placement.select(*columns))
+    islands = settle(islands.select("plan_id", "island_no", "island_ord"))
     started, left = decommission(start(placement, islands), islands, nos)
     balanced = balance_greedy(mark_empty(started, fraction), island_loads(placement, left))
     after = settle(_deal(balanced, "is_empty", left, 3).drop("is_empty"))

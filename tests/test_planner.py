@@ -89,10 +89,10 @@ def test_too_many_shards_in_a_plan_fail(spark):
         "shard_ord": pa.array([0, 1]), "from_island": pa.array([0, 0], pa.int32()),
         "from_ord": pa.array([0, 0], pa.int32()), "island_no": pa.array([0, 0], pa.int32()),
         "island_ord": pa.array([0, 0], pa.int32()), "pos": pa.array([0, 1]), "is_empty": pa.array([False, False]),
-        "load": pa.array([3, 3]),
     }
+    islands = pa.table({"island_no": [0], "island_ord": [0], "load": [3]})
     with pytest.raises(ValueError, match="more shards"):
-        balance_kernel(1, 0)(pa.table(columns))
+        balance_kernel(1, 0)(pa.table(columns), islands)
 
 
 @pytest.mark.parametrize("count, n, sizes", [
