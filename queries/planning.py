@@ -238,8 +238,13 @@ final AS (
   LEFT JOIN left2 lt ON lt.plan_id = t.plan_id AND lt.idx = t.turn % lt.n)"""
 
 
+def planned_sql(placed: str, gone: str, empty: str = _EMPTY) -> str:
+    """The whole plan in SQL, up to `final`, from CTEs `placed` and `isl`."""
+    return f"WITH RECURSIVE {placed}, {_after_decommission(gone)}, {empty}, {_GREEDY}"
+
+
 def _planned(gone: str, empty: str = _EMPTY) -> str:
-    return f"WITH RECURSIVE {_PLACED}, {_after_decommission(gone)}, {empty}, {_GREEDY}"
+    return planned_sql(_PLACED, gone, empty)
 
 
 def _share(source: str) -> str:

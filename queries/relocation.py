@@ -10,9 +10,12 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queries.fixtures import ORDERS, as_int, cents, orders, sql_label, table
+from queries.fixtures import ORDERS, as_int, cents, order_islands, orders, table
+from queries.planning import planned_sql
 from shardkit.functions.names import shard_name
 from shardkit.operators import progress, relocate
+from shardkit.operators.weights import island_weights
+from shardkit.plans import rebalance as plan
 from shardkit.session import scratch_path
 from shardkit.sources import changes, layout
 from shardkit.streaming import apply
@@ -186,11 +189,24 @@ def move_shard(spark: SparkSession, sf: str) -> DataFrame:
     return store.table("users").select("island_no", "shard_no", "user_id", "event_type", "value")
 
 
+def rebalance_store(spark: SparkSession, sf: str) -> DataFrame:
+    """A store brought into balance: weights of its shards, a plan of them, and the moves of the plan."""
+    store = _order_store(spark, sf)
+    live = store.table("orders").withColumn("shard", shard_name(F.col("shard_no")))
+    active = live.select("island_no", "shard").distinct()
+    weights = island_weights(live, [F.count(F.lit(1)).alias("Rows")], active, include_isolated_shard0=False)
+    sources = order_islands(spark).withColumn("name", F.concat(F.lit("db"), F.col("island_no").cast("string")))
+    placement, islands = plan.plan_inputs(weights, sources)
+    moves, _ = plan.rebalance(placement, islands, plan.islands_named(sources, ["db1"]))
+    relocate.move_shards(store, moves.select("shard_no", "from_island", "to_island"))
+    return _totals(store.table("orders"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         write_placed, change_feed, apply_changes, drain_to_fence, replication_gap, backfill, backfill_progress,
-        advance_ids, commit_move, abort_move, move_shard,
+        advance_ids, commit_move, abort_move, move_shard, rebalance_store,
     )
 }
 
@@ -218,6 +234,12 @@ merged AS (
   UNION ALL SELECT shard_no, user_id, event_type, value FROM last WHERE op <> 'D')"""
 
 
+ONE_PLAN = f"""
+{ORDERS}, placed AS (
+  SELECT 'all' AS plan_id, island_no, island_no AS island_ord, shard_no, shard_no AS shard_ord, count(*) AS weight
+  FROM ord GROUP BY ALL),
+isl AS (SELECT 'all' AS plan_id, CAST(n AS INTEGER) AS island_no, CAST(n AS INTEGER) AS island_ord FROM (SELECT unnest(range(4)) AS n))"""
+
 _MOVED = "(shard_no = 1 OR shard_no = 5 OR shard_no = 41)"
 
 ORACLES = {
@@ -252,6 +274,10 @@ ORACLES = {
         UNION ALL SELECT CASE shard_no WHEN 1 THEN 3 WHEN 5 THEN 2 ELSE 0 END, shard, 'active', 'c-1' FROM s WHERE {_MOVED}
         UNION ALL SELECT 3, shard || 'new', 'inactive', 'c-1' FROM s WHERE shard_no = 60""",
     "abort_move": f"WITH {ORDERS} {_TOTALS.format(source='SELECT * FROM ord')}",
+    "rebalance_store": f"""
+        {planned_sql(ONE_PLAN, '1')}
+        SELECT f.island_no, o.shard_no, count(*) AS rows, CAST(sum(floor(o_totalprice * 100 + 0.5)) AS BIGINT) AS cents
+        FROM ord o JOIN final f ON f.shard_no = o.shard_no GROUP BY 1, 2""",
     "move_shard": f"""
         WITH {_CHANGES}, {_merged('lsn <= (SELECT lsn FROM fence) AND shard_no IN (1, 2, 5)')}
         SELECT CAST(CASE shard_no WHEN 1 THEN 3 WHEN 2 THEN 2 WHEN 5 THEN 0 ELSE shard_no // 4 END AS INTEGER) AS island_no,

@@ -3,7 +3,7 @@
 from dataclasses import dataclass
 from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Between addresses; with a scheme; an address's parts; scheme of the result.
@@ -96,8 +96,8 @@ def normalize_endpoints(
         .select(key, "position", "address", "parsed.endpoint", "parsed.missing")
     )
     # a broken address is kept once per spelling, as it has no endpoint to compare
-    same = Window.partitionBy(key, F.coalesce("endpoint", "address")).orderBy("position")
-    first = parsed.withColumn("seen", F.row_number().over(same)).filter(F.col("seen") == 1).drop("seen", "address")
+    broken = F.when(F.col("endpoint").isNull(), F.col("address")).alias("broken")
+    first = parsed.groupBy(key, "endpoint", "missing", broken).agg(F.min("position").alias("position"))
     if roles is not None:
         primaries = roles.filter(F.col("role") == "primary").select("endpoint").distinct()
         first = first.join(primaries, "endpoint", "left_semi")

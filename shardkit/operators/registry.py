@@ -88,6 +88,18 @@ def activate_shards(
     return wanted.orderBy("shard"), reconcile_active(others.unionByName(added), known)
 
 
+def allocate_shards(
+    registry: DataFrame, existing: DataFrame, lo: int, hi: int | None = None, activate: bool = True,
+    prefix: str = DEFAULT_PREFIX,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Create what is missing of a range and activate all of it: (created, existing, registry)."""
+    created = missing_shards(existing, lo, hi, prefix)
+    existing = existing_shards(existing).unionByName(created)
+    if activate:
+        registry = activate_shards(registry, existing, lo, hi, prefix)[1]
+    return created, existing, registry
+
+
 def deactivate_shards(
     registry: DataFrame, lo: int, hi: int | None = None, prefix: str = DEFAULT_PREFIX
 ) -> tuple[DataFrame, DataFrame]:
@@ -95,9 +107,7 @@ def deactivate_shards(
     wanted = shard_range(registry.sparkSession, lo, hi, prefix).select("shard")
     active = registry.filter(F.col("status") == ACTIVE)
     stopped = active.join(wanted, "shard", "left_semi").select("shard").orderBy("shard")
-    named = registry.join(
-        wanted.withColumn("wanted", F.lit(True)), "shard", "left"
-    )
+    named = registry.join(wanted.withColumn("wanted", F.lit(True)), "shard", "left")
     status = F.when(F.col("wanted"), F.lit(INACTIVE)).otherwise(F.col("status"))
     return stopped, named.select("shard", status.alias("status"))
 

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardkit.limits import MAX_SHARDS
+from shardkit.operators.weights import drop_isolated_shard0
 from shardkit.plans.greedy import KERNEL_COLUMNS, RESULT_SCHEMA, balance_kernel
 from shardkit.session import settle
 
@@ -34,6 +35,39 @@ Decommission = Sequence[int] | DataFrame
 _SOURCE_ORDER = ["from_ord", "shard_ord"]
 
 
+def plan_inputs(weights: DataFrame, sources: DataFrame, plan_id: str = "all") -> tuple[DataFrame, DataFrame]:
+    """One plan's (placement, islands) from weight rows (island_no, shard_no, weight).
+
+    sources: (island_no, name) in the order of island_no. Islands that hold nothing
+    but the global shard 0 take no part, neither as source nor as target.
+    """
+    # a few rows per shard; the tables they were computed from are read once
+    weights = settle(weights.select("island_no", "shard_no", "weight"))
+    rest = drop_isolated_shard0(weights)
+    isolated = weights.join(rest, "island_no", "left_anti")
+    number = F.col("island_no").cast("int")
+    islands = sources.join(isolated, "island_no", "left_anti").select(
+        F.lit(plan_id).alias("plan_id"), number.alias("island_no"), number.alias("island_ord")
+    )
+    placement = rest.select(
+        F.lit(plan_id).alias("plan_id"),
+        number.alias("island_no"),
+        F.col("shard_no").cast("int"),
+        F.col("shard_no").cast("bigint").alias("shard_ord"),
+        F.col("weight").cast("bigint"),
+    )
+    return placement, islands
+
+
+def islands_named(sources: DataFrame, names: Sequence[str]) -> list[int]:
+    """Numbers of sources by name, for the list to decommission; an unknown name fails the call."""
+    known = {r.name: r.island_no for r in sources.select("name", "island_no").collect()}
+    unknown = [name for name in names if name not in known]
+    if unknown:
+        raise ValueError(f"no such island in the list: {unknown[0]}")
+    return [known[name] for name in names]
+
+
 def start(placement: DataFrame, islands: DataFrame) -> DataFrame:
     """Placement with each shard's first island remembered, ready for the stages below.
 
@@ -146,7 +180,8 @@ def balance_greedy(started: DataFrame, loads: DataFrame) -> DataFrame:
     if "is_empty" not in started.columns:
         started = started.withColumn("is_empty", F.lit(False))
     kernel = balance_kernel(MAX_SHARDS, 2 * _APPENDED)
-    islands = loads.select("plan_id", "island_no", "island_ord", "load")
+    # under new column identities, as both sides may come from one table
+    islands = loads.select(*[F.col(c).alias(c) for c in ("plan_id", "island_no", "island_ord", "load")])
     pairs = started.select(*KERNEL_COLUMNS).groupBy("plan_id").cogroup(islands.groupBy("plan_id"))
     return pairs.applyInArrow(kernel, RESULT_SCHEMA)
 

@@ -110,3 +110,23 @@ def test_batches_lose_nothing(spark, count, n, sizes, grouped):
     assert not lengths or max(lengths) - min(lengths) <= 1
     if sizes is not None:
         assert lengths == sizes
+
+
+def test_inputs_leave_out_islands_with_only_shard_0(spark):
+    weights = spark.createDataFrame(
+        [(0, 0, 5), (1, 1, 10), (1, 2, 10), (2, 0, 1), (2, 3, 1)], "island_no int, shard_no int, weight bigint"
+    )
+    sources = spark.createDataFrame([(n, f"db{n}") for n in range(4)], "island_no int, name string")
+    placement, islands = plan.plan_inputs(weights, sources)
+    assert sorted(r.island_no for r in islands.collect()) == [1, 2, 3]
+    assert sorted((r.island_no, r.shard_no) for r in placement.collect()) == [(1, 1), (1, 2), (2, 0), (2, 3)]
+    assert plan.islands_named(sources, ["db2", "db0"]) == [2, 0]
+    with pytest.raises(ValueError, match="db9"):
+        plan.islands_named(sources, ["db9"])
+
+
+def test_decommissioning_an_island_left_out_does_nothing(spark):
+    weights = spark.createDataFrame([(0, 0, 5), (1, 1, 10), (2, 2, 10)], "island_no int, shard_no int, weight bigint")
+    sources = spark.createDataFrame([(n, f"db{n}") for n in range(3)], "island_no int, name string")
+    moves, _ = plan.rebalance(*plan.plan_inputs(weights, sources), [0])
+    assert moves.collect() == []

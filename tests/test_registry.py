@@ -115,3 +115,12 @@ def test_reconcile(spark):
 def test_duplicates(spark):
     rows = spark.createDataFrame([("a", 2), ("a", 1), ("a", 1), ("b", 1), ("b", 1)], "shard string, island_no int")
     assert [(r.shard, r.islands) for r in reg.duplicate_active(rows).collect()] == [("a", [1, 2])]
+
+
+def test_allocation(spark):
+    existing, registry = frame(spark, shards(1)), frame(spark, [], "active")
+    created, existing, registry = reg.allocate_shards(registry, existing, 0, 2, False, PREFIX)
+    assert names(created) == shards(0, 2) and names(existing) == shards(0, 1, 2)
+    assert registry.collect() == []
+    created, existing, registry = reg.allocate_shards(registry, existing, 0, 2, True, PREFIX)
+    assert created.collect() == [] and names(registry) == shards(0, 1, 2)
