@@ -4,7 +4,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from queries.fixtures import ORDERS, PARTIES, cents, customers, labels, nations, orders, sql_label, suppliers, table
 from shardkit.functions import names

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queries.fixtures import PARTIES, as_int, customers, labels, nations, orders, sql_label, suppliers, table
+from queries.fixtures import PARTIES, as_int, customers, labels, nations, sql_label, suppliers, table
 from shardkit.functions import names
 from shardkit.operators import registry as reg
 

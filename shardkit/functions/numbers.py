@@ -42,10 +42,9 @@ def parse_weight(text: Column) -> Column:
     matches = text.rlike(WEIGHT_RE)
     rest = F.regexp_extract(text, WEIGHT_RE, 2)
     unit = F.regexp_replace(rest, f"^{UNIT_SPACE}+|{UNIT_SPACE}+$", "")
-    return F.struct(
-        F.when(matches, F.regexp_extract(text, WEIGHT_RE, 1).cast("bigint")).otherwise(F.lit(0).cast("bigint")).alias("weight"),
-        F.when(matches, unit).alias("unit"),
-    )
+    number = F.regexp_extract(text, WEIGHT_RE, 1).cast("bigint")
+    weight = F.when(matches, number).otherwise(F.lit(0).cast("bigint"))
+    return F.struct(weight.alias("weight"), F.when(matches, unit).alias("unit"))
 
 
 def leading_number(text: Column) -> Column:

@@ -19,6 +19,7 @@ from shardkit.functions.names import new_label, old_label, shard_name
 from shardkit.limits import broadcast_within
 from shardkit.operators.progress import advance_ids, next_ids
 from shardkit.operators.registry import ACTIVE, INACTIVE
+from shardkit.plans.batches import DEFAULT_BATCHES, split_into_batches
 from shardkit.session import settle
 from shardkit.sources.layout import place_rows, read_placed, write_layout
 from shardkit.streaming.apply import drain_to_fence, merge_changes
@@ -183,11 +184,14 @@ def move_shards(
     new islands go on with, if id_columns names the id column of tables. On any
     failure before publishing the partial copy is dropped and the error raised.
     """
-    spark, root = store.spark, store.root
+    if changes and fence_lsn is None:
+        raise ValueError("a move with changes needs the position up to which they belong to it")
+    root = store.root
     copy = f"c-{uuid.uuid4().hex}"
     merged = f"{copy}-merged"
     # bounded by the number of shards; read by every step below
     moves = settle(moves.select("shard_no", "from_island", "to_island"))
+    _check_moves(moves, store.registry())
     try:
         backfill({t: store.table(t) for t in store.tables}, moves, root, copy)
         copied = moves
@@ -222,6 +226,33 @@ def move_shards(
     return ids
 
 
+def move_in_batches(
+    store: ShardStore, moves: DataFrame, order: str = "move_no", batches: int = DEFAULT_BATCHES, **options
+) -> None:
+    """Move shards in contiguous batches of an ordered list, each published on its own.
+
+    A batch that fails is undone and ends the call; the ones before it stay moved.
+    """
+    whole = moves.withColumn("plan_id", F.lit("all"))
+    batched = settle(split_into_batches(whole, [order], batches, ["plan_id"]))
+    for number in range(batches):
+        batch = batched.filter(F.col("batch") == number)
+        if batch.select("shard_no").first() is None:
+            break
+        move_shards(store, batch, **options)
+
+
+def _check_moves(moves: DataFrame, registry: DataFrame) -> None:
+    twice = moves.groupBy("shard_no").count().filter(F.col("count") > 1).first()
+    if twice is not None:
+        raise ValueError(f"shard {twice.shard_no} is to be moved more than once")
+    live = current_registry(registry).filter(F.col("status") == ACTIVE)
+    live = live.select("shard_no", F.col("island_no").alias("from_island"))
+    unknown = moves.join(live, ["shard_no", "from_island"], "left_anti").first()
+    if unknown is not None:
+        raise ValueError(f"shard {unknown.shard_no} is not active on island {unknown.from_island}")
+
+
 def _ids_after(store: ShardStore, moves: DataFrame, copy: str, merged: str, id_columns: dict[str, str]) -> DataFrame:
     src = {t: store.table(t) for t in id_columns}
     dst = {t: store.stored(t).filter(F.col("copy").isin(copy, merged)) for t in id_columns}

@@ -12,8 +12,10 @@ def place_rows(df: DataFrame, placement: DataFrame) -> DataFrame:
     """Rows with the island of their shard; a row whose shard has no place fails the job."""
     places = broadcast_within(placement.select("shard_no", "island_no"))
     placed = df.drop("island_no").join(places, "shard_no", "left")
-    unknown = F.raise_error(F.concat(F.lit("no island for shard "), F.coalesce(F.col("shard_no").cast("string"), F.lit("null"))))
-    return placed.withColumn("island_no", F.when(F.col("island_no").isNull(), unknown.cast("int")).otherwise(F.col("island_no")))
+    label = F.coalesce(F.col("shard_no").cast("string"), F.lit("null"))
+    unknown = F.raise_error(F.concat(F.lit("no island for shard "), label)).cast("int")
+    known = F.when(F.col("island_no").isNull(), unknown).otherwise(F.col("island_no"))
+    return placed.withColumn("island_no", known)
 
 
 def write_layout(df: DataFrame, path: str, partitions: list[str] | None = None) -> None:

@@ -152,6 +152,30 @@ def test_failed_move_leaves_nothing(spark):
     assert (content(store), states(store), copies(store)) == (before, labels, kept)
 
 
+def test_wrong_moves_fail_before_anything_is_copied(spark):
+    store = store_of(spark)
+    kept = copies(store)
+    for rows, message in (
+        ([(0, 1, 0)], "shard 0 is not active on island 1"),
+        ([(9, 0, 1)], "shard 9 is not active"),
+        ([(0, 0, 1), (0, 0, 2)], "more than once"),
+    ):
+        with pytest.raises(ValueError, match=message):
+            relocate.move_shards(store, spark.createDataFrame(rows, MOVES))
+    assert copies(store) == kept
+
+
+def test_batches_of_moves(spark):
+    store = store_of(spark)
+    rows = [(1, 3, 1, 2), (2, 0, 0, 1), (3, 2, 1, 0), (4, 1, 0, 2)]
+    relocate.move_in_batches(store, spark.createDataFrame(rows, f"move_no int, {MOVES}"), batches=3)
+    assert {(i, s) for i, s, _ in content(store)} == {(2, 3), (1, 0), (0, 2), (2, 1)}
+    # shards of one batch share their copy: one shard, one shard, two shards
+    sizes = [r.n for r in store.stored("data").filter("copy <> 'c-first'").groupBy("copy")
+             .agg(F.count_distinct("shard_no").alias("n")).collect()]
+    assert sorted(sizes) == [1, 1, 2]
+
+
 def test_published_copies_cannot_be_dropped(spark):
     store = store_of(spark)
     with pytest.raises(ValueError, match="published"):
