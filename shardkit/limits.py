@@ -12,12 +12,15 @@ MAX_SHARDS = MAX_SHARD_NO - MIN_SHARD_NO + 1
 MAX_BROADCAST_ROWS = 200_000
 
 
+def fits(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
+    """Whether df has at most max_rows rows. Pass a stored or checkpointed frame, as it is counted."""
+    return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
+
+
 def broadcast_within(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast of df if it was counted to be small, else return it as is.
 
     Beyond the bound the join is left to Spark: sort-merge, with skewed shards
-    split by adaptive execution. Pass a stored or checkpointed frame, as the
-    count evaluates it once more.
+    split by adaptive execution.
     """
-    seen = df.select(F.lit(1)).limit(max_rows + 1).count()
-    return F.broadcast(df) if seen <= max_rows else df
+    return F.broadcast(df) if fits(df, max_rows) else df

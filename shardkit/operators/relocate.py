@@ -50,15 +50,21 @@ def visible_rows(stored: DataFrame, registry: DataFrame, table: str) -> DataFram
     return stored.join(broadcast_within(live), COPY_PARTITIONS, "left_semi").drop("copy")
 
 
-def backfill(tables: dict[str, DataFrame], moves: DataFrame, root: str, copy: str) -> None:
+def moved_rows(df: DataFrame, moves: DataFrame, copy: str) -> DataFrame:
+    """Rows of the moved shards (shard_no, from_island, to_island) under their new islands."""
+    lookup = moves.select("shard_no", F.col("from_island").alias("island_no"), "to_island")
+    moved = df.join(broadcast_within(lookup), ["island_no", "shard_no"])
+    return moved.withColumn("island_no", F.col("to_island")).drop("to_island").withColumn("copy", F.lit(copy))
+
+
+def backfill(tables: dict[str, DataFrame], moves: DataFrame, root: str, copy: str, clustered: bool = False) -> None:
     """Copy all rows of the moved shards of every table to their new islands, as an unpublished copy.
 
-    moves: (shard_no, from_island, to_island); one job per table, not per shard.
+    One job per table, not per shard; without a shuffle for `clustered` tables,
+    which are read from the stored layout.
     """
-    lookup = broadcast_within(moves.select("shard_no", F.col("from_island").alias("island_no"), "to_island"))
     for name, df in tables.items():
-        moved = df.join(lookup, ["island_no", "shard_no"]).withColumn("island_no", F.col("to_island")).drop("to_island")
-        write_layout(moved.withColumn("copy", F.lit(copy)), f"{root}/{name}", COPY_PARTITIONS)
+        write_layout(moved_rows(df, moves, copy), f"{root}/{name}", COPY_PARTITIONS, clustered)
 
 
 def commit_move(registry: DataFrame, moves: DataFrame, activate: bool, at: datetime) -> DataFrame:
@@ -193,7 +199,7 @@ def move_shards(
     moves = settle(moves.select("shard_no", "from_island", "to_island"))
     _check_moves(moves, store.registry())
     try:
-        backfill({t: store.table(t) for t in store.tables}, moves, root, copy)
+        backfill({t: store.table(t) for t in store.tables}, moves, root, copy, clustered=True)
         copied = moves
         names = []
         for table in store.tables:
@@ -210,7 +216,7 @@ def move_shards(
                 base = store.stored(table).filter(F.col("copy") == copy).join(few, "shard_no", "left_semi")
                 islands = broadcast_within(moves.select("shard_no", F.col("to_island").alias("island_no")))
                 rows = merge_changes(base.drop("copy", "island_no"), log, source.keys).join(islands, "shard_no")
-                write_layout(rows.withColumn("copy", F.lit(merged)), f"{root}/{table}", COPY_PARTITIONS)
+                write_layout(rows.withColumn("copy", F.lit(merged)), f"{root}/{table}", COPY_PARTITIONS, clustered=True)
                 copied = copied.join(shards.withColumn(f"touched_{table}", F.lit(True)), "shard_no", "left")
                 touched = F.coalesce(F.col(f"touched_{table}"), F.lit(False))
             names += [F.lit(table), F.when(touched, F.lit(merged)).otherwise(F.lit(copy))]

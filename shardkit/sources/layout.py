@@ -18,17 +18,18 @@ def place_rows(df: DataFrame, placement: DataFrame) -> DataFrame:
     return placed.withColumn("island_no", known)
 
 
-def write_layout(df: DataFrame, path: str, partitions: list[str] | None = None) -> None:
+def write_layout(df: DataFrame, path: str, partitions: list[str] | None = None, clustered: bool = False) -> None:
     """Write rows by partition directory, replacing only the directories that get rows.
 
     The rebalance hint brings a shard's rows together, so that small shards give
     few files, and lets adaptive execution split a shard that is too large for
-    one task over several tasks and files.
+    one task over several tasks and files. Rows that are read from the layout
+    come by shard already: `clustered` writes them without a shuffle.
     """
     partitions = partitions or PARTITIONS
+    rows = df if clustered else df.hint("rebalance", *partitions)
     (
-        df.hint("rebalance", *partitions)
-        .write.partitionBy(*partitions)
+        rows.write.partitionBy(*partitions)
         .option("partitionOverwriteMode", "dynamic")
         .mode("overwrite")
         .parquet(path)

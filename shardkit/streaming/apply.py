@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from shardkit.limits import broadcast_within
+from shardkit.limits import broadcast_within, fits
 from shardkit.operators.progress import replication_gap
 from shardkit.session import settle
 from shardkit.sources.changes import DELETE
@@ -62,12 +62,18 @@ def merge_changes(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataF
     """Rows of the copy after the changes: changed keys replaced, deleted ones gone, new ones added.
 
     payload fields are the row's columns besides shard and key. Keys are unique
-    in the copy. Only the changed keys are matched with it, broadcast when few.
+    in the copy. Few changed keys are broadcast, and rows of the copy stay in the
+    tasks that read them; many are joined by sorting. Either way the result
+    comes by shard, as write_layout(clustered=True) needs it.
     """
     latest = settle(latest_changes(changes, keys))
     on = ["shard_no", *keys]
-    kept = base.join(broadcast_within(latest.select(*on)), on, "left_anti")
-    written = latest.filter(F.col("op") != DELETE).select(*on, "payload.*")
+    touched = latest.select(*on)
+    if fits(touched):
+        kept = base.join(F.broadcast(touched), on, "left_anti")
+    else:
+        kept = base.join(touched, on, "left_anti").hint("rebalance", "shard_no")
+    written = latest.filter(F.col("op") != DELETE).select(*on, "payload.*").hint("rebalance", "shard_no")
     return kept.unionByName(written, allowMissingColumns=True)
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shardkit.limits import broadcast_within
+from shardkit.operators import relocate
 from shardkit.operators import weights as wts
 from shardkit.operators.registry import missing_shards
 from shardkit.plans.batches import split_into_batches
@@ -110,3 +111,34 @@ def test_whole_table_batches_do_not_use_one_task(spark):
     assert "Window" not in plan_of(batched)
     counts = [r["count"] for r in batched.groupBy("batch").count().orderBy("batch").collect()]
     assert len(counts) == 9 and sum(counts) == 5000 and max(counts) - min(counts) <= 1
+
+
+def test_moved_rows_are_not_shuffled(spark):
+    """Shards of the stored layout are copied by the tasks that read them, from their directories only."""
+    places = spark.range(64).select(F.col("id").cast("int").alias("shard_no"), (F.col("id") % 4).cast("int").alias("island_no"))
+    store = relocate.ShardStore.create(spark, scratch_path(spark, "store"), {"t": skewed(spark, 1000)}, places)
+    moves = spark.createDataFrame([(3, 3, 0), (12, 0, 1)], "shard_no int, from_island int, to_island int")
+    rows = relocate.moved_rows(store.table("t"), moves, "c-x")
+    rows.collect()
+    plan = plan_of(rows)
+    main = [line for line in plan[: plan.index("Initial Plan")].split("\n") if "Subquery" not in line]
+    scan = next(i for i, line in enumerate(main) if "Scan parquet" in line and "v#" in line)
+    above = [line for line in main[:scan] if "Exchange hashpartitioning" in line]
+    assert not above
+    assert "dynamicpruning" in main[scan]
+
+
+@pytest.mark.parametrize("bound", [10, 10_000])
+def test_changes_merge_the_same_with_and_without_broadcast(spark, monkeypatch, bound):
+    from shardkit.streaming import apply
+
+    monkeypatch.setattr(apply, "fits", lambda df: df.count() <= bound)
+    base = spark.range(500).select((F.col("id") % 4).cast("int").alias("shard_no"), F.col("id").alias("key"), F.lit("old").alias("v"))
+    changes = spark.range(0, 600, 2).select(
+        (F.col("id") % 4).cast("int").alias("shard_no"), F.col("id").alias("key"),
+        F.when(F.col("id") % 3 == 0, "D").otherwise("U").alias("op"), F.col("id").alias("lsn"),
+        F.struct(F.lit("new").alias("v")).alias("payload"),
+    )
+    got = {r.key: r.v for r in merge_changes(base, changes, ["key"]).collect()}
+    want = {k: "old" for k in range(1, 500, 2)} | {k: "new" for k in range(0, 600, 2) if k % 3}
+    assert got == want
