@@ -19,11 +19,15 @@ def _regions(spark: SparkSession, sf: str) -> DataFrame:
 def mount_shards(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "customers")
     layout.write_placed(customers(spark, sf).drop("shard"), nations(spark, sf), path)
+    # which shards an island has comes from the file listing, their rows from its directory
+    regions = _regions(spark, sf).withColumn("host", F.concat("host", F.lit(".db-host:5432")))
+    active = layout.stored_shards(spark, path).join(regions, "island_no")
+    active = active.select("host", names.shard_name(F.col("shard_no")).alias("shard"))
     sources = {}
-    for region in _regions(spark, sf).collect():
+    for region in regions.collect():
         island = layout.island_source(spark, path, region.island_no)
-        sources[f"{region.host}.db-host:5432"] = island.withColumn("shard", names.shard_name(F.col("shard_no")))
-    mounted, summary = mounts.mount_shards("fdw", sources)
+        sources[region.host] = island.withColumn("shard", names.shard_name(F.col("shard_no")))
+    mounted, summary = mounts.mount_shards("fdw", sources, active)
     rows = federate.union_sources(mounted.labelled()).groupBy(F.col("shard").alias("label"))
     counts = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum(cents("acctbal")).alias("cents"))
     listed = mounted.manifest.select("server", "label").join(summary, "server")
@@ -101,6 +105,12 @@ def union_sources(spark: SparkSession, sf: str) -> DataFrame:
     return _summary(federate.union_sources([customers(spark, sf), suppliers(spark, sf)]))
 
 
+def union_stored(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "customers")
+    layout.write_placed(customers(spark, sf).drop("shard"), nations(spark, sf), path)
+    return _summary(federate.union_stored(layout.read_placed(spark, path)))
+
+
 def strip_prefix(spark: SparkSession, sf: str) -> DataFrame:
     mounted = customers(spark, sf).select(names.mount_label(F.col("shard"), "fdw").alias("label"))
     plain = suppliers(spark, sf).select(F.col("shard").alias("label"))
@@ -137,7 +147,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         mount_shards, mounted_shards, table_inventory, skip_existing, align_columns, union_shards, union_sources,
-        strip_prefix, refresh_if_changed, for_each_shard, map_each_shard,
+        union_stored, strip_prefix, refresh_if_changed, for_each_shard, map_each_shard,
     )
 }
 
@@ -192,6 +202,7 @@ ORACLES = {
     "union_sources": f"WITH {PARTIES} " + _SUMMARY.format(
         source="SELECT shard, acctbal, mktsegment FROM cust UNION ALL SELECT shard, acctbal, NULL FROM supp"
     ),
+    "union_stored": f"WITH {PARTIES} " + _SUMMARY.format(source="SELECT shard, acctbal, mktsegment FROM cust"),
     "strip_prefix": f"""
         WITH {PARTIES}
         SELECT shard, count(*) AS rows FROM (SELECT shard FROM cust UNION ALL SELECT shard FROM supp) GROUP BY shard""",

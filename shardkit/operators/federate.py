@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shardkit.functions.names import strip_prefix
+from shardkit.functions.names import shard_name, strip_prefix
 from shardkit.limits import broadcast_within
 
 # Table names taken into the union.
@@ -93,6 +93,17 @@ def union_shards(shards: dict[str, DataFrame], prefix: str | None = None) -> Dat
     )
 
 
+def union_stored(stored: DataFrame) -> DataFrame:
+    """Union of the shards of a stored table, which is one scan: its rows under their shard's label.
+
+    A filter on the label selects directories, as the label is made from the
+    directory's shard number.
+    """
+    inner = [c for c in stored.columns if c not in ("shard_no", "island_no", "copy", "shard")]
+    labelled = stored.withColumn("shard", shard_name(F.col("shard_no")))
+    return labelled.select("shard", *sorted(inner, key=lambda c: (c != "id", c)))
+
+
 def fingerprints(columns: DataFrame) -> DataFrame:
     """Per table, a digest of its (shard, column, type) rows.
 

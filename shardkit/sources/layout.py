@@ -53,3 +53,9 @@ def read_placed(spark: SparkSession, path: str, drifting: bool = False) -> DataF
 def island_source(spark: SparkSession, path: str, island_no: int) -> DataFrame:
     """One island's directory of a stored table."""
     return spark.read.option("basePath", path).parquet(f"{path.rstrip('/')}/island_no={island_no}")
+
+
+def stored_shards(spark: SparkSession, path: str) -> DataFrame:
+    """The (island_no, shard_no) a stored table has files for, from its file listing; no file is opened."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    return files.select(*PARTITIONS).distinct()

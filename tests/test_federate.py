@@ -82,6 +82,20 @@ def test_filter_on_shard_leaves_one_scan(spark):
     assert sorted(r.id for r in one.collect()) == [n for n in range(51, 100) if n % 5 == 3]
 
 
+def test_stored_union_selects_directories_by_label(spark):
+    path = scratch_path(spark, "labels")
+    rows = spark.range(100).select(F.lit("v").alias("a"), "id", (F.col("id") % 5).cast("int").alias("shard_no"))
+    places = spark.range(5).select(F.col("id").cast("int").alias("shard_no"), F.lit(0).alias("island_no"))
+    layout.write_placed(rows, places, path)
+    whole = federate.union_stored(layout.read_placed(spark, path))
+    assert whole.columns == ["shard", "id", "a"]
+    one = whole.filter("shard = 'sh0003'")
+    assert one.count() == 20 and len(one.inputFiles()) >= 1
+    assert "lpad(cast(shard_no" in plan_of(one).split("PartitionFilters:")[1].split("\n")[0]
+    found = layout.stored_shards(spark, path).collect()
+    assert sorted((r.island_no, r.shard_no) for r in found) == [(0, n) for n in range(5)]
+
+
 def test_inventory_leaves_out_odd_names(spark):
     rows = [("s2", "t", "b", "int"), ("s1", "t", "a", "int"), ("s1", "bad name", "a", "int"), ("s1", "T_2", "a", "int")]
     columns = spark.createDataFrame(rows, "shard string, table string, column string, type string")
