@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from shardkit.functions.names import new_label, old_label, shard_name
 from shardkit.limits import broadcast_within
 from shardkit.operators.progress import advance_ids, next_ids
-from shardkit.operators.registry import ACTIVE, INACTIVE
+from shardkit.operators.registry import ACTIVE, INACTIVE, activate_shards, deactivate_shards, retired_shards
 from shardkit.plans.batches import DEFAULT_BATCHES, split_into_batches
 from shardkit.session import settle
 from shardkit.sources.layout import place_rows, read_placed, write_layout
@@ -40,6 +40,10 @@ def current_registry(registry: DataFrame) -> DataFrame:
     return newest.select("island_no", "shard", "s.*").filter(F.col("status") != ABSENT).select(*_REGISTRY_COLUMNS)
 
 
+def next_version(registry: DataFrame) -> int:
+    return registry.agg(F.max("version")).first()[0] + 1
+
+
 def visible_rows(stored: DataFrame, registry: DataFrame, table: str) -> DataFrame:
     """Rows of a stored table that belong to active shards."""
     live = (
@@ -75,7 +79,7 @@ def commit_move(registry: DataFrame, moves: DataFrame, activate: bool, at: datet
     it (a dry run) the copy gets a new label, in place of an older one, and
     the shard stays where it is.
     """
-    version = registry.agg(F.max("version").alias("v")).first()["v"] + 1
+    version = next_version(registry)
     stamp = F.lit(at.astimezone(timezone.utc).replace(tzinfo=None).strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
     sources = current_registry(registry).select(
         F.col("island_no").alias("from_island"), "shard_no", "shard", "status", F.col("copies").alias("old_copies")
@@ -147,7 +151,8 @@ class ShardStore:
 
     def publish(self, rows: DataFrame) -> None:
         """Append registry rows as one file, so that they appear together; there are a few per shard."""
-        rows.select(*_REGISTRY_COLUMNS).coalesce(1).write.mode("append").parquet(f"{self.root}/_registry")
+        typed = rows.select(*_REGISTRY_COLUMNS).withColumn("version", F.col("version").cast("bigint"))
+        typed.coalesce(1).write.mode("append").parquet(f"{self.root}/_registry")
 
     def stored(self, table: str) -> DataFrame:
         return read_placed(self.spark, f"{self.root}/{table}")
@@ -156,16 +161,70 @@ class ShardStore:
         """Rows of the active shards."""
         return visible_rows(self.stored(table), self.registry(), table)
 
+    def activate(self, island_no: int, lo: int, hi: int | None = None) -> DataFrame:
+        """Activate a range of shards that the island has; returns the whole range."""
+        current = self._island(island_no)
+        listed, _ = activate_shards(current.select("shard", "status"), current, lo, hi)
+        self._publish_status(current, listed, ACTIVE)
+        return listed
+
+    def deactivate(self, island_no: int, lo: int, hi: int | None = None) -> DataFrame:
+        """Deactivate a range of shards on an island; returns those that were active."""
+        current = self._island(island_no)
+        stopped, _ = deactivate_shards(current.select("shard", "status"), lo, hi)
+        self._publish_status(current, stopped, INACTIVE)
+        return stopped
+
+    def _island(self, island_no: int) -> DataFrame:
+        return settle(current_registry(self.registry()).filter(F.col("island_no") == island_no))
+
+    def _publish_status(self, current: DataFrame, shards: DataFrame, status: str) -> None:
+        rows = current.join(shards.select("shard"), "shard", "left_semi").withColumn("status", F.lit(status))
+        self.publish(rows.withColumn("version", F.lit(next_version(self.registry()))))
+
+    def retired(self) -> DataFrame:
+        """Current registry rows of what moves left behind."""
+        current = current_registry(self.registry())
+        return current.join(retired_shards(current), "shard", "left_semi").filter(F.col("status") != ACTIVE)
+
+    def cleanup(self) -> list[str]:
+        """Remove what moves left behind; returns its labels.
+
+        The registry rows go first, so nothing refers to the directories that are
+        then deleted. Directories that another shard's row names stay.
+        """
+        old = settle(self.retired())
+        current = settle(current_registry(self.registry()))
+        kept = current.join(old.select("island_no", "shard"), ["island_no", "shard"], "left_anti")
+        unused = [r.path for r in _directories(old).join(_directories(kept), "path", "left_anti").collect()]
+        names = sorted(r.shard for r in old.select("shard").collect())
+        if names:
+            gone = old.withColumn("status", F.lit(ABSENT)).withColumn("version", F.lit(next_version(self.registry())))
+            self.publish(gone)
+        for path in unused:
+            self._delete(path)
+        return names
+
     def drop_copy(self, copy: str) -> None:
         """Remove an unpublished copy's directories."""
         used = F.array_contains(F.map_values("copies"), copy)
         if self.registry().filter(used).select("version").first() is not None:
             raise ValueError(f"copy is published: {copy}")
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for table in self.tables:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/copy={copy}")
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(f"{table}/copy={copy}")
+
+    def _delete(self, path: str) -> None:
+        context = self.spark.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _directories(rows: DataFrame) -> DataFrame:
+    """Paths, below the root, of the directories that registry rows name."""
+    parts = rows.select("island_no", "shard_no", F.explode("copies").alias("table", "copy"))
+    return parts.select(
+        F.format_string("%s/copy=%s/island_no=%d/shard_no=%d", "table", "copy", "island_no", "shard_no").alias("path")
+    ).distinct()
 
 
 def abort_move(store: ShardStore, copy: str) -> None:

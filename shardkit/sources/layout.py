@@ -4,13 +4,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardkit.limits import broadcast_within
+from shardkit.session import settle
 
 PARTITIONS = ["island_no", "shard_no"]
 
 
 def place_rows(df: DataFrame, placement: DataFrame) -> DataFrame:
     """Rows with the island of their shard; a row whose shard has no place fails the job."""
-    places = broadcast_within(placement.select("shard_no", "island_no"))
+    # one row per shard number; read for the checks here and the join
+    places = settle(placement.select("shard_no", "island_no"))
+    twice = places.groupBy("shard_no").count().filter(F.col("count") > 1).first()
+    if twice is not None:
+        raise ValueError(f"shard {twice.shard_no} has more than one island")
+    places = broadcast_within(places)
     placed = df.drop("island_no").join(places, "shard_no", "left")
     label = F.coalesce(F.col("shard_no").cast("string"), F.lit("null"))
     unknown = F.raise_error(F.concat(F.lit("no island for shard "), label)).cast("int")

@@ -230,3 +230,37 @@ def test_gaps(spark):
     assert {r.shard_no: r.gap for r in progress.replication_gap(done, 10).collect()} == {1: 5, 2: 0}
     target = spark.createDataFrame([(1, 5), (3, 4)], "shard_no int, target bigint")
     assert {r.shard_no: r.gap for r in progress.replication_gap(done, target).collect()} == {1: 0, 3: 4}
+
+
+def test_cleanup_removes_what_moves_left(spark):
+    store = store_of(spark)
+    relocate.move_shards(store, spark.createDataFrame([(0, 0, 1)], MOVES), at=AT)
+    relocate.move_shards(store, spark.createDataFrame([(3, 1, 0)], MOVES), activate=False)
+    before = content(store)
+    parts = lambda: {
+        (r.island_no, r.shard_no) for r in store.stored("data").select("island_no", "shard_no").distinct().collect()
+    }
+    assert parts() == {(0, 0), (0, 1), (1, 2), (1, 3), (1, 0), (0, 3)}
+    assert store.cleanup() == ["sh0000old20230109070954", "sh0003new"]
+    assert parts() == {(0, 1), (1, 2), (1, 3), (1, 0)}
+    assert content(store) == before
+    assert set(states(store)) == {(0, "sh0001"), (1, "sh0002"), (1, "sh0003"), (1, "sh0000")}
+    assert store.cleanup() == []
+
+
+def test_inactive_shards_are_not_read(spark):
+    store = store_of(spark)
+    assert [r.shard for r in store.deactivate(0, 0, 5).collect()] == ["sh0000", "sh0001"]
+    assert {s for _, s, _ in content(store)} == {2, 3}
+    with pytest.raises(ValueError, match="sh0002"):
+        store.activate(0, 1, 2)
+    store.activate(0, 1)
+    assert {s for _, s, _ in content(store)} == {1, 2, 3}
+    assert states(store)[(0, "sh0000")] == "inactive"
+
+
+def test_shard_with_two_places_fails(spark):
+    rows = spark.createDataFrame([(1, 1)], "shard_no int, v int")
+    places = spark.createDataFrame([(1, 0), (1, 2)], "shard_no int, island_no int")
+    with pytest.raises(ValueError, match="more than one island"):
+        write_placed(rows, places, scratch_path(spark, "bad"))
