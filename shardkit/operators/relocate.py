@@ -284,7 +284,8 @@ def move_shards(
         if before_commit is not None:
             before_commit(copy)
         rows = settle(commit_move(store.registry(), copied, activate, at or datetime.now(timezone.utc)))
-    except Exception:
+    except BaseException:
+        # also when interrupted
         abort_move(store, copy)
         raise
     store.publish(rows)

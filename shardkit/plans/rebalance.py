@@ -199,6 +199,10 @@ def diff_placements(before: DataFrame, after: DataFrame) -> DataFrame:
     return old.join(new, ["plan_id", "shard_no"]).filter(F.col("from_island") != F.col("to_island"))
 
 
+def _shard(entry: Column) -> Column:
+    return F.struct(entry["shard_no"].alias("shard_no"), entry["weight"].alias("weight"))
+
+
 def group_moves(moves: DataFrame) -> DataFrame:
     """One row per (plan, from, to): its shards in source order, and its place among the groups.
 
@@ -209,13 +213,12 @@ def group_moves(moves: DataFrame) -> DataFrame:
         F.min(place).alias("first"),
         F.sort_array(F.collect_list(F.struct(*_SOURCE_ORDER, "shard_no", "weight"))).alias("listed"),
     )
-    shard = lambda s: F.struct(s["shard_no"].alias("shard_no"), s["weight"].alias("weight"))
     return grouped.select(
         "plan_id",
         F.row_number().over(Window.partitionBy("plan_id").orderBy("first")).alias("group_no"),
         "from_island",
         "to_island",
-        F.transform("listed", shard).alias("shards"),
+        F.transform("listed", _shard).alias("shards"),
     )
 
 
@@ -234,14 +237,13 @@ def future_placement(islands: DataFrame, after: DataFrame) -> DataFrame:
     lists = after.groupBy("plan_id", "island_no").agg(
         F.sort_array(F.collect_list(entry)).alias("listed"), F.sum("weight").alias("weight")
     )
-    shard = lambda s: F.struct(s["shard_no"].alias("shard_no"), s["weight"].alias("weight"))
     none = F.array().cast("array<struct<shard_no:int,weight:bigint>>")
     return islands.select("plan_id", "island_no", "island_ord").join(lists, ["plan_id", "island_no"], "left").select(
         "plan_id",
         "island_no",
         "island_ord",
         F.coalesce("weight", F.lit(0)).alias("weight"),
-        F.coalesce(F.transform("listed", shard), none).alias("shards"),
+        F.coalesce(F.transform("listed", _shard), none).alias("shards"),
     )
 
 
