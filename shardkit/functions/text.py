@@ -4,7 +4,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values: `scheme://user:password@`, the parts also with a backslash before them.
-CREDENTIALS_RE = r"(\w+\\?://[^:]+\\?):[^\\@]+\\?@"
+# A scheme is tried from the start of a word only, once, and not from each of its letters.
+CREDENTIALS_RE = r"(?<!\w)(\w++\\?://[^:]+\\?):[^\\@]+\\?@"
 
 # Schemes whose empty path reads as "/" and whose host is lower case.
 WEB_SCHEMES = ["http", "https", "ws", "wss", "ftp"]

@@ -4,7 +4,9 @@
 or a manifest. Such frames are reduced to their distinct labels first, which
 combines on the map side, so a whole fact table may be passed.
 
-A registry is a frame (shard STRING, status STRING) with the statuses below.
+A registry is a frame (shard STRING, status STRING) with the statuses below. New
+registries are a row per shard and are returned evaluated, so that a sequence of
+changes does not pile up in one plan.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from shardkit.functions.names import DEFAULT_PREFIX, retired_pattern, shard_name
 from shardkit.limits import MAX_SHARD_NO, MIN_SHARD_NO
+from shardkit.session import settle
 
 ACTIVE = "active"
 INACTIVE = "inactive"
@@ -109,7 +112,7 @@ def deactivate_shards(
     stopped = active.join(wanted, "shard", "left_semi").select("shard").orderBy("shard")
     named = registry.join(wanted.withColumn("wanted", F.lit(True)), "shard", "left")
     status = F.when(F.col("wanted"), F.lit(INACTIVE)).otherwise(F.col("status"))
-    return stopped, named.select("shard", status.alias("status"))
+    return stopped, settle(named.select("shard", status.alias("status")))
 
 
 def active_shards(registry: DataFrame, existing: DataFrame) -> DataFrame:
@@ -132,7 +135,7 @@ def reconcile_active(registry: DataFrame, existing: DataFrame, new: DataFrame |
             .withColumn("status", F.lit(INACTIVE))
         )
         registry = listed.withColumn("status", F.lit(ACTIVE)).unionByName(rest)
-    return registry.select("shard", "status").join(existing_shards(existing), "shard", "left_semi")
+    return settle(registry.select("shard", "status").join(existing_shards(existing), "shard", "left_semi"))
 
 
 def retired_shards(names: DataFrame, base_re: str = DEFAULT_PREFIX + r"\d+") -> DataFrame:
