@@ -193,7 +193,7 @@ def rebalance_store(spark: SparkSession, sf: str) -> DataFrame:
     """A store brought into balance: weights of its shards, a plan of them, and the moves of the plan."""
     store = _order_store(spark, sf)
     live = store.table("orders").withColumn("shard", shard_name(F.col("shard_no")))
-    active = live.select("island_no", "shard").distinct()
+    active = store.registry_now("active").select("island_no", "shard")
     weights = island_weights(live, [F.count(F.lit(1)).alias("Rows")], active, include_isolated_shard0=False)
     sources = order_islands(spark).withColumn("name", F.concat(F.lit("db"), F.col("island_no").cast("string")))
     placement, islands = plan.plan_inputs(weights, sources)

@@ -7,11 +7,11 @@ from pyspark.sql import types as T
 # Whole number, then anything; the rest is the unit.
 WEIGHT_RE = r"(?s)^(\d+)(.*)$"
 
-# The number a text starts with.
-LEADING_NUMBER_RE = r"^\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)"
+# White space, also beyond ASCII.
+SPACES = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
-# White space that is cut off around a unit.
-UNIT_SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+# The number a text starts with.
+LEADING_NUMBER_RE = rf"^[{SPACES}]*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)"
 
 
 def number_text(col: Column, dtype: T.DataType) -> Column:
@@ -41,7 +41,7 @@ def parse_weight(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     matches = text.rlike(WEIGHT_RE)
     rest = F.regexp_extract(text, WEIGHT_RE, 2)
-    unit = F.regexp_replace(rest, f"^{UNIT_SPACE}+|{UNIT_SPACE}+$", "")
+    unit = F.regexp_replace(rest, f"^[{SPACES}]+|[{SPACES}]+$", "")
     number = F.regexp_extract(text, WEIGHT_RE, 1).cast("bigint")
     weight = F.when(matches, number).otherwise(F.lit(0).cast("bigint"))
     return F.struct(weight.alias("weight"), F.when(matches, unit).alias("unit"))

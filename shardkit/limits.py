@@ -13,8 +13,12 @@ MAX_BROADCAST_ROWS = 200_000
 
 
 def fits(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """Whether df has at most max_rows rows. Pass a stored or checkpointed frame, as it is counted."""
-    return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
+    """Whether df has at most max_rows rows. Pass a stored or checkpointed frame, as it is counted.
+
+    Counted per partition and in whole: a limit would first bring its number of
+    rows of every partition into one task.
+    """
+    return df.count() <= max_rows
 
 
 def broadcast_within(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:

@@ -6,8 +6,10 @@ from urllib.parse import quote
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shardkit.functions.numbers import SPACES
+
 # Between addresses; with a scheme; an address's parts; scheme of the result.
-SEPARATOR_RE = r"[,\s]+"
+SEPARATOR_RE = f"[,{SPACES}]+"
 SCHEME_RE = r"^\w+://(.*)$"
 PARTS_RE = r"^(?:([^/?#]*)@)?(\[[^\]]*\]|[^/?#:@]*)(?::(\d*))?(/[^?#]*)?(\?[^#]*)?(#.*)?$"
 RESULT_SCHEME = "postgresql://"

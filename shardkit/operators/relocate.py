@@ -149,6 +149,11 @@ class ShardStore:
     def registry(self) -> DataFrame:
         return self.spark.read.schema(REGISTRY_SCHEMA).parquet(f"{self.root}/_registry")
 
+    def registry_now(self, status: str | None = None) -> DataFrame:
+        """Current registry rows, of one status if given."""
+        current = current_registry(self.registry())
+        return current if status is None else current.filter(F.col("status") == status)
+
     def publish(self, rows: DataFrame) -> None:
         """Append registry rows as one file, so that they appear together; there are a few per shard."""
         typed = rows.select(*_REGISTRY_COLUMNS).withColumn("version", F.col("version").cast("bigint"))
