@@ -47,15 +47,19 @@ def mounted_shards(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _columns(spark: SparkSession, sf: str) -> DataFrame:
-    frames = {
-        "customer": customers(spark, sf),
-        "supplier": suppliers(spark, sf),
-        "party": customers(spark, sf).filter(F.col("shard_no") % 2 == 0),
-        "bad-name": suppliers(spark, sf),
-    }
-    rows = [federate.column_rows(df, name, df.schema) for name, df in frames.items()]
-    odd = suppliers(spark, sf).filter(F.col("shard_no") % 2 == 1)
-    return reduce(DataFrame.unionByName, [*rows, federate.column_rows(odd, "party", odd.schema)])
+    """Catalog rows; the mixed table has columns of customers in some shards, of orders in others, or both."""
+    placed = orders(spark, sf).select(
+        "shard", F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("total"), "shard_no"
+    )
+    frames = [
+        ("customer", customers(spark, sf)),
+        ("supplier", suppliers(spark, sf)),
+        ("mixed", customers(spark, sf)),
+        ("mixed", placed),
+        ("bad-name", suppliers(spark, sf)),
+    ]
+    rows = [federate.column_rows(df, name, df.schema) for name, df in frames]
+    return reduce(DataFrame.unionByName, rows).distinct()
 
 
 def _joined(inventory: DataFrame) -> DataFrame:
@@ -89,15 +93,17 @@ def _summary(whole: DataFrame) -> DataFrame:
 
 
 def union_shards(spark: SparkSession, sf: str) -> DataFrame:
-    # customers in shards of even number, suppliers in the others: one branch per shard, each reads its directory
+    # shards are regions here, of customers from 0 on, of suppliers from 100 on: one branch each, reading its directory
     shards = {}
-    for kind, df in enumerate((customers(spark, sf), suppliers(spark, sf))):
+    places = _regions(spark, sf).select(F.col("island_no").alias("shard_no"), "island_no")
+    for first, df in ((0, customers(spark, sf)), (100, suppliers(spark, sf))):
         path = scratch_path(spark, "parties")
-        layout.write_placed(df.drop("shard"), nations(spark, sf), path)
+        in_region = df.drop("shard").join(nations(spark, sf), "shard_no").drop("shard_no")
+        layout.write_placed(in_region.withColumnRenamed("island_no", "shard_no"), places, path)
         stored = layout.read_placed(spark, path)
-        for number in range(kind, 25, 2):
-            part = stored.filter(F.col("shard_no") == number).drop("shard_no", "island_no")
-            shards[f"fdw_sh{number:04d}"] = part
+        for region in layout.stored_shards(spark, path).collect():
+            part = stored.filter(F.col("shard_no") == region.shard_no).drop("shard_no", "island_no")
+            shards[f"fdw_sh{first + region.shard_no:04d}"] = part
     return _summary(federate.union_shards(shards, "fdw"))
 
 
@@ -122,13 +128,14 @@ def refresh_if_changed(spark: SparkSession, sf: str) -> DataFrame:
     columns = _columns(spark, sf)
     # the stored manifest knows suppliers without their balance, and nothing of the mixed table
     before = columns.filter(~((F.col("table") == "supplier") & (F.col("column") == "acctbal")))
-    manifest = federate.fingerprints(before.filter(F.col("table") != "party"))
+    manifest = federate.fingerprints(before.filter(F.col("table") != "mixed"))
     return federate.changed_tables(columns, manifest)
 
 
 def for_each_shard(spark: SparkSession, sf: str) -> DataFrame:
-    active = table(spark, sf, "customer").select((F.col("c_custkey") % 64).cast("int").alias("shard_no"))
-    active = active.filter(F.col("shard_no") % 5 != 1).withColumn("shard", names.shard_name(F.col("shard_no")))
+    rich = table(spark, sf, "customer").filter(F.col("c_acctbal") > 9000)
+    active = rich.select((F.col("c_custkey") % 64).cast("int").alias("shard_no"))
+    active = active.withColumn("shard", names.shard_name(F.col("shard_no")))
     return federate.for_each_shard(orders(spark, sf), lambda df: df.filter(F.col("o_totalprice") > 498000), active)
 
 
@@ -152,15 +159,13 @@ QUERIES = {
 }
 
 _COLUMNS = f"""
-{PARTIES}, cols AS (
+{PARTIES}, {ORDERS}, cols AS (
   SELECT DISTINCT shard, 'customer' AS tab,
          unnest(['id bigint', 'name string', 'acctbal double', 'mktsegment string', 'shard_no int']) AS col FROM cust
   UNION SELECT shard, 'supplier', unnest(['id bigint', 'name string', 'acctbal double', 'shard_no int']) FROM supp
-  UNION SELECT shard, 'party',
-         unnest(['id bigint', 'name string', 'acctbal double', 'mktsegment string', 'shard_no int'])
-         FROM cust WHERE shard_no % 2 = 0
-  UNION SELECT shard, 'party', unnest(['id bigint', 'name string', 'acctbal double', 'shard_no int'])
-         FROM supp WHERE shard_no % 2 = 1)"""
+  UNION SELECT shard, 'mixed',
+         unnest(['id bigint', 'name string', 'acctbal double', 'mktsegment string', 'shard_no int']) FROM cust
+  UNION SELECT shard, 'mixed', unnest(['id bigint', 'total double', 'shard_no int']) FROM ord)"""
 
 _INVENTORY = f"""
 WITH {_COLUMNS}
@@ -196,8 +201,8 @@ ORACLES = {
         UNION ALL SELECT 'name', 4, count(name) FROM whole
         UNION ALL SELECT 'shard_no', 5, count(shard_no) FROM whole""",
     "union_shards": f"WITH {PARTIES} " + _SUMMARY.format(
-        source="SELECT shard, acctbal, mktsegment FROM cust WHERE shard_no % 2 = 0 "
-        "UNION ALL SELECT shard, acctbal, NULL FROM supp WHERE shard_no % 2 = 1"
+        source=f"SELECT {sql_label('n_regionkey')} AS shard, acctbal, mktsegment FROM cust JOIN nation ON n_nationkey = shard_no "
+        f"UNION ALL SELECT {sql_label('n_regionkey + 100')}, acctbal, NULL FROM supp JOIN nation ON n_nationkey = shard_no"
     ),
     "union_sources": f"WITH {PARTIES} " + _SUMMARY.format(
         source="SELECT shard, acctbal, mktsegment FROM cust UNION ALL SELECT shard, acctbal, NULL FROM supp"
@@ -210,12 +215,12 @@ ORACLES = {
         WITH {_COLUMNS}, per_shard AS (
           SELECT tab, shard, md5(string_agg(col, ',' ORDER BY col)) AS digest FROM cols GROUP BY 1, 2)
         SELECT tab AS "table", md5(string_agg(shard || ' ' || digest, ',' ORDER BY shard)) AS fingerprint
-        FROM per_shard WHERE tab IN ('supplier', 'party') GROUP BY 1""",
+        FROM per_shard WHERE tab IN ('supplier', 'mixed') GROUP BY 1""",
     "for_each_shard": f"""
-        WITH {ORDERS}, active AS (SELECT DISTINCT c_custkey % 64 AS n FROM customer),
+        WITH {ORDERS}, active AS (SELECT DISTINCT c_custkey % 64 AS n FROM customer WHERE c_acctbal > 9000),
         counts AS (SELECT shard_no, count(*) AS n FROM ord WHERE o_totalprice > 498000 GROUP BY 1)
         SELECT {sql_label('a.n')} AS shard, coalesce(CAST(c.n AS VARCHAR), '') AS row_count
-        FROM active a LEFT JOIN counts c ON c.shard_no = a.n WHERE a.n <> 0 AND a.n % 5 <> 1""",
+        FROM active a LEFT JOIN counts c ON c.shard_no = a.n WHERE a.n <> 0""",
     "map_each_shard": f"""
         WITH {ORDERS}
         SELECT shard_no, count(*) AS orders, max(o_orderkey) AS last FROM ord

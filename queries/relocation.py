@@ -105,17 +105,21 @@ def _order_moves(spark: SparkSession) -> DataFrame:
 
 
 def backfill(spark: SparkSession, sf: str) -> DataFrame:
+    """Every shard copied to the next island."""
     root = scratch_path(spark, "store")
-    relocate.backfill({"orders": orders(spark, sf).drop("shard")}, _order_moves(spark), root, "c-1")
+    moves = _placement(spark).select(
+        "shard_no", F.col("island_no").alias("from_island"), as_int((F.col("island_no") + 1) % 4).alias("to_island")
+    )
+    relocate.backfill({"orders": orders(spark, sf).drop("shard")}, moves, root, "c-1")
     return _totals(layout.read_placed(spark, f"{root}/orders").filter(F.col("copy") == "c-1"))
 
 
 def backfill_progress(spark: SparkSession, sf: str) -> DataFrame:
     src = {t: table(spark, sf, t) for t in ("orders", "customer", "part", "lineitem")}
     dst = {
-        "orders": src["orders"].filter(F.col("o_orderkey") % 3 == 0),
+        "orders": src["orders"].filter(F.col("o_orderstatus") == "F"),
         "customer": src["customer"].unionByName(src["customer"]),
-        "lineitem": src["lineitem"].filter(F.col("l_linenumber") == 1),
+        "lineitem": src["lineitem"].filter(F.col("l_returnflag") == "R"),
     }
     src["empty"] = src["part"].filter(F.col("p_size") < 0)
     states = [("orders", "d"), ("customer", "s"), ("part", "i"), ("lineitem", "r"), ("empty", "x")]
@@ -251,12 +255,11 @@ ORACLES = {
         WITH {_CHANGES}, t AS (SELECT max(lsn) AS target FROM chg)
         SELECT shard_no, greatest(max(target) - max(lsn), 0) AS gap FROM chg, t WHERE lsn <= target // 2 GROUP BY 1""",
     "backfill": f"""
-        WITH {ORDERS} {_TOTALS.format(source='''
-          SELECT * REPLACE (CASE shard_no WHEN 1 THEN 3 WHEN 5 THEN 2 ELSE 0 END AS island_no) FROM ord WHERE ''' + _MOVED)}""",
+        WITH {ORDERS} {_TOTALS.format(source='SELECT * REPLACE ((island_no + 1) % 4 AS island_no) FROM ord')}""",
     "backfill_progress": """
         WITH c AS (
           SELECT 'orders' AS tab, 'data is being copied' AS state, count(*) AS count_from,
-                 count(*) FILTER (o_orderkey % 3 = 0) AS copied FROM orders
+                 count(*) FILTER (o_orderstatus = 'F') AS copied FROM orders
           UNION ALL SELECT 'customer', 'synchronized', count(*), 2 * count(*) FROM customer
           UNION ALL SELECT 'part', 'initializing', count(*), 0 FROM part
           UNION ALL SELECT 'empty', 'x', 0, 0)

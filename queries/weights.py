@@ -115,8 +115,9 @@ def drop_isolated_shard0(spark: SparkSession, sf: str) -> DataFrame:
 def island_weights(spark: SparkSession, sf: str) -> DataFrame:
     island = F.when(F.col("shard_no") == 0, 9).otherwise(F.col("shard_no") % 5).alias("island_no")
     label = F.when(F.col("shard_no") == 7, F.lit("misc")).otherwise(F.col("shard")).alias("shard")
-    rows = customers(spark, sf).filter(F.col("shard_no") != 3).select(island, label, "acctbal")
-    active = suppliers(spark, sf).select(island, label)
+    rows = customers(spark, sf).select(island, label, "acctbal")
+    # shards of orders from 25 on have no customers
+    active = orders(spark, sf).select(island, label)
     aggs = [F.count(F.lit(1)).alias("Rows"), F.sum(cents("acctbal")).alias("Cents")]
     found = wts.island_weights(rows, aggs, active, include_isolated_shard0=False)
     return found.select("island_no", "shard_no", "weight", "unit", F.col("other.Cents").alias("cents"))
@@ -214,12 +215,12 @@ ORACLES = {
                count(*) AS weight
         FROM customer WHERE c_nationkey <> 0 GROUP BY 1, 2""",
     "island_weights": f"""
-        WITH {PARTIES}, found AS (
+        WITH {PARTIES}, {ORDERS}, found AS (
           SELECT shard_no, count(*) AS n, CAST(sum(floor(acctbal * 100 + 0.5)) AS BIGINT) AS cents
-          FROM cust WHERE shard_no <> 3 GROUP BY 1)
+          FROM cust GROUP BY 1)
         SELECT a.shard_no % 5 AS island_no, a.shard_no, coalesce(n, 0) AS weight, CASE WHEN n > 0 THEN '' END AS unit,
                coalesce(CAST(cents AS VARCHAR), 'null') AS cents
-        FROM (SELECT DISTINCT shard_no FROM supp WHERE shard_no NOT IN (0, 7)) a LEFT JOIN found USING (shard_no)""",
+        FROM (SELECT DISTINCT shard_no FROM ord WHERE shard_no NOT IN (0, 7)) a LEFT JOIN found USING (shard_no)""",
     "shard_share": f"""
         WITH {_WEIGHTS}, t AS (SELECT *, CAST(sum(weight) OVER (PARTITION BY island_no) AS BIGINT) AS total FROM w)
         SELECT island_no, shard_no, weight, weight / total AS ratio, {_SHARE} AS share FROM t""",
