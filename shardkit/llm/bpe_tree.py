@@ -31,14 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardkit.llm.common import stored
-from shardkit.llm.encoder import library_tokenizer, slices, tokenizer_text
+from shardkit.llm.encoder import LONGEST_REMEMBERED, Remembered, library_tokenizer, shared, slices, tokenizer_text
 
 # Texts of more characters are halved until no leaf has more.
 LEAF_CHARS = 16_384
 # How far any alternative of the pattern can look ahead of where it starts to match, at least.
 LOOK_AHEAD = 16
 WINDOW = 256
-_REMEMBERED, _LONGEST_REMEMBERED = 400_000, 48
 
 
 @dataclass
@@ -73,7 +72,7 @@ class TreeEncoder:
         self.plain = library_tokenizer(json.dumps(config))
         config["model"]["end_of_word_suffix"] = None
         self.middle = library_tokenizer(json.dumps(config))
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered()
 
     # short texts
 
@@ -84,14 +83,11 @@ class TreeEncoder:
             pieces = [p for p in text.replace("\n", " ").split(" ") if p]
             split.append(pieces)
             new.update(pieces)
-        if len(self.known) > _REMEMBERED:
-            self.known = {}
-        new.difference_update(self.known)
-        once = {}
+        new, known, once = self.known.missing(new), self.known.now, {}
         for piece in new:
             ids = np.array(self.whole.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
-            (self.known if len(piece) <= _LONGEST_REMEMBERED else once)[piece] = ids
-        get = self.known.__getitem__ if not once else lambda p: self.known[p] if p in self.known else once[p]
+            (known if len(piece) <= LONGEST_REMEMBERED else once)[piece] = ids
+        get = known.__getitem__ if not once else lambda p: known[p] if p in known else once[p]
         return [b"".join(map(get, pieces)) for pieces in split]
 
     def decode(self, ids: bytes) -> str:
@@ -201,7 +197,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, leaf_chars: int = LEA
     is_long = F.length("text") > leaf_chars
 
     def whole(batches):
-        encoder = TreeEncoder(model.value)
+        encoder = shared(TreeEncoder, model.value)
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in slices(texts):
@@ -212,7 +208,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, leaf_chars: int = LEA
                 )
 
     def split(batches):
-        encoder = TreeEncoder(model.value)
+        encoder = shared(TreeEncoder, model.value)
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 out = []
@@ -225,7 +221,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, leaf_chars: int = LEA
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
     def encode(batches):
-        encoder = TreeEncoder(model.value)
+        encoder = shared(TreeEncoder, model.value)
         for batch in batches:
             found = []
             for text, special in zip(batch.column(5).to_pylist(), batch.column(2).to_pylist()):
@@ -235,7 +231,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, leaf_chars: int = LEA
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "ids", "starts", "ends", "firsts"])
 
     def join(group: pa.Table) -> pa.Table:
-        encoder = _encoder_of(model)
+        encoder = shared(TreeEncoder, model.value)
         segments: dict[int, list[dict]] = {}
         for row in sorted(group.to_pylist(), key=lambda r: (r["segment"], r["leaf"])):
             segments.setdefault(row["segment"], []).append(row)
@@ -263,13 +259,3 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, leaf_chars: int = LEA
     trees = stored(encoded.groupBy("key").applyInArrow(join, "key binary, ids binary, decoded string"), "trees")
     return short.unionByName(long.select("doc_id", "key").join(trees, "key").select("doc_id", "ids", "decoded"))
 
-
-_ENCODERS: dict[int, TreeEncoder] = {}
-
-
-def _encoder_of(model) -> TreeEncoder:
-    """The encoder of this worker for a broadcast tokenizer; groups are too many to make one each."""
-    if model.id not in _ENCODERS if hasattr(model, "id") else True:
-        _ENCODERS.clear()
-        _ENCODERS[getattr(model, "id", 0)] = TreeEncoder(model.value)
-    return _ENCODERS[getattr(model, "id", 0)]

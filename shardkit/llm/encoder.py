@@ -6,21 +6,21 @@ so the ids of the parts, in a row, are the ids of the text. Texts in which white
 space follows white space go to the library as they are.
 """
 
+import json
 import os
 import re
+import sys
+from array import array
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import SparkSession
 
-# Pieces remembered by a worker before it starts anew; bounds its memory.
-REMEMBERED = 400_000
+# Pieces remembered by a worker at most; bounds its memory.
+REMEMBERED = 900_000
 # Longer pieces are not remembered.
 LONGEST_REMEMBERED = 48
-# Pieces given to the library as one text.
-AT_ONCE = 20_000
-
 _TWO_SPACES = re.compile(r"\s\s")
-_SPACES = (" ", "\n")
 
 
 def tokenizer_text(spark: SparkSession, path: str):
@@ -39,27 +39,78 @@ def library_tokenizer(json_text: str):
     return tokenizer
 
 
+# Latin letters, which no version of Unicode classes otherwise; marks that no alternative of the pattern joins to letters.
+_WORD = re.compile("(\n?)( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]*)")
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it prints, else one from 256 on."""
+    prints = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class Remembered:
+    """Results by text. When full, those not asked for lately are forgotten."""
+
+    def __init__(self, most: int = REMEMBERED):
+        self.half, self.now, self.before = most // 2, {}, {}
+
+    def missing(self, texts: set[str]) -> set[str]:
+        """Those of texts that are not known; the others are, in `now`, until the next call."""
+        if len(self.now) > self.half:
+            self.now, self.before = {}, self.now
+        texts.difference_update(self.now)
+        for text in texts.intersection(self.before):
+            self.now[text] = self.before[text]
+            texts.discard(text)
+        return texts
+
+
+@lru_cache(maxsize=2)
+def shared(kind: type, json_text: str):
+    """A worker's encoder of that kind, for all its tasks, with what it remembers."""
+    return kind(json_text)
+
+
 class Encoder:
-    """ids(texts) as little-endian unsigned 32-bit integers, one bytes object per text."""
+    """ids(texts) as little-endian unsigned 32-bit integers, one bytes object per text.
+
+    A word of Latin letters, with or without a space before it, is one pre-token of a byte-level tokenizer, and so
+    are the marks behind it: the library's model is asked for these directly.
+    """
 
     def __init__(self, json_text: str):
         self.tokenizer = library_tokenizer(json_text)
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered()
+        config, self.letters = json.loads(json_text), _byte_letters()
+        before = config["pre_tokenizer"] or {}
+        self.direct = (
+            config["normalizer"] is None
+            and {k: before.get(k) for k in _BYTE_LEVEL} == _BYTE_LEVEL
+            and not config["model"].get("dropout")
+            and not any(_WORD.search(part) for t in config["added_tokens"] for part in [t["content"][:1], t["content"][-1:]])
+        )
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Pieces that start with white space are encoded as one text, and its ids dealt out by offsets."""
-        for i in range(0, len(pieces), AT_ONCE):
-            part = pieces[i : i + AT_ONCE]
-            encoding = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            ids = np.array(encoding.ids, dtype="<u4").tobytes()
-            until = np.fromiter((o[1] for o in encoding.offsets), dtype=np.int64, count=len(ids) // 4)
-            cuts = 4 * np.searchsorted(until, np.cumsum([len(p) for p in part]), side="right")
-            a = 0
-            for piece, b in zip(part, cuts.tolist()):
-                self.known[piece], a = ids[a:b], b
+    def _pre_token(self, text: str) -> bytes:
+        found = self.known.now.get(text) or self.known.before.get(text)
+        if found is None:
+            tokens = self.tokenizer.model.tokenize(text.encode("utf-8").decode("latin-1").translate(self.letters))
+            found = array("I", [t.id for t in tokens])
+            if sys.byteorder == "big":
+                found.byteswap()
+            found = found.tobytes()
+            if len(text) <= LONGEST_REMEMBERED:
+                self.known.now[text] = found
+        return found
+
+    def _learn(self, piece: str) -> bytes:
+        word = _WORD.fullmatch(piece) if self.direct else None
+        return b"".join([self._pre_token(x) for x in word.groups() if x]) if word else self._encode(piece)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         split, new = [], set()
@@ -70,15 +121,10 @@ class Encoder:
             pieces = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
             split.append(pieces)
             new.update(pieces)
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = new.difference(self.known)
-        once = {}
-        first = [p for p in new if p[:1] in _SPACES and len(p) <= LONGEST_REMEMBERED]
-        self._learn(first)
-        for piece in new.difference(first):
-            (self.known if len(piece) <= LONGEST_REMEMBERED else once)[piece] = self._encode(piece)
-        get = self.known.__getitem__ if not once else lambda p: self.known[p] if p in self.known else once[p]
+        new, known, once = self.known.missing(new), self.known.now, {}
+        for piece in new:
+            (known if len(piece) <= LONGEST_REMEMBERED else once)[piece] = self._learn(piece)
+        get = known.__getitem__ if not once else lambda p: known[p] if p in known else once[p]
         return [
             self._encode(text) if pieces is None else b"".join(map(get, pieces)) for text, pieces in zip(texts, split)
         ]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardkit.llm.common import gapless, stored, task_number
-from shardkit.llm.encoder import Encoder, slices, tokenizer_text
+from shardkit.llm.encoder import Encoder, shared, slices, tokenizer_text
 
 CAPACITY = 1024
 END_ID = 2
@@ -40,7 +40,7 @@ def cut_into_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches):
-        encoder, part, seen = Encoder(model.value), task_number(), [0] * (capacity + 1)
+        encoder, part, seen = shared(Encoder, model.value), task_number(), [0] * (capacity + 1)
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):

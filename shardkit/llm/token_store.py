@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from shardkit.limits import MAX_BROADCAST_ROWS, fits
 from shardkit.llm.common import task_number
-from shardkit.llm.encoder import Encoder, slices, tokenizer_text
+from shardkit.llm.encoder import Encoder, shared, slices, tokenizer_text
 
 END_ID = 2
 # Ids after which a shard is closed.
@@ -146,7 +146,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = E
     end = int(end_id).to_bytes(4, "little")
 
     def encode(batches):
-        encoder, part = Encoder(model.value), task_number()
+        encoder, part = shared(Encoder, model.value), task_number()
         keys, payloads, size, number, before = [], [], 0, 0, 0
 
         def close():
