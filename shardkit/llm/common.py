@@ -11,6 +11,10 @@ from shardkit.limits import broadcast_within
 from shardkit.session import scratch_path, settle
 
 
+# Links that a task handles in a round of components().
+LINKS_PER_TASK = 50_000
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df written once as Parquet below the shared folder, and read from there.
 
@@ -49,7 +53,7 @@ def gapless(table: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(id, component): the smallest id reachable over `edges` (a, b), for each id in an edge.
+    """(id, component): the smallest id reachable over `edges` (a, b: bigint), for each id in an edge.
 
     Alternates two steps that replace a node's links by links to the smallest node
     it knows of, until nothing changes. Links stay as many as they were. Each step
@@ -57,20 +61,24 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     node has very many links. Each round is settled in the checkpoint folder.
     """
     links = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    links, known = settle(links), None
+    links = settle(links)
+    count = links.count()
+    # links only get fewer; tasks in proportion, as a round has many small stages
+    tasks = max(8, count // LINKS_PER_TASK)
+    links, known = links.coalesce(tasks), None
     for _ in range(max_rounds):
         # every larger neighbour, and the node itself, links to the node's smallest neighbour
         both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u > v").distinct()
+        large = settle(large.where("u > v").coalesce(tasks))
         # then every smaller neighbour, and the node itself
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v"))
         )
-        links = settle(small.where("u > v").distinct())
+        links = settle(small.where("u > v").coalesce(tasks).distinct().coalesce(tasks))
         state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == known:
             break

@@ -10,9 +10,9 @@ linked if 1 - edits / words of the longer one is at least 0.8.
 Equal texts are one node beforehand. Sketch values link nodes to candidate clusters; the words of nodes
 in clusters are gathered by cluster and length, as linked texts differ in length by at most a
 fifth. Large ones are split into blocks, each pair of blocks a task's work. Within, each node is aligned until its
-component is known, first with those whose words are most alike; a bound by word counts, which no
-alignment can beat, spares most. So no link that joins different components within a cluster is lost, and nothing grows with the number
-of pairs but comparisons of word counts.
+component is known, first with those whose words are most alike; a bound by pairs of neighbouring
+words, which no alignment can beat, spares most. So no link that joins different components within a cluster is lost, and nothing grows with the number
+of pairs but comparisons of bit maps.
 
 Defined results: null and empty texts are equal. Texts without words link with equal ones only; a text of
 fewer than six words has one k-mer, all its words. Rows with a null doc_id take no part and
@@ -37,7 +37,6 @@ SKETCHES, SAMPLED = 32, 2
 SEED = 11
 # A task aligns at most so many texts, or words, with as many others.
 BLOCK_TEXTS, BLOCK_WORDS = 1_500, 2_000_000
-_COUNTED = 256
 _REMEMBERED = 400_000
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -129,7 +128,7 @@ def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     for i, word in enumerate(a.tolist()):
         places[word] = places.get(word, 0) | 1 << i
     longer = len(a) - len(b)
-    band = min(most, max(8, 2 * longer))
+    band = min(most, max(16, 2 * longer))
     while True:
         edits = _in_band(places, b.tolist(), longer, band)
         if edits is not None and edits <= band:
@@ -169,34 +168,53 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return edits_within(a, b, int((1 - least) * longest + 1e-9)) is not None
 
 
-def joins(words: list[np.ndarray], sides: np.ndarray, across: bool, least: float) -> list[tuple[int, int]]:
-    """Links that join the components of these texts; with `across`, found between texts of different sides only."""
-    n = len(words)
-    lengths = np.array([len(w) for w in words])
-    counts = np.zeros((n, _COUNTED), dtype=np.int32)
+def _pair_bits(words: list[np.ndarray]) -> np.ndarray:
+    """A bit map per text of its pairs of neighbouring words, each labelled with how often it occurred before.
+
+    A bit that one text has and another lacks stands for a pair of words that only the one has. An edit takes away two
+    of a text's pairs at most and adds two, so texts whose maps differ in more than 4 e bits are more than e edits apart.
+    """
+    n_bits = 512
+    while n_bits < 2 * max(map(len, words)) and n_bits < 4096:
+        n_bits *= 2
+    out = np.zeros((len(words), n_bits), dtype=bool)
     for i, w in enumerate(words):
-        counts[i] = np.bincount((w >> np.uint64(8)).astype(np.int64) % _COUNTED, minlength=_COUNTED)
-    root, out = np.arange(n), []
-    for i in range(1, n):
-        longest = np.maximum(lengths[:i], lengths[i])
-        most = np.floor((1 - least) * longest + 1e-9)
-        fine = (np.abs(lengths[:i] - lengths[i]) <= most) & (root[:i] != root[i])
+        if len(w) > 1:
+            out[i, (labelled_kmers(w, 2) % np.uint64(n_bits)).astype(np.int64)] = True
+    return np.packbits(out, axis=1).view(np.uint64)
+
+
+def joins(
+    words: list[np.ndarray], sides: np.ndarray, at_home: np.ndarray, across: bool, least: float
+) -> list[tuple[int, int]]:
+    """Links that join the components of these texts.
+
+    With `across`, between texts of different sides only. Of each two, one is at home here: others meet elsewhere.
+    """
+    n = len(words)
+    lengths, bits = np.array([len(w) for w in words]), _pair_bits(words)
+    root, out, step = np.arange(n), [], max(1, 4_000_000 // (n * bits.shape[1]))
+    for first in range(0, n, step):
+        last = min(n, first + step)
+        apart = np.bitwise_count(bits[first:last, None, :] ^ bits[None, :last, :]).sum(axis=2, dtype=np.int32)
+        longest = np.maximum(lengths[first:last, None], lengths[None, :last])
+        most = ((1 - least) * longest + 1e-9).astype(np.int64)
+        close = (apart <= 4 * most) & (np.abs(lengths[first:last, None] - lengths[None, :last]) <= most)
+        close &= np.arange(last)[None, :] < np.arange(first, last)[:, None]
+        close &= at_home[first:last, None] | at_home[None, :last]
         if across:
-            fine &= sides[:i] != sides[i]
-        open_ = np.nonzero(fine)[0]
-        if not len(open_):
-            continue
-        # replacing a word moves two counts by one, inserting or deleting one count
-        apart = np.abs(counts[open_] - counts[i]).sum(axis=1)
-        close = apart <= 2 * most[open_]
-        open_ = open_[close][np.argsort(apart[close], kind="stable")]
-        while len(open_):
-            j, open_ = int(open_[0]), open_[1:]
-            if edits_within(words[i], words[j], int(most[j])) is not None:
-                out.append((i, j))
-                old, new = root[i], root[j]
-                root[root == old] = new
-                open_ = open_[root[open_] != new]
+            close &= sides[first:last, None] != sides[None, :last]
+        for i in (np.nonzero(close.any(axis=1))[0] + first).tolist():
+            open_ = np.nonzero(close[i - first])[0]
+            open_ = open_[root[open_] != root[i]]
+            open_ = open_[np.argsort(apart[i - first, open_], kind="stable")]
+            while len(open_):
+                j, open_ = int(open_[0]), open_[1:]
+                if edits_within(words[i], words[j], int(most[i - first, j])) is not None:
+                    out.append((i, j))
+                    old, new = root[i], root[j]
+                    root[root == old] = new
+                    open_ = open_[root[open_] != new]
     return out
 
 
@@ -228,15 +246,16 @@ def classes(docs: DataFrame, k: int = WORDS, least: float = SIMILARITY, sketches
     nodes = rows.where("doc_id is not null").groupBy("key").agg(
         F.min("doc_id").alias("rep"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch")
     )
-    nodes = stored(nodes, "texts")
-    met = nodes.select("key", F.posexplode("sketch").alias("i", "value")).select("key", F.xxhash64("i", "value").alias("bucket"))
-    leaders = met.groupBy("bucket").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    near = met.join(leaders, "bucket").where(F.col("key") != F.col("leader"))
-    clusters = components(near.select(F.col("key").alias("a"), F.col("leader").alias("b")))
-    members = stored(nodes.join(clusters.withColumnRenamed("id", "key"), "key").select("key", "rep", "n_words", "component"), "candidates")
+    # numbers for texts, that stay as they are once they are stored
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "texts")
+    met = nodes.select("node", F.posexplode("sketch").alias("i", "value")).select("node", F.xxhash64("i", "value").alias("bucket"))
+    leaders = met.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    near = met.join(leaders, "bucket").where(F.col("node") != F.col("leader"))
+    clusters = components(near.select(F.col("node").alias("a"), F.col("leader").alias("b"))).withColumnRenamed("id", "node")
+    members = stored(nodes.join(clusters, "node").select("node", "key", "rep", "n_words", "component"), "candidates")
     links = stored(_verified(docs, members, least), "text-links")
-    final = nodes.select("key", "rep").join(components(links).withColumnRenamed("id", "key"), "key", "left")
-    final = stored(final.withColumn("component", F.coalesce("component", "key")), "linked")
+    final = nodes.select("node", "key", "rep").join(components(links).withColumnRenamed("id", "node"), "node", "left")
+    final = stored(final.withColumn("component", F.coalesce("component", "node")), "linked")
     names = final.groupBy("component").agg(F.min("rep").alias("class_id"))
     return rows.select("doc_id", "key"), stored(final.join(names, "component").select("key", "rep", "component", "class_id"), "classes")
 
@@ -245,7 +264,8 @@ def _verified(docs: DataFrame, members: DataFrame, least: float) -> DataFrame:
     """(a, b): links between texts of a candidate cluster that join its components."""
     # a little wider than the bound, so that rounding parts no pair
     band = F.floor(F.log(F.greatest(F.col("n_words"), F.lit(1)).cast("double")) / -math.log(least - 0.01)).cast("int")
-    dealt = members.withColumn("_band", F.explode(F.array(band, band + 1)))
+    # texts of one length are at home in its band, and guests of the next one, where they meet somewhat longer ones
+    dealt = members.withColumn("_band", F.explode(F.array(band, band + 1))).withColumn("home", F.col("_band") == band)
     sizes = dealt.groupBy("component", "_band").agg(F.count(F.lit(1)).alias("_n"), F.sum("n_words").alias("_words"))
     blocks = F.greatest(F.ceil(F.col("_n") / BLOCK_TEXTS), F.ceil(F.col("_words") / BLOCK_WORDS)).cast("int")
     sizes = stored(sizes.where("_n > 1").select("component", "_band", blocks.alias("_blocks")), "cluster-sizes")
@@ -253,7 +273,7 @@ def _verified(docs: DataFrame, members: DataFrame, least: float) -> DataFrame:
     dealt = dealt.withColumn("side", F.pmod(F.xxhash64("key"), F.col("_blocks")).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     dealt = dealt.select(
-        "key", "side", F.xxhash64("component", "_band").alias("cluster"), "component", "_band",
+        "node", "key", "side", "home", "component", "_band",
         F.least("side", "_other").alias("low"), F.greatest("side", "_other").alias("high"),
     )
 
@@ -268,17 +288,20 @@ def _verified(docs: DataFrame, members: DataFrame, least: float) -> DataFrame:
     )
     words = stored(texts.select("key", "text").mapInArrow(read, "key binary, words binary"), "words").dropDuplicates(["key"])
     group = ["component", "_band", "low", "high"]
-    gathered = dealt.join(words, "key").select("key", "side", *group, "words")
-    links = [("a", pa.binary()), ("b", pa.binary())]
+    gathered = dealt.join(words, "key").select("node", "side", "home", *group, "words")
+    links = [("a", pa.int64()), ("b", pa.int64())]
 
     def verify(batches):
         held, at = [], None
 
         def close():
-            own = sorted(held, key=lambda r: (len(r["words"]), r["key"]))
+            own = sorted(held, key=lambda r: (len(r["words"]), r["node"]))
             words = [np.frombuffer(r["words"], dtype=np.uint64) for r in own]
-            found = joins(words, np.array([r["side"] for r in own]), at[2] != at[3], least) if len(own) > 1 else []
-            columns = [pa.array([own[p[x]]["key"] for p in found], pa.binary()) for x in (0, 1)]
+            found = []
+            if len(own) > 1:
+                sides, home = np.array([r["side"] for r in own]), np.array([r["home"] for r in own])
+                found = joins(words, sides, home, at[2] != at[3], least)
+            columns = [pa.array([own[p[x]]["node"] for p in found], pa.int64()) for x in (0, 1)]
             return pa.RecordBatch.from_arrays(columns, schema=pa.schema(links))
 
         for batch in batches:
@@ -292,7 +315,7 @@ def _verified(docs: DataFrame, members: DataFrame, least: float) -> DataFrame:
         if held:
             yield close()
 
-    return gathered.repartition(*group).sortWithinPartitions(*group).mapInArrow(verify, "a binary, b binary")
+    return gathered.repartition(*group).sortWithinPartitions(*group).mapInArrow(verify, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
