@@ -15,8 +15,11 @@ _AUTHORITY = r"^([A-Za-z][A-Za-z0-9+.\-]*)://(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:]*)[
 
 def redact_credentials(text: Column) -> Column:
     """Text with the password of every `scheme://user:password@` taken out."""
-    # only text with a scheme can match, and most has none
-    return F.when(text.contains("://"), F.regexp_replace(text, CREDENTIALS_RE, "$1@")).otherwise(text)
+    # only text with a scheme can match, and only up to its last @: behind it, each scheme would scan to the end
+    tail = F.substring_index(text, "@", -1)
+    head = F.left(text, F.length(text) - F.length(tail))
+    redacted = F.concat(F.regexp_replace(head, CREDENTIALS_RE, "$1@"), tail)
+    return F.when(text.contains("://") & text.contains("@"), redacted).otherwise(text)
 
 
 def url_host(url: Column) -> Column:

@@ -130,6 +130,8 @@ class ShardStore:
     def create(cls, spark: SparkSession, root: str, tables: dict[str, DataFrame], placement: DataFrame) -> "ShardStore":
         """Store tables with a shard_no column by a placement (shard_no, island_no); all shards become active."""
         store = cls(spark, root, list(tables))
+        if store._exists("_registry"):
+            raise ValueError(f"there is a store already: {root}")
         copy = "c-first"
         for name, df in tables.items():
             placed = place_rows(df, placement).withColumn("copy", F.lit(copy))
@@ -218,6 +220,11 @@ class ShardStore:
         for table in self.tables:
             self._delete(f"{table}/copy={copy}")
 
+    def _exists(self, path: str) -> bool:
+        context = self.spark.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")
+        return target.getFileSystem(context._jsc.hadoopConfiguration()).exists(target)
+
     def _delete(self, path: str) -> None:
         context = self.spark.sparkContext
         target = context._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardkit.limits import broadcast_within
+from shardkit.limits import MAX_SHARD_NO, MIN_SHARD_NO, broadcast_within
 from shardkit.session import settle
 
 PARTITIONS = ["island_no", "shard_no"]
@@ -16,6 +16,11 @@ def place_rows(df: DataFrame, placement: DataFrame) -> DataFrame:
     twice = places.groupBy("shard_no").count().filter(F.col("count") > 1).first()
     if twice is not None:
         raise ValueError(f"shard {twice.shard_no} has more than one island")
+    known = F.col("shard_no").between(MIN_SHARD_NO, MAX_SHARD_NO)
+    beyond = places.filter(F.col("shard_no").isNull() | ~known).first()
+    if beyond is not None:
+        # its label would be another shard's
+        raise ValueError(f"no such shard number: {beyond.shard_no}")
     places = broadcast_within(places)
     placed = df.drop("island_no").join(places, "shard_no", "left")
     label = F.coalesce(F.col("shard_no").cast("string"), F.lit("null"))

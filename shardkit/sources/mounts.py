@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardkit.functions.names import mount_label, source_label
+from shardkit.limits import broadcast_within
 from shardkit.session import settle
 
 # Marks labels made by this toolkit among others of the same prefix.
@@ -37,8 +38,13 @@ class Mounts:
         return {r.label: self.frames[r.host].filter(F.col("shard") == r.shard).drop("shard") for r in rows}
 
     def labelled(self) -> list[DataFrame]:
-        """One frame per source with its shards under their mount labels."""
-        return [df.withColumn("shard", mount_label(F.col("shard"), self.prefix)) for df in self.frames.values()]
+        """One frame per source with its mounted (that is, active) shards under their mount labels."""
+        out = []
+        for host, df in self.frames.items():
+            mounted = broadcast_within(self.manifest.filter(F.col("host") == host).select("shard"))
+            active = df.join(mounted, "shard", "left_semi")
+            out.append(active.withColumn("shard", mount_label(F.col("shard"), self.prefix)))
+        return out
 
 
 def mount_manifest(prefix: str, active: DataFrame) -> DataFrame:
@@ -71,7 +77,10 @@ def mount_shards(
     if twice is not None:
         raise ValueError(f"shard is already mounted: {twice.label}")
     hosts = manifest.sparkSession.createDataFrame([(h,) for h in sources], "host string")
-    hosts = hosts.select(source_label(F.col("host"), prefix).alias("server")).distinct()
+    hosts = hosts.select(source_label(F.col("host"), prefix).alias("server"))
+    shared = hosts.groupBy("server").count().filter(F.col("count") > 1).first()
+    if shared is not None:
+        raise ValueError(f"sources share a label: {shared.server}")
     counts = manifest.groupBy("server").agg(F.count_distinct("shard").alias("shard_count"))
     summary = hosts.join(counts, "server", "left").select(
         "server", F.coalesce("shard_count", F.lit(0)).alias("shard_count")

@@ -145,3 +145,34 @@ def test_failure_names_its_shard(spark):
 
     with pytest.raises(Exception, match="error on shard 2: bad row"):
         federate.map_each_shard(df, fail, "shard_no int, v int", active).collect()
+
+
+def test_labelled_leaves_inactive_shards_out(spark):
+    from shardkit.sources.mounts import mount_shards
+
+    rows = spark.createDataFrame([("sh0001", 1), ("sh0002", 2)], "shard string, v int")
+    active = spark.createDataFrame([("a", "sh0001"), ("b", "sh0002")], "host string, shard string")
+    mounts, _ = mount_shards("fdw", {"a": rows, "b": rows}, active)
+    got = sorted((r.shard, r.v) for df in mounts.labelled() for r in df.collect())
+    assert got == [("fdw_sh0001", 1), ("fdw_sh0002", 2)]
+    with pytest.raises(ValueError, match="share a label"):
+        mount_shards("fdw", {"a.b": rows, "a-b": rows}, active)
+
+
+def test_numbers_beyond_a_label_have_no_place(spark):
+    rows = spark.createDataFrame([(1, 1)], "shard_no int, v int")
+    for number in (12345, -1, None):
+        places = spark.createDataFrame([(1, 0), (number, 0)], "shard_no int, island_no int")
+        with pytest.raises(ValueError, match="no such shard number"):
+            layout.place_rows(rows, places)
+
+
+def test_a_used_root_is_refused(spark):
+    from shardkit.operators.relocate import ShardStore
+
+    rows = spark.createDataFrame([(1, 1)], "shard_no int, v int")
+    places = spark.createDataFrame([(1, 0)], "shard_no int, island_no int")
+    root = scratch_path(spark, "store")
+    ShardStore.create(spark, root, {"t": rows}, places)
+    with pytest.raises(ValueError, match="a store already"):
+        ShardStore.create(spark, root, {"t": rows}, places)
