@@ -1,6 +1,7 @@
 """Every query against its SQL, on the smallest test tables (or those in $TEST_SF_DIR)."""
 
 import os
+import re
 
 import pytest
 
@@ -19,7 +20,10 @@ def test_query_matches_sql(spark, name):
 
 
 def test_every_query_has_sql():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    """But for operators on training data that SQL cannot express; those have tests of their own."""
+    beyond = {name for name in entry.queries() if name == "pipeline" or re.match(r"op\d+_", name)}
+    assert entry.oracle_sql().keys() <= entry.queries().keys()
+    assert entry.queries().keys() - beyond <= entry.oracle_sql().keys()
 
 
 def test_entry(spark):
