@@ -6,8 +6,8 @@ share all of them, far ones hardly ever. Vectors that share label and hash in so
 table are compared by cosine in double precision.
 
 Equal vectors are one class beforehand, so copies are neither hashed nor compared. The vectors
-of one bucket are compared in blocks, each pair of blocks in its own task. A pair that meets in several
-tables counts in the first. Tasks return a row per vector: its links, and where its component starts.
+of one bucket are compared in blocks, each pair of blocks (a cell) in one place; a task goes through the cells it
+has got in order. A pair that meets in several tables counts in the first. Tasks return a row per vector: its links, and where its component starts.
 
 Defined results: vectors with a null label or id, null, empty, zero, or with null or non-finite
 components link with nothing, as do vectors of different length. Rows that repeat an id
@@ -16,6 +16,7 @@ are vectors of their own. Ties do not arise. Columns besides vec_id, label and e
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,11 +52,59 @@ def _signatures(unit: np.ndarray, tables: int, projections: int, width: float) -
 
 
 def _units(column) -> np.ndarray:
-    x = np.array(column.to_pylist(), dtype=np.float64)
+    """The vectors of a column scaled to length 1, filled up with zeros where others are longer."""
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    x = np.zeros((len(lengths), lengths.max()))
+    x[np.arange(x.shape[1]) < lengths[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
     x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _links(rows: pa.Table, threshold: float):
+    """Batches (rep, links, root): links found in whole cells of rows, and the smallest vector reachable in the cell."""
+    rows = rows.combine_chunks()
+    bucket, low, high, table, side, size, reps, weight = (
+        rows[c].to_numpy() for c in ("bucket", "low", "high", "table", "side", "size", "rep", "n")
+    )
+    unit = _units(rows["embedding"].combine_chunks())
+    signs = rows["signs"].combine_chunks().flatten().to_numpy().reshape(len(reps), -1)
+    ends = np.nonzero((bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))[0] + 1
+    out = {"rep": [], "links": [], "root": []}
+    for begin, end in zip([0, *ends.tolist()], [*ends.tolist(), len(reps)]):
+        own = unit[begin:end]
+        links, root = {}, {}
+
+        def top(i):
+            while root.setdefault(i, i) != i:
+                root[i] = root.setdefault(root[i], root[i])
+                i = root[i]
+            return i
+
+        for i in range(0, end - begin, 256):
+            near = np.argwhere(own[i : i + 256] @ own.T >= threshold - 1e-9)
+            if len(near) <= min(256, end - begin - i):
+                continue  # each is near itself alone
+            a, b = near[:, 0] + i + begin, near[:, 1] + begin
+            once = (reps[a] < reps[b]) & ((side[a] != side[b]) | (low[begin] == high[begin])) & (size[a] == size[b])
+            a, b = a[once], b[once]
+            exact = (unit[a] * unit[b]).sum(axis=1) >= threshold
+            earlier = (signs[a, : table[begin]] == signs[b, : table[begin]]).any(axis=1)
+            a, b = a[exact & ~earlier], b[exact & ~earlier]
+            for x, y in zip(a.tolist(), b.tolist()):
+                links[x] = links.get(x, 0) + int(weight[y])
+                links[y] = links.get(y, 0) + int(weight[x])
+                x, y = top(x), top(y)
+                if x != y:
+                    x, y = (x, y) if reps[x] < reps[y] else (y, x)
+                    root[y] = x
+        for i, n in links.items():
+            out["rep"].append(int(reps[i]))
+            out["links"].append(n)
+            out["root"].append(int(reps[top(i)]))
+    if out["rep"]:
+        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(c, pa.int64()) for c in out]))
+
+
 def link_vectors(
     vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, projections: int = PROJECTIONS,
     width: float = WIDTH, block: int = BLOCK,
@@ -76,7 +125,7 @@ def link_vectors(
     def sign(batches):
         for batch in batches:
             embedding = batch.column(2)
-            lengths = np.array([len(x) for x in embedding.to_pylist()])
+            lengths = pc.list_value_length(embedding).to_numpy(zero_copy_only=False)
             for length in np.unique(lengths).tolist():
                 own = batch.filter(pa.array(lengths == length))
                 signs = _signatures(_units(own.column(2)), tables, projections, width)
@@ -101,47 +150,30 @@ def link_vectors(
     met = met.withColumn("side", F.pmod(F.xxhash64("rep", "bucket"), F.col("_blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     met = met.select("rep", "bucket", "table", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
-    met = met.join(signed.select("rep", "n", "embedding", "signs"), "rep")
-
-    def compare(group: pa.Table) -> pa.Table:
-        n = group.num_rows
-        out = {"rep": [], "links": [], "root": []}
-        if n > 1:
-            unit, signs = _units(group["embedding"].combine_chunks()), np.array(group["signs"].to_pylist())
-            reps, weight, side = (group[c].to_numpy() for c in ("rep", "n", "side"))
-            low, high, table = (group[c][0].as_py() for c in ("low", "high", "table"))
-            links, root = np.zeros(n, dtype=np.int64), np.arange(n)
-            order = np.argsort(reps)
-
-            def top(i):
-                while root[i] != i:
-                    root[i] = root[root[i]]
-                    i = root[i]
-                return i
-
-            for i in range(0, n, 256):
-                near = np.argwhere(unit[i : i + 256] @ unit.T >= threshold - 1e-9)
-                a, b = near[:, 0] + i, near[:, 1]
-                once = (reps[a] < reps[b]) & ((side[a] != side[b]) | (low == high))
-                a, b = a[once], b[once]
-                exact = (unit[a] * unit[b]).sum(axis=1) >= threshold
-                earlier = (signs[a, :table] == signs[b, :table]).any(axis=1)
-                a, b = a[exact & ~earlier], b[exact & ~earlier]
-                np.add.at(links, a, weight[b])
-                np.add.at(links, b, weight[a])
-                for x, y in zip(a.tolist(), b.tolist()):
-                    x, y = top(x), top(y)
-                    if x != y:
-                        x, y = (x, y) if reps[x] < reps[y] else (y, x)
-                        root[y] = x
-            for i in order.tolist():
-                if links[i]:
-                    out["rep"].append(int(reps[i]))
-                    out["links"].append(int(links[i]))
-                    out["root"].append(int(reps[top(i)]))
-        return pa.Table.from_pydict(out, schema=pa.schema([(c, pa.int64()) for c in ("rep", "links", "root")]))
-
-    found = met.groupBy("bucket", "low", "high").applyInArrow(compare, "rep bigint, links bigint, root bigint")
+    met = met.join(signed.select("rep", "n", "embedding", "size", "signs"), "rep")
+
+    def compare(batches):
+        """Each cell (bucket, low, high) comes in a row, though over several batches perhaps."""
+        begun = []
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "low", "high")], axis=1)
+            ends = np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1
+            if begun and batch.num_rows and (keys[0] != begun[0]).any():
+                yield from _links(pa.Table.from_batches(begun[1:]), threshold)
+                begun = []
+            if len(ends):
+                # all but the last cell are whole
+                yield from _links(pa.Table.from_batches([*begun[1:], batch.slice(0, ends[-1])]), threshold)
+                begun = []
+            if batch.num_rows:
+                start = int(ends[-1]) if len(ends) else 0
+                begun = [*(begun or [keys[start]]), batch.slice(start)]
+        if begun:
+            yield from _links(pa.Table.from_batches(begun[1:]), threshold)
+
+    # one pass over the cells of a task: most hold two vectors that met by chance, too few for a group of their own
+    cells = met.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    found = cells.mapInArrow(compare, "rep bigint, links bigint, root bigint")
     found = stored(found, "vector-links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     component = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
