@@ -27,17 +27,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shardkit.limits import broadcast_within
 from shardkit.llm.common import stored
-from shardkit.llm.encoder import LONGEST_REMEMBERED, Remembered, library_tokenizer, shared, slices, tokenizer_text
+from shardkit.llm.encoder import LONGEST_REMEMBERED, Remembered, byte_letters, library_tokenizer, shared, slices, tokenizer_text
 
 # Texts of more characters are halved until no leaf has more.
 LEAF_CHARS = 16_384
 # How far any alternative of the pattern can look ahead of where it starts to match, at least.
 LOOK_AHEAD = 16
 WINDOW = 256
+# Pieces of leaves that a worker remembers with their tokens' places.
+REMEMBERED_PARTS = 200_000
+# Fixed value: the pattern of the vocabulary's pre-tokenizer.
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+# By it two pre-tokens: letters that are composed already, and marks none of which starts another alternative.
+_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?$%&*]*)")
 
 
 @dataclass
@@ -68,11 +76,21 @@ class TreeEncoder:
         config = json.loads(json_text)
         self.special = {t["content"]: t["id"] for t in config["added_tokens"]}
         self.marker = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        self.pre_tokens, self.letters = {}, byte_letters()
+        steps = lambda part, name: (config[part] or {}).get(name) or []
+        self.direct = (
+            [n["type"] for n in steps("normalizer", "normalizers")] == ["NFC", "Replace", "Lowercase"]
+            and [p.get("pattern", {}).get("Regex") for p in steps("pre_tokenizer", "pretokenizers")] == [_SPLIT, None]
+            and steps("pre_tokenizer", "pretokenizers")[1]["type"] == "ByteLevel"
+            and not steps("pre_tokenizer", "pretokenizers")[1]["add_prefix_space"]
+            and not steps("pre_tokenizer", "pretokenizers")[1]["use_regex"]
+            and not config["model"].get("dropout")
+        )
         config |= {"normalizer": None, "added_tokens": [], "post_processor": None, "truncation": None, "padding": None}
         self.plain = library_tokenizer(json.dumps(config))
         config["model"]["end_of_word_suffix"] = None
         self.middle = library_tokenizer(json.dumps(config))
-        self.known = Remembered()
+        self.known, self.known_parts = Remembered(), Remembered(REMEMBERED_PARTS)
 
     # short texts
 
@@ -84,12 +102,28 @@ class TreeEncoder:
             split.append(pieces)
             new.update(pieces)
         new, known, once = self.known.missing(new), self.known.now, {}
+        rest = []
         for piece in new:
-            ids = np.array(self.whole.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            word = _WORD.fullmatch(piece) if self.direct else None
+            if word and len(piece) <= LONGEST_REMEMBERED:
+                known[piece] = b"".join([self._pre_token(x.lower()) for x in word.groups() if x])
+            else:
+                rest.append(piece)
+        for piece, found in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False)):
+            ids = np.array(found.ids, dtype="<u4").tobytes()
             (known if len(piece) <= LONGEST_REMEMBERED else once)[piece] = ids
         get = known.__getitem__ if not once else lambda p: known[p] if p in known else once[p]
         return [b"".join(map(get, pieces)) for pieces in split]
 
+    def _pre_token(self, text: str) -> bytes:
+        """Ids of a normalised pre-token, from the library's model."""
+        if (found := self.pre_tokens.get(text)) is None:
+            if len(self.pre_tokens) >= REMEMBERED_PARTS:
+                self.pre_tokens.clear()
+            tokens = self.whole.model.tokenize(text.encode("utf-8").decode("latin-1").translate(self.letters))
+            found = self.pre_tokens[text] = np.array([t.id for t in tokens], dtype="<u4").tobytes()
+        return found
+
     def decode(self, ids: bytes) -> str:
         return self.whole.decode(np.frombuffer(ids, dtype="<u4").tolist(), skip_special_tokens=False)
 
@@ -124,6 +158,26 @@ class TreeEncoder:
         firsts[1:] = words[1:] != words[:-1]
         return Tokens(np.array(encoding.ids, dtype=np.int64), spans[:, 0], spans[:, 1], firsts)
 
+    def leaf(self, text: str) -> Tokens:
+        """tokens() of a leaf, of which pieces between spaces are remembered."""
+        pieces = text.split(" ")
+        new, once = list(self.known_parts.missing(set(pieces))), {}
+        known = self.known_parts.now
+        if new:
+            # in a row: a space ends a pre-token, so each is encoded as if alone
+            t = self.tokens(" ".join(new))
+            begins = np.cumsum([0] + [len(p) + 1 for p in new])
+            cuts = np.searchsorted(t.starts, begins)
+            by = np.repeat(begins[:-1], np.diff(cuts))
+            places = np.stack([t.ids, t.starts - by, t.ends - by, t.firsts], axis=1).astype("<i4").tobytes()
+            for piece, x, y in zip(new, (cuts * 16).tolist(), (cuts[1:] * 16).tolist()):
+                (known if len(piece) <= LONGEST_REMEMBERED else once)[piece] = places[x:y]
+        found = [known[p] if p in known else once[p] for p in pieces]
+        ids, starts, ends, firsts = np.frombuffer(b"".join(found), "<i4").reshape(-1, 4).T.astype(np.int64)
+        begins = np.cumsum([0] + [len(p) + 1 for p in pieces[:-1]])
+        by = np.repeat(begins, [len(x) // 16 for x in found])
+        return Tokens(ids, starts + by, ends + by, firsts.astype(bool))
+
     def joined(self, left_text: str, left: Tokens, right_text: str, right: Tokens) -> Tokens:
         """The encoding of both texts in a row, from those of each."""
         cut, text = len(left_text), left_text + right_text
@@ -138,9 +192,10 @@ class TreeEncoder:
             window = self.tokens(text[begin : cut + end]).moved(begin)
             if end == len(right_text):
                 return Tokens.row(left.part(0, keep), window)
+            near = right.part(0, int(np.searchsorted(right.starts, end)))
             agreed = np.intersect1d(
                 window.starts[window.firsts & (window.starts >= cut) & (window.starts <= cut + end - LOOK_AHEAD)],
-                right.starts[right.firsts] + cut,
+                near.starts[near.firsts] + cut,
             )
             if len(agreed):
                 x = agreed[0]
@@ -185,9 +240,32 @@ class TreeEncoder:
         return parts[0]
 
 
+def _pack(numbers: np.ndarray) -> bytes:
+    """32-bit integers, compressed by byte: those of higher rank are nearly all alike."""
+    return zstandard.ZstdCompressor().compress(numbers.astype("<i4").view("u1").reshape(-1, 4).T.tobytes())
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), "u1")
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel().astype(np.int64)
+
+
+def pack_tokens(t: Tokens) -> tuple[bytes, bytes, bytes, bytes]:
+    """Ids, gaps before tokens, their widths and first tokens of words, each compressed."""
+    gaps = t.starts - np.concatenate([[0], t.ends[:-1]])[: len(t.starts)]
+    return _pack(t.ids), _pack(gaps), _pack(t.ends - t.starts), _pack(t.firsts)
+
+
+def unpack_tokens(ids: bytes, gaps: bytes, widths: bytes, firsts: bytes) -> Tokens:
+    gaps, widths = _unpack(gaps), _unpack(widths)
+    ends = np.cumsum(gaps + widths)
+    return Tokens(_unpack(ids), ends - widths, ends, _unpack(firsts).astype(bool))
+
+
 _OUT = "doc_id bigint, ids binary, decoded string"
-_LEAVES = "key binary, segment int, special bigint, leaf int, leaves int, text string"
-_ENCODED = _LEAVES + ", ids binary, starts binary, ends binary, firsts binary"
+# texts of leaves and what is known of their tokens are compressed, as they go through shuffles
+_LEAVES = "key binary, segment int, special bigint, leaf int, text binary"
+_ENCODED = _LEAVES + ", ids binary, gaps binary, widths binary, firsts binary"
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, leaf_chars: int = LEAF_CHARS) -> DataFrame:
@@ -208,30 +286,30 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, leaf_chars: int = LEA
                 )
 
     def split(batches):
-        encoder = shared(TreeEncoder, model.value)
+        encoder, press = shared(TreeEncoder, model.value), zstandard.ZstdCompressor()
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 out = []
                 for number, (special, segment) in enumerate(encoder.segments(text)):
                     parts = encoder.leaves(segment, leaf_chars)
-                    out += [(key, number, special, i, len(parts), part) for i, part in enumerate(parts)]
+                    out += [(key, number, special, i, press.compress(part.encode())) for i, part in enumerate(parts)]
                 if out:
-                    kinds = [pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
-                    names = ["key", "segment", "special", "leaf", "leaves", "text"]
+                    kinds = [pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+                    names = ["key", "segment", "special", "leaf", "text"]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
     def encode(batches):
-        encoder = shared(TreeEncoder, model.value)
+        encoder, press = shared(TreeEncoder, model.value), zstandard.ZstdDecompressor()
         for batch in batches:
             found = []
-            for text, special in zip(batch.column(5).to_pylist(), batch.column(2).to_pylist()):
-                t = encoder.tokens(text) if special is None else Tokens(*[np.zeros(0, dtype=np.int64)] * 4)
-                found.append([t.ids.astype("<u4").tobytes(), t.starts.astype("<i4").tobytes(), t.ends.astype("<i4").tobytes(), t.firsts.astype("u1").tobytes()])
+            for text, special in zip(batch.column(4).to_pylist(), batch.column(2).to_pylist()):
+                nothing = Tokens(*[np.zeros(0, dtype=np.int64)] * 4)
+                found.append(pack_tokens(encoder.leaf(press.decompress(text).decode()) if special is None else nothing))
             columns = [pa.array(c, pa.binary()) for c in zip(*found)] if found else [pa.array([], pa.binary())] * 4
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "ids", "starts", "ends", "firsts"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "ids", "gaps", "widths", "firsts"])
 
     def join(group: pa.Table) -> pa.Table:
-        encoder = shared(TreeEncoder, model.value)
+        encoder, press = shared(TreeEncoder, model.value), zstandard.ZstdDecompressor()
         segments: dict[int, list[dict]] = {}
         for row in sorted(group.to_pylist(), key=lambda r: (r["segment"], r["leaf"])):
             segments.setdefault(row["segment"], []).append(row)
@@ -240,22 +318,18 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, leaf_chars: int = LEA
             if own[0]["special"] is not None:
                 ids.append(np.array([own[0]["special"]], dtype=np.int64))
                 continue
-            parts = [
-                Tokens(
-                    np.frombuffer(r["ids"], "<u4").astype(np.int64), np.frombuffer(r["starts"], "<i4").astype(np.int64),
-                    np.frombuffer(r["ends"], "<i4").astype(np.int64), np.frombuffer(r["firsts"], "u1").astype(bool),
-                )
-                for r in own
-            ]
-            ids.append(encoder.tree([r["text"] for r in own], parts).ids)
+            parts = [unpack_tokens(r["ids"], r["gaps"], r["widths"], r["firsts"]) for r in own]
+            ids.append(encoder.tree([press.decompress(r["text"]).decode() for r in own], parts).ids)
         raw = np.concatenate(ids).astype("<u4").tobytes()
         return pa.table({"key": pa.array([group["key"][0].as_py()], pa.binary()), "ids": pa.array([raw], pa.binary()), "decoded": [encoder.decode(raw)]})
 
     short = rows.where(~is_long).mapInArrow(whole, _OUT)
     long = rows.where(is_long).select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
-    once = long.groupBy("key").agg(F.first("text").alias("text"))
-    leaves = once.mapInArrow(split, _LEAVES).repartition("key", "segment", "leaf")
-    encoded = leaves.mapInArrow(encode, _ENCODED)
+    # copies of a text have the same leaves, of which one is kept where it is encoded
+    leaves = long.select("key", "text").mapInArrow(split, _LEAVES)
+    leaves = leaves.groupBy("key", "segment", "leaf").agg(F.first(F.struct("special", "text")).alias("of"))
+    encoded = leaves.select("key", "segment", "of.special", "leaf", "of.text").mapInArrow(encode, _ENCODED)
     trees = stored(encoded.groupBy("key").applyInArrow(join, "key binary, ids binary, decoded string"), "trees")
-    return short.unionByName(long.select("doc_id", "key").join(trees, "key").select("doc_id", "ids", "decoded"))
-
+    # keys of 16 bytes are sent to where the trees lie, if they are few
+    keys = broadcast_within(stored(long.select("doc_id", "key"), "tree-keys"))
+    return short.unionByName(trees.join(keys, "key").select("doc_id", "ids", "decoded"))

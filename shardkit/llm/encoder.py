@@ -44,7 +44,7 @@ _WORD = re.compile("(\n?)( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: itself if it prints, else one from 256 on."""
     prints = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     others = [b for b in range(256) if b not in prints]
@@ -61,11 +61,12 @@ class Remembered:
         """Those of texts that are not known; the others are, in `now`, until the next call."""
         if len(self.now) > self.half:
             self.now, self.before = {}, self.now
-        texts.difference_update(self.now)
-        for text in texts.intersection(self.before):
+        # asked text by text: set operations with a dictionary would walk through all of it
+        new = {text for text in texts if text not in self.now}
+        for text in [text for text in new if text in self.before]:
             self.now[text] = self.before[text]
-            texts.discard(text)
-        return texts
+            new.discard(text)
+        return new
 
 
 @lru_cache(maxsize=2)
@@ -84,7 +85,7 @@ class Encoder:
     def __init__(self, json_text: str):
         self.tokenizer = library_tokenizer(json_text)
         self.known = Remembered()
-        config, self.letters = json.loads(json_text), _byte_letters()
+        config, self.letters = json.loads(json_text), byte_letters()
         before = config["pre_tokenizer"] or {}
         self.direct = (
             config["normalizer"] is None
