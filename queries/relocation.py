@@ -188,7 +188,7 @@ def move_shard(spark: SparkSession, sf: str) -> DataFrame:
     store = relocate.ShardStore.create(spark, root, {"users": _users(spark, sf)}, placement)
     moves = spark.createDataFrame([(1, 0, 3), (2, 0, 2), (5, 1, 0)], "shard_no int, from_island int, to_island int")
     events = table(spark, sf, "events")
-    source = relocate.ChangeSource(_feed(spark, sf), as_changes(events), ["user_id"])
+    source = relocate.ChangeSource(_feed(spark, sf), as_changes(events), ["user_id"], snapshot_lsn=-1)
     relocate.move_shards(store, moves, {"users": source}, _fence(spark, sf))
     return store.table("users").select("island_no", "shard_no", "user_id", "event_type", "value")
 

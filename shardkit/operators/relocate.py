@@ -21,7 +21,7 @@ from shardkit.operators.progress import advance_ids, next_ids
 from shardkit.operators.registry import ACTIVE, INACTIVE, activate_shards, deactivate_shards, retired_shards
 from shardkit.plans.batches import DEFAULT_BATCHES, split_into_batches
 from shardkit.session import settle
-from shardkit.sources.layout import place_rows, read_placed, write_layout
+from shardkit.sources.layout import exists, place_rows, read_placed, write_layout
 from shardkit.streaming.apply import drain_to_fence, merge_changes
 
 ABSENT = "absent"
@@ -110,12 +110,16 @@ def commit_move(registry: DataFrame, moves: DataFrame, activate: bool, at: datet
 
 @dataclass
 class ChangeSource:
-    """Changes of one table: as a stream, as a batch frame, its key columns and the copy's snapshot position."""
+    """Changes of one table: as a stream, as a batch frame, its key columns and the snapshot position.
+
+    Read the position before the move starts: changes at or below it are in the copied rows already, and an
+    older change must not replace a newer row.
+    """
 
     feed: DataFrame
     written: DataFrame
     keys: list[str]
-    snapshot_lsn: int | None = None
+    snapshot_lsn: int
 
 
 @dataclass
@@ -130,7 +134,7 @@ class ShardStore:
     def create(cls, spark: SparkSession, root: str, tables: dict[str, DataFrame], placement: DataFrame) -> "ShardStore":
         """Store tables with a shard_no column by a placement (shard_no, island_no); all shards become active."""
         store = cls(spark, root, list(tables))
-        if store._exists("_registry"):
+        if exists(spark, f"{root}/_registry"):
             raise ValueError(f"there is a store already: {root}")
         copy = "c-first"
         for name, df in tables.items():
@@ -220,11 +224,6 @@ class ShardStore:
         for table in self.tables:
             self._delete(f"{table}/copy={copy}")
 
-    def _exists(self, path: str) -> bool:
-        context = self.spark.sparkContext
-        target = context._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")
-        return target.getFileSystem(context._jsc.hadoopConfiguration()).exists(target)
-
     def _delete(self, path: str) -> None:
         context = self.spark.sparkContext
         target = context._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")

@@ -48,10 +48,25 @@ def write_layout(df: DataFrame, path: str, partitions: list[str] | None = None,
 
 
 def write_placed(df: DataFrame, placement: DataFrame, path: str) -> None:
-    """Store a sharded table by island and shard. placement: (shard_no, island_no), one row per shard."""
+    """Store a sharded table by island and shard. placement: (shard_no, island_no), one row per shard.
+
+    A table may be written anew, but not with a shard that it has on another
+    island: rows there would stay, and be read as well.
+    """
+    if exists(df.sparkSession, path):
+        places = placement.select("shard_no", F.col("island_no").alias("new_island"))
+        stored = stored_shards(df.sparkSession, path).join(places, "shard_no")
+        moved = stored.filter(F.col("island_no") != F.col("new_island")).first()
+        if moved is not None:
+            raise ValueError(f"shard {moved.shard_no} is stored on island {moved.island_no}")
     write_layout(place_rows(df, placement), path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(target)
+
+
 def read_placed(spark: SparkSession, path: str, drifting: bool = False) -> DataFrame:
     """A stored table; filters on island_no and shard_no select directories.
 

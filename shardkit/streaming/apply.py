@@ -61,11 +61,16 @@ def read_log(spark: SparkSession, log: str) -> DataFrame:
 def merge_changes(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of the copy after the changes: changed keys replaced, deleted ones gone, new ones added.
 
-    payload fields are the row's columns besides shard and key. Keys are unique
+    payload fields are the row's columns besides shard and key; with others the
+    call fails, as values of a row would be lost. Keys are unique
     in the copy. Few changed keys are broadcast, and rows of the copy stay in the
     tasks that read them; many are joined by sorting. Either way the result
     comes by shard, as write_layout(clustered=True) needs it.
     """
+    given = set(changes.schema["payload"].dataType.names)
+    wanted = set(base.columns) - {"shard_no", *keys}
+    if given != wanted:
+        raise ValueError(f"changes and rows differ in columns: {', '.join(sorted(given ^ wanted))}")
     latest = settle(latest_changes(changes, keys))
     on = ["shard_no", *keys]
     touched = latest.select(*on)
@@ -74,7 +79,7 @@ def merge_changes(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataF
     else:
         kept = base.join(touched, on, "left_anti").hint("rebalance", "shard_no")
     written = latest.filter(F.col("op") != DELETE).select(*on, "payload.*").hint("rebalance", "shard_no")
-    return kept.unionByName(written, allowMissingColumns=True)
+    return kept.unionByName(written)
 
 
 def drain_to_fence(

@@ -188,7 +188,7 @@ def test_move_with_changes(spark):
     rows = [(1, "U", 0, 0, ("new",)), (2, "D", 0, 4, None), (3, "I", 0, 1000, ("born",)), (4, "U", 0, 0, ("late",)),
             (2, "U", 1, 1, ("elsewhere",))]
     write_changes(spark, path, rows)
-    source = relocate.ChangeSource(change_feed(spark, path, CHANGE), spark.read.schema(CHANGE).parquet(path), ["key"])
+    source = relocate.ChangeSource(change_feed(spark, path, CHANGE), spark.read.schema(CHANGE).parquet(path), ["key"], snapshot_lsn=-1)
     moves = spark.createDataFrame([(0, 0, 1), (2, 1, 0)], MOVES)
     relocate.move_shards(store, moves, {"data": source}, 3)
     values = {r.key: (r.island_no, r.v) for r in store.table("data").filter("shard_no = 0").collect()}
@@ -264,3 +264,23 @@ def test_shard_with_two_places_fails(spark):
     places = spark.createDataFrame([(1, 0), (1, 2)], "shard_no int, island_no int")
     with pytest.raises(ValueError, match="more than one island"):
         write_placed(rows, places, scratch_path(spark, "bad"))
+
+
+def test_changes_with_other_columns_are_refused(spark):
+    """A payload without a column of the row would set it to null."""
+    base = spark.createDataFrame([(1, 10, "old", 7)], "shard_no int, key bigint, v string, w int")
+    changes = spark.createDataFrame([(5, "U", 1, 10, ("new",))], CHANGE)
+    with pytest.raises(ValueError, match="differ in columns: w"):
+        apply.merge_changes(base, changes, ["key"])
+
+
+def test_shard_is_not_written_to_a_second_island(spark):
+    """Its rows on the first island would stay and be read as well."""
+    path = scratch_path(spark, "placed")
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "shard_no int, v string")
+    at = lambda *places: spark.createDataFrame(places, "shard_no int, island_no int")
+    write_placed(rows, at((1, 0), (2, 1)), path)
+    write_placed(rows, at((1, 0), (2, 1)), path)
+    with pytest.raises(ValueError, match="shard 2 is stored on island 1"):
+        write_placed(rows, at((1, 0), (2, 0)), path)
+    assert read_placed(spark, path).count() == 2

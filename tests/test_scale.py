@@ -7,6 +7,7 @@ from contextlib import redirect_stdout
 import pytest
 from pyspark.sql import functions as F
 
+from shardkit import limits
 from shardkit.limits import broadcast_within
 from shardkit.operators import relocate
 from shardkit.operators import weights as wts
@@ -142,3 +143,10 @@ def test_changes_merge_the_same_with_and_without_broadcast(spark, monkeypatch, b
     got = {r.key: r.v for r in merge_changes(base, changes, ["key"]).collect()}
     want = {k: "old" for k in range(1, 500, 2)} | {k: "new" for k in range(0, 600, 2) if k % 3}
     assert got == want
+
+
+def test_broadcasts_are_bounded_in_bytes(spark):
+    keys = spark.range(1_000).select(F.lpad(F.col("id").cast("string"), 100, "x").alias("key"))
+    assert limits.fits(keys)
+    assert limits.fits(keys, max_bytes=100_000)
+    assert not limits.fits(keys, max_bytes=99_999)
