@@ -75,6 +75,25 @@ def shared(kind: type, json_text: str):
     return kind(json_text)
 
 
+class Learned(dict):
+    """Results by text, worked out when first asked for. When full, those not asked for lately are forgotten."""
+
+    def __init__(self, learn, most: int = REMEMBERED):
+        super().__init__()
+        self.learn, self.half, self.before = learn, most // 2, {}
+
+    def __missing__(self, text: str):
+        found = self.before.get(text)
+        if found is None:
+            found = self.learn(text)
+        if len(self) > self.half:
+            self.before = dict(self)
+            self.clear()
+        if len(text) <= LONGEST_REMEMBERED:
+            self[text] = found
+        return found
+
+
 class Encoder:
     """ids(texts) as little-endian unsigned 32-bit integers, one bytes object per text.
 
@@ -84,7 +103,7 @@ class Encoder:
 
     def __init__(self, json_text: str):
         self.tokenizer = library_tokenizer(json_text)
-        self.known = Remembered()
+        self.known = Learned(self._learn)
         config, self.letters = json.loads(json_text), byte_letters()
         before = config["pre_tokenizer"] or {}
         self.direct = (
@@ -97,38 +116,32 @@ class Encoder:
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _pre_token(self, text: str) -> bytes:
-        found = self.known.now.get(text) or self.known.before.get(text)
-        if found is None:
-            tokens = self.tokenizer.model.tokenize(text.encode("utf-8").decode("latin-1").translate(self.letters))
-            found = array("I", [t.id for t in tokens])
-            if sys.byteorder == "big":
-                found.byteswap()
-            found = found.tobytes()
-            if len(text) <= LONGEST_REMEMBERED:
-                self.known.now[text] = found
-        return found
-
     def _learn(self, piece: str) -> bytes:
-        word = _WORD.fullmatch(piece) if self.direct else None
-        return b"".join([self._pre_token(x) for x in word.groups() if x]) if word else self._encode(piece)
+        found = _WORD.fullmatch(piece) if self.direct else None
+        if found is None:
+            return self._encode(piece)
+        line, word, marks = found.groups()
+        if line or marks:
+            return b"".join([self.known[x] for x in (line, word, marks) if x])
+        # of the characters of such a word in ASCII, only the space is spelled by another
+        spelled = (
+            word.replace(" ", self.letters[32]) if word.isascii()
+            else word.encode("utf-8").decode("latin-1").translate(self.letters)
+        )
+        ids = array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        split, new = [], set()
+        out = []
         for text in texts:
             if "\0" in text or _TWO_SPACES.search(text):
-                split.append(None)
+                out.append(self._encode(text))
                 continue
             pieces = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-            split.append(pieces)
-            new.update(pieces)
-        new, known, once = self.known.missing(new), self.known.now, {}
-        for piece in new:
-            (known if len(piece) <= LONGEST_REMEMBERED else once)[piece] = self._learn(piece)
-        get = known.__getitem__ if not once else lambda p: known[p] if p in known else once[p]
-        return [
-            self._encode(text) if pieces is None else b"".join(map(get, pieces)) for text, pieces in zip(texts, split)
-        ]
+            out.append(b"".join(map(self.known.__getitem__, pieces)))
+        return out
 
 
 def slices(texts: list[str], most_chars: int = 2_000_000):
