@@ -4,16 +4,22 @@ A store keeps every table below `<root>/<table>/copy=…/island_no=…/shard_no=
 Its registry (REGISTRY_SCHEMA) is a log of rows; the newest row of an island and
 label is its state, and `copies` tells which copy of each table belongs to it.
 A copy that no current row names is invisible, so a move is published by one
-append to the registry, and a failed one by none. One move may run at a time.
+append to the registry, and a failed one by none. The columns of a table are
+declared in a log beside the registry; a move whose changes bring new columns
+declares these too, and rows stored before have nulls there. One move may run
+at a time, and no cleanup beside it.
 """
 
+import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shardkit.functions.names import new_label, old_label, shard_name
 from shardkit.limits import broadcast_within
@@ -21,8 +27,8 @@ from shardkit.operators.progress import advance_ids, next_ids
 from shardkit.operators.registry import ACTIVE, INACTIVE, activate_shards, deactivate_shards, retired_shards
 from shardkit.plans.batches import DEFAULT_BATCHES, split_into_batches
 from shardkit.session import settle
-from shardkit.sources.layout import exists, place_rows, read_placed, write_layout
-from shardkit.streaming.apply import drain_to_fence, merge_changes
+from shardkit.sources.layout import exists, place_rows, write_layout
+from shardkit.streaming.apply import drain_to_fence, log_now, merge_changes
 
 ABSENT = "absent"
 
@@ -31,6 +37,9 @@ REGISTRY_SCHEMA = (
 )
 _REGISTRY_COLUMNS = [column.split()[0] for column in REGISTRY_SCHEMA.split(", ")]
 COPY_PARTITIONS = ["copy", "island_no", "shard_no"]
+_SCHEMAS = "version bigint, table string, schema string"
+# Catching up before the fence is called ends after so many rounds, or with one that finds nothing.
+ROUNDS = 3
 
 
 def current_registry(registry: DataFrame) -> DataFrame:
@@ -81,11 +90,18 @@ def commit_move(registry: DataFrame, moves: DataFrame, activate: bool, at: datet
     """
     version = next_version(registry)
     stamp = F.lit(at.astimezone(timezone.utc).replace(tzinfo=None).strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+    # a shard that left the island within the same second has that label
+    left = F.try_to_timestamp(F.regexp_extract("shard", r"old(\d{14})$", 1), F.lit("yyyyMMddHHmmss"))
+    earlier = registry.groupBy(F.col("island_no").alias("from_island"), "shard_no").agg(
+        (F.max(left.cast("timestamp_ntz")) + F.expr("INTERVAL 1 SECOND")).alias("free")
+    )
     sources = current_registry(registry).select(
         F.col("island_no").alias("from_island"), "shard_no", "shard", "status", F.col("copies").alias("old_copies")
     )
     label = shard_name(F.col("shard_no"))
     named = moves.join(sources.filter(F.col("status") == ACTIVE), ["from_island", "shard_no"])
+    named = named.join(earlier, ["from_island", "shard_no"], "left")
+    stamp = F.greatest(stamp, F.col("free"))
 
     def row(island: str, shard: Column, status: str, copies: Column) -> Column:
         return F.struct(
@@ -140,6 +156,7 @@ class ShardStore:
         for name, df in tables.items():
             placed = place_rows(df, placement).withColumn("copy", F.lit(copy))
             write_layout(placed, f"{root}/{name}", COPY_PARTITIONS)
+            store.declare(name, T.StructType([f for f in df.schema if f.name not in COPY_PARTITIONS]))
         copies = F.create_map(*[F.lit(x) for name in tables for x in (name, copy)])
         rows = placement.select(
             F.lit(1).cast("bigint").alias("version"),
@@ -165,8 +182,26 @@ class ShardStore:
         typed = rows.select(*_REGISTRY_COLUMNS).withColumn("version", F.col("version").cast("bigint"))
         typed.coalesce(1).write.mode("append").parquet(f"{self.root}/_registry")
 
+    def declared(self, table: str) -> T.StructType:
+        """Columns of a table besides its partition columns."""
+        log = self.spark.read.schema(_SCHEMAS).parquet(f"{self.root}/_schemas").filter(F.col("table") == table)
+        return T.StructType.fromJson(json.loads(log.agg(F.max_by("schema", "version")).first()[0]))
+
+    def declare(self, table: str, schema: T.StructType) -> None:
+        """Declare the columns of a table; files that lack some have nulls there."""
+        path = f"{self.root}/_schemas"
+        version = 1
+        if exists(self.spark, path):
+            version = next_version(self.spark.read.schema(_SCHEMAS).parquet(path))
+        optional = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
+        row = self.spark.createDataFrame([(version, table, optional.json())], _SCHEMAS)
+        row.coalesce(1).write.mode("append").parquet(path)
+
     def stored(self, table: str) -> DataFrame:
-        return read_placed(self.spark, f"{self.root}/{table}")
+        """Rows of all copies, with the declared columns, whatever those of a file are."""
+        parts = "copy string, island_no int, shard_no int"
+        schema = T.StructType([*self.declared(table), *T.StructType.fromDDL(parts)])
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
 
     def table(self, table: str) -> DataFrame:
         """Rows of the active shards."""
@@ -202,27 +237,57 @@ class ShardStore:
         """Remove what moves left behind; returns its labels.
 
         The registry rows go first, so nothing refers to the directories that are
-        then deleted. Directories that another shard's row names stay.
+        then deleted: all that no current row names, also those of moves that
+        were interrupted or of dry runs that others replaced.
         """
         old = settle(self.retired())
-        current = settle(current_registry(self.registry()))
-        kept = current.join(old.select("island_no", "shard"), ["island_no", "shard"], "left_anti")
-        unused = [r.path for r in _directories(old).join(_directories(kept), "path", "left_anti").collect()]
         names = sorted(r.shard for r in old.select("shard").collect())
         if names:
             gone = old.withColumn("status", F.lit(ABSENT)).withColumn("version", F.lit(next_version(self.registry())))
             self.publish(gone)
-        for path in unused:
-            self._delete(path)
+        self.delete_unnamed(self.listed())
+        for folder in ("_changes", "_streams"):
+            self._delete(folder)
         return names
 
+    def listed(self, *tables: str) -> DataFrame:
+        """(table, copy, island_no, shard_no, bytes) of stored directories, from file listings; no file is opened."""
+        parts = []
+        for table in tables or self.tables:
+            files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{self.root}/{table}")
+            if "copy" not in files.columns:  # a table without rows
+                files = self.spark.createDataFrame([], "length bigint, copy string, island_no int, shard_no int")
+            sizes = files.groupBy(*COPY_PARTITIONS).agg(F.sum("length").alias("bytes"))
+            parts.append(sizes.select(F.lit(table).alias("table"), *COPY_PARTITIONS, "bytes"))
+        return reduce(DataFrame.unionByName, parts)
+
+    def delete_unnamed(self, listed: DataFrame) -> None:
+        """Delete directories that no current registry row names; a copy of which none is named, as a whole.
+
+        Comes to the driver with a row per directory or copy: some per shard.
+        """
+        rows = current_registry(self.registry())
+        named = rows.select("island_no", "shard_no", F.explode("copies").alias("table", "copy")).distinct()
+        whole = listed.join(named.withColumn("kept", F.lit(True)), ["table", *COPY_PARTITIONS], "left")
+        for r in whole.groupBy("table", "copy").agg(
+            F.count("kept").alias("kept"), F.collect_list(F.when(F.col("kept").isNull(), F.struct("island_no", "shard_no"))).alias("gone")
+        ).collect():
+            path = f"{r.table}/copy={r.copy}"
+            for path in [f"{path}/island_no={x.island_no}/shard_no={x.shard_no}" for x in r.gone] if r.kept else [path]:
+                self._delete(path)
+
     def drop_copy(self, copy: str) -> None:
-        """Remove an unpublished copy's directories."""
+        """Remove an unpublished copy's directories, and the log and stream state of its changes."""
         used = F.array_contains(F.map_values("copies"), copy)
         if self.registry().filter(used).select("version").first() is not None:
             raise ValueError(f"copy is published: {copy}")
         for table in self.tables:
             self._delete(f"{table}/copy={copy}")
+            self.drop_log(table, copy)
+
+    def drop_log(self, table: str, copy: str) -> None:
+        for folder in ("_changes", "_streams"):
+            self._delete(f"{folder}/{table}/{copy}")
 
     def _delete(self, path: str) -> None:
         context = self.spark.sparkContext
@@ -230,68 +295,69 @@ class ShardStore:
         target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def _directories(rows: DataFrame) -> DataFrame:
-    """Paths, below the root, of the directories that registry rows name."""
-    parts = rows.select("island_no", "shard_no", F.explode("copies").alias("table", "copy"))
-    return parts.select(
-        F.format_string("%s/copy=%s/island_no=%d/shard_no=%d", "table", "copy", "island_no", "shard_no").alias("path")
-    ).distinct()
-
-
 def abort_move(store: ShardStore, copy: str) -> None:
     """Drop the partial copies of a failed move; the source was never touched."""
-    for name in (copy, f"{copy}-merged"):
+    for name in _copies(copy):
         store.drop_copy(name)
 
 
+def _copies(copy: str) -> list[str]:
+    """Names of a move's copies: the first, and those of the rounds after it."""
+    return [copy, *[f"{copy}-{n}" for n in range(1, ROUNDS + 2)]]
+
+
 def move_shards(
     store: ShardStore,
     moves: DataFrame,
     changes: dict[str, ChangeSource] | None = None,
-    fence_lsn: int | None = None,
+    fence_lsn: int | Callable[[], int] | None = None,
     activate: bool = True,
     at: datetime | None = None,
     id_columns: dict[str, str] | None = None,
     before_commit: Callable[[str], None] | None = None,
 ) -> DataFrame | None:
-    """Move shards (shard_no, from_island, to_island): copy, catch up to the fence, publish.
-
-    All shards of the moves go through one job per table. Returns the ids the
-    new islands go on with, if id_columns names the id column of tables. On any
-    failure before publishing the partial copy is dropped and the error raised.
+    """Move shards (shard_no, from_island, to_island): copy, catch up, stop at the fence, publish.
+
+    All shards of the moves go through one job per table. Changes that are there
+    when the copy starts are merged into it, so that rows are written once; those
+    that come meanwhile are caught up with in short rounds. Then the fence is
+    called, which stops writers and returns the last position, and only shards that
+    changed since the last round are written again. A number in its place
+    leaves out what lies behind it from the start.
+
+    Returns the ids the new islands go on with, if id_columns names the id column
+    of tables. On any failure before publishing the partial copy is dropped and
+    the error raised.
     """
     if changes and fence_lsn is None:
         raise ValueError("a move with changes needs the position up to which they belong to it")
-    root = store.root
     copy = f"c-{uuid.uuid4().hex}"
-    merged = f"{copy}-merged"
     # bounded by the number of shards; read by every step below
     moves = settle(moves.select("shard_no", "from_island", "to_island"))
     _check_moves(moves, store.registry())
     try:
-        backfill({t: store.table(t) for t in store.tables}, moves, root, copy, clustered=True)
-        copied = moves
-        names = []
+        catch_ups = {t: _CatchUp(store, t, source, moves, copy) for t, source in (changes or {}).items()}
+        known = None if callable(fence_lsn) else fence_lsn
+        plain = [t for t in store.tables if t not in catch_ups]
+        backfill({t: store.table(t) for t in plain}, moves, store.root, copy, clustered=True)
+        for catch_up in catch_ups.values():
+            catch_up.first(known)
+        for _ in range(ROUNDS if catch_ups else 0):
+            if not any([catch_up.round(known) for catch_up in catch_ups.values()]):
+                break
+        if catch_ups:
+            fence = fence_lsn() if callable(fence_lsn) else fence_lsn
+            for catch_up in catch_ups.values():
+                catch_up.last(fence)
+        copied, names = moves, []
         for table in store.tables:
-            source = (changes or {}).get(table)
-            touched = F.lit(False)
-            if source is not None:
-                log = drain_to_fence(
-                    source.feed, source.written, fence_lsn, f"{root}/_changes/{table}/{copy}",
-                    f"{root}/_streams/{table}/{copy}", source.keys, moves, source.snapshot_lsn,
-                )
-                shards = settle(log.select("shard_no").distinct())
-                few = broadcast_within(shards)
-                # only shards with changes are written a second time
-                base = store.stored(table).filter(F.col("copy") == copy).join(few, "shard_no", "left_semi")
-                islands = broadcast_within(moves.select("shard_no", F.col("to_island").alias("island_no")))
-                rows = merge_changes(base.drop("copy", "island_no"), log, source.keys).join(islands, "shard_no")
-                write_layout(rows.withColumn("copy", F.lit(merged)), f"{root}/{table}", COPY_PARTITIONS, clustered=True)
-                copied = copied.join(shards.withColumn(f"touched_{table}", F.lit(True)), "shard_no", "left")
-                touched = F.coalesce(F.col(f"touched_{table}"), F.lit(False))
-            names += [F.lit(table), F.when(touched, F.lit(merged)).otherwise(F.lit(copy))]
+            held = F.lit(copy)
+            if table in catch_ups:
+                copied = copied.join(catch_ups[table].held.withColumnRenamed("copy", f"copy_{table}"), "shard_no")
+                held = F.col(f"copy_{table}")
+            names += [F.lit(table), held]
         copied = copied.select("shard_no", "from_island", "to_island", F.create_map(*names).alias("copies"))
-        ids = _ids_after(store, moves, copy, merged, id_columns) if id_columns else None
+        ids = settle(_ids_after(store, moves, copy, id_columns)) if id_columns else None
         if before_commit is not None:
             before_commit(copy)
         rows = settle(commit_move(store.registry(), copied, activate, at or datetime.now(timezone.utc)))
@@ -300,9 +366,96 @@ def move_shards(
         abort_move(store, copy)
         raise
     store.publish(rows)
+    for table in catch_ups:
+        # copies that a later round replaced, named by no one
+        own = store.listed(table).filter(F.col("copy").isin(_copies(copy)))
+        store.delete_unnamed(own)
+        store.drop_log(table, copy)
     return ids
 
 
+class _CatchUp:
+    """A table's copy in a move and the changes merged into it, round by round.
+
+    `held` (shard_no, copy) tells which copy holds a shard's rows now.
+    """
+
+    def __init__(self, store: ShardStore, table: str, source: ChangeSource, moves: DataFrame, copy: str):
+        self.store, self.table, self.source, self.moves, self.copy = store, table, source, moves, copy
+        self.log, self.stream = (f"{store.root}/{folder}/{table}/{copy}" for folder in ("_changes", "_streams"))
+        self.seen, self.rounds = -1, 0
+        self.held = moves.select("shard_no", F.lit(copy).alias("copy"))
+        self._widen()
+
+    def _widen(self) -> None:
+        """Declare columns that changes bring; a type that differs from the declared one is refused."""
+        declared = self.store.declared(self.table)
+        types = {f.name: f.dataType for f in declared}
+        payload = self.source.written.schema["payload"].dataType
+        other = [f.name for f in payload if f.name in types and types[f.name] != f.dataType]
+        if other:
+            raise ValueError(f"changes have other types than rows: {', '.join(other)}")
+        new = [f for f in payload if f.name not in types]
+        if new:
+            self.store.declare(self.table, T.StructType([*declared, *new]))
+
+    def _logged(self, fence: int | None) -> DataFrame:
+        """Log what has come, up to the fence if it is known."""
+        source = self.source
+        return log_now(
+            source.feed, source.written, self.log, self.stream, source.keys, self.moves, source.snapshot_lsn, fence
+        )
+
+    def first(self, fence: int | None) -> None:
+        """The copy itself, with the changes that are there."""
+        log = self._logged(fence)
+        base = moved_rows(self.store.table(self.table), self.moves, self.copy).drop("copy", "island_no")
+        self._write(base, log, self.moves, self.copy)
+        self.seen = _last_batch(log)
+
+    def round(self, fence: int | None) -> bool:
+        """Merge changes that came since; False if there are none."""
+        return self._merge(self._logged(fence))
+
+    def last(self, fence: int) -> None:
+        source = self.source
+        log = drain_to_fence(
+            source.feed, source.written, fence, self.log, self.stream, source.keys, self.moves, source.snapshot_lsn
+        )
+        beyond = log.agg(F.max("lsn")).first()[0]
+        if beyond is not None and beyond > fence:
+            raise RuntimeError(f"position {beyond} lies behind the fence and is copied already")
+        self._merge(log)
+
+    def _merge(self, log: DataFrame) -> bool:
+        late = settle(log.filter(F.col("batch") > self.seen).select("shard_no").distinct())
+        self.seen = max(self.seen, _last_batch(log))
+        if late.first() is None:
+            return False
+        self.rounds += 1
+        name = f"{self.copy}-{self.rounds}"
+        own = broadcast_within(self.held.join(late, "shard_no", "left_semi"))
+        base = self.store.stored(self.table).join(own, ["shard_no", "copy"], "left_semi").drop("copy", "island_no")
+        # a key's last change replaces its row, also where an earlier round did so
+        self._write(base, log.join(broadcast_within(late), "shard_no", "left_semi"), self.moves, name)
+        again = late.withColumn("later", F.lit(name))
+        self.held = settle(
+            self.held.join(again, "shard_no", "left").select("shard_no", F.coalesce("later", "copy").alias("copy"))
+        )
+        return True
+
+    def _write(self, base: DataFrame, log: DataFrame, moves: DataFrame, name: str) -> None:
+        islands = broadcast_within(moves.select("shard_no", F.col("to_island").alias("island_no")))
+        rows = merge_changes(base, log.drop("batch"), self.source.keys).join(islands, "shard_no")
+        write_layout(
+            rows.withColumn("copy", F.lit(name)), f"{self.store.root}/{self.table}", COPY_PARTITIONS, clustered=True
+        )
+
+
+def _last_batch(log: DataFrame) -> int:
+    return log.agg(F.max("batch")).first()[0]
+
+
 def move_in_batches(
     store: ShardStore, moves: DataFrame, order: str = "move_no", batches: int = DEFAULT_BATCHES, **options
 ) -> None:
@@ -330,7 +483,9 @@ def _check_moves(moves: DataFrame, registry: DataFrame) -> None:
         raise ValueError(f"shard {unknown.shard_no} is not active on island {unknown.from_island}")
 
 
-def _ids_after(store: ShardStore, moves: DataFrame, copy: str, merged: str, id_columns: dict[str, str]) -> DataFrame:
-    src = {t: store.table(t) for t in id_columns}
-    dst = {t: store.stored(t).filter(F.col("copy").isin(copy, merged)) for t in id_columns}
+def _ids_after(store: ShardStore, moves: DataFrame, copy: str, id_columns: dict[str, str]) -> DataFrame:
+    """Only the islands that shards leave or come to are read, not the whole tables."""
+    islands = sorted({i for r in moves.select("from_island", "to_island").distinct().collect() for i in r})
+    src = {t: store.table(t).filter(F.col("island_no").isin(islands)) for t in id_columns}
+    dst = {t: store.stored(t).filter(F.col("copy").isin(_copies(copy))) for t in id_columns}
     return advance_ids(next_ids(src, id_columns), next_ids(dst, id_columns))

@@ -54,8 +54,25 @@ def apply_changes(
 
 
 def read_log(spark: SparkSession, log: str) -> DataFrame:
-    """Changes logged so far."""
-    return spark.read.parquet(log).drop("batch")
+    """Changes logged so far; `batch` is the micro-batch that brought them."""
+    return spark.read.parquet(log)
+
+
+def log_now(
+    feed: DataFrame,
+    written: DataFrame,
+    log: str,
+    checkpoint: str,
+    keys: list[str],
+    shards: DataFrame | None = None,
+    after_lsn: int | None = None,
+    fence_lsn: int | None = None,
+) -> DataFrame:
+    """Log what the feed has now and return the log."""
+    # a part without rows, so that the log can be read even if no change arrives
+    latest_changes(written.limit(0), keys).write.mode("overwrite").parquet(f"{log}/batch=-1")
+    apply_changes(feed, log, checkpoint, keys, shards, after_lsn, fence_lsn).awaitTermination()
+    return read_log(feed.sparkSession, log)
 
 
 def merge_changes(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
@@ -98,19 +115,15 @@ def drain_to_fence(
     of every shard is read. Continue behind the fence with lsn > fence_lsn and a
     checkpoint of its own, as this one has consumed what lies there.
     """
-    spark = feed.sparkSession
-    # a part without rows, so that the log can be read even if no change arrives
-    latest_changes(written.limit(0), keys).write.mode("overwrite").parquet(f"{log}/batch=-1")
-    query = apply_changes(feed, log, checkpoint, keys, shards, after_lsn, fence_lsn)
-    query.awaitTermination()
+    logged = log_now(feed, written, log, checkpoint, keys, shards, after_lsn, fence_lsn)
     ends = written.filter(F.col("lsn") <= fence_lsn)
     if after_lsn is not None:
         ends = ends.filter(F.col("lsn") > after_lsn)
     if shards is not None:
         ends = ends.join(broadcast_within(shards.select("shard_no").distinct()), "shard_no", "left_semi")
     ends = ends.groupBy("shard_no").agg(F.max("lsn").alias("target"))
-    done = read_log(spark, log).groupBy("shard_no").agg(F.max("lsn").alias("lsn"))
+    done = logged.groupBy("shard_no").agg(F.max("lsn").alias("lsn"))
     behind = replication_gap(done, ends).filter(F.col("gap") > 0).orderBy("shard_no").first()
     if behind is not None:
         raise RuntimeError(f"shard {behind.shard_no} is {behind.gap} positions behind the fence")
-    return read_log(spark, log)
+    return logged

@@ -1,4 +1,5 @@
 from datetime import datetime, timezone
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,6 +105,27 @@ def copies(store, table="data"):
     return {r.copy for r in store.stored(table).select("copy").distinct().collect()}
 
 
+def files(store):
+    """(table, copy, island, shard) of all stored directories, and whether logs or stream state remain."""
+    found = set()
+    for path in Path(store.root.removeprefix("file:")).rglob("*.parquet"):
+        parts = path.relative_to(store.root.removeprefix("file:")).parts
+        if parts[0] in store.tables:
+            found.add((parts[0], *[p.split("=")[1] for p in parts[1:4]]))
+        elif parts[0] not in ("_registry", "_schemas"):
+            found.add(parts[:2])
+    return found
+
+
+def leftovers(store):
+    """What is stored beyond what current registry rows name."""
+    named = {
+        (table, copy, str(r.island_no), str(r.shard_no))
+        for r in relocate.current_registry(store.registry()).collect() for table, copy in r.copies.items()
+    }
+    return files(store) - named
+
+
 def test_move_all_tables_of_shards(spark):
     store = store_of(spark)
     before = content(store)
@@ -196,8 +218,9 @@ def test_move_with_changes(spark):
     assert values[0] == (1, "new") and values[1000] == (1, "born") and values[8] == (1, "old")
     assert store.table("data").filter("shard_no = 2").select("island_no").distinct().collect() == [(0,)]
     assert store.table("data").filter("shard_no = 1 AND v <> 'old'").count() == 0
-    # the shard without changes was written once only
-    assert {r.shard_no for r in store.stored("data").filter("copy LIKE '%-merged'").collect()} == {0}
+    # changes that are there at the start go into the copy itself: one new copy, and nothing else is left
+    assert len(copies(store)) == 2
+    assert leftovers(store) == set()
 
 
 def test_row_without_place_fails(spark):
@@ -284,3 +307,84 @@ def test_shard_is_not_written_to_a_second_island(spark):
     with pytest.raises(ValueError, match="shard 2 is stored on island 1"):
         write_placed(rows, at((1, 0), (2, 0)), path)
     assert read_placed(spark, path).count() == 2
+
+
+def test_late_fence(spark):
+    """Changes go on while the copy is made; behind the fence only shards with late changes are written."""
+    store = store_of(spark)
+    path = scratch_path(spark, "feed")
+    write_changes(spark, path, [(1, "U", 0, 0, ("early",)), (2, "U", 1, 1, ("early",))])
+    spark.createDataFrame([], CHANGE).coalesce(1).write.mode("append").parquet(path)
+    written = spark.read.schema(CHANGE).parquet(path)
+    source = relocate.ChangeSource(change_feed(spark, path, CHANGE), written, ["key"], snapshot_lsn=0)
+    seen = {}
+
+    def fence():
+        seen["before"] = copies(store) - {"c-first"}
+        write_changes(spark, path, [(3, "U", 0, 0, ("late",)), (4, "D", 0, 4, None), (5, "I", 0, 1000, ("born",))])
+        source.written = spark.read.schema(CHANGE).parquet(path)
+        return 5
+
+    def look(copy):
+        rows = store.stored("data").filter(F.col("copy").startswith(copy))
+        seen["after"] = {(r.copy != copy, r.shard_no) for r in rows.select("copy", "shard_no").distinct().collect()}
+
+    moves = spark.createDataFrame([(0, 0, 1), (1, 0, 2)], MOVES)
+    relocate.move_shards(store, moves, {"data": source}, fence, before_commit=look)
+    assert len(seen["before"]) == 1
+    assert seen["after"] == {(False, 0), (False, 1), (True, 0)}
+    values = {r.key: (r.island_no, r.v) for r in store.table("data").filter("shard_no < 2").collect()}
+    assert values[0] == (1, "late") and values[1] == (2, "early") and values[1000] == (1, "born") and 4 not in values
+    assert len(values) == 200 and leftovers(store) == set()
+
+
+def test_columns_that_changes_bring_stay(spark):
+    """A payload with a new column, then three more moves; files without it have nulls there."""
+    store = store_of(spark)
+    path = scratch_path(spark, "feed")
+    wide = "lsn bigint, op string, shard_no int, key bigint, payload struct<v: string, w: int>"
+    spark.createDataFrame([(1, "U", 0, 0, ("new", 7))], wide).write.parquet(path)
+    source = relocate.ChangeSource(
+        change_feed(spark, path, wide), spark.read.schema(wide).parquet(path), ["key"], snapshot_lsn=0
+    )
+    relocate.move_shards(store, spark.createDataFrame([(0, 0, 1)], MOVES), {"data": source}, 1)
+    for i, j in ((1, 2), (2, 0), (0, 1)):
+        relocate.move_shards(store, spark.createDataFrame([(0, i, j)], MOVES))
+        rows = {r.key: (r.v, r.w) for r in store.table("data").collect()}
+        assert rows[0] == ("new", 7) and rows[4] == ("old", None) and rows[1] == ("old", None) and len(rows) == 400
+    narrow = relocate.ChangeSource(
+        change_feed(spark, path, CHANGE), spark.read.schema(CHANGE).parquet(path), ["key"], snapshot_lsn=0
+    )
+    before = files(store)
+    with pytest.raises(ValueError, match="differ in columns: w"):
+        relocate.move_shards(store, spark.createDataFrame([(0, 1, 0)], MOVES), {"data": narrow}, 1)
+    assert files(store) == before
+
+
+def test_nothing_is_left_behind(spark):
+    """After a move with changes, two dry runs, two moves within a second, an abort and a cleanup."""
+    store = store_of(spark)
+    path = scratch_path(spark, "feed")
+    write_changes(spark, path, [(1, "U", 0, 0, ("new",))])
+    source = relocate.ChangeSource(change_feed(spark, path, CHANGE), spark.read.schema(CHANGE).parquet(path), ["key"], snapshot_lsn=0)
+    there, back = (spark.createDataFrame([m], MOVES) for m in ((0, 0, 1), (0, 1, 0)))
+    relocate.move_shards(store, there, {"data": source}, 1, at=AT)
+    relocate.move_shards(store, back, at=AT)
+    relocate.move_shards(store, there, at=AT)
+    assert {label for (i, label) in states(store) if i == 0 and "old" in label} == {
+        "sh0000old20230109070954", "sh0000old20230109070955"
+    }
+
+    def fail(_):
+        raise KeyError("stop")
+
+    dry = spark.createDataFrame([(3, 1, 0)], MOVES)
+    for _ in range(2):
+        relocate.move_shards(store, dry, activate=False)
+    with pytest.raises(KeyError):
+        relocate.move_shards(store, back, {"data": source}, 1, before_commit=fail)
+    before = content(store)
+    # the first dry run's copy is named by no one, and cleanup finds it
+    assert {table for table, *_ in leftovers(store)} == {"data", "notes"} and len({c for _, c, *_ in leftovers(store)}) == 1
+    store.cleanup()
+    assert leftovers(store) == set() and content(store) == before
