@@ -261,6 +261,13 @@ class ShardStore:
             parts.append(sizes.select(F.lit(table).alias("table"), *COPY_PARTITIONS, "bytes"))
         return reduce(DataFrame.unionByName, parts)
 
+    def sizes(self) -> DataFrame:
+        """(island_no, shard_no, table, bytes) of active shards: of the copies that the registry names, from file listings."""
+        rows = self.registry_now(ACTIVE)
+        live = rows.select("island_no", "shard_no", F.explode("copies").alias("table", "copy"))
+        found = self.listed().join(broadcast_within(settle(live)), ["table", *COPY_PARTITIONS], "left_semi")
+        return found.select("island_no", "shard_no", "table", "bytes")
+
     def delete_unnamed(self, listed: DataFrame) -> None:
         """Delete directories that no current registry row names; a copy of which none is named, as a whole.
 
@@ -342,7 +349,7 @@ def move_shards(
         backfill({t: store.table(t) for t in plain}, moves, store.root, copy, clustered=True)
         for catch_up in catch_ups.values():
             catch_up.first(known)
-        for _ in range(ROUNDS if catch_ups else 0):
+        for _ in range(ROUNDS if callable(fence_lsn) else 0):
             if not any([catch_up.round(known) for catch_up in catch_ups.values()]):
                 break
         if catch_ups:

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardkit.session import settle
+from shardkit.session import kept_rows
 
 # Fixed value: sequences of moves that run side by side.
 DEFAULT_BATCHES = 3
@@ -18,7 +18,7 @@ def positions(df: DataFrame, order: list[str]) -> DataFrame:
     should tell any two rows apart.
     """
     tag = F.monotonically_increasing_id()
-    stored = settle(df.orderBy(*order).withColumn("_tag", tag))
+    stored = kept_rows(df.orderBy(*order).withColumn("_tag", tag), "sorted")
     # the tag holds the partition in its upper bits and the row within it in the lower 33
     part, row = F.shiftright("_tag", 33), F.col("_tag").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = stored.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size")).collect()

@@ -42,6 +42,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def kept_rows(df: DataFrame, label: str) -> DataFrame:
+    """df written once as Parquet below the shared folder, and read from there.
+
+    For tables of any size, of which later steps read some columns only.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Evaluate df once into the shared folder and cut its lineage there."""
     shared_dir(df.sparkSession)

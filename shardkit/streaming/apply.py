@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from shardkit.limits import broadcast_within, fits
 from shardkit.operators.progress import replication_gap
-from shardkit.session import settle
+from shardkit.session import kept_rows
 from shardkit.sources.changes import DELETE
 
 
@@ -88,7 +88,7 @@ def merge_changes(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataF
     wanted = set(base.columns) - {"shard_no", *keys}
     if given != wanted:
         raise ValueError(f"changes and rows differ in columns: {', '.join(sorted(given ^ wanted))}")
-    latest = settle(latest_changes(changes, keys))
+    latest = kept_rows(latest_changes(changes, keys), "latest-changes")
     on = ["shard_no", *keys]
     touched = latest.select(*on)
     if fits(touched):

@@ -388,3 +388,24 @@ def test_nothing_is_left_behind(spark):
     assert {table for table, *_ in leftovers(store)} == {"data", "notes"} and len({c for _, c, *_ in leftovers(store)}) == 1
     store.cleanup()
     assert leftovers(store) == set() and content(store) == before
+
+
+def test_sizes_count_live_copies_only(spark):
+    store = store_of(spark)
+    root = Path(store.root.removeprefix("file:"))
+
+    def on_disk():
+        found = {}
+        for r in store.registry_now("active").collect():
+            for table, copy in r.copies.items():
+                folder = root / table / f"copy={copy}" / f"island_no={r.island_no}" / f"shard_no={r.shard_no}"
+                found[r.island_no, r.shard_no, table] = sum(f.stat().st_size for f in folder.glob("*.parquet"))
+        return found
+
+    def listed():
+        return {(r.island_no, r.shard_no, r.table): r.bytes for r in store.sizes().collect()}
+
+    assert listed() == on_disk() and len(listed()) == 8
+    relocate.move_shards(store, spark.createDataFrame([(0, 0, 1)], MOVES))
+    relocate.move_shards(store, spark.createDataFrame([(3, 1, 0)], MOVES), activate=False)
+    assert listed() == on_disk() and (1, 0, "data") in listed() and (0, 0, "data") not in listed()
