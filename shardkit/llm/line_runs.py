@@ -87,17 +87,26 @@ def _document():
     return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID))
 
 
+def batch_of(low: int, high: int, batches: int):
+    """Number of the batch of doc_id, from 0 to batches - 1: how many of the batches' upper ends are not below it.
+
+    The ends are whole numbers, so each id is in one batch. Ids below `low` (null ones) are in the last.
+    """
+    width = max(1, -(-(high - low + 1) // batches))
+    ends = [max(high - n * width, _NO_ID) for n in range(1, batches)]
+    return sum((F.when(F.col("doc_id") <= F.lit(end), 1).otherwise(0) for end in ends), F.lit(0))
+
+
 def drops(
     docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, batches: int = BATCHES,
     fanout: int = FANOUT,
 ) -> DataFrame:
     """(document, lines): hashes of the lines that each document loses."""
     spark = docs.sparkSession
-    low, high = docs.agg(F.min(_document()), F.max(_document())).first()
-    if low is None:
+    low, high = docs.agg(F.min(F.col("doc_id").cast("bigint")), F.max(_document())).first()
+    if high is None:
         return spark.createDataFrame([], "document bigint, lines array<binary>")
-    width = max(1, -(-(high - low + 1) // batches))
-    batch = F.floor((F.lit(high).cast("decimal(38,0)") - F.col("doc_id")) / F.lit(width)).cast("int")
+    batch = batch_of(high if low is None else low, high, batches)
     lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1)
     long = F.filter(F.transform(lines, line_key), lambda k: F.length(k) >= least_chars)
     hashes = F.array_distinct(F.transform(long, lambda k: F.unhex(F.md5(k.cast("binary")))))

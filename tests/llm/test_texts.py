@@ -95,6 +95,29 @@ def test_batches_and_levels_do_not_change_the_lines(spark, batches, fanout):
     assert lines_of(docs, batches=batches, fanout=fanout) == plain_lines(rows)
 
 
+COMMON = "a line that stands in exactly as many documents as it takes"
+
+
+@pytest.mark.parametrize("ids", [
+    [None, 10, 20, 30, 40],  # the null id is the deciding fifth document
+    [0, 1_999_999, 4_000_000, 6_000_000, 7_999_999],
+    [0, 100_000, 10**11, 5 * 10**11, 10**12],
+    [1, 2, 3, 4, 5, 10**12],
+    [-(1 << 63), -1, 0, 1, (1 << 63) - 1],
+    [None] * 3,
+])
+def test_every_document_counts_whatever_its_id(spark, ids):
+    rows = [(i, f"{COMMON}\nand one of document {i} that is long enough to be counted") for i in ids]
+    assert lines_of(spark.createDataFrame(rows, "doc_id bigint, text string")) == plain_lines(rows)
+
+
+def test_one_outlier_id_leaves_the_others_counted(spark):
+    rows = [(i, f"{COMMON} {i % 20}") for i in [*range(100), 10**12]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert lines_of(docs) == plain_lines(rows)
+    assert sum(r.n_dropped for r in line_runs.drop_lines(docs).collect()) == 81
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
