@@ -1,10 +1,11 @@
 """Near duplicates of texts by Order MinHash, verified by banded alignment.
 
-A text is the list of its words between white space; its k-mers are runs of five words, each labelled with how
+A text is the list of its words between white space; its k-mers are runs of three words, each labelled with how
 often the same run occurred before. For each of many hash functions the two k-mers with the
 smallest hashes are sampled and kept in the order in which they stand in the text: a sketch value. Texts
 that share one are candidates. Order makes the sample sensitive to edits, not
-only to shared content. Candidates are verified by aligning their words in a band: they are
+only to shared content. Texts of up to 32 words need no luck: of two with at most e edits, one of the e + 1 segments
+of the longer stands unchanged in the other, so they are candidates by their segments. Candidates are verified by aligning their words in a band: they are
 linked if 1 - edits / words of the longer one is at least 0.8.
 
 Equal texts are one node beforehand. Sketch values link nodes to candidate clusters; the words of nodes
@@ -15,7 +16,7 @@ words, which no alignment can beat, spares most. So no link that joins different
 of pairs but comparisons of bit maps.
 
 Defined results: null and empty texts are equal. Texts without words link with equal ones only; a text of
-fewer than six words has one k-mer, all its words. Rows with a null doc_id take no part and
+fewer than four words has one k-mer, all its words. Rows with a null doc_id take no part and
 have no class. Ties do not matter: a class is named by its smallest doc_id. Rows that repeat keep
 their class. Columns besides doc_id and text are left out, but for one_of_each(), which keeps all.
 """
@@ -31,9 +32,11 @@ from pyspark.sql import functions as F
 from shardkit.limits import broadcast_within
 from shardkit.llm.common import components, stored
 
-WORDS, SIMILARITY = 5, 0.8
-# Chance that two texts share a sketch value, by the part of k-mers they share: 0.99997 at 0.5, 0.95 at 0.3.
-SKETCHES, SAMPLED = 32, 2
+WORDS, SIMILARITY = 3, 0.8
+# Chance that two texts share a sketch value, by the part of k-mers they share: 0.9998 at 0.3, 0.998 at 0.25.
+SKETCHES, SAMPLED = 96, 2
+# Texts of up to so many words meet all that are similar to them.
+SHORT = 32
 SEED = 11
 # A task aligns at most so many texts, or words, with as many others.
 BLOCK_TEXTS, BLOCK_WORDS = 1_500, 2_000_000
@@ -104,6 +107,30 @@ def sketch(words: np.ndarray, k: int = WORDS, sketches: int = SKETCHES) -> np.nd
     return out.view(np.int64)
 
 
+def _most(n_words: int, least: float) -> int:
+    """Edits that texts may have of which the longer one has n_words."""
+    return int((1 - least) * n_words + 1e-9)
+
+
+def segments(words: np.ndarray, least: float = SIMILARITY, short: int = SHORT) -> np.ndarray:
+    """Values of which any two similar texts, the shorter of up to `short` words, share one.
+
+    A text of n words is cut into one segment more than it may have edits. Texts that are shorter look
+    for them where edits may have shifted them to. Empty without words, and for texts too long.
+    """
+    m, found = len(words), set()
+    own, n = words.tolist(), m
+    while m and n - _most(n, least) <= min(m, short) and (n == m or m <= short):
+        most, fewer = _most(n, least), n - m
+        left, right = ((most + fewer) // 2, (most - fewer) // 2) if m <= short else (0, 0)
+        ends = [n * i // (most + 1) for i in range(most + 2)]
+        for i, (start, end) in enumerate(zip(ends, ends[1:])):
+            for at in range(max(0, start - left), min(m - end + start, start + right) + 1):
+                found.add(hash((n, i, *own[at : at + end - start])))
+        n += 1
+    return np.array(sorted(found), dtype=np.int64)
+
+
 def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """Edits (insert, delete, replace a word) from a to b, or None if more than `most`.
 
@@ -165,7 +192,7 @@ def _in_band(places: dict[int, int], b: list[int], longer: int, band: int) -> in
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     longest = max(len(a), len(b))
-    return edits_within(a, b, int((1 - least) * longest + 1e-9)) is not None
+    return edits_within(a, b, _most(longest, least)) is not None
 
 
 def _pair_bits(words: list[np.ndarray]) -> np.ndarray:
@@ -238,7 +265,7 @@ def classes(docs: DataFrame, k: int = WORDS, least: float = SIMILARITY, sketches
             words = [hashes.of(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([len(w) for w in words], pa.int32()),
-                 pa.array([sketch(w, k, sketches) for w in words], pa.list_(pa.int64()))],
+                 pa.array([np.concatenate([sketch(w, k, sketches), segments(w, least)]) for w in words], pa.list_(pa.int64()))],
                 names=["doc_id", "key", "n_words", "sketch"],
             )
 
@@ -248,7 +275,8 @@ def classes(docs: DataFrame, k: int = WORDS, least: float = SIMILARITY, sketches
     )
     # numbers for texts, that stay as they are once they are stored
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "texts")
-    met = nodes.select("node", F.posexplode("sketch").alias("i", "value")).select("node", F.xxhash64("i", "value").alias("bucket"))
+    # values differ by hash function already
+    met = nodes.select("node", F.explode("sketch").alias("bucket"))
     leaders = met.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     near = met.join(leaders, "bucket").where(F.col("node") != F.col("leader"))
     clusters = components(near.select(F.col("node").alias("a"), F.col("leader").alias("b"))).withColumnRenamed("id", "node")

@@ -201,3 +201,62 @@ def test_blocks_do_not_change_classes(spark, monkeypatch):
     monkeypatch.setattr(order_minhash, "BLOCK_TEXTS", 10)
     got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs).collect()}
     assert got == {i: i % 4 for i in range(160)}
+
+
+def edited(rng, words, n_edits, evenly):
+    """words with so many of them replaced, deleted or preceded by a new one; evenly: replaced, at equal distances."""
+    words = list(words)
+    if evenly:
+        for i in range(n_edits):
+            words[(2 * i + 1) * len(words) // (2 * n_edits)] = rng.getrandbits(60)
+        return words
+    for _ in range(n_edits):
+        at, kind = rng.randrange(len(words)), rng.random()
+        words[at : at + (kind < 0.8)] = [] if kind < 0.2 else [rng.getrandbits(60)]
+    return words
+
+
+def values(words):
+    words = np.array(words, dtype=np.uint64)
+    return {*order_minhash.sketch(words).tolist(), *order_minhash.segments(words).tolist()}
+
+
+def recall(n_words, similarity, evenly, pairs=200):
+    """The part of pairs, similar by the brute-force count, that are candidates."""
+    rng, met, all_ = random.Random(n_words), 0, 0
+    for _ in range(pairs):
+        a = [rng.getrandbits(60) for _ in range(n_words)]
+        b = edited(rng, a, int((1 - similarity) * n_words + 1e-9), evenly)
+        if edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9:
+            all_ += 1
+            met += bool(values(a) & values(b))
+    return met / all_
+
+
+@pytest.mark.parametrize("evenly", [False, True])
+@pytest.mark.parametrize("n_words", [5, 10, 14, 20, 32])
+def test_short_similar_texts_always_meet(n_words, evenly):
+    assert recall(n_words, 0.8, evenly) == 1
+
+
+@pytest.mark.parametrize("n_words, similarity, evenly, least", [
+    (200, 0.8, False, 0.99), (200, 0.8, True, 0.97), (200, 0.85, True, 0.99), (60, 0.8, False, 0.99), (60, 0.8, True, 0.95),
+])
+def test_long_similar_texts_meet(n_words, similarity, evenly, least):
+    assert recall(n_words, similarity, evenly, 100) >= least
+
+
+def test_near_duplicates_of_short_texts(spark):
+    rng = random.Random(9)
+    rows = [(0, "one two three four five"), (1, "one two three four six"), (2, "a b c d e f g h i j"), (3, "a b c d X f g h i j")]
+    for i in range(4, 260):
+        rows.append((i, " ".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(1, 24)))))
+        if i % 2:
+            rows[-1] = (i, " ".join(str(w) for w in edited(rng, rows[rng.randrange(i)][1].split(), rng.randint(0, 2), False)))
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id + 1000 doc_id", "text").collect()
+    rows += [(r.doc_id, r.text) for r in table if len((r.text or "").split()) < 40]
+    want = plain_classes(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs).collect()}
+    assert got == {d: want[t or ""] for d, t in rows}
+    assert got[1] == 0 and got[3] == 2
