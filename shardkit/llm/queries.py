@@ -1,19 +1,23 @@
 """A query per operator over the documents or embeddings of a data folder, and SQL where SQL can say it."""
 
+import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardkit.llm import (
     bpe_tree,
+    cost_packing,
     embedding_lsh,
     hamming_index,
     language,
     line_runs,
     order_minhash,
     packing,
+    periodic_runs,
     secret_ledger,
     sharding,
+    token_alignment,
     token_store,
 )
 from shardkit.session import scratch_path
@@ -99,6 +103,62 @@ def near_texts(spark: SparkSession, sf: str) -> DataFrame:
     return order_minhash.near_duplicates(documents(spark, sf))
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """In one text of ten by crc32(doc_id), the words from some place on repeat with some period."""
+
+    def repeat(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for i, h in enumerate(batch.column(2).to_pylist()):
+                words = (texts[i] or "").encode("utf-8", "surrogatepass").split()
+                if h is None or h % 10 or not words:
+                    continue
+                g, n = h // 10, len(words)
+                a = g % n
+                p = 1 + (n - a) // (3 + g % 8)
+                words[a:] = [words[a + k % p] for k in range(n - a)]
+                texts[i] = b" ".join(words).decode("utf-8", "surrogatepass")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, type=pa.string())], names=["doc_id", "text"])
+
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), h.alias("h"))
+    return rows.mapInArrow(repeat, "doc_id bigint, text string")
+
+
+def periodic(spark: SparkSession, sf: str) -> DataFrame:
+    out = periodic_runs.collapse_runs(with_periods(documents(spark, sf)))
+    # the longest; ties: smallest start, then period
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"]))).alias("best")
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    out = out.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), best, "collapsed", listed.alias("listed"), "n_words")
+    length, period = F.col("best.length"), -F.col("best.col3")
+    return out.select(
+        "doc_id", "n_runs", (-F.col("best.col2")).alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(length * 1000 / period).cast("bigint").alias("exponent_milli"),
+        F.sha2(F.col("listed").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
+def packed_by_cost(spark: SparkSession, sf: str) -> DataFrame:
+    out = cost_packing.pack_documents(documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select(
+        "doc_id", "start", "length", F.crc32("ids").cast("bigint").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset",
+        cost_packing.cost(F.col("length")).alias("cost"),
+    )
+
+
+def aligned_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    out = token_alignment.align(
+        documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+    n_links = (F.octet_length("links") / 4).cast("bigint")
+    return token_alignment.with_scores(out).select(
+        "doc_id", "n_a", "n_b", (F.col("n_a") + F.col("n_b") - n_links).alias("n_groups"), n_links.alias("n_links"),
+        "n_best", "count_sum", "groups_sha256",
+    )
+
+
 QUERIES = {
     "op1_token_store": token_ids,
     "op2_language": languages,
@@ -110,6 +170,9 @@ QUERIES = {
     "op8_vector_links": near_vectors,
     "op9_hamming_index": nearest_vectors,
     "op10_order_minhash": near_texts,
+    "op11_periodic_runs": periodic,
+    "op12_cost_packing": packed_by_cost,
+    "op13_token_alignment": aligned_tokens,
 }
 
 _STRIPPED = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
