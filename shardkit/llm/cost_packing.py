@@ -20,23 +20,33 @@ rows. Columns besides doc_id and text are left out.
 """
 
 import heapq
+import json
+import sys
+from array import array
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardkit.limits import broadcast_within
-from shardkit.llm.bpe_tree import _WORD, TreeEncoder
+from shardkit.llm.bpe_tree import _SPLIT
 from shardkit.llm.common import stored, task_number
-from shardkit.llm.encoder import Learned, shared, slices, tokenizer_text
+from shardkit.llm.encoder import Learned, library_tokenizer, shared, tokenizer_text
 from shardkit.session import settle
 
 CAPACITY = 2048
 END_ID = 1
 # Cost of a token besides its attention, in units of one token's attention to one other.
 LINEAR = 2048
+# Pieces remembered by a worker at most; bounds its memory.
+REMEMBERED = 600_000
+# Characters of texts worked on together, at least one text.
+CHARS_AT_ONCE = 2_000_000
+# Marks that no alternative of the pre-tokenizer's pattern joins to letters, and that run on with each other.
+_MARKS = ".,;:!?$%&*"
 
 _PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary, part int, local bigint"
 
@@ -45,19 +55,39 @@ class WordIds:
     """Ids of texts by a word vocabulary; pieces between spaces are worked out when first seen."""
 
     def __init__(self, json_text: str):
-        self.tree = TreeEncoder(json_text)
-        self.known = Learned(self._learn)
+        self.library = library_tokenizer(json_text)
+        self.direct = lower_cases_words(json.loads(json_text))
+        self.known = Learned(self._learn, REMEMBERED)
 
     def _learn(self, piece: str) -> bytes:
-        word = _WORD.fullmatch(piece) if self.tree.direct else None
-        if word:
-            return b"".join([self.tree._pre_token(x.lower()) for x in word.groups() if x])
-        return np.array(self.tree.whole.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        word = piece.rstrip(_MARKS)
+        if not self.direct or not (word.isascii() and word.isalpha()):
+            return array("I", self.library.encode(piece, add_special_tokens=False).ids).tobytes()
+        low = word.lower()
+        if low == piece:
+            # one pre-token, spelled by its own letters: the library's model is asked directly
+            return array("I", [t.id for t in self.library.model.tokenize(low)]).tobytes()
+        return self.known[low] + self.known[piece[len(word) :]]
 
     def ids(self, text: str) -> list[bytes]:
         return list(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+def lower_cases_words(config: dict) -> bool:
+    """Whether a run of letters in ASCII is one pre-token, in lower case, and so are the marks behind it."""
+    steps = lambda part, name: (config[part] or {}).get(name) or []
+    parts = steps("pre_tokenizer", "pretokenizers")
+    return (
+        sys.byteorder == "little"
+        and [n["type"] for n in steps("normalizer", "normalizers")] == ["NFC", "Replace", "Lowercase"]
+        and [p.get("pattern", {}).get("Regex") for p in parts] == [_SPLIT, None]
+        and parts[1]["type"] == "ByteLevel"
+        and not parts[1]["add_prefix_space"]
+        and not parts[1]["use_regex"]
+        and not config["model"].get("dropout")
+    )
+
+
 def cut_evenly(tokens: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, start, length) of pieces of at most `capacity`, of nearly equal length within a document."""
     parts = -(-tokens // capacity)
@@ -86,11 +116,10 @@ def cut_into_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
     def cut(batches):
         encoder, part, seen = shared(WordIds, model.value), task_number(), np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
+            for a, b in slices(batch.column(1)):
                 rows = []
-                for text in texts[a:b]:
-                    found = encoder.ids(text)
+                for text in batch.column(1).slice(a, b - a).to_pylist():
+                    found = encoder.ids(text or "")
                     found.append(end)
                     rows.append(b"".join(found))
                 tokens = np.array([len(x) // 4 for x in rows], dtype=np.int64)
@@ -110,6 +139,17 @@ def cut_into_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
     return rows.mapInArrow(cut, _PIECES)
 
 
+def slices(texts: pa.Array):
+    """Index ranges of consecutive texts of about CHARS_AT_ONCE bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + CHARS_AT_ONCE, side="right")))
+        yield at, to
+        at = to
+
+
 def cost(length, linear: int = LINEAR):
     """Estimated cost of a piece; also of a column."""
     return length * linear + length * length
