@@ -24,17 +24,20 @@ An empty table gives no rows. Columns besides doc_id and text are left out.
 
 import hashlib
 import re
+import sys
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardkit.limits import broadcast_within
-from shardkit.llm.common import stored, task_number
-from shardkit.llm.encoder import Learned, byte_letters, library_tokenizer
+from shardkit.llm.common import stored
+from shardkit.llm.encoder import _WORD, LONGEST_REMEMBERED, Learned, Remembered, byte_letters, library_tokenizer
 from shardkit.session import settle
 
 # Texts of more characters are encoded by stretches, and aligned by chunks of so many bytes.
@@ -46,10 +49,15 @@ FAN = 8
 MOST_KNOWN_PAIRS = 1_000_000
 # Pieces between spaces that a worker remembers.
 REMEMBERED = 400_000
+# Bytes of texts worked on together, at least one text.
+BYTES_AT_ONCE = 1_000_000
 _SPACE = "▁"
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _TWO_SPACES = re.compile(r"\s\s")
 _NONE = np.empty(0, dtype=np.int64)
+# Ids of B carry this bit where both vocabularies' ids are in one row; what stands for a stretch not given back.
+_OF_B = 1 << 20
+_LOST = 1 << 21
 
 
 def pair_key(a, b):
@@ -57,9 +65,23 @@ def pair_key(a, b):
     return a * 32768 + b
 
 
+class _Texts:
+    """Texts of tokens in a list of groups, by id, side and whether the token is its group's last of its side."""
+
+    def __init__(self, n_a: int, n_b: int):
+        self.rows = [b"%d%s" % (i, mark) for n, marks in ((n_a, (b",", b"|")), (n_b, (b",", b";"))) for mark in marks for i in range(n)]
+        self.n_a, self.n_b = n_a, n_b
+
+    def of(self, a: np.ndarray, a_last: np.ndarray, b: np.ndarray, b_last: np.ndarray, a_at: np.ndarray, b_at: np.ndarray) -> list[bytes]:
+        row = np.empty(len(a) + len(b), dtype=np.int64)
+        row[a_at] = a + a_last * self.n_a
+        row[b_at] = b + b_last * self.n_b + 2 * self.n_a
+        return list(map(self.rows.__getitem__, row.tolist()))
+
+
 @dataclass
 class Open:
-    """Tokens of both vocabularies without an end in common, but perhaps the last: ids and where they end."""
+    """Consecutive tokens of both vocabularies: ids, and at which bytes they end."""
 
     a: np.ndarray
     a_ends: np.ndarray
@@ -75,18 +97,55 @@ class Open:
     def any(self) -> bool:
         return len(self.a) + len(self.b) > 0
 
-    def links(self) -> np.ndarray:
-        """Keys of the linked pairs, in order: one between each two ends of either side."""
-        ends = np.union1d(self.a_ends, self.b_ends)
-        return pair_key(self.a[np.searchsorted(self.a_ends, ends)], self.b[np.searchsorted(self.b_ends, ends)])
-
-    def text(self) -> bytes:
-        return (",".join(map(str, self.a.tolist())) + "|" + ",".join(map(str, self.b.tolist()))).encode()
+    def cut(self, i: int, j: int) -> tuple["Open", "Open"]:
+        """The first i tokens of A and j of B, and the others."""
+        return (
+            Open(self.a[:i], self.a_ends[:i], self.b[:j], self.b_ends[:j]),
+            Open(self.a[i:], self.a_ends[i:], self.b[j:], self.b_ends[j:]),
+        )
 
 
 NOTHING = Open(_NONE, _NONE, _NONE, _NONE)
 
 
+@dataclass
+class Groups:
+    """Groups of tokens whose last ones end together: texts of the tokens in order, and keys of the linked pairs."""
+
+    texts: list[bytes]
+    links: np.ndarray
+    at: np.ndarray  # byte at which each link's overlap ends
+    token_at: np.ndarray  # byte up to which the group of each text reaches
+
+
+def grouped(tokens: Open, texts: _Texts) -> Groups:
+    """All in whole arrays, by flags for the bytes where tokens end."""
+    if not tokens.any():
+        return Groups([], _NONE, _NONE, _NONE)
+    low = int(min(tokens.a_ends[0], tokens.b_ends[0]))
+    a_ends, b_ends = tokens.a_ends - low, tokens.b_ends - low
+    n = int(a_ends[-1]) + 1
+    of_a, of_b = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+    of_a[a_ends] = of_b[b_ends] = True
+    ends = np.flatnonzero(of_a | of_b)
+    # how many tokens of a side end before a byte: the number of the one that holds it
+    a_before, b_before = (np.cumsum(x, dtype=np.int32) - x for x in (of_a, of_b))
+    links = pair_key(tokens.a[a_before[ends]], tokens.b[b_before[ends]])
+    both = of_a & of_b
+    group = np.cumsum(both, dtype=np.int32) - both
+    close = np.flatnonzero(both)
+    a_to, b_to = a_before[close] + 1, b_before[close] + 1
+    a_group, b_group = group[a_ends], group[b_ends]
+    # a group's tokens of A come before those of B
+    b_first = np.concatenate([[0], b_to[:-1]])
+    a_at = np.arange(len(a_ends)) + b_first[a_group]
+    b_at = np.arange(len(b_ends)) + a_to[b_group]
+    found = texts.of(tokens.a, a_to[a_group] == np.arange(1, len(a_ends) + 1), tokens.b, both[b_ends], a_at, b_at)
+    token_at = np.empty(len(found), dtype=np.int64)
+    token_at[a_at], token_at[b_at] = close[a_group], close[b_group]
+    return Groups(found, links, ends + low, token_at + low)
+
+
 @dataclass
 class Fragment:
     """A range of bytes: `prefix` up to the first common end, closed groups, `suffix` behind the last.
@@ -96,14 +155,14 @@ class Fragment:
 
     prefix: Open
     closed: bool
-    groups: list[bytes]  # texts of groups
+    groups: list[bytes]  # texts of groups, each with a mark behind it
     links: list[np.ndarray]
     n_a: int  # tokens of closed groups
     n_b: int
     suffix: Open
     fine: bool = True
 
-    def then(self, other: "Fragment") -> "Fragment":
+    def then(self, other: "Fragment", texts: _Texts) -> "Fragment":
         """This range and the one behind it."""
         fine = self.fine and other.fine
         if not self.closed:
@@ -113,40 +172,36 @@ class Fragment:
             suffix = self.suffix.then(other.prefix)
             return Fragment(self.prefix, True, self.groups, self.links, self.n_a, self.n_b, suffix, fine)
         between = self.suffix.then(other.prefix)
-        groups, links, n_a, n_b = list(self.groups), list(self.links), self.n_a + other.n_a, self.n_b + other.n_b
-        if between.any():
-            groups.append(between.text()), links.append(between.links())
-            n_a, n_b = n_a + len(between.a), n_b + len(between.b)
-        return Fragment(self.prefix, True, groups + other.groups, links + other.links, n_a, n_b, other.suffix, fine)
+        found = grouped(between, texts)
+        return Fragment(
+            self.prefix, True, [*self.groups, *found.texts, *other.groups], [*self.links, found.links, *other.links],
+            self.n_a + len(between.a) + other.n_a, self.n_b + len(between.b) + other.n_b, other.suffix, fine,
+        )
 
-    def whole(self) -> "Fragment":
+    def whole(self, texts: _Texts) -> "Fragment":
         """As of a whole text, which starts with a common end of its own."""
-        return START.then(self)
+        return START.then(self, texts)
 
 
 START = Fragment(NOTHING, True, [], [], 0, 0, NOTHING)
 EMPTY = Fragment(NOTHING, False, [], [], 0, 0, NOTHING)
 
 
-def fragment(tokens: Open) -> Fragment:
+def fragment(tokens: Open, texts: _Texts) -> Fragment:
     """Of a range's tokens: those that end in it, with their ends."""
     common = np.intersect1d(tokens.a_ends, tokens.b_ends, assume_unique=True)
     if not len(common):
         return Fragment(tokens, False, [], [], 0, 0, NOTHING)
-    a_to, b_to = (np.searchsorted(x, common) + 1 for x in (tokens.a_ends, tokens.b_ends))
-    part = lambda i, k, j, m: Open(tokens.a[i:k], tokens.a_ends[i:k], tokens.b[j:m], tokens.b_ends[j:m])
-    prefix = part(0, a_to[0], 0, b_to[0])
-    suffix = part(a_to[-1], len(tokens.a), b_to[-1], len(tokens.b))
-    inside = part(a_to[0], a_to[-1], b_to[0], b_to[-1])
-    a, b = list(map(str, inside.a.tolist())), list(map(str, inside.b.tolist()))
-    i, j = (a_to - a_to[0]).tolist(), (b_to - b_to[0]).tolist()
-    texts = [",".join(a[i[k] : i[k + 1]]) + "|" + ",".join(b[j[k] : j[k + 1]]) for k in range(len(common) - 1)]
-    groups = [";".join(texts).encode()] if texts else []
-    return Fragment(prefix, True, groups, [inside.links()] if texts else [], len(a), len(b), suffix)
+    to = lambda end: (int(np.searchsorted(tokens.a_ends, end)) + 1, int(np.searchsorted(tokens.b_ends, end)) + 1)
+    (i, j), (k, m) = to(common[0]), to(common[-1])
+    prefix, rest = tokens.cut(i, j)
+    inside, suffix = rest.cut(k - i, m - j)
+    found = grouped(inside, texts)
+    return Fragment(prefix, True, [b"".join(found.texts)], [found.links], len(inside.a), len(inside.b), suffix)
 
 
 class Aligner:
-    """Both tokenizers, and fragments of pieces between spaces."""
+    """Both tokenizers; ids of pieces between spaces are worked out when first seen."""
 
     def __init__(self, a_json: str, b_model: bytes):
         import sentencepiece
@@ -154,65 +209,104 @@ class Aligner:
         self.a = library_tokenizer(a_json)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
-        letters = {letter: byte for byte, letter in byte_letters().items()}
-        self.a_bytes = {i: bytes(letters.get(c, 0) for c in t) for t, i in self.a.get_vocab().items()}
-        # a special token's string is spelled as it is
-        self.a_bytes |= {i: t.content.encode() for i, t in self.a.get_added_tokens_decoder().items()}
+        self.letters = byte_letters()
+        byte_of = {letter: byte for byte, letter in self.letters.items()}
+        special = {i: t.content.encode() for i, t in self.a.get_added_tokens_decoder().items()}
+        by_id = {i: t for t, i in self.a.get_vocab().items()}
+        # a special token's string is spelled as it is; ids that the vocabulary leaves out are never given
+        a_bytes = [special.get(i) or bytes(byte_of.get(c, 0) for c in by_id.get(i, "")) for i in range(max(by_id) + 1)]
         self.b_bytes = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode()
             for i, p in enumerate(self.b.id_to_piece(i) for i in range(len(self.b)))
         ]
+        self.a_bytes = a_bytes
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in found], dtype=np.int64) for found in (a_bytes, self.b_bytes))
         self.space = self.b.piece_to_id(_SPACE)
-        self.known = Learned(self._learn, REMEMBERED)
-
-    def _b_ids(self, piece: str) -> list[int]:
-        """Ids of a stretch of text as they are inside it, where the library would put a space before it."""
-        if piece == " ":
-            return [self.space]
-        if piece.startswith(" "):
-            return self.b.encode(piece[1:])
-        return self.b.encode(piece)[1:]
-
-    def tokens(self, piece: str, start: int = 0) -> Open | None:
-        """Tokens of a stretch that starts with a space or line feed and at byte `start`; None if its bytes are not given back."""
-        a = self.a.encode(piece, add_special_tokens=False).ids
-        b = self._b_ids(piece)
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        raw = piece.encode("utf-8", "surrogatepass")
-        if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
-            return None
-        ends = [start + np.cumsum([len(x) for x in found], dtype=np.int64) for found in (a_bytes, b_bytes)]
-        return Open(np.array(a, dtype=np.int64), ends[0], np.array(b, dtype=np.int64), ends[1])
-
-    def _learn(self, piece: str):
-        """(text of groups, keys of links, tokens of A, tokens of B) of a stretch; None if its bytes are not given back."""
-        if not piece:
-            return b"", b"", 0, 0
-        tokens = self.tokens(piece)
-        if tokens is None:
-            return None
-        f = fragment(tokens).whole()
-        return b";".join(f.groups) + b";", np.concatenate(f.links).astype("<u4").tobytes(), f.n_a, f.n_b
+        self.texts = _Texts(len(a_bytes), len(self.b_bytes))
+        self.known = Remembered(REMEMBERED)
+        self.words = Learned(self._word, REMEMBERED // 8)
+
+    def _word(self, word: str) -> list[int]:
+        """Ids of A of one pre-token of Latin letters, perhaps with a space before it, or of marks."""
+        spelled = word.replace(" ", self.letters[32]) if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.a.model.tokenize(spelled)]
+
+    def _a_ids(self, piece: str) -> list[int]:
+        found = _WORD.fullmatch(piece)
+        if found is None or found[1]:
+            return self.a.encode(piece, add_special_tokens=False).ids
+        ids = self._word(found[2])
+        return ids + self.words[found[3]] if found[3] else ids
+
+    def _b_ids(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of stretches of text as they are inside it, where the library would put a space before each."""
+        found = self.b.encode([p.removeprefix(" ") for p in pieces], num_threads=1)
+        return [ids if p.startswith(" ") and p != " " else [self.space] if p == " " else ids[1:] for p, ids in zip(pieces, found)]
+
+    def _learned(self, pieces: list[str]) -> list[bytes]:
+        """Ids of A, then of B, of stretches that start with a space or line feed; _LOST for those whose bytes are not given back."""
+        a, b = [self._a_ids(p) for p in pieces], self._b_ids(pieces)
+        raw = [p.encode() for p in pieces]
+        sizes = np.array([len(x) for x in raw], dtype=np.int64)
+        rows, fine = [], np.ones(len(pieces), dtype=bool)
+        for ids, known, known_sizes in ((a, self.a_bytes, self.a_sizes), (b, self.b_bytes, self.b_sizes)):
+            flat = np.fromiter(chain.from_iterable(ids), dtype=np.int64)
+            to = np.cumsum([len(x) for x in ids])
+            total = np.concatenate([[0], np.cumsum(known_sizes[flat])])
+            fine &= np.diff(total[np.concatenate([[0], to])]) == sizes
+            # of equal length each: all are given back if their row is
+            if b"".join([known[i] for i in flat.tolist()]) != b"".join(raw):
+                fine &= np.array([b"".join([known[i] for i in x]) == y for x, y in zip(ids, raw)], dtype=bool)
+            rows.append((flat, to))
+        (a, a_to), (b, b_to) = rows
+        both = np.empty(len(a) + len(b), dtype=np.uint32)
+        a_size, b_size = np.diff(a_to, prepend=0), np.diff(b_to, prepend=0)
+        both[np.arange(len(a)) + np.repeat(b_to - b_size, a_size)] = a
+        both[np.arange(len(b)) + np.repeat(a_to, b_size)] = b + _OF_B
+        row, to = both.tobytes(), (4 * (a_to + b_to)).tolist()
+        lost = np.uint32(_LOST).tobytes()
+        return [row[x:y] if good else lost for x, y, good in zip([0, *to], to, fine.tolist())]
 
     @staticmethod
     def stretches(text: str) -> list[str]:
-        """A space and the text, cut before a space or line feed between characters that are no white space."""
-        text = " " + text
+        """Cut before a space or line feed between characters that are no white space; a text that starts with a space."""
         if "\0" in text or _TWO_SPACES.search(text):
             return _CUT.split(text)
         return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
-    def align(self, text: str | None):
-        """(n_a, n_b, keys of links in order, text of groups)."""
-        if text:
-            try:
-                found = list(map(self.known.__getitem__, self.stretches(text)))
-            except UnicodeEncodeError:  # halves of surrogate pairs
-                found = [None]
-            if None not in found:
-                groups, links, n_a, n_b = zip(*found)
-                return sum(n_a), sum(n_b), b"".join(links), b"".join(groups)[:-1]
-        return 0, 0, b"", b""
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts' stretches, each stretch's of A and then of B."""
+        split = [self.stretches(t) for t in texts]
+        new, known, once = [p for p in self.known.missing(set(chain.from_iterable(split))) if p], self.known.now, {}
+        known[""] = b""
+        for piece, ids in zip(new, self._learned(new) if new else ()):
+            (known if len(piece) <= LONGEST_REMEMBERED else once)[piece] = ids
+        get = known.__getitem__ if not once else lambda p: known[p] if p in known else once[p]
+        return [np.frombuffer(b"".join(map(get, pieces)), dtype=np.uint32) for pieces in split]
+
+    def tokens(self, ids: np.ndarray, start: int = 0) -> Open:
+        of_b = ids >= _OF_B
+        a, b = ids[~of_b].astype(np.int64), ids[of_b].astype(np.int64) - _OF_B
+        return Open(a, start + np.cumsum(self.a_sizes[a]), b, start + np.cumsum(self.b_sizes[b]))
+
+    def align(self, texts: list[str | None]) -> list[tuple[int, int, np.ndarray, bytes]]:
+        """(n_a, n_b, keys of links in order, text of groups) of each text; all are worked on as one row of bytes."""
+        found = self.ids([" " + t if t else "" for t in texts])
+        found = [x if len(x) and x.max() < _LOST else x[:0] for x in found]
+        tokens = self.tokens(np.concatenate(found)) if found else NOTHING
+        sizes = np.array([len(x) for x in found], dtype=np.int64)
+        n_b = np.array([int((x >= _OF_B).sum()) for x in found], dtype=np.int64)
+        n_a = sizes - n_b
+        groups = grouped(tokens, self.texts)
+        # where each text ends
+        a_to, to = np.cumsum(n_a), np.cumsum(sizes)
+        ends = np.concatenate([[0], tokens.a_ends])[a_to]
+        links_to = np.searchsorted(groups.at, ends, side="right")
+        out, i, k = [], 0, 0
+        for n, m, j, x in zip(n_a.tolist(), n_b.tolist(), to.tolist(), links_to.tolist()):
+            out.append((n, m, groups.links[k:x], b"".join(groups.texts[i:j])[:-1]))
+            i, k = j, x
+        return out
 
 
 _ALIGNERS = {}
@@ -238,19 +332,31 @@ _FOUND = [("n_a", pa.int64()), ("n_b", pa.int64()), ("links", pa.binary()), ("gr
 
 
 def _found_arrays(found: list) -> list[pa.Array]:
-    """Of (n_a, n_b, links, text of groups)."""
+    """Of (n_a, n_b, keys of links, text of groups)."""
     n_a, n_b, links, groups = zip(*found)
+    links = [x.astype("<u4").tobytes() for x in links]
     sha = [hashlib.sha256(g).hexdigest() if g else "" for g in groups]
     return [pa.array(x, type=t) for x, (_, t) in zip((n_a, n_b, links, sha), _FOUND)]
 
 
+def _slices(texts: pa.Array):
+    """Index ranges of consecutive texts of about BYTES_AT_ONCE."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + BYTES_AT_ONCE, side="right")))
+        yield at, to
+        at = to
+
+
 def _short(rows: DataFrame, model) -> DataFrame:
     def run(batches):
         tool = aligner(*model.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found = _found_arrays([tool.align(t) for t in part.column("text").to_pylist()])
+            for a, b in _slices(batch.column("text")):
+                part = batch.slice(a, b - a)
+                found = _found_arrays(tool.align(part.column("text").to_pylist()))
                 ids = [part.column(name) for name in ("part", "row", "doc_id")]
                 yield pa.RecordBatch.from_arrays(ids + found, names=["part", "row", "doc_id"] + [n for n, _ in _FOUND])
 
@@ -301,15 +407,17 @@ def _chunk_tokens(stretches: DataFrame, model, chunk: int) -> DataFrame:
         tool = aligner(*model.value)
         for batch in batches:
             for part, row, stretch, start, text in zip(*(c.to_pylist() for c in batch.columns)):
-                tokens = tool.tokens(text, start)
-                if tokens is None:
+                [ids] = tool.ids([text])
+                if len(ids) and ids.max() >= _LOST:
                     out = [(part, row, start // chunk, stretch, False, b"", b"", b"", b"")]
                 else:
-                    of_a, of_b = (tokens.a_ends - 1) // chunk, (tokens.b_ends - 1) // chunk
-                    out = []
-                    for c in np.union1d(of_a, of_b).tolist():
-                        a, b = of_a == c, of_b == c
-                        out.append((part, row, c, stretch, True, _raw(tokens.a[a]), _raw(tokens.a_ends[a]), _raw(tokens.b[b]), _raw(tokens.b_ends[b])))
+                    tokens, out = tool.tokens(ids, start), []
+                    last = int(tokens.a_ends[-1] - 1) // chunk
+                    for c in range(start // chunk, last + 1):
+                        i, j = (int(np.searchsorted(x, (c + 1) * chunk, side="right")) for x in (tokens.a_ends, tokens.b_ends))
+                        own, tokens = tokens.cut(i, j)
+                        if own.any():
+                            out.append((part, row, c, stretch, True, *map(_raw, own.parts())))
                 columns = [pa.array(x, type=t) for x, t in zip(zip(*out), _TOKEN_TYPES)]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _TOKENS.split(", ")])
 
@@ -321,32 +429,36 @@ _TOKEN_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), *[pa
 
 def _of_row(r) -> Fragment:
     prefix, suffix = (Open(*map(_ints, x)) for x in (r.prefix, r.suffix))
-    groups = [r.groups] if r.groups else []
-    return Fragment(prefix, r.closed, groups, [np.frombuffer(r.links, "<u4")], r.n_a, r.n_b, suffix, r.fine)
+    return Fragment(prefix, r.closed, [r.groups], [np.frombuffer(r.links, "<u4")], r.n_a, r.n_b, suffix, r.fine)
 
 
 def _to_row(part: int, row: int, node: int, f: Fragment) -> pd.DataFrame:
     prefix, suffix = ([_raw(x) for x in o.parts()] for o in (f.prefix, f.suffix))
     links = np.concatenate([np.empty(0, dtype="<u4"), *f.links]).astype("<u4").tobytes()
-    values = (part, row, node, f.fine, f.closed, prefix, suffix, b";".join(f.groups), links, f.n_a, f.n_b)
+    values = (part, row, node, f.fine, f.closed, prefix, suffix, b"".join(f.groups), links, f.n_a, f.n_b)
     return pd.DataFrame([values], columns=[c.split()[0] for c in _FRAGMENTS.split(", ")])
 
 
-def _chunk_fragments(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """A fragment from the tokens that end in a chunk, of the one or two stretches it lies in."""
-    rows = rows.sort_values("stretch")
-    joined = Open(*(_ints(b"".join(rows[c])) for c in ("a", "a_ends", "b", "b_ends")))
-    f = fragment(joined)
-    f.fine = bool(rows["fine"].all())
-    return _to_row(*key, f)
+def _chunk_fragments(model):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """A fragment from the tokens that end in a chunk, of the stretches it lies in."""
+        rows = rows.sort_values("stretch")
+        f = fragment(Open(*(_ints(b"".join(rows[c])) for c in ("a", "a_ends", "b", "b_ends"))), aligner(*model.value).texts)
+        f.fine = bool(rows["fine"].all())
+        return _to_row(*key, f)
+
+    return run
+
 
+def _put_together(model):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """Neighbouring fragments as one."""
+        texts, f = aligner(*model.value).texts, EMPTY
+        for r in rows.sort_values("node").itertuples():
+            f = f.then(_of_row(r), texts)
+        return _to_row(*key, f)
 
-def _put_together(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Neighbouring fragments as one."""
-    f = EMPTY
-    for r in rows.sort_values("node").itertuples():
-        f = f.then(_of_row(r))
-    return _to_row(*key, f)
+    return run
 
 
 def _long(rows: DataFrame, model, chunk: int) -> DataFrame:
@@ -354,18 +466,20 @@ def _long(rows: DataFrame, model, chunk: int) -> DataFrame:
     stretches = stored(_cut_stretches(rows.select("part", "row", "text"), chunk), "stretches")
     spread = stretches.repartition("part", "row", "stretch")
     nodes = _chunk_tokens(spread, model, chunk).groupBy("part", "row", F.col("chunk").alias("node"))
-    nodes = settle(nodes.applyInPandas(_chunk_fragments, _FRAGMENTS))
+    nodes = settle(nodes.applyInPandas(_chunk_fragments(model), _FRAGMENTS))
     most = nodes.agg(F.max("node")).first()[0] or 0
     while most > 0:
-        nodes = nodes.groupBy("part", "row", F.floor(F.col("node") / FAN).alias("node")).applyInPandas(_put_together, _FRAGMENTS)
+        nodes = nodes.groupBy("part", "row", F.floor(F.col("node") / FAN).alias("node")).applyInPandas(_put_together(model), _FRAGMENTS)
         most //= FAN
 
     def run(batches):
+        texts = aligner(*model.value).texts
         for batch in batches:
             found = []
             for values in batch.to_pandas().itertuples():
-                f = _of_row(values).whole()
-                found.append((f.n_a, f.n_b, b"".join(x.astype("<u4").tobytes() for x in f.links), b";".join(f.groups)) if f.fine else (0, 0, b"", b""))
+                f = _of_row(values).whole(texts)
+                whole = (f.n_a, f.n_b, np.concatenate([_NONE, *f.links]), b"".join(f.groups)[:-1])
+                found.append(whole if f.fine else (0, 0, _NONE, b""))
             if found:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("part"), batch.column("row"), *_found_arrays(found)], names=["part", "row"] + [n for n, _ in _FOUND]
