@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from shardkit.limits import broadcast_within
 from shardkit.llm.bpe_tree import _SPLIT
 from shardkit.llm.common import stored, task_number
-from shardkit.llm.encoder import Learned, library_tokenizer, shared, tokenizer_text
+from shardkit.llm.encoder import Learned, library_tokenizer, shared
 from shardkit.session import settle
 
 CAPACITY = 2048
@@ -42,7 +42,7 @@ END_ID = 1
 # Cost of a token besides its attention, in units of one token's attention to one other.
 LINEAR = 2048
 # Pieces remembered by a worker at most; bounds its memory.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 # Characters of texts worked on together, at least one text.
 CHARS_AT_ONCE = 2_000_000
 # Marks that no alternative of the pre-tokenizer's pattern joins to letters, and that run on with each other.
@@ -54,9 +54,11 @@ _PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids bi
 class WordIds:
     """Ids of texts by a word vocabulary; pieces between spaces are worked out when first seen."""
 
-    def __init__(self, json_text: str):
+    def __init__(self, model: tuple[str, bool]):
+        json_text, self.direct = model
         self.library = library_tokenizer(json_text)
-        self.direct = lower_cases_words(json.loads(json_text))
+        # an attribute of the library's that is a new object each time
+        self.tokenize = self.library.model.tokenize
         self.known = Learned(self._learn, REMEMBERED)
 
     def _learn(self, piece: str) -> bytes:
@@ -66,13 +68,20 @@ class WordIds:
         low = word.lower()
         if low == piece:
             # one pre-token, spelled by its own letters: the library's model is asked directly
-            return array("I", [t.id for t in self.library.model.tokenize(low)]).tobytes()
+            return array("I", [t.id for t in self.tokenize(low)]).tobytes()
         return self.known[low] + self.known[piece[len(word) :]]
 
     def ids(self, text: str) -> list[bytes]:
         return list(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+def word_model(path: str) -> tuple[str, bool]:
+    """A tokenizer file and whether its words can be asked for directly, which tasks need not work out again."""
+    with open(path, encoding="utf-8") as file:
+        text = file.read()
+    return text, lower_cases_words(json.loads(text))
+
+
 def lower_cases_words(config: dict) -> bool:
     """Whether a run of letters in ASCII is one pre-token, in lower case, and so are the marks behind it."""
     steps = lambda part, name: (config[part] or {}).get(name) or []
@@ -110,7 +119,8 @@ def numbered(lengths: np.ndarray, seen: np.ndarray) -> np.ndarray:
 
 def cut_into_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Whole texts as pieces of at most `capacity` ids, numbered by length within each task (`part`, `local`)."""
-    model = tokenizer_text(docs.sparkSession, tokenizer_path)
+    # a vocabulary, whose size the data do not change
+    model = docs.sparkSession.sparkContext.broadcast(word_model(tokenizer_path))
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches):
@@ -256,9 +266,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, linear: int = LINEAR) -> D
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     # a row per task: where its numbers of each length start
-    per_task = bases.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("length", "base"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(capacity)), lambda i: F.try_element_at("m", i.cast("bigint")))
-    per_task = settle(per_task.select("part", dense.alias("_bases")))
+    per_task = bases.groupBy("part").agg(F.collect_list(F.struct("length", "base")).alias("listed"))
+
+    def dense(batches):
+        for batch in batches:
+            out = []
+            for listed in batch.column(1):
+                own = np.zeros(capacity + 1, dtype=np.int64)
+                own[listed.values.field("length").to_numpy()] = listed.values.field("base").to_numpy()
+                out.append(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, type=pa.list_(pa.int64()))], names=["part", "_bases"])
+
+    per_task = settle(per_task.mapInArrow(dense, "part int, _bases array<bigint>"))
 
     @F.arrow_udf("array<struct<before: bigint, length: bigint, sequence_id: bigint, offset: bigint>>")
     def place(length: pa.Array, number: pa.Array) -> pa.Array:

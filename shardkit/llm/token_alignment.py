@@ -44,7 +44,7 @@ from shardkit.session import settle
 LONG_CHARS = 32_768
 CHUNK_BYTES = 16_384
 # Neighbouring fragments that one group puts together.
-FAN = 8
+FAN = 4
 # Pairs of which every task has the count; a pair takes 13 bytes.
 MOST_KNOWN_PAIRS = 1_000_000
 # Pieces between spaces that a worker remembers.
@@ -223,13 +223,17 @@ class Aligner:
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in found], dtype=np.int64) for found in (a_bytes, self.b_bytes))
         self.space = self.b.piece_to_id(_SPACE)
         self.texts = _Texts(len(a_bytes), len(self.b_bytes))
+        # an attribute of the library's that is a new object each time
+        self.tokenize = self.a.model.tokenize
+        # with a letter for each byte, nothing of a text is left out
+        self.all_bytes = all(self.a.token_to_id(letter) is not None for letter in self.letters.values())
         self.known = Remembered(REMEMBERED)
         self.words = Learned(self._word, REMEMBERED // 8)
 
     def _word(self, word: str) -> list[int]:
         """Ids of A of one pre-token of Latin letters, perhaps with a space before it, or of marks."""
         spelled = word.replace(" ", self.letters[32]) if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.a.model.tokenize(spelled)]
+        return [t.id for t in self.tokenize(spelled)]
 
     def _a_ids(self, piece: str) -> list[int]:
         found = _WORD.fullmatch(piece)
@@ -250,14 +254,16 @@ class Aligner:
         sizes = np.array([len(x) for x in raw], dtype=np.int64)
         rows, fine = [], np.ones(len(pieces), dtype=bool)
         for ids, known, known_sizes in ((a, self.a_bytes, self.a_sizes), (b, self.b_bytes, self.b_sizes)):
-            flat = np.fromiter(chain.from_iterable(ids), dtype=np.int64)
-            to = np.cumsum([len(x) for x in ids])
+            flat = np.array(list(chain.from_iterable(ids)), dtype=np.int64)
+            to = np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
+            rows.append((flat, to))
+            if ids is a and self.all_bytes:
+                continue
             total = np.concatenate([[0], np.cumsum(known_sizes[flat])])
             fine &= np.diff(total[np.concatenate([[0], to])]) == sizes
             # of equal length each: all are given back if their row is
             if b"".join([known[i] for i in flat.tolist()]) != b"".join(raw):
                 fine &= np.array([b"".join([known[i] for i in x]) == y for x, y in zip(ids, raw)], dtype=bool)
-            rows.append((flat, to))
         (a, a_to), (b, b_to) = rows
         both = np.empty(len(a) + len(b), dtype=np.uint32)
         a_size, b_size = np.diff(a_to, prepend=0), np.diff(b_to, prepend=0)
@@ -312,13 +318,15 @@ class Aligner:
 _ALIGNERS = {}
 
 
-def aligner(a_json: str, b_model: bytes) -> Aligner:
+def aligner(model: tuple[str, bytes]) -> Aligner:
     """A worker's aligner, for all its tasks."""
-    key = hashlib.md5(a_json.encode() + b_model).digest()
-    if key not in _ALIGNERS:
-        _ALIGNERS.clear()
-        _ALIGNERS[key] = Aligner(a_json, b_model)
-    return _ALIGNERS[key]
+    if _ALIGNERS.get("model") is not model:
+        # each task has the broadcast files as objects of its own
+        key = hashlib.md5(model[0].encode() + model[1]).digest()
+        if _ALIGNERS.get("key") != key:
+            _ALIGNERS["tool"] = Aligner(*model)
+        _ALIGNERS.update(key=key, model=model)
+    return _ALIGNERS["tool"]
 
 
 def vocabularies(spark: SparkSession, a_path: str, b_path: str):
@@ -339,20 +347,20 @@ def _found_arrays(found: list) -> list[pa.Array]:
     return [pa.array(x, type=t) for x, (_, t) in zip((n_a, n_b, links, sha), _FOUND)]
 
 
-def _slices(texts: pa.Array):
-    """Index ranges of consecutive texts of about BYTES_AT_ONCE."""
+def _slices(texts: pa.Array, most: int = BYTES_AT_ONCE):
+    """Index ranges of consecutive texts of about so many bytes."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(ends):
         before = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, before + BYTES_AT_ONCE, side="right")))
+        to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
         yield at, to
         at = to
 
 
 def _short(rows: DataFrame, model) -> DataFrame:
     def run(batches):
-        tool = aligner(*model.value)
+        tool = aligner(model.value)
         for batch in batches:
             for a, b in _slices(batch.column("text")):
                 part = batch.slice(a, b - a)
@@ -404,7 +412,7 @@ def _chunk_tokens(stretches: DataFrame, model, chunk: int) -> DataFrame:
     """Tokens of each stretch, dealt to chunks of bytes by where they end."""
 
     def run(batches):
-        tool = aligner(*model.value)
+        tool = aligner(model.value)
         for batch in batches:
             for part, row, stretch, start, text in zip(*(c.to_pylist() for c in batch.columns)):
                 [ids] = tool.ids([text])
@@ -441,11 +449,13 @@ def _to_row(part: int, row: int, node: int, f: Fragment) -> pd.DataFrame:
 
 def _chunk_fragments(model):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """A fragment from the tokens that end in a chunk, of the stretches it lies in."""
-        rows = rows.sort_values("stretch")
-        f = fragment(Open(*(_ints(b"".join(rows[c])) for c in ("a", "a_ends", "b", "b_ends"))), aligner(*model.value).texts)
-        f.fine = bool(rows["fine"].all())
-        return _to_row(*key, f)
+        """A fragment of each chunk, from the tokens that end in it, of the stretches it lies in; neighbours as one."""
+        texts, whole = aligner(model.value).texts, EMPTY
+        for _, own in rows.sort_values(["chunk", "stretch"]).groupby("chunk"):
+            f = fragment(Open(*(_ints(b"".join(own[c])) for c in ("a", "a_ends", "b", "b_ends"))), texts)
+            f.fine = bool(own["fine"].all())
+            whole = whole.then(f, texts)
+        return _to_row(*key, whole)
 
     return run
 
@@ -453,7 +463,7 @@ def _chunk_fragments(model):
 def _put_together(model):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """Neighbouring fragments as one."""
-        texts, f = aligner(*model.value).texts, EMPTY
+        texts, f = aligner(model.value).texts, EMPTY
         for r in rows.sort_values("node").itertuples():
             f = f.then(_of_row(r), texts)
         return _to_row(*key, f)
@@ -465,7 +475,7 @@ def _long(rows: DataFrame, model, chunk: int) -> DataFrame:
     """As _short, for very long texts: over many tasks each."""
     stretches = stored(_cut_stretches(rows.select("part", "row", "text"), chunk), "stretches")
     spread = stretches.repartition("part", "row", "stretch")
-    nodes = _chunk_tokens(spread, model, chunk).groupBy("part", "row", F.col("chunk").alias("node"))
+    nodes = _chunk_tokens(spread, model, chunk).groupBy("part", "row", F.floor(F.col("chunk") / FAN).alias("node"))
     nodes = settle(nodes.applyInPandas(_chunk_fragments(model), _FRAGMENTS))
     most = nodes.agg(F.max("node")).first()[0] or 0
     while most > 0:
@@ -473,7 +483,7 @@ def _long(rows: DataFrame, model, chunk: int) -> DataFrame:
         most //= FAN
 
     def run(batches):
-        texts = aligner(*model.value).texts
+        texts = aligner(model.value).texts
         for batch in batches:
             found = []
             for values in batch.to_pandas().itertuples():
@@ -515,13 +525,18 @@ def align(docs: DataFrame, a_path: str, b_path: str, long_chars: int = LONG_CHAR
     return short.unionByName(stored(_long(long, model, chunk), "aligned-long"))
 
 
+def _link_slices(links: pa.Array):
+    """Parts of a column of links, of about a million each."""
+    for a, b in _slices(links, 4_000_000):
+        yield links.slice(a, b - a)
+
+
 def pair_counts(aligned: DataFrame) -> DataFrame:
     """(key, n): how many documents hold each pair of ids linked. Counted in tasks first."""
 
     def run(batches):
         held_keys, held = _NONE, _NONE
-        for batch in batches:
-            links = batch.column(0)
+        for links in (part for batch in batches for part in _link_slices(batch.column(0))):
             offsets = np.frombuffer(links.buffers()[1], dtype=np.int32)[links.offset : links.offset + len(links) + 1]
             keys = np.frombuffer(links.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]].view("<u4").astype(np.int64)
             doc = np.repeat(np.arange(len(links)), np.diff(offsets) // 4)
@@ -560,8 +575,8 @@ def with_scores(aligned: DataFrame, most_known: int = MOST_KNOWN_PAIRS) -> DataF
     def score(links: pa.Array) -> pa.Array:
         keys, n, is_best = table.value
         n_best, count_sum, rest, offsets = [], [], [], [0]
-        for raw in links.to_pylist():
-            own = np.frombuffer(raw, dtype="<u4").astype(np.int64)
+        for value in links:
+            own = np.frombuffer(value.as_buffer(), dtype="<u4").astype(np.int64)
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                 found = keys[at] == own
