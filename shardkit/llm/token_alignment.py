@@ -48,16 +48,13 @@ FAN = 4
 # Pairs of which every task has the count; a pair takes 13 bytes.
 MOST_KNOWN_PAIRS = 1_000_000
 # Pieces between spaces that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 # Bytes of texts worked on together, at least one text.
 BYTES_AT_ONCE = 1_000_000
 _SPACE = "▁"
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _TWO_SPACES = re.compile(r"\s\s")
 _NONE = np.empty(0, dtype=np.int64)
-# Ids of B carry this bit where both vocabularies' ids are in one row; what stands for a stretch not given back.
-_OF_B = 1 << 20
-_LOST = 1 << 21
 
 
 def pair_key(a, b):
@@ -247,8 +244,11 @@ class Aligner:
         found = self.b.encode([p.removeprefix(" ") for p in pieces], num_threads=1)
         return [ids if p.startswith(" ") and p != " " else [self.space] if p == " " else ids[1:] for p, ids in zip(pieces, found)]
 
-    def _learned(self, pieces: list[str]) -> list[bytes]:
-        """Ids of A, then of B, of stretches that start with a space or line feed; _LOST for those whose bytes are not given back."""
+    def token_ids(self, pieces: list[str]) -> tuple[np.ndarray, ...]:
+        """Ids of stretches that start with a space or line feed, end to end: of A, of B, where each stretch's end, and which are fine.
+
+        Stretches whose bytes are not given back are not fine.
+        """
         a, b = [self._a_ids(p) for p in pieces], self._b_ids(pieces)
         raw = [p.encode() for p in pieces]
         sizes = np.array([len(x) for x in raw], dtype=np.int64)
@@ -256,7 +256,7 @@ class Aligner:
         for ids, known, known_sizes in ((a, self.a_bytes, self.a_sizes), (b, self.b_bytes, self.b_sizes)):
             flat = np.array(list(chain.from_iterable(ids)), dtype=np.int64)
             to = np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
-            rows.append((flat, to))
+            rows += [flat, to]
             if ids is a and self.all_bytes:
                 continue
             total = np.concatenate([[0], np.cumsum(known_sizes[flat])])
@@ -264,14 +264,28 @@ class Aligner:
             # of equal length each: all are given back if their row is
             if b"".join([known[i] for i in flat.tolist()]) != b"".join(raw):
                 fine &= np.array([b"".join([known[i] for i in x]) == y for x, y in zip(ids, raw)], dtype=bool)
-        (a, a_to), (b, b_to) = rows
-        both = np.empty(len(a) + len(b), dtype=np.uint32)
-        a_size, b_size = np.diff(a_to, prepend=0), np.diff(b_to, prepend=0)
-        both[np.arange(len(a)) + np.repeat(b_to - b_size, a_size)] = a
-        both[np.arange(len(b)) + np.repeat(a_to, b_size)] = b + _OF_B
-        row, to = both.tobytes(), (4 * (a_to + b_to)).tolist()
-        lost = np.uint32(_LOST).tobytes()
-        return [row[x:y] if good else lost for x, y, good in zip([0, *to], to, fine.tolist())]
+        a, a_to, b, b_to = rows
+        return a, a_to, b, b_to, fine
+
+    def tokens(self, a: np.ndarray, b: np.ndarray, start: int = 0) -> Open:
+        return Open(a, start + np.cumsum(self.a_sizes[a]), b, start + np.cumsum(self.b_sizes[b]))
+
+    def _learned(self, pieces: list[str]) -> list[tuple[bytes, bytes, int, int] | None]:
+        """(text of groups, keys of links, tokens of A, tokens of B) of each stretch; None for those not given back."""
+        a, a_to, b, b_to, fine = self.token_ids(pieces)
+        n_a, n_b = np.diff(a_to, prepend=0), np.diff(b_to, prepend=0)
+        a, b = a[np.repeat(fine, n_a)], b[np.repeat(fine, n_b)]
+        n_a, n_b = n_a * fine, n_b * fine
+        tokens = self.tokens(a, b)
+        groups = grouped(tokens, self.texts)
+        # all stretches end with a common end
+        ends = np.concatenate([[0], tokens.a_ends])[np.cumsum(n_a)]
+        links, links_to = groups.links.astype("<u4").tobytes(), (4 * np.searchsorted(groups.at, ends, side="right")).tolist()
+        to = np.cumsum(n_a + n_b).tolist()
+        return [
+            (b"".join(groups.texts[i:j]), links[x:y], n, m) if good else None
+            for i, j, x, y, n, m, good in zip([0, *to], to, [0, *links_to], links_to, n_a.tolist(), n_b.tolist(), fine.tolist())
+        ]
 
     @staticmethod
     def stretches(text: str) -> list[str]:
@@ -280,40 +294,36 @@ class Aligner:
             return _CUT.split(text)
         return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of texts' stretches, each stretch's of A and then of B."""
-        split = [self.stretches(t) for t in texts]
+    def align(self, texts: list[str | None]) -> list[tuple[int, int, bytes, bytes]]:
+        """(n_a, n_b, keys of links in order, text of groups) of each text."""
+        split = [self.stretches(" " + t) if t else [""] for t in texts]
         new, known, once = [p for p in self.known.missing(set(chain.from_iterable(split))) if p], self.known.now, {}
-        known[""] = b""
-        for piece, ids in zip(new, self._learned(new) if new else ()):
-            (known if len(piece) <= LONGEST_REMEMBERED else once)[piece] = ids
+        known[""] = (b"", b"", 0, 0)
+        for piece, found in zip(new, self._learned(new) if new else ()):
+            (known if len(piece) <= LONGEST_REMEMBERED else once)[piece] = found
         get = known.__getitem__ if not once else lambda p: known[p] if p in known else once[p]
-        return [np.frombuffer(b"".join(map(get, pieces)), dtype=np.uint32) for pieces in split]
-
-    def tokens(self, ids: np.ndarray, start: int = 0) -> Open:
-        of_b = ids >= _OF_B
-        a, b = ids[~of_b].astype(np.int64), ids[of_b].astype(np.int64) - _OF_B
-        return Open(a, start + np.cumsum(self.a_sizes[a]), b, start + np.cumsum(self.b_sizes[b]))
-
-    def align(self, texts: list[str | None]) -> list[tuple[int, int, np.ndarray, bytes]]:
-        """(n_a, n_b, keys of links in order, text of groups) of each text; all are worked on as one row of bytes."""
-        found = self.ids([" " + t if t else "" for t in texts])
-        found = [x if len(x) and x.max() < _LOST else x[:0] for x in found]
-        tokens = self.tokens(np.concatenate(found)) if found else NOTHING
-        sizes = np.array([len(x) for x in found], dtype=np.int64)
-        n_b = np.array([int((x >= _OF_B).sum()) for x in found], dtype=np.int64)
-        n_a = sizes - n_b
-        groups = grouped(tokens, self.texts)
-        # where each text ends
-        a_to, to = np.cumsum(n_a), np.cumsum(sizes)
-        ends = np.concatenate([[0], tokens.a_ends])[a_to]
-        links_to = np.searchsorted(groups.at, ends, side="right")
-        out, i, k = [], 0, 0
-        for n, m, j, x in zip(n_a.tolist(), n_b.tolist(), to.tolist(), links_to.tolist()):
-            out.append((n, m, groups.links[k:x], b"".join(groups.texts[i:j])[:-1]))
-            i, k = j, x
+        out = []
+        for pieces in split:
+            found = list(map(get, pieces))
+            if None in found:
+                out.append((0, 0, b"", b""))
+                continue
+            groups, links, n_a, n_b = zip(*found)
+            out.append((sum(n_a), sum(n_b), b"".join(links), b"".join(groups)[:-1]))
         return out
 
+    def stretch(self, text: str, start: int) -> Open | None:
+        """Tokens of a stretch of a long text, from byte `start` on; None if its bytes are not given back."""
+        pieces = [p for p in self.stretches(text) if p]
+        known = list(dict.fromkeys(pieces))
+        a, a_to, b, b_to, fine = self.token_ids(known)
+        if not fine.all():
+            return None
+        a, b = (np.split(ids, to[:-1]) for ids, to in ((a, a_to), (b, b_to)))
+        number = {p: i for i, p in enumerate(known)}
+        order = [number[p] for p in pieces]
+        return self.tokens(np.concatenate([a[i] for i in order]), np.concatenate([b[i] for i in order]), start)
+
 
 _ALIGNERS = {}
 
@@ -342,7 +352,6 @@ _FOUND = [("n_a", pa.int64()), ("n_b", pa.int64()), ("links", pa.binary()), ("gr
 def _found_arrays(found: list) -> list[pa.Array]:
     """Of (n_a, n_b, keys of links, text of groups)."""
     n_a, n_b, links, groups = zip(*found)
-    links = [x.astype("<u4").tobytes() for x in links]
     sha = [hashlib.sha256(g).hexdigest() if g else "" for g in groups]
     return [pa.array(x, type=t) for x, (_, t) in zip((n_a, n_b, links, sha), _FOUND)]
 
@@ -371,10 +380,10 @@ def _short(rows: DataFrame, model) -> DataFrame:
     return rows.mapInArrow(run, _ALIGNED)
 
 
-_STRETCHES = "part int, row bigint, stretch int, start bigint, text string"
-_TOKENS = "part int, row bigint, chunk bigint, stretch int, fine boolean, a binary, a_ends binary, b binary, b_ends binary"
+_STRETCHES = "part int, row bigint, doc_id bigint, stretch int, start bigint, text string"
+_TOKENS = "part int, row bigint, doc_id bigint, chunk bigint, stretch int, fine boolean, a binary, a_ends binary, b binary, b_ends binary"
 _FRAGMENTS = (
-    "part int, row bigint, node bigint, fine boolean, closed boolean, prefix array<binary>, suffix array<binary>, "
+    "part int, row bigint, doc_id bigint, node bigint, fine boolean, closed boolean, prefix array<binary>, suffix array<binary>, "
     "groups binary, links binary, n_a bigint, n_b bigint"
 )
 
@@ -384,22 +393,24 @@ def _cut_stretches(rows: DataFrame, chunk: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part, row, text in zip(*(batch.column(n).to_pylist() for n in ("part", "row", "text"))):
+            for i in range(batch.num_rows):
+                part, row, doc_id, text = (batch.column(n)[i].as_py() for n in ("part", "row", "doc_id", "text"))
                 out, at, start, text = [], 0, 0, " " + text
                 while at < len(text):
                     cut = _CUT.search(text, at + chunk) if at + chunk < len(text) else None
                     to = cut.start() if cut else len(text)
-                    out.append((part, row, len(out), start, text[at:to]))
+                    out.append((part, row, doc_id, len(out), start, text[at:to]))
                     start += len(text[at:to].encode("utf-8", "surrogatepass"))
                     at = to
-                yield pa.RecordBatch.from_pylist(
-                    [dict(zip(("part", "row", "stretch", "start", "text"), x)) for x in out],
-                    schema=pa.schema([("part", pa.int32()), ("row", pa.int64()), ("stretch", pa.int32()), ("start", pa.int64()), ("text", pa.string())]),
-                )
+                columns = [pa.array(x, type=t) for x, t in zip(zip(*out), _STRETCH_TYPES)]
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _STRETCHES.split(", ")])
 
     return rows.mapInArrow(run, _STRETCHES)
 
 
+_STRETCH_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
+
+
 def _raw(x: np.ndarray) -> bytes:
     return x.astype("<i8").tobytes()
 
@@ -414,25 +425,25 @@ def _chunk_tokens(stretches: DataFrame, model, chunk: int) -> DataFrame:
     def run(batches):
         tool = aligner(model.value)
         for batch in batches:
-            for part, row, stretch, start, text in zip(*(c.to_pylist() for c in batch.columns)):
-                [ids] = tool.ids([text])
-                if len(ids) and ids.max() >= _LOST:
-                    out = [(part, row, start // chunk, stretch, False, b"", b"", b"", b"")]
+            for part, row, doc_id, stretch, start, text in zip(*(c.to_pylist() for c in batch.columns)):
+                tokens = tool.stretch(text, start)
+                if tokens is None:
+                    out = [(part, row, doc_id, start // chunk, stretch, False, b"", b"", b"", b"")]
                 else:
-                    tokens, out = tool.tokens(ids, start), []
+                    out = []
                     last = int(tokens.a_ends[-1] - 1) // chunk
                     for c in range(start // chunk, last + 1):
                         i, j = (int(np.searchsorted(x, (c + 1) * chunk, side="right")) for x in (tokens.a_ends, tokens.b_ends))
                         own, tokens = tokens.cut(i, j)
                         if own.any():
-                            out.append((part, row, c, stretch, True, *map(_raw, own.parts())))
+                            out.append((part, row, doc_id, c, stretch, True, *map(_raw, own.parts())))
                 columns = [pa.array(x, type=t) for x, t in zip(zip(*out), _TOKEN_TYPES)]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _TOKENS.split(", ")])
 
     return stretches.mapInArrow(run, _TOKENS)
 
 
-_TOKEN_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), *[pa.binary()] * 4]
+_TOKEN_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), *[pa.binary()] * 4]
 
 
 def _of_row(r) -> Fragment:
@@ -440,10 +451,10 @@ def _of_row(r) -> Fragment:
     return Fragment(prefix, r.closed, [r.groups], [np.frombuffer(r.links, "<u4")], r.n_a, r.n_b, suffix, r.fine)
 
 
-def _to_row(part: int, row: int, node: int, f: Fragment) -> pd.DataFrame:
+def _to_row(part: int, row: int, doc_id: int | None, node: int, f: Fragment) -> pd.DataFrame:
     prefix, suffix = ([_raw(x) for x in o.parts()] for o in (f.prefix, f.suffix))
     links = np.concatenate([np.empty(0, dtype="<u4"), *f.links]).astype("<u4").tobytes()
-    values = (part, row, node, f.fine, f.closed, prefix, suffix, b"".join(f.groups), links, f.n_a, f.n_b)
+    values = (part, row, doc_id, node, f.fine, f.closed, prefix, suffix, b"".join(f.groups), links, f.n_a, f.n_b)
     return pd.DataFrame([values], columns=[c.split()[0] for c in _FRAGMENTS.split(", ")])
 
 
@@ -473,30 +484,27 @@ def _put_together(model):
 
 def _long(rows: DataFrame, model, chunk: int) -> DataFrame:
     """As _short, for very long texts: over many tasks each."""
-    stretches = stored(_cut_stretches(rows.select("part", "row", "text"), chunk), "stretches")
+    stretches = stored(_cut_stretches(rows, chunk), "stretches")
     spread = stretches.repartition("part", "row", "stretch")
-    nodes = _chunk_tokens(spread, model, chunk).groupBy("part", "row", F.floor(F.col("chunk") / FAN).alias("node"))
+    nodes = _chunk_tokens(spread, model, chunk).groupBy("part", "row", "doc_id", F.floor(F.col("chunk") / FAN).alias("node"))
     nodes = settle(nodes.applyInPandas(_chunk_fragments(model), _FRAGMENTS))
     most = nodes.agg(F.max("node")).first()[0] or 0
     while most > 0:
-        nodes = nodes.groupBy("part", "row", F.floor(F.col("node") / FAN).alias("node")).applyInPandas(_put_together(model), _FRAGMENTS)
+        nodes = nodes.groupBy("part", "row", "doc_id", F.floor(F.col("node") / FAN).alias("node")).applyInPandas(_put_together(model), _FRAGMENTS)
         most //= FAN
 
     def run(batches):
         texts = aligner(model.value).texts
         for batch in batches:
-            found = []
-            for values in batch.to_pandas().itertuples():
-                f = _of_row(values).whole(texts)
-                whole = (f.n_a, f.n_b, np.concatenate([_NONE, *f.links]), b"".join(f.groups)[:-1])
-                found.append(whole if f.fine else (0, 0, _NONE, b""))
-            if found:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("part"), batch.column("row"), *_found_arrays(found)], names=["part", "row"] + [n for n, _ in _FOUND]
-                )
+            for i in range(batch.num_rows):
+                own = batch.slice(i, 1)
+                f = _of_row(next(own.to_pandas().itertuples())).whole(texts)
+                whole = (f.n_a, f.n_b, np.concatenate([_NONE, *f.links]).astype("<u4").tobytes(), b"".join(f.groups)[:-1])
+                found = _found_arrays([whole if f.fine else (0, 0, b"", b"")])
+                ids = [own.column(name) for name in ("part", "row", "doc_id")]
+                yield pa.RecordBatch.from_arrays(ids + found, names=["part", "row", "doc_id"] + [n for n, _ in _FOUND])
 
-    out = nodes.mapInArrow(run, "part int, row bigint, n_a bigint, n_b bigint, links binary, groups_sha256 string")
-    return out.join(rows.select("part", "row", "doc_id"), ["part", "row"]).select(*[c.split()[0] for c in _ALIGNED.split(", ")])
+    return nodes.mapInArrow(run, _ALIGNED)
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -535,6 +543,7 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
     """(key, n): how many documents hold each pair of ids linked. Counted in tasks first."""
 
     def run(batches):
+        _ALIGNERS.clear()  # what the worker remembers is needed no more
         held_keys, held = _NONE, _NONE
         for links in (part for batch in batches for part in _link_slices(batch.column(0))):
             offsets = np.frombuffer(links.buffers()[1], dtype=np.int32)[links.offset : links.offset + len(links) + 1]
