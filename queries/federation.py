@@ -132,11 +132,36 @@ def refresh_if_changed(spark: SparkSession, sf: str) -> DataFrame:
     return federate.changed_tables(columns, manifest)
 
 
+def _active_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Shards whose customers' balances are 4,500 or more on average."""
+    shard_no = (F.col("c_custkey") % 64).cast("int").alias("shard_no")
+    means = table(spark, sf, "customer").groupBy(shard_no).agg(F.sum(cents("c_acctbal")).alias("cents"), F.count(F.lit(1)).alias("n"))
+    rich = means.filter(F.col("cents") >= F.col("n") * 450_000)
+    return rich.select("shard_no", names.shard_name(F.col("shard_no")).alias("shard"))
+
+
 def for_each_shard(spark: SparkSession, sf: str) -> DataFrame:
-    rich = table(spark, sf, "customer").filter(F.col("c_acctbal") > 9000)
-    active = rich.select((F.col("c_custkey") % 64).cast("int").alias("shard_no"))
-    active = active.withColumn("shard", names.shard_name(F.col("shard_no")))
-    return federate.for_each_shard(orders(spark, sf), lambda df: df.filter(F.col("o_totalprice") > 498000), active)
+    """Customers who spent over a million, by shard."""
+
+    def spenders(df: DataFrame) -> DataFrame:
+        spent = df.groupBy("shard_no", "o_custkey").agg(F.sum(cents("o_totalprice")).alias("cents"))
+        return spent.filter(F.col("cents") > 350_000_000)
+
+    return federate.for_each_shard(orders(spark, sf), spenders, _active_orders(spark, sf))
+
+
+def run_each_shard(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders, cents and the best customer of every active shard, a job group each; a row per shard."""
+
+    def summary(df: DataFrame) -> DataFrame:
+        spent = df.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum(cents("o_totalprice")).alias("cents"))
+        best = F.max_by("o_custkey", F.struct("cents", "o_custkey")).alias("best")
+        return spent.agg(F.sum("n").alias("orders"), F.sum("cents").alias("cents"), best)
+
+    placed = scratch_path(spark, "orders")
+    layout.write_layout(orders(spark, sf).drop("shard"), placed)
+    results, counts = federate.run_each_shard(layout.read_placed(spark, placed), summary, _active_orders(spark, sf))
+    return results.withColumn("shard", names.shard_name(F.col("shard_no"))).join(counts, "shard").drop("shard_no")
 
 
 def map_each_shard(spark: SparkSession, sf: str) -> DataFrame:
@@ -154,7 +179,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         mount_shards, mounted_shards, table_inventory, skip_existing, align_columns, union_shards, union_sources,
-        union_stored, strip_prefix, refresh_if_changed, for_each_shard, map_each_shard,
+        union_stored, strip_prefix, refresh_if_changed, for_each_shard, run_each_shard, map_each_shard,
     )
 }
 
@@ -173,6 +198,11 @@ SELECT tab AS "table", (SELECT string_agg(s, ',' ORDER BY s) FROM (SELECT DISTIN
        (SELECT string_agg(s, ',' ORDER BY s) FROM (SELECT DISTINCT split_part(col, ' ', 1) AS s FROM cols c WHERE c.tab = t.tab)) AS columns
 FROM (SELECT DISTINCT tab FROM cols {{where}}) t"""
 
+_ACTIVE_ORDERS = """
+active AS (
+  SELECT CAST(c_custkey % 64 AS INTEGER) AS n FROM customer GROUP BY 1
+  HAVING sum(floor(c_acctbal * 100 + 0.5)) >= count(*) * 450000)"""
+
 _SUMMARY = """
 SELECT shard, count(*) AS rows, CAST(sum(floor(acctbal * 100 + 0.5)) AS BIGINT) AS cents, count(mktsegment) AS segments
 FROM ({source}) GROUP BY shard"""
@@ -217,10 +247,17 @@ ORACLES = {
         SELECT tab AS "table", md5(string_agg(shard || ' ' || digest, ',' ORDER BY shard)) AS fingerprint
         FROM per_shard WHERE tab IN ('supplier', 'mixed') GROUP BY 1""",
     "for_each_shard": f"""
-        WITH {ORDERS}, active AS (SELECT DISTINCT c_custkey % 64 AS n FROM customer WHERE c_acctbal > 9000),
-        counts AS (SELECT shard_no, count(*) AS n FROM ord WHERE o_totalprice > 498000 GROUP BY 1)
+        WITH {ORDERS}, {_ACTIVE_ORDERS},
+        spent AS (SELECT shard_no, o_custkey FROM ord GROUP BY 1, 2 HAVING sum(floor(o_totalprice * 100 + 0.5)) > 350000000),
+        counts AS (SELECT shard_no, count(*) AS n FROM spent GROUP BY 1)
         SELECT {sql_label('a.n')} AS shard, coalesce(CAST(c.n AS VARCHAR), '') AS row_count
         FROM active a LEFT JOIN counts c ON c.shard_no = a.n WHERE a.n <> 0""",
+    "run_each_shard": f"""
+        WITH {ORDERS}, {_ACTIVE_ORDERS},
+        spent AS (SELECT shard_no, o_custkey, count(*) AS n, CAST(sum(floor(o_totalprice * 100 + 0.5)) AS BIGINT) AS cents FROM ord GROUP BY 1, 2)
+        SELECT {sql_label('shard_no')} AS shard, CAST(sum(s.n) AS BIGINT) AS orders, CAST(sum(cents) AS BIGINT) AS cents,
+               arg_max(o_custkey, (cents, o_custkey)) AS best, '1' AS row_count
+        FROM spent s JOIN active a ON a.n = shard_no WHERE shard_no <> 0 GROUP BY shard_no""",
     "map_each_shard": f"""
         WITH {ORDERS}
         SELECT shard_no, count(*) AS orders, max(o_orderkey) AS last FROM ord

@@ -10,15 +10,15 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queries.fixtures import ORDERS, as_int, cents, order_islands, orders, table
+from queries.fixtures import ORDER_SHARDS, ORDERS, as_int, cents, order_islands, orders, table
 from queries.planning import planned_sql
 from shardkit.functions.names import shard_name
 from shardkit.operators import progress, relocate
-from shardkit.operators.weights import island_weights
+from shardkit.operators.weights import island_weights, size_weights
 from shardkit.plans import rebalance as plan
-from shardkit.session import scratch_path
+from shardkit.session import scratch_path, settle
 from shardkit.sources import changes, layout
-from shardkit.streaming import apply
+from shardkit.streaming import apply, positions
 
 USER_SHARDS = 16
 AT = datetime(2024, 5, 6, 7, 8, 9, tzinfo=timezone.utc)
@@ -142,6 +142,7 @@ def _registry(spark: SparkSession, sf: str) -> DataFrame:
     return orders(spark, sf).select("island_no", "shard", "shard_no").distinct().select(
         F.lit(1).cast("bigint").alias("version"), "island_no", "shard", "shard_no",
         F.lit("active").alias("status"), copies.alias("copies"),
+        F.lit(None).cast("map<string,array<string>>").alias("deltas"),
     )
 
 
@@ -181,18 +182,123 @@ def abort_move(spark: SparkSession, sf: str) -> DataFrame:
 
 def move_shard(spark: SparkSession, sf: str) -> DataFrame:
     """Shards of the users' table moved while their changes come in; all other shards stay as stored."""
-    root = scratch_path(spark, "store")
+    store = _user_store(spark, _users(spark, sf))
+    moves = spark.createDataFrame([(1, 0, 3), (2, 0, 2), (5, 1, 0)], "shard_no int, from_island int, to_island int")
+    events = table(spark, sf, "events")
+    source = relocate.ChangeSource(_feed(spark, sf), as_changes(events), ["user_id"], snapshot_lsn=-1)
+    relocate.move_shards(store, moves, {"users": source}, _fence(spark, sf))
+    return store.table("users").select("island_no", "shard_no", "user_id", "event_type", "value")
+
+
+def _user_store(spark: SparkSession, users: DataFrame) -> relocate.ShardStore:
     placement = spark.range(USER_SHARDS).select(
         as_int(F.col("id")).alias("shard_no"), as_int(F.floor(F.col("id") / 4)).alias("island_no")
     )
-    store = relocate.ShardStore.create(spark, root, {"users": _users(spark, sf)}, placement)
+    root = scratch_path(spark, "store")
+    return relocate.ShardStore.create(spark, root, {"users": users}, placement, {"users": "user_id"})
+
+
+def move_deltas(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of the changes come before the shards are copied, the others, up to the fence, after it, and stay beside the copies."""
+    store = _user_store(spark, _users(spark, sf))
     moves = spark.createDataFrame([(1, 0, 3), (2, 0, 2), (5, 1, 0)], "shard_no int, from_island int, to_island int")
-    events = table(spark, sf, "events")
-    source = relocate.ChangeSource(_feed(spark, sf), as_changes(events), ["user_id"], snapshot_lsn=-1)
+    events, path, end = table(spark, sf, "events"), scratch_path(spark, "events"), _fence(spark, sf)
+    events.filter(F.col("event_id") <= end // 2).write.parquet(path)
+
+    def feed() -> DataFrame:
+        return as_changes(changes.change_feed(spark, path, events.schema))
+
+    def fence() -> int:
+        events.filter((F.col("event_id") > end // 2) & (F.col("event_id") <= end)).write.mode("append").parquet(path)
+        source.written = as_changes(spark.read.schema(events.schema).parquet(path))
+        return end
+
+    source = relocate.ChangeSource(feed(), as_changes(spark.read.schema(events.schema).parquet(path)), ["user_id"], snapshot_lsn=-1)
+    relocate.move_shards(store, moves, {"users": source}, fence)
+    return store.table("users").select("island_no", "shard_no", "user_id", "event_type", "value")
+
+
+def move_drifted(spark: SparkSession, sf: str) -> DataFrame:
+    """Changes bring a column that the stored rows lack."""
+    store = _user_store(spark, _users(spark, sf).drop("value"))
+    moves = spark.createDataFrame([(1, 0, 3), (2, 0, 2), (5, 1, 0)], "shard_no int, from_island int, to_island int")
+    source = relocate.ChangeSource(_feed(spark, sf), as_changes(table(spark, sf, "events")), ["user_id"], snapshot_lsn=-1)
     relocate.move_shards(store, moves, {"users": source}, _fence(spark, sf))
     return store.table("users").select("island_no", "shard_no", "user_id", "event_type", "value")
 
 
+def move_concurrent(spark: SparkSession, sf: str) -> DataFrame:
+    """Every shard moves to the next island, in four batches side by side."""
+    store = _order_store(spark, sf)
+    moves = _placement(spark).select(
+        F.col("shard_no").alias("move_no"), "shard_no", F.col("island_no").alias("from_island"),
+        as_int((F.col("island_no") + 1) % 4).alias("to_island"),
+    )
+    relocate.move_in_batches(store, moves, batches=4, at_once=4)
+    return _totals(store.table("orders"))
+
+
+def move_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """Progress of a move that stops when two of its three tables are copied."""
+    placed = {
+        "customer": table(spark, sf, "customer").withColumn("shard_no", as_int(F.col("c_custkey") % ORDER_SHARDS)),
+        "orders": orders(spark, sf).drop("shard"),
+        "parts": table(spark, sf, "part").withColumn("shard_no", as_int(F.col("p_partkey") % ORDER_SHARDS)),
+    }
+    store = relocate.ShardStore.create(spark, scratch_path(spark, "store"), placed, _placement(spark))
+    seen = []
+
+    def look(copy: str, name: str) -> None:
+        if name == "orders":
+            seen.append(settle(relocate.move_progress(store, copy)))
+            raise _Stop
+
+    try:
+        relocate.move_shards(store, _order_moves(spark), after_table=look)
+    except _Stop:
+        pass
+    return seen[0].withColumnRenamed("table", "tab")
+
+
+def statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows, bytes of values and largest ids of all active shards, after moves with and without changes and a dry run."""
+    store = relocate.ShardStore.create(
+        spark, scratch_path(spark, "store"), {"orders": orders(spark, sf).drop("shard")}, _placement(spark), {"orders": "o_orderkey"}
+    )
+    relocate.move_shards(store, _order_moves(spark))
+    dry = spark.createDataFrame([(60, 2, 3)], "shard_no int, from_island int, to_island int")
+    relocate.move_shards(store, dry, activate=False)
+    return store.statistics().select("island_no", "shard_no", "rows", "value_bytes", "max_id")
+
+
+def rebalance_by_size(spark: SparkSession, sf: str) -> DataFrame:
+    """Weights in kB from the store's statistics, the plan that empties island 1, and which shards it moves."""
+    store = _order_store(spark, sf)
+    active = store.registry_now("active").select("island_no", "shard")
+    sizes = store.statistics().select("island_no", shard_name(F.col("shard_no")).alias("shard"), "table", F.col("value_bytes").alias("bytes"))
+    weights = size_weights(sizes, active, "kB", include_isolated_shard0=False)
+    sources = order_islands(spark).withColumn("name", F.concat(F.lit("db"), F.col("island_no").cast("string")))
+    placement, islands = plan.plan_inputs(weights, sources, active=active)
+    moves, _ = plan.rebalance(placement, islands, plan.islands_named(sources, ["db1"]))
+    return moves.select("shard_no", "weight", "from_island", "to_island")
+
+
+def apply_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """A copy made half-way through one stream goes on with another that brings all changes twice, in no order."""
+    events = table(spark, sf, "events")
+    first, again = scratch_path(spark, "first"), scratch_path(spark, "again")
+    events.filter(F.col("event_id") % 2 == 0).write.parquet(first)
+    for number, files in ((1, 6), (2, 5)):
+        events.repartition(files, F.xxhash64("event_id", F.lit(number))).write.mode("append").parquet(again)
+    feed = lambda path: as_changes(changes.change_feed(spark, path, events.schema, max_files=3))
+    users = positions.PositionedTable.create(spark, scratch_path(spark, "users"), _users(spark, sf), ["user_id"])
+    users.apply(feed(first), "evens").awaitTermination()
+    users.compact()
+    copy = users.copy_to(scratch_path(spark, "users"))
+    copy.apply(feed(again), "all").awaitTermination()
+    return copy.rows()
+
+
 def rebalance_store(spark: SparkSession, sf: str) -> DataFrame:
     """A store brought into balance: weights of its shards, a plan of them, and the moves of the plan."""
     store = _order_store(spark, sf)
@@ -210,7 +316,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         write_placed, change_feed, apply_changes, drain_to_fence, replication_gap, backfill, backfill_progress,
-        advance_ids, commit_move, abort_move, move_shard, rebalance_store,
+        advance_ids, commit_move, abort_move, move_shard, move_deltas, move_drifted, move_concurrent, move_progress,
+        statistics, rebalance_by_size, apply_positions, rebalance_store,
     )
 }
 
@@ -244,6 +351,27 @@ ONE_PLAN = f"""
   FROM ord GROUP BY ALL),
 isl AS (SELECT 'all' AS plan_id, CAST(n AS INTEGER) AS island_no, CAST(n AS INTEGER) AS island_ord FROM (SELECT unnest(range(4)) AS n))"""
 
+# the columns of an order by their widths
+_ORDER_BYTES = "8 + 8 + strlen(o_orderstatus) + 8 + 8 + strlen(o_orderpriority)"
+
+_SIZED_PLAN = f"""
+{ORDERS}, placed AS (
+  SELECT 'all' AS plan_id, island_no, island_no AS island_ord, shard_no, shard_no AS shard_ord,
+         CAST(round(sum({_ORDER_BYTES}) / 1024) AS BIGINT) AS weight
+  FROM ord GROUP BY ALL),
+isl AS (SELECT 'all' AS plan_id, CAST(n AS INTEGER) AS island_no, CAST(n AS INTEGER) AS island_ord FROM (SELECT unnest(range(4)) AS n))"""
+
+_MOVED_USERS = f"""
+WITH {_CHANGES}, last AS (
+  SELECT * FROM chg WHERE lsn <= (SELECT lsn FROM fence) AND shard_no IN (1, 2, 5)
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY lsn DESC) = 1),
+merged AS (
+  SELECT shard_no, user_id, event_type, value, false AS changed FROM usr WHERE user_id NOT IN (SELECT user_id FROM last)
+  UNION ALL SELECT shard_no, user_id, event_type, value, true FROM last WHERE op <> 'D')
+SELECT CAST(CASE shard_no WHEN 1 THEN 3 WHEN 2 THEN 2 WHEN 5 THEN 0 ELSE shard_no // 4 END AS INTEGER) AS island_no,
+       shard_no, user_id, event_type, {{value}}
+FROM merged"""
+
 _MOVED = "(shard_no = 1 OR shard_no = 5 OR shard_no = 41)"
 
 ORACLES = {
@@ -277,6 +405,27 @@ ORACLES = {
         UNION ALL SELECT CASE shard_no WHEN 1 THEN 3 WHEN 5 THEN 2 ELSE 0 END, shard, 'active', 'c-1' FROM s WHERE {_MOVED}
         UNION ALL SELECT 3, shard || 'new', 'inactive', 'c-1' FROM s WHERE shard_no = 60""",
     "abort_move": f"WITH {ORDERS} {_TOTALS.format(source='SELECT * FROM ord')}",
+    "move_deltas": _MOVED_USERS.format(value="value"),
+    "move_drifted": _MOVED_USERS.format(value="CASE WHEN changed THEN value END AS value"),
+    "move_concurrent": f"""
+        WITH {ORDERS} {_TOTALS.format(source='SELECT * REPLACE ((island_no + 1) % 4 AS island_no) FROM ord')}""",
+    "move_progress": f"""
+        WITH {ORDERS}, c AS (
+          SELECT 'customer' AS tab, 'synchronized' AS state, count(*) AS count_from, count(*) AS count_to
+          FROM customer WHERE c_custkey % 64 IN (1, 5, 41)
+          UNION ALL SELECT 'orders', 'synchronized', count(*), count(*) FROM ord WHERE shard_no IN (1, 5, 41)
+          UNION ALL SELECT 'parts', 'initializing', count(*), 0 FROM part WHERE p_partkey % 64 IN (1, 5, 41))
+        SELECT tab, state, CAST(CASE WHEN count_from = 0 THEN 100 ELSE round(count_to / count_from * 100) END AS INTEGER) AS percent,
+               count_to, count_from FROM c""",
+    "statistics": f"""
+        WITH {ORDERS}
+        SELECT CASE shard_no WHEN 1 THEN 3 WHEN 5 THEN 2 WHEN 41 THEN 0 ELSE island_no END AS island_no, shard_no, count(*) AS rows,
+               CAST(sum({_ORDER_BYTES}) AS BIGINT) AS value_bytes, max(o_orderkey) AS max_id
+        FROM ord GROUP BY 1, 2""",
+    "rebalance_by_size": f"""
+        {planned_sql(_SIZED_PLAN, '1')}
+        SELECT shard_no, weight, from_island, island_no AS to_island FROM final WHERE island_no <> from_island""",
+    "apply_positions": f"WITH {_CHANGES}, {_merged('true')} SELECT * FROM merged",
     "rebalance_store": f"""
         {planned_sql(ONE_PLAN, '1')}
         SELECT f.island_no, o.shard_no, count(*) AS rows, CAST(sum(floor(o_totalprice * 100 + 0.5)) AS BIGINT) AS cents

@@ -140,11 +140,15 @@ def grand_total(spark: SparkSession, sf: str) -> DataFrame:
     return report.grand_total(_order_weights(spark, sf), order_islands(spark))
 
 
+def totals(spark: SparkSession, sf: str) -> DataFrame:
+    return report.totals(_order_weights(spark, sf), order_islands(spark))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         shard_weights, default_weights, table_sizes, stored_sizes, custom_weights, parse_weight, other_measures,
-        drop_isolated_shard0, island_weights, shard_share, island_totals, other_totals, grand_total,
+        drop_isolated_shard0, island_weights, shard_share, island_totals, other_totals, grand_total, totals,
     )
 }
 
@@ -238,4 +242,10 @@ ORACLES = {
         SELECT CAST(sum(weight) AS BIGINT) AS weight, arg_min(unit, island_no * 1000 + shard_no) AS unit,
                CAST(4 AS BIGINT) AS islands, count(*) AS shards
         FROM w""",
+    "totals": f"""
+        WITH {_WEIGHTS}
+        SELECT island_no, grouping(island_no) = 1 AS is_total, CAST(sum(weight) AS BIGINT) AS weight,
+               arg_min(unit, island_no * 1000 + shard_no) AS unit, CASE WHEN grouping(island_no) = 1 THEN 4 ELSE 1 END::BIGINT AS islands,
+               count(*) AS shards
+        FROM w GROUP BY ROLLUP (island_no)""",
 }

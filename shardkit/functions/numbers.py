@@ -14,16 +14,30 @@ SPACES = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 LEADING_NUMBER_RE = rf"^[{SPACES}]*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)"
 
 
+# Doubles from here on, and below the other, are written with an exponent.
+_LARGE, _SMALL = 1e21, 1e-16
+
+
 def number_text(col: Column, dtype: T.DataType) -> Column:
-    """Text of a value, without exponent and trailing zeros for fractional types."""
+    """Text of a value, without trailing zeros for fractional types, and without exponent but for very large and very small doubles."""
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        col, dtype = col.cast("decimal(38,16)"), T.DecimalType(38, 16)
+        size = F.abs(col.cast("double"))
+        plain = F.when((size < _LARGE) & ((size >= _SMALL) | (size == 0)), col)
+        digits = _without_zeros(plain.cast("decimal(38,16)").cast("string"), plain)
+        # 1.0E30 is 1e+30, 1.5E-20 is 1.5e-20; infinite values and NaN are as they are
+        far = F.regexp_replace(F.lower(col.cast("double").cast("string")), r"(\.0)?e(?=\d)", "e+")
+        far = F.regexp_replace(far, r"\.0(?=e)", "")
+        return F.coalesce(digits, F.when(size < float("inf"), far).otherwise(col.cast("string")))
     text = col.cast("string")
     if isinstance(dtype, T.DecimalType) and dtype.scale > 0:
-        text = F.when(col == 0, F.lit("0")).otherwise(F.regexp_replace(text, r"\.?0+$", ""))
+        text = _without_zeros(text, col)
     return text
 
 
+def _without_zeros(text: Column, number: Column) -> Column:
+    return F.when(number == 0, F.lit("0")).otherwise(F.regexp_replace(text, r"\.?0+$", ""))
+
+
 def weight_text(col: Column, dtype: T.DataType) -> Column:
     """Text of a weight column; a missing value and the number zero are empty."""
     text = F.coalesce(number_text(col, dtype), F.lit(""))
@@ -53,6 +67,12 @@ def leading_number(text: Column) -> Column:
     return F.nullif(digits, F.lit("")).try_cast("decimal(38,10)")
 
 
+def leading_double(text: Column) -> Column:
+    """The number a text starts with, as DOUBLE, of any size; null when there is none."""
+    digits = F.regexp_extract(text, LEADING_NUMBER_RE, 1)
+    return F.nullif(digits, F.lit("")).try_cast("double")
+
+
 def percent_text(ratio: Column) -> Column:
     """Percentage of a ratio in 0..1 with one decimal, halves rounded up.
 

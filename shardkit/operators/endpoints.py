@@ -87,19 +87,25 @@ def normalize_endpoints(
     With `numbered`, a number stands for the address at that position of it, and
     for nothing beyond its end.
     """
-    listed = df.select(key, F.posexplode(F.split(F.col(col), SEPARATOR_RE)).alias("position", "address"))
-    if numbered is not None:
-        address = F.col("address")
-        known = F.get(F.array(*[F.lit(a) for a in numbered]).cast("array<string>"), address.try_cast("int"))
-        listed = listed.withColumn("address", F.when(address.rlike(r"^\d+$"), known).otherwise(address))
-    parsed = (
-        listed.filter(F.col("address") != "")
-        .withColumn("parsed", normalize_endpoint(F.col("address"), defaults))
-        .select(key, "position", "address", "parsed.endpoint", "parsed.missing")
-    )
-    # a broken address is kept once per spelling, as it has no endpoint to compare
-    broken = F.when(F.col("endpoint").isNull(), F.col("address")).alias("broken")
-    first = parsed.groupBy(key, "endpoint", "missing", broken).agg(F.min("position").alias("position"))
+    def parsed(address: Column, position: Column) -> Column:
+        if numbered is not None:
+            known = F.get(F.array(*[F.lit(a) for a in numbered]).cast("array<string>"), address.try_cast("int"))
+            address = F.when(address.rlike(r"^\d+$"), known).otherwise(address)
+        found = normalize_endpoint(address, defaults)
+        return F.struct(position.alias("position"), address.alias("address"), found.alias("found"))
+
+    def first_of_its_kind(entry: Column) -> Column:
+        # a broken address is kept once per spelling, as it has no endpoint to compare
+        same = lambda other: other["found"].eqNullSafe(entry["found"]) & (
+            entry["found"]["endpoint"].isNotNull() | (other["address"] == entry["address"])
+        )
+        return ~F.exists("_listed", lambda other: (other["position"] < entry["position"]) & same(other))
+
+    # each address is parsed once, and all of a row's are compared within the row
+    entries = F.filter(F.transform(F.split(F.col(col), SEPARATOR_RE), parsed), lambda e: e["address"] != "")
+    listed = df.select(key, entries.alias("_listed"))
+    first = listed.select(key, F.explode(F.filter("_listed", first_of_its_kind)).alias("_e"))
+    first = first.select(key, "_e.position", "_e.found.endpoint", "_e.found.missing")
     if roles is not None:
         primaries = roles.filter(F.col("role") == "primary").select("endpoint").distinct()
         first = first.join(primaries, "endpoint", "left_semi")

@@ -1,15 +1,19 @@
 """One table over all shards, although their columns may have drifted apart."""
 
+import threading
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shardkit.functions.names import shard_name, strip_prefix
 from shardkit.limits import broadcast_within
+from shardkit.session import scratch_path
 
 # Table names taken into the union.
 TABLE_NAME_RE = "(?i)^[a-zA-Z0-9_]+$"
@@ -164,6 +168,54 @@ def for_each_shard(df: DataFrame, fn: Callable[[DataFrame], DataFrame], active:
     return targets.join(counts, "shard_no", "left").select("shard", text.alias("row_count"))
 
 
+def run_each_shard(
+    df: DataFrame, fn: Callable[[DataFrame], DataFrame], active: DataFrame, at_once: int = 4
+) -> tuple[DataFrame, DataFrame]:
+    """Run any DataFrame code on the whole rows of every active shard but shard 0, `at_once` shards at a time.
+
+    Each shard is a job group of its own, and its rows are spread over as many tasks as they need. `fn` gets a shard's rows,
+    in a frame that is pruned to its directory where the table is stored by shard, and returns rows of one schema. Returns the
+    results under their shards, and (shard, row_count): counts are text, empty for no rows. The first shard that fails
+    cancels the jobs of the others and is named by the error.
+    """
+    spark = df.sparkSession
+    context, path = spark.sparkContext, scratch_path(spark, "each-shard")
+    group = path.rsplit("/", 1)[-1]
+    # one row per shard
+    targets = active.filter(F.col("shard_no") != 0).select("shard_no", "shard").distinct().orderBy("shard_no").collect()
+    stop = threading.Event()
+
+    @inheritable_thread_target(spark)
+    def run(number: int, label: str) -> int | None:
+        if stop.is_set():
+            return None
+        context.setJobGroup(f"{group}-{number}", f"shard {label}", True)
+        try:
+            counted = Observation()
+            found = fn(df.filter(F.col("shard_no") == number)).observe(counted, F.count(F.lit(1)).alias("rows"))
+            found.drop("shard_no").write.parquet(f"{path}/shard_no={number}")
+            return counted.get["rows"]
+        except Exception as error:
+            if stop.is_set():  # cancelled
+                return None
+            stop.set()
+            for other in targets:
+                if other.shard_no != number:
+                    context.cancelJobGroup(f"{group}-{other.shard_no}")
+            raise RuntimeError(f"error on shard {label}: {error}") from error
+
+    with ThreadPoolExecutor(at_once) as pool:
+        running = [pool.submit(run, r.shard_no, r.shard) for r in targets]
+    counts = [(r.shard, str(n) if (n := future.result()) else "") for r, future in zip(targets, running)]
+    schema = T.StructType([f for f in fn(df).schema if f.name != "shard_no"])
+    schema.add("shard_no", T.IntegerType())
+    if targets:
+        results = spark.read.schema(schema).parquet(path)
+    else:
+        results = spark.createDataFrame([], schema)
+    return results, spark.createDataFrame(counts, "shard string, row_count string")
+
+
 def map_each_shard(
     df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, active: DataFrame
 ) -> DataFrame:

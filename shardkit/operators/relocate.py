@@ -1,68 +1,56 @@
-"""Moving shards between islands of a store.
-
-A store keeps every table below `<root>/<table>/copy=…/island_no=…/shard_no=…`.
-Its registry (REGISTRY_SCHEMA) is a log of rows; the newest row of an island and
-label is its state, and `copies` tells which copy of each table belongs to it.
-A copy that no current row names is invisible, so a move is published by one
-append to the registry, and a failed one by none. The columns of a table are
-declared in a log beside the registry; a move whose changes bring new columns
-declares these too, and rows stored before have nulls there. One move may run
-at a time, and no cleanup beside it.
+"""Moving shards between islands of a store (operators/store.py).
+
+A move is published by one commit, and a failed one by none. The columns of a table are widened by the commit of the move
+whose changes bring new ones, and rows stored before have nulls there. Changes that are there when a copy
+is made are merged into it. Those that come later stay beside it, sorted, and are merged when the shard is
+read: so what is written behind the fence depends on the late changes only, and not on the shard. A later move of the shard, or
+`ShardStore.compact`, makes them part of a copy.
+
+Moves may run side by side. Each commit looks at the state it meets: a shard that another writer has changed meanwhile
+fails the move, which is then undone; otherwise it goes on from there.
 """
 
 import json
 import uuid
 from collections.abc import Callable
+from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
 from dataclasses import dataclass
 from datetime import datetime, timezone
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shardkit.functions.names import new_label, old_label, shard_name
 from shardkit.limits import broadcast_within
-from shardkit.operators.progress import advance_ids, next_ids
-from shardkit.operators.registry import ACTIVE, INACTIVE, activate_shards, deactivate_shards, retired_shards
+from shardkit.operators.progress import advance_ids, backfill_progress, next_ids
+from shardkit.operators.registry import ACTIVE, INACTIVE
+from shardkit.operators.store import (
+    ABSENT,
+    COPY_PARTITIONS,
+    REGISTRY_COLUMNS,
+    REGISTRY_SCHEMA,
+    MoveConflict,
+    ShardStore,
+    current_registry,
+    next_version,
+    unchanged,
+)
 from shardkit.plans.batches import DEFAULT_BATCHES, split_into_batches
 from shardkit.session import settle
-from shardkit.sources.layout import exists, place_rows, write_layout
+from shardkit.sources.layout import write_layout
 from shardkit.streaming.apply import drain_to_fence, log_now, merge_changes
 
-ABSENT = "absent"
+__all__ = [
+    "ABSENT", "REGISTRY_SCHEMA", "ChangeSource", "MoveConflict", "ShardStore", "abort_move", "backfill", "commit_move",
+    "current_registry", "move_in_batches", "move_progress", "move_shards", "moved_rows", "next_version",
+]
 
-REGISTRY_SCHEMA = (
-    "version bigint, island_no int, shard string, shard_no int, status string, copies map<string,string>"
-)
-_REGISTRY_COLUMNS = [column.split()[0] for column in REGISTRY_SCHEMA.split(", ")]
-COPY_PARTITIONS = ["copy", "island_no", "shard_no"]
-_SCHEMAS = "version bigint, table string, schema string"
 # Catching up before the fence is called ends after so many rounds, or with one that finds nothing.
 ROUNDS = 3
 
 
-def current_registry(registry: DataFrame) -> DataFrame:
-    """The newest row of every (island, label), without those that are gone."""
-    rest = F.struct("version", "shard_no", "status", "copies")
-    newest = registry.groupBy("island_no", "shard").agg(F.max_by(rest, "version").alias("s"))
-    return newest.select("island_no", "shard", "s.*").filter(F.col("status") != ABSENT).select(*_REGISTRY_COLUMNS)
-
-
-def next_version(registry: DataFrame) -> int:
-    return registry.agg(F.max("version")).first()[0] + 1
-
-
-def visible_rows(stored: DataFrame, registry: DataFrame, table: str) -> DataFrame:
-    """Rows of a stored table that belong to active shards."""
-    live = (
-        current_registry(registry).filter(F.col("status") == ACTIVE)
-        .select("island_no", "shard_no", F.try_element_at("copies", F.lit(table)).alias("copy"))
-        .filter(F.col("copy").isNotNull())
-    )
-    return stored.join(broadcast_within(live), COPY_PARTITIONS, "left_semi").drop("copy")
-
-
 def moved_rows(df: DataFrame, moves: DataFrame, copy: str) -> DataFrame:
     """Rows of the moved shards (shard_no, from_island, to_island) under their new islands."""
     lookup = moves.select("shard_no", F.col("from_island").alias("island_no"), "to_island")
@@ -70,18 +58,23 @@ def moved_rows(df: DataFrame, moves: DataFrame, copy: str) -> DataFrame:
     return moved.withColumn("island_no", F.col("to_island")).drop("to_island").withColumn("copy", F.lit(copy))
 
 
-def backfill(tables: dict[str, DataFrame], moves: DataFrame, root: str, copy: str, clustered: bool = False) -> None:
+def backfill(tables: dict[str, DataFrame], moves: DataFrame, root: str, copy: str, clustered: bool = False) -> dict[str, int]:
     """Copy all rows of the moved shards of every table to their new islands, as an unpublished copy.
 
     One job per table, not per shard; without a shuffle for `clustered` tables,
-    which are read from the stored layout.
+    which are read from the stored layout. Returns the rows written of each, which the writing job counts.
     """
-    for name, df in tables.items():
-        write_layout(moved_rows(df, moves, copy), f"{root}/{name}", COPY_PARTITIONS, clustered)
+    return {name: _write(moved_rows(df, moves, copy), f"{root}/{name}", clustered) for name, df in tables.items()}
+
+
+def _write(rows: DataFrame, path: str, clustered: bool) -> int:
+    written = Observation()
+    write_layout(rows.observe(written, F.count(F.lit(1)).alias("rows")), path, COPY_PARTITIONS, clustered)
+    return written.get["rows"]
 
 
 def commit_move(registry: DataFrame, moves: DataFrame, activate: bool, at: datetime) -> DataFrame:
-    """Registry rows that publish moves: (shard_no, from_island, to_island, copies).
+    """Registry rows that publish moves: (shard_no, from_island, to_island, copies, and deltas if there are any).
 
     With `activate`, the shard becomes active on its new island, and what it
     leaves behind is inactive under an old label; both in the same rows. Without
@@ -96,31 +89,35 @@ def commit_move(registry: DataFrame, moves: DataFrame, activate: bool, at: datet
         (F.max(left.cast("timestamp_ntz")) + F.expr("INTERVAL 1 SECOND")).alias("free")
     )
     sources = current_registry(registry).select(
-        F.col("island_no").alias("from_island"), "shard_no", "shard", "status", F.col("copies").alias("old_copies")
-    )
+        F.col("island_no").alias("from_island"), "shard_no", "shard", "status",
+        F.col("copies").alias("old_copies"), F.col("deltas").alias("old_deltas"),
+    )
+    if "deltas" not in moves.columns:
+        moves = moves.withColumn("deltas", F.lit(None).cast("map<string,array<string>>"))
     label = shard_name(F.col("shard_no"))
     named = moves.join(sources.filter(F.col("status") == ACTIVE), ["from_island", "shard_no"])
     named = named.join(earlier, ["from_island", "shard_no"], "left")
     stamp = F.greatest(stamp, F.col("free"))
 
-    def row(island: str, shard: Column, status: str, copies: Column) -> Column:
+    def row(island: str, shard: Column, status: str, kept: str = "") -> Column:
         return F.struct(
             F.lit(version).cast("bigint").alias("version"),
             F.col(island).alias("island_no"),
             shard.alias("shard"),
             F.col("shard_no"),
             F.lit(status).alias("status"),
-            copies.alias("copies"),
+            F.col(f"{kept}copies").alias("copies"),
+            F.col(f"{kept}deltas").alias("deltas"),
         )
 
     if activate:
         rows = [
-            row("from_island", F.col("shard"), ABSENT, F.col("old_copies")),
-            row("from_island", old_label(F.col("shard"), stamp), INACTIVE, F.col("old_copies")),
-            row("to_island", F.col("shard"), ACTIVE, F.col("copies")),
+            row("from_island", F.col("shard"), ABSENT, "old_"),
+            row("from_island", old_label(F.col("shard"), stamp), INACTIVE, "old_"),
+            row("to_island", F.col("shard"), ACTIVE),
         ]
     else:
-        rows = [row("to_island", new_label(label), INACTIVE, F.col("copies"))]
+        rows = [row("to_island", new_label(label), INACTIVE)]
     return named.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
@@ -138,179 +135,10 @@ class ChangeSource:
     snapshot_lsn: int
 
 
-@dataclass
-class ShardStore:
-    """Tables and registry below one root folder."""
-
-    spark: SparkSession
-    root: str
-    tables: list[str]
-
-    @classmethod
-    def create(cls, spark: SparkSession, root: str, tables: dict[str, DataFrame], placement: DataFrame) -> "ShardStore":
-        """Store tables with a shard_no column by a placement (shard_no, island_no); all shards become active."""
-        store = cls(spark, root, list(tables))
-        if exists(spark, f"{root}/_registry"):
-            raise ValueError(f"there is a store already: {root}")
-        copy = "c-first"
-        for name, df in tables.items():
-            placed = place_rows(df, placement).withColumn("copy", F.lit(copy))
-            write_layout(placed, f"{root}/{name}", COPY_PARTITIONS)
-            store.declare(name, T.StructType([f for f in df.schema if f.name not in COPY_PARTITIONS]))
-        copies = F.create_map(*[F.lit(x) for name in tables for x in (name, copy)])
-        rows = placement.select(
-            F.lit(1).cast("bigint").alias("version"),
-            F.col("island_no").cast("int").alias("island_no"),
-            shard_name(F.col("shard_no")).alias("shard"),
-            F.col("shard_no").cast("int").alias("shard_no"),
-            F.lit(ACTIVE).alias("status"),
-            copies.alias("copies"),
-        )
-        store.publish(rows)
-        return store
-
-    def registry(self) -> DataFrame:
-        return self.spark.read.schema(REGISTRY_SCHEMA).parquet(f"{self.root}/_registry")
-
-    def registry_now(self, status: str | None = None) -> DataFrame:
-        """Current registry rows, of one status if given."""
-        current = current_registry(self.registry())
-        return current if status is None else current.filter(F.col("status") == status)
-
-    def publish(self, rows: DataFrame) -> None:
-        """Append registry rows as one file, so that they appear together; there are a few per shard."""
-        typed = rows.select(*_REGISTRY_COLUMNS).withColumn("version", F.col("version").cast("bigint"))
-        typed.coalesce(1).write.mode("append").parquet(f"{self.root}/_registry")
-
-    def declared(self, table: str) -> T.StructType:
-        """Columns of a table besides its partition columns."""
-        log = self.spark.read.schema(_SCHEMAS).parquet(f"{self.root}/_schemas").filter(F.col("table") == table)
-        return T.StructType.fromJson(json.loads(log.agg(F.max_by("schema", "version")).first()[0]))
-
-    def declare(self, table: str, schema: T.StructType) -> None:
-        """Declare the columns of a table; files that lack some have nulls there."""
-        path = f"{self.root}/_schemas"
-        version = 1
-        if exists(self.spark, path):
-            version = next_version(self.spark.read.schema(_SCHEMAS).parquet(path))
-        optional = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
-        row = self.spark.createDataFrame([(version, table, optional.json())], _SCHEMAS)
-        row.coalesce(1).write.mode("append").parquet(path)
-
-    def stored(self, table: str) -> DataFrame:
-        """Rows of all copies, with the declared columns, whatever those of a file are."""
-        parts = "copy string, island_no int, shard_no int"
-        schema = T.StructType([*self.declared(table), *T.StructType.fromDDL(parts)])
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
-
-    def table(self, table: str) -> DataFrame:
-        """Rows of the active shards."""
-        return visible_rows(self.stored(table), self.registry(), table)
-
-    def activate(self, island_no: int, lo: int, hi: int | None = None) -> DataFrame:
-        """Activate a range of shards that the island has; returns the whole range."""
-        current = self._island(island_no)
-        listed, _ = activate_shards(current.select("shard", "status"), current, lo, hi)
-        self._publish_status(current, listed, ACTIVE)
-        return listed
-
-    def deactivate(self, island_no: int, lo: int, hi: int | None = None) -> DataFrame:
-        """Deactivate a range of shards on an island; returns those that were active."""
-        current = self._island(island_no)
-        stopped, _ = deactivate_shards(current.select("shard", "status"), lo, hi)
-        self._publish_status(current, stopped, INACTIVE)
-        return stopped
-
-    def _island(self, island_no: int) -> DataFrame:
-        return settle(current_registry(self.registry()).filter(F.col("island_no") == island_no))
-
-    def _publish_status(self, current: DataFrame, shards: DataFrame, status: str) -> None:
-        rows = current.join(shards.select("shard"), "shard", "left_semi").withColumn("status", F.lit(status))
-        self.publish(rows.withColumn("version", F.lit(next_version(self.registry()))))
-
-    def retired(self) -> DataFrame:
-        """Current registry rows of what moves left behind."""
-        current = current_registry(self.registry())
-        return current.join(retired_shards(current), "shard", "left_semi").filter(F.col("status") != ACTIVE)
-
-    def cleanup(self) -> list[str]:
-        """Remove what moves left behind; returns its labels.
-
-        The registry rows go first, so nothing refers to the directories that are
-        then deleted: all that no current row names, also those of moves that
-        were interrupted or of dry runs that others replaced.
-        """
-        old = settle(self.retired())
-        names = sorted(r.shard for r in old.select("shard").collect())
-        if names:
-            gone = old.withColumn("status", F.lit(ABSENT)).withColumn("version", F.lit(next_version(self.registry())))
-            self.publish(gone)
-        self.delete_unnamed(self.listed())
-        for folder in ("_changes", "_streams"):
-            self._delete(folder)
-        return names
-
-    def listed(self, *tables: str) -> DataFrame:
-        """(table, copy, island_no, shard_no, bytes) of stored directories, from file listings; no file is opened."""
-        parts = []
-        for table in tables or self.tables:
-            files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{self.root}/{table}")
-            if "copy" not in files.columns:  # a table without rows
-                files = self.spark.createDataFrame([], "length bigint, copy string, island_no int, shard_no int")
-            sizes = files.groupBy(*COPY_PARTITIONS).agg(F.sum("length").alias("bytes"))
-            parts.append(sizes.select(F.lit(table).alias("table"), *COPY_PARTITIONS, "bytes"))
-        return reduce(DataFrame.unionByName, parts)
-
-    def sizes(self) -> DataFrame:
-        """(island_no, shard_no, table, bytes) of active shards: of the copies that the registry names, from file listings."""
-        rows = self.registry_now(ACTIVE)
-        live = rows.select("island_no", "shard_no", F.explode("copies").alias("table", "copy"))
-        found = self.listed().join(broadcast_within(settle(live)), ["table", *COPY_PARTITIONS], "left_semi")
-        return found.select("island_no", "shard_no", "table", "bytes")
-
-    def delete_unnamed(self, listed: DataFrame) -> None:
-        """Delete directories that no current registry row names; a copy of which none is named, as a whole.
-
-        Comes to the driver with a row per directory or copy: some per shard.
-        """
-        rows = current_registry(self.registry())
-        named = rows.select("island_no", "shard_no", F.explode("copies").alias("table", "copy")).distinct()
-        whole = listed.join(named.withColumn("kept", F.lit(True)), ["table", *COPY_PARTITIONS], "left")
-        for r in whole.groupBy("table", "copy").agg(
-            F.count("kept").alias("kept"), F.collect_list(F.when(F.col("kept").isNull(), F.struct("island_no", "shard_no"))).alias("gone")
-        ).collect():
-            path = f"{r.table}/copy={r.copy}"
-            for path in [f"{path}/island_no={x.island_no}/shard_no={x.shard_no}" for x in r.gone] if r.kept else [path]:
-                self._delete(path)
-
-    def drop_copy(self, copy: str) -> None:
-        """Remove an unpublished copy's directories, and the log and stream state of its changes."""
-        used = F.array_contains(F.map_values("copies"), copy)
-        if self.registry().filter(used).select("version").first() is not None:
-            raise ValueError(f"copy is published: {copy}")
-        for table in self.tables:
-            self._delete(f"{table}/copy={copy}")
-            self.drop_log(table, copy)
-
-    def drop_log(self, table: str, copy: str) -> None:
-        for folder in ("_changes", "_streams"):
-            self._delete(f"{folder}/{table}/{copy}")
-
-    def _delete(self, path: str) -> None:
-        context = self.spark.sparkContext
-        target = context._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")
-        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def abort_move(store: ShardStore, copy: str) -> None:
     """Drop the partial copies of a failed move; the source was never touched."""
-    for name in _copies(copy):
-        store.drop_copy(name)
-
-
-def _copies(copy: str) -> list[str]:
-    """Names of a move's copies: the first, and those of the rounds after it."""
-    return [copy, *[f"{copy}-{n}" for n in range(1, ROUNDS + 2)]]
+    store.drop_copy(copy)
+    store.unmark(copy)
 
 
 def move_shards(
@@ -322,107 +150,160 @@ def move_shards(
     at: datetime | None = None,
     id_columns: dict[str, str] | None = None,
     before_commit: Callable[[str], None] | None = None,
+    after_table: Callable[[str, str], None] | None = None,
 ) -> DataFrame | None:
     """Move shards (shard_no, from_island, to_island): copy, catch up, stop at the fence, publish.
 
     All shards of the moves go through one job per table. Changes that are there
-    when the copy starts are merged into it, so that rows are written once; those
-    that come meanwhile are caught up with in short rounds. Then the fence is
-    called, which stops writers and returns the last position, and only shards that
-    changed since the last round are written again. A number in its place
-    leaves out what lies behind it from the start.
+    when the copy starts are merged into it; those that come meanwhile are logged in short rounds. Then the fence is
+    called, which stops writers and returns the last position, and what is still missing up to it is logged. The log becomes a
+    part of the shards it has changes of. A number in place of the fence leaves out what lies behind it from the start.
 
+    `after_table` is called with the copy's name and a table when that is copied; move_progress tells then how far the move is.
     Returns the ids the new islands go on with, if id_columns names the id column
     of tables. On any failure before publishing the partial copy is dropped and
-    the error raised.
+    the error raised; MoveConflict if another writer has changed one of the shards.
     """
     if changes and fence_lsn is None:
         raise ValueError("a move with changes needs the position up to which they belong to it")
     copy = f"c-{uuid.uuid4().hex}"
     # bounded by the number of shards; read by every step below
     moves = settle(moves.select("shard_no", "from_island", "to_island"))
-    _check_moves(moves, store.registry())
+    rows = _check_moves(moves, store.registry())
+    progress = _Progress(store, copy, [r.shard_no for r in rows], [r.island_no for r in rows])
     try:
-        catch_ups = {t: _CatchUp(store, t, source, moves, copy) for t, source in (changes or {}).items()}
+        catch_ups = {t: _CatchUp(store, t, source, moves, rows, copy) for t, source in (changes or {}).items()}
         known = None if callable(fence_lsn) else fence_lsn
-        plain = [t for t in store.tables if t not in catch_ups]
-        backfill({t: store.table(t) for t in plain}, moves, store.root, copy, clustered=True)
-        for catch_up in catch_ups.values():
-            catch_up.first(known)
+        for table in store.tables:
+            progress.note(table, "d")
+            if table in catch_ups:
+                written = catch_ups[table].first(known)
+            else:
+                written = backfill({table: store.rows_of(table, rows)}, moves, store.root, copy, clustered=True)[table]
+            progress.note(table, "f" if table in catch_ups else "s", written)
+            if after_table is not None:
+                after_table(copy, table)
         for _ in range(ROUNDS if callable(fence_lsn) else 0):
             if not any([catch_up.round(known) for catch_up in catch_ups.values()]):
                 break
         if catch_ups:
             fence = fence_lsn() if callable(fence_lsn) else fence_lsn
-            for catch_up in catch_ups.values():
+            for table, catch_up in catch_ups.items():
                 catch_up.last(fence)
-        copied, names = moves, []
-        for table in store.tables:
-            held = F.lit(copy)
-            if table in catch_ups:
-                copied = copied.join(catch_ups[table].held.withColumnRenamed("copy", f"copy_{table}"), "shard_no")
-                held = F.col(f"copy_{table}")
-            names += [F.lit(table), held]
-        copied = copied.select("shard_no", "from_island", "to_island", F.create_map(*names).alias("copies"))
-        ids = settle(_ids_after(store, moves, copy, id_columns)) if id_columns else None
+                progress.note(table, "s")
+        stats = _add_stats(store, moves, rows, copy, catch_ups)
+        copies = F.create_map(*[F.lit(x) for table in store.tables for x in (table, copy)])
+        copied = moves.withColumn("copies", copies)
+        for table, catch_up in catch_ups.items():
+            copied = copied.join(broadcast_within(catch_up.late()), "shard_no", "left")
+        # an entry for each table with changes behind the copy
+        entries = [F.when(F.col(f"late_{t}"), F.struct(F.lit(t), F.array(F.lit(copy)))) for t in catch_ups]
+        deltas = F.map_from_entries(F.array_compact(F.array(*entries))) if entries else F.lit(None)
+        copied = settle(copied.withColumn("deltas", deltas.cast("map<string,array<string>>")))
+        ids = settle(_ids_after(store, moves, copy, id_columns, catch_ups, stats)) if id_columns else None
         if before_commit is not None:
             before_commit(copy)
-        rows = settle(commit_move(store.registry(), copied, activate, at or datetime.now(timezone.utc)))
+
+        def publication(registry: DataFrame) -> DataFrame:
+            unchanged(registry, rows)
+            return settle(commit_move(registry, copied, activate, at or datetime.now(timezone.utc)))
+
+        store.commit(publication, {t: c.declared for t, c in catch_ups.items() if c.declared}, stats)
     except BaseException:
         # also when interrupted
         abort_move(store, copy)
         raise
-    store.publish(rows)
-    for table in catch_ups:
-        # copies that a later round replaced, named by no one
-        own = store.listed(table).filter(F.col("copy").isin(_copies(copy)))
-        store.delete_unnamed(own)
-        store.drop_log(table, copy)
+    for table, catch_up in catch_ups.items():
+        # changes that are part of the copy
+        store.drop_log(table, copy, None if catch_up.late().first() is None else catch_up.seen)
+    store.unmark(copy)
     return ids
 
 
-class _CatchUp:
-    """A table's copy in a move and the changes merged into it, round by round.
+class _Progress:
+    """What a running move has done, with the mark that it runs."""
+
+    def __init__(self, store: ShardStore, copy: str, shards: list[int], islands: list[int]):
+        self.store, self.copy = store, copy
+        self.state = {"shards": shards, "islands": islands, "tables": {t: {"state": "i", "rows": 0} for t in store.tables}}
+        self._save()
+
+    def note(self, table: str, state: str, rows: int | None = None) -> None:
+        self.state["tables"][table]["state"] = state
+        if rows is not None:
+            self.state["tables"][table]["rows"] = rows
+        self._save()
 
-    `held` (shard_no, copy) tells which copy holds a shard's rows now.
+    def _save(self) -> None:
+        self.store.mark(self.copy, json.dumps(self.state))
+
+
+def move_progress(store: ShardStore, copy: str) -> DataFrame:
+    """Progress of a running move, as backfill_progress gives it: nothing is counted again.
+
+    Rows to copy come from the statistics of the shards' copies, rows copied from what each table's writing job has counted.
     """
+    spark, state = store.spark, store.running()[copy]
+    places = spark.createDataFrame(list(zip(state["shards"], state["islands"])), "shard_no int, island_no int")
+    own = store.statistics().join(broadcast_within(places), ["shard_no", "island_no"], "left_semi")
+    src = own.groupBy("table").agg(F.sum("rows").alias("rows"))
+    tables = state["tables"].items()
+    dst = spark.createDataFrame([(t, s["rows"]) for t, s in tables], "table string, rows bigint")
+    states = spark.createDataFrame([(t, s["state"]) for t, s in tables], "table string, state string")
+    return backfill_progress(src, dst, states)
 
-    def __init__(self, store: ShardStore, table: str, source: ChangeSource, moves: DataFrame, copy: str):
-        self.store, self.table, self.source, self.moves, self.copy = store, table, source, moves, copy
-        self.log, self.stream = (f"{store.root}/{folder}/{table}/{copy}" for folder in ("_changes", "_streams"))
-        self.seen, self.rounds = -1, 0
-        self.held = moves.select("shard_no", F.lit(copy).alias("copy"))
-        self._widen()
 
-    def _widen(self) -> None:
-        """Declare columns that changes bring; a type that differs from the declared one is refused."""
+class _CatchUp:
+    """A table's copy in a move, and the log of changes that go with it.
+
+    Changes of batches up to `seen` are part of the copy. `declared` holds the table's columns if the changes bring new ones.
+    """
+
+    def __init__(self, store: ShardStore, table: str, source: ChangeSource, moves: DataFrame, rows: list[Row], copy: str):
+        self.store, self.table, self.source, self.moves, self.rows, self.copy = store, table, source, moves, rows, copy
+        self.log = f"{store.root}/_changes/{table}/log={copy}"
+        self.stream = f"{store.root}/_streams/{table}/{copy}"
+        self.seen, self.logged = -1, -1
+        self.schema = self._widened()
+        self.declared = None
+        if self.schema != store.declared(table):
+            self.declared = {"schema": self.schema.jsonValue()}
+
+    def _widened(self) -> T.StructType:
+        """Columns with those that changes bring; a type that differs from the declared one is refused."""
         declared = self.store.declared(self.table)
         types = {f.name: f.dataType for f in declared}
         payload = self.source.written.schema["payload"].dataType
         other = [f.name for f in payload if f.name in types and types[f.name] != f.dataType]
         if other:
             raise ValueError(f"changes have other types than rows: {', '.join(other)}")
-        new = [f for f in payload if f.name not in types]
-        if new:
-            self.store.declare(self.table, T.StructType([*declared, *new]))
+        lost = set(types) - set(payload.names) - {*self.source.keys}
+        if lost:
+            raise ValueError(f"changes and rows differ in columns: {', '.join(sorted(lost))}")
+        new = [T.StructField(f.name, f.dataType) for f in payload if f.name not in types]
+        return T.StructType([*declared, *new])
 
-    def _logged(self, fence: int | None) -> DataFrame:
+    def _catch_up(self, fence: int | None) -> DataFrame:
         """Log what has come, up to the fence if it is known."""
         source = self.source
         return log_now(
             source.feed, source.written, self.log, self.stream, source.keys, self.moves, source.snapshot_lsn, fence
         )
 
-    def first(self, fence: int | None) -> None:
-        """The copy itself, with the changes that are there."""
-        log = self._logged(fence)
-        base = moved_rows(self.store.table(self.table), self.moves, self.copy).drop("copy", "island_no")
-        self._write(base, log, self.moves, self.copy)
-        self.seen = _last_batch(log)
+    def first(self, fence: int | None) -> int:
+        """The copy itself, with the changes that are there; returns its rows."""
+        log = self._catch_up(fence)
+        base = moved_rows(self.store.rows_of(self.table, self.rows, self.schema), self.moves, self.copy).drop("copy", "island_no")
+        islands = broadcast_within(self.moves.select("shard_no", F.col("to_island").alias("island_no")))
+        merged = merge_changes(base, log.drop("batch"), self.source.keys).join(islands, "shard_no")
+        written = _write(merged.withColumn("copy", F.lit(self.copy)), f"{self.store.root}/{self.table}", True)
+        self.seen = self.logged = _last_batch(log)
+        return written
 
     def round(self, fence: int | None) -> bool:
-        """Merge changes that came since; False if there are none."""
-        return self._merge(self._logged(fence))
+        """Log changes that came since; False if there are none."""
+        before, self.logged = self.logged, _last_batch(self._catch_up(fence))
+        return self.logged > before
 
     def last(self, fence: int) -> None:
         source = self.source
@@ -432,67 +313,105 @@ class _CatchUp:
         beyond = log.agg(F.max("lsn")).first()[0]
         if beyond is not None and beyond > fence:
             raise RuntimeError(f"position {beyond} lies behind the fence and is copied already")
-        self._merge(log)
-
-    def _merge(self, log: DataFrame) -> bool:
-        late = settle(log.filter(F.col("batch") > self.seen).select("shard_no").distinct())
-        self.seen = max(self.seen, _last_batch(log))
-        if late.first() is None:
-            return False
-        self.rounds += 1
-        name = f"{self.copy}-{self.rounds}"
-        own = broadcast_within(self.held.join(late, "shard_no", "left_semi"))
-        base = self.store.stored(self.table).join(own, ["shard_no", "copy"], "left_semi").drop("copy", "island_no")
-        # a key's last change replaces its row, also where an earlier round did so
-        self._write(base, log.join(broadcast_within(late), "shard_no", "left_semi"), self.moves, name)
-        again = late.withColumn("later", F.lit(name))
-        self.held = settle(
-            self.held.join(again, "shard_no", "left").select("shard_no", F.coalesce("later", "copy").alias("copy"))
-        )
-        return True
+        self._late = settle(log.filter(F.col("batch") > self.seen).select("shard_no").distinct())
 
-    def _write(self, base: DataFrame, log: DataFrame, moves: DataFrame, name: str) -> None:
-        islands = broadcast_within(moves.select("shard_no", F.col("to_island").alias("island_no")))
-        rows = merge_changes(base, log.drop("batch"), self.source.keys).join(islands, "shard_no")
-        write_layout(
-            rows.withColumn("copy", F.lit(name)), f"{self.store.root}/{self.table}", COPY_PARTITIONS, clustered=True
-        )
+    def late(self) -> DataFrame:
+        """Shards with changes that are not part of the copy."""
+        return self._late.withColumn(f"late_{self.table}", F.lit(True))
 
 
 def _last_batch(log: DataFrame) -> int:
     return log.agg(F.max("batch")).first()[0]
 
 
+def _add_stats(store: ShardStore, moves: DataFrame, rows: list[Row], copy: str, catch_ups: dict[str, _CatchUp]) -> list[str]:
+    """Parts with the statistics of a move's copies and logs; a copy without changes has those of the copies it was made of."""
+    islands = moves.select("shard_no", F.col("to_island").alias("island_no"))
+    found = []
+    for table in store.tables:
+        if table in catch_ups:
+            found.append(store.measured(table, [copy], catch_ups[table].schema))
+            found.append(store.measured_changes(table, copy, islands, catch_ups[table].seen))
+        elif any((r.deltas or {}).get(table) for r in rows):
+            found.append(store.measured(table, [copy]))
+        else:
+            found.append(store.inherited(table, copy, moves))
+    return [store.add_stats(part) for part in found]
+
+
 def move_in_batches(
-    store: ShardStore, moves: DataFrame, order: str = "move_no", batches: int = DEFAULT_BATCHES, **options
+    store: ShardStore,
+    moves: DataFrame,
+    order: str = "move_no",
+    batches: int = DEFAULT_BATCHES,
+    at_once: int = 1,
+    **options,
 ) -> None:
-    """Move shards in contiguous batches of an ordered list, each published on its own.
+    """Move shards in contiguous batches of an ordered list, each published on its own, `at_once` of them side by side.
 
-    A batch that fails is undone and ends the call; the ones before it stay moved.
+    A batch that fails is undone and ends the call: those that run beside it finish, later ones do not start, and
+    what is published stays moved.
     """
     whole = moves.withColumn("plan_id", F.lit("all"))
     batched = settle(split_into_batches(whole, [order], batches, ["plan_id"]))
-    for number in range(batches):
-        batch = batched.filter(F.col("batch") == number)
-        if batch.select("shard_no").first() is None:
-            break
-        move_shards(store, batch, **options)
-
-
-def _check_moves(moves: DataFrame, registry: DataFrame) -> None:
+    numbers = sorted(r.batch for r in batched.select("batch").distinct().collect())
+    if at_once == 1:
+        for number in numbers:
+            move_shards(store, batched.filter(F.col("batch") == number), **options)
+        return
+
+    @inheritable_thread_target(store.spark)
+    def move(number: int) -> None:
+        move_shards(store, batched.filter(F.col("batch") == number), **options)
+
+    with ThreadPoolExecutor(at_once) as pool:
+        running = [pool.submit(move, number) for number in numbers]
+        done, later = wait(running, return_when=FIRST_EXCEPTION)
+        for batch in later:
+            batch.cancel()
+    for batch in running:
+        if not batch.cancelled():
+            batch.result()
+
+
+def _check_moves(moves: DataFrame, registry: DataFrame) -> list[Row]:
+    """The current registry rows of the shards; those that cannot be moved fail."""
     twice = moves.groupBy("shard_no").count().filter(F.col("count") > 1).first()
     if twice is not None:
         raise ValueError(f"shard {twice.shard_no} is to be moved more than once")
     live = current_registry(registry).filter(F.col("status") == ACTIVE)
-    live = live.select("shard_no", F.col("island_no").alias("from_island"))
-    unknown = moves.join(live, ["shard_no", "from_island"], "left_anti").first()
-    if unknown is not None:
-        raise ValueError(f"shard {unknown.shard_no} is not active on island {unknown.from_island}")
+    places = moves.select("shard_no", F.col("from_island").alias("island_no"))
+    found = live.join(broadcast_within(places), ["shard_no", "island_no"], "left_semi").select(*REGISTRY_COLUMNS).collect()
+    known = {(r.shard_no, r.island_no) for r in found}
+    for r in places.collect():
+        if (r.shard_no, r.island_no) not in known:
+            raise ValueError(f"shard {r.shard_no} is not active on island {r.island_no}")
+    return found
 
 
-def _ids_after(store: ShardStore, moves: DataFrame, copy: str, id_columns: dict[str, str]) -> DataFrame:
-    """Only the islands that shards leave or come to are read, not the whole tables."""
+def _ids_after(
+    store: ShardStore,
+    moves: DataFrame,
+    copy: str,
+    id_columns: dict[str, str],
+    catch_ups: dict[str, _CatchUp],
+    stats: list[str],
+) -> DataFrame:
+    """From statistics where they have the ids; else rows are read, of the islands that shards leave or come to only."""
     islands = sorted({i for r in moves.select("from_island", "to_island").distinct().collect() for i in r})
+    if all(store.id_column(t) == c for t, c in id_columns.items()):
+        next_id = (F.coalesce(F.max("max_id"), F.lit(0)) + 1).alias("next_id")
+        name = F.col("table").alias("name")
+        wanted = F.col("table").isin(list(id_columns))
+        src = store.statistics().filter(wanted & F.col("island_no").isin(islands)).groupBy(name).agg(next_id)
+        dst = store.stats_of(stats).filter(wanted).groupBy(name).agg(next_id)
+        return advance_ids(src, dst)
     src = {t: store.table(t).filter(F.col("island_no").isin(islands)) for t in id_columns}
-    dst = {t: store.stored(t).filter(F.col("copy").isin(_copies(copy))) for t in id_columns}
+    dst = {}
+    for table, column in id_columns.items():
+        own = store.stored(table, [copy], catch_ups[table].schema if table in catch_ups else None).select(column)
+        if table in catch_ups:
+            log = store.changes(table, [copy])
+            own = own.unionByName(log.select(F.col(column if column in log.columns else f"payload.{column}").alias(column)))
+        dst[table] = own
     return advance_ids(next_ids(src, id_columns), next_ids(dst, id_columns))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shardkit.functions.numbers import leading_number, number_text, percent_text
+from shardkit.functions.numbers import leading_double, leading_number, number_text, percent_text
 
 
 def shard_share(weights: DataFrame) -> DataFrame:
@@ -32,31 +32,54 @@ def island_totals(weights: DataFrame) -> DataFrame:
 def other_totals(weights: DataFrame) -> DataFrame:
     """Per island and measure of its first shard: the sum of the leading numbers.
 
-    Zeros and text without a number do not count; with nothing left the total is null.
+    Zeros and text without a number do not count; with nothing left the total is null. Sums are exact up to 28 digits before
+    and 10 behind the point; where a number or the sum has more, it is a sum of doubles.
     """
     names = weights.groupBy("island_no").agg(F.min_by("other", "shard_no").alias("first"))
     names = names.select("island_no", F.explode(F.map_keys("first")).alias("measure"))
     numbers = (
         weights.select("island_no", F.explode("other").alias("measure", "text"))
-        .withColumn("number", leading_number(F.col("text")))
-        .filter(F.col("number") != 0)
-        .groupBy("island_no", "measure").agg(F.sum("number").alias("number"))
+        .select("island_no", "measure", leading_number(F.col("text")).alias("exact"), leading_double(F.col("text")).alias("near"))
+        .filter(F.col("near") != 0)
+        .groupBy("island_no", "measure").agg(
+            F.try_sum("exact").alias("number"),
+            F.sum("near").alias("near"),
+            # also numbers that the decimal rounds
+            F.bool_and(F.coalesce(F.col("exact").cast("double") == F.col("near"), F.lit(False))).alias("fits"),
+        )
     )
-    text = number_text(F.col("number"), T.DecimalType(38, 10))
+    exact = number_text(F.col("number"), T.DecimalType(38, 10))
+    near = number_text(F.col("near"), T.DoubleType())
+    text = F.when(F.col("fits") & F.col("number").isNotNull(), exact).otherwise(near)
     return names.join(numbers, ["island_no", "measure"], "left").select("island_no", "measure", text.alias("total"))
 
 
-def grand_total(weights: DataFrame, islands: DataFrame) -> DataFrame:
-    """One row: weight of everything, first unit there is, numbers of islands and shards."""
-    listed = islands.select("island_no").distinct().select(F.lit(1).alias("island"))
+def totals(weights: DataFrame, islands: DataFrame) -> DataFrame:
+    """island_totals and grand_total in one aggregation: a row per island with shards, and one of all (`is_total`), island_no null.
+
+    The unit of an island is that of its first shard, of all the first one there is. `islands` counts the listed ones.
+    """
+    listed = islands.select("island_no").distinct().select("island_no", F.lit(1).alias("listed"))
     rows = weights.select("island_no", "shard_no", "weight", "unit", F.lit(1).alias("shard"))
-    place = F.when(F.col("unit") != "", F.struct("island_no", "shard_no"))
-    return rows.unionByName(listed, allowMissingColumns=True).agg(
+    place = F.struct("island_no", "shard_no")
+    found = rows.unionByName(listed, allowMissingColumns=True).rollup("island_no").agg(
+        F.grouping("island_no").alias("all"),
         F.coalesce(F.sum("weight"), F.lit(0)).alias("weight"),
-        F.min_by(F.nullif(F.col("unit"), F.lit("")), place).alias("unit"),
-        F.count("island").alias("islands"),
+        F.min_by("unit", F.when(F.col("shard") == 1, place)).alias("first"),
+        F.min_by("unit", F.when(F.col("unit") != "", place)).alias("given"),
+        F.count("listed").alias("islands"),
         F.count("shard").alias("shards"),
     )
+    is_total = F.col("all") == 1
+    unit = F.when(is_total, F.col("given")).otherwise(F.col("first")).alias("unit")
+    return found.filter(is_total | (F.col("shards") > 0)).select(
+        "island_no", is_total.alias("is_total"), "weight", unit, "islands", "shards"
+    )
+
+
+def grand_total(weights: DataFrame, islands: DataFrame) -> DataFrame:
+    """One row: weight of everything, first unit there is, numbers of islands and shards."""
+    return totals(weights, islands).filter("is_total").select("weight", "unit", "islands", "shards")
 
 
 def island_share(placement: DataFrame, islands: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from shardkit.functions.numbers import number_text, parse_weight, weight_text
 # Name of a weight column without a name of its own.
 DEFAULT_WEIGHT_NAME = "Weight"
 UNNAMED_MARK = "?"
+# Bytes of a unit that sizes can be given in.
+SIZE_UNITS = {"B": 1, "kB": 1 << 10, "MB": 1 << 20, "GB": 1 << 30, "TB": 1 << 40}
 
 
 def row_bytes(schema: T.StructType) -> Column:
@@ -56,22 +58,29 @@ def stored_sizes(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def default_weights(sizes: DataFrame, active: DataFrame, key: str = "shard") -> DataFrame:
-    """Per active shard: size in whole megabytes with its unit, and the number of tables.
+def default_weights(sizes: DataFrame, active: DataFrame, key: str | list[str] = "shard", unit: str = "MB") -> DataFrame:
+    """Per active shard: size in whole megabytes, or another of SIZE_UNITS, with its unit, and the number of tables.
 
-    A shard without tables has no size (null) and 0 tables.
+    A shard without tables has no size (null) and 0 tables. With `key` (island_no, shard) the rows can feed a plan.
     """
-    mb = F.round(F.sum("bytes").cast("decimal(38,10)") / 1024 / 1024)
-    per_shard = sizes.groupBy(key).agg(
-        F.concat(mb.cast("decimal(38,0)").cast("string"), F.lit(" MB")).alias("Size"),
+    keys = [key] if isinstance(key, str) else key
+    whole = F.round(F.sum("bytes").cast("decimal(38,10)") / SIZE_UNITS[unit])
+    per_shard = sizes.groupBy(*keys).agg(
+        F.concat(whole.cast("decimal(38,0)").cast("string"), F.lit(f" {unit}")).alias("Size"),
         F.count_distinct("table").alias("Tables"),
     )
     return (
-        active.select(key).distinct().join(per_shard, key, "left")
-        .select(key, "Size", F.coalesce("Tables", F.lit(0)).alias("Tables"))
+        active.select(*keys).distinct().join(per_shard, keys, "left")
+        .select(*keys, "Size", F.coalesce("Tables", F.lit(0)).alias("Tables"))
     )
 
 
+def size_weights(sizes: DataFrame, active: DataFrame, unit: str = "MB", include_isolated_shard0: bool = True) -> DataFrame:
+    """Weight rows of the shards of all islands by their size: (island_no, shard, table, bytes) rows, active (island_no, shard)."""
+    keys = ["island_no", "shard"]
+    return _numbered(weight_rows(default_weights(sizes, active, keys, unit), keys), include_isolated_shard0)
+
+
 def custom_weights(df: DataFrame, aggs: list[Column], active: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """One row per active shard with the given aggregates over its rows; the first is the weight.
 
@@ -135,7 +144,10 @@ def island_weights(
     without a number are dropped, after they counted for isolation.
     """
     keys = ["island_no", "shard"]
-    rows = weight_rows(custom_weights(df, aggs, active, keys), keys)
+    return _numbered(weight_rows(custom_weights(df, aggs, active, keys), keys), include_isolated_shard0)
+
+
+def _numbered(rows: DataFrame, include_isolated_shard0: bool) -> DataFrame:
     rows = rows.withColumn("shard_no", shard_no(F.col("shard")))
     if not include_isolated_shard0:
         rows = drop_isolated_shard0(rows)

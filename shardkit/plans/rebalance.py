@@ -19,6 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shardkit.functions.names import shard_no
 from shardkit.limits import MAX_SHARDS
 from shardkit.operators.weights import drop_isolated_shard0
 from shardkit.plans.greedy import KERNEL_COLUMNS, RESULT_SCHEMA, balance_kernel
@@ -35,16 +36,25 @@ Decommission = Sequence[int] | DataFrame
 _SOURCE_ORDER = ["from_ord", "shard_ord"]
 
 
-def plan_inputs(weights: DataFrame, sources: DataFrame, plan_id: str = "all") -> tuple[DataFrame, DataFrame]:
+def plan_inputs(
+    weights: DataFrame, sources: DataFrame, plan_id: str = "all", active: DataFrame | None = None, pin_shard0: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """One plan's (placement, islands) from weight rows (island_no, shard_no, weight).
 
     sources: (island_no, name) in the order of island_no. Islands that hold nothing
-    but the global shard 0 take no part, neither as source nor as target.
+    but the global shard 0 take no part, neither as source nor as target. What an island holds is told by
+    `active` (island_no, shard), also by labels without a number, which have no weight; else by the weights. With
+    `pin_shard0` shard 0 stays where it is, also on islands that take part, and its weight does not count.
     """
     # a few rows per shard; the tables they were computed from are read once
     weights = settle(weights.select("island_no", "shard_no", "weight"))
-    rest = drop_isolated_shard0(weights)
-    isolated = weights.join(rest, "island_no", "left_anti")
+    held = weights if active is None else settle(active.select("island_no", shard_no(F.col("shard")).alias("shard_no")))
+    # a label without a number is one more
+    held = held.select("island_no", F.coalesce("shard_no", F.lit(MAX_SHARDS)).alias("shard_no"))
+    isolated = held.join(drop_isolated_shard0(held), "island_no", "left_anti").select("island_no").distinct()
+    rest = weights.join(isolated, "island_no", "left_anti")
+    if pin_shard0:
+        rest = rest.filter(F.col("shard_no") != 0)
     number = F.col("island_no").cast("int")
     islands = sources.join(isolated, "island_no", "left_anti").select(
         F.lit(plan_id).alias("plan_id"), number.alias("island_no"), number.alias("island_ord")

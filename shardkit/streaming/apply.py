@@ -2,8 +2,8 @@
 
 Changes are rows (shard_no, op, lsn, <key columns>, payload STRUCT). They are
 not applied to the copy one micro-batch at a time, which would rewrite it over
-and over. Each micro-batch appends its latest change per key to a log, and the
-log is merged with the copy once, at the fence. The latest change of a key is
+and over. Each micro-batch appends its latest change per key to a log, sorted by shard and key. The
+log is merged with the copy when that is written, or when it is read. The latest change of a key is
 the one of the highest lsn in the whole log, so replayed and out-of-order files
 are harmless; changes at or below the snapshot's lsn are left out.
 """
@@ -47,7 +47,8 @@ def apply_changes(
         feed = feed.join(broadcast_within(shards.select("shard_no").distinct()), "shard_no", "left_semi")
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        latest_changes(batch, keys).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+        latest = latest_changes(batch, keys).sortWithinPartitions("shard_no", *keys)
+        latest.write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
 
     writer = feed.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -89,9 +90,14 @@ def merge_changes(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataF
     if given != wanted:
         raise ValueError(f"changes and rows differ in columns: {', '.join(sorted(given ^ wanted))}")
     latest = kept_rows(latest_changes(changes, keys), "latest-changes")
+    return with_changes(base, latest, keys, fits(latest.select("shard_no", *keys)))
+
+
+def with_changes(base: DataFrame, latest: DataFrame, keys: list[str], few: bool) -> DataFrame:
+    """Rows after the latest change of each key. `few` changes are broadcast, which the caller has counted."""
     on = ["shard_no", *keys]
     touched = latest.select(*on)
-    if fits(touched):
+    if few:
         kept = base.join(F.broadcast(touched), on, "left_anti")
     else:
         kept = base.join(touched, on, "left_anti").hint("rebalance", "shard_no")

@@ -1,0 +1,460 @@
+"""Changes beside copies, commits side by side, statistics, progress, positions per key."""
+
+import random
+import threading
+from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from shardkit.operators import relocate, store as stores
+from shardkit.operators.relocate import MoveConflict
+from shardkit.plans import rebalance as plan
+from shardkit.session import scratch_path
+from shardkit.sources.changes import change_feed
+from shardkit.sources.commits import CommitLog, put_if_absent
+from shardkit.streaming.positions import PositionedTable
+from tests.test_relocate import CHANGE, MOVES, content, copies, files, leftovers, states, store_of, write_changes
+
+
+def moves_of(spark, *rows):
+    return spark.createDataFrame(list(rows), MOVES)
+
+
+def growing(spark, path, early):
+    """A source whose feed has `early` now, and a fence that adds later rows."""
+    write_changes(spark, path, early)
+    source = relocate.ChangeSource(change_feed(spark, path, CHANGE), spark.read.schema(CHANGE).parquet(path), ["key"], snapshot_lsn=0)
+
+    def fence(rows, lsn):
+        def call():
+            write_changes(spark, path, rows)
+            source.written = spark.read.schema(CHANGE).parquet(path)
+            return lsn
+
+        return call
+
+    return source, fence
+
+
+EARLY = [(1, "U", 0, 0, ("early",)), (2, "U", 1, 1, ("early",))]
+LATE = [(3, "U", 0, 0, ("late",)), (4, "D", 0, 4, None), (5, "I", 0, 1000, ("born",))]
+
+
+def layered(spark, rows=400):
+    """A store whose shards 0 and 1 were moved, with changes of shard 0 beside its copy."""
+    store = store_of(spark, rows=rows)
+    source, fence = growing(spark, scratch_path(spark, "feed"), EARLY)
+    relocate.move_shards(store, moves_of(spark, (0, 0, 1), (1, 0, 2)), {"data": source}, fence(LATE, 5))
+    return store
+
+
+def values(store, condition="true"):
+    return {r.key: (r.island_no, r.v) for r in store.table("data").filter(condition).collect()}
+
+
+def paths(store):
+    root = Path(store.root.removeprefix("file:"))
+    return {str(p.relative_to(root)): p.stat().st_size for p in root.rglob("*.parquet")}
+
+
+# changes beside copies
+
+
+def test_late_changes_stay_beside_the_copy(spark):
+    store = layered(spark)
+    got = values(store, "shard_no < 2")
+    assert got[0] == (1, "late") and got[1] == (2, "early") and got[1000] == (1, "born") and 4 not in got and len(got) == 200
+    assert len(copies(store)) == 2
+    deltas = {r.shard_no: r.deltas for r in store.registry_now("active").collect()}
+    [moved] = copies(store) - {"c-first"}
+    assert deltas[0] == {"data": [moved]} and not deltas[1] and not deltas[2]
+    # the batches that went into the copy are gone, and so is the stream's state
+    assert leftovers(store) == {("_changes", "data")}
+    assert {r.lsn for r in store.changes("data", [moved]).collect()} == {3, 4, 5}
+
+
+def test_filters_reach_the_scan_of_copies(spark):
+    store = layered(spark)
+    rows = store.table("data").filter("shard_no = 3")
+    assert all("shard_no=3" in f for f in rows.inputFiles() if "/data/" in f) or rows.count() == 100
+    assert {r.shard_no for r in rows.collect()} == {3}
+
+
+def behind_the_fence(spark, rows, shards=4):
+    store = store_of(spark, shards=shards, rows=rows)
+    source, fence = growing(spark, scratch_path(spark, "feed"), EARLY)
+    before = {}
+
+    def look():
+        lsn = fence(LATE, 5)()
+        before.update(paths(store))
+        return lsn
+
+    relocate.move_shards(store, moves_of(spark, (0, 0, 1)), {"data": source}, look)
+    return {p: n for p, n in paths(store).items() if p not in before}
+
+
+def test_what_is_written_behind_the_fence_depends_on_late_changes(spark):
+    """Not on the shard: a hundred times the rows, the same bytes, and no file of the table."""
+    small, large = behind_the_fence(spark, 400), behind_the_fence(spark, 40_000)
+    for written in (small, large):
+        assert not any(p.startswith(("data/", "notes/")) for p in written)
+    of_changes = [sum(n for p, n in written.items() if p.startswith("_changes")) for written in (small, large)]
+    assert of_changes[0] == of_changes[1] > 0
+    assert abs(sum(large.values()) - sum(small.values())) < 2000
+
+
+def test_a_later_move_makes_changes_part_of_the_copy(spark):
+    store = layered(spark)
+    before = values(store)
+    relocate.move_shards(store, moves_of(spark, (0, 1, 0)))
+    assert values(store) == {k: (0, v) if k % 4 == 0 or k == 1000 else (i, v) for k, (i, v) in before.items()}
+    assert not any(r.deltas for r in store.registry_now("active").collect())
+    store.cleanup()
+    assert leftovers(store) == set() and values(store)[1000] == (0, "born")
+
+
+def test_changes_of_several_moves(spark):
+    """Two logs of one shard: the second move folds the first log, and has changes of its own beside the copy."""
+    store = layered(spark)
+    source, fence = growing(spark, scratch_path(spark, "feed"), [(6, "U", 0, 8, ("six",))])
+    source.snapshot_lsn = 5
+    relocate.move_shards(store, moves_of(spark, (0, 1, 0)), {"data": source}, fence([(7, "U", 0, 0, ("seven",)), (8, "D", 0, 1000, None)], 8))
+    got = values(store, "shard_no = 0")
+    assert got[8] == (0, "six") and got[0] == (0, "seven") and 1000 not in got and 4 not in got and len(got) == 99
+
+
+def test_compaction(spark):
+    store = layered(spark)
+    before = values(store)
+    assert store.compact("data", least_changes=4) == [] and store.compact("data") == [0] and store.compact("data") == []
+    assert values(store) == before and not any(r.deltas for r in store.registry_now("active").collect())
+    store.cleanup()
+    assert leftovers(store) == set() and values(store) == before
+    assert {(r.shard_no, r.delta_changes) for r in store.statistics().collect()} == {(n, 0) for n in range(4)}
+
+
+def test_compaction_of_a_shard_that_moves_meanwhile(spark, monkeypatch):
+    store = layered(spark)
+    measured = store.measured
+
+    def move_first(*args):
+        monkeypatch.undo()
+        relocate.move_shards(store, moves_of(spark, (0, 1, 0)))
+        return measured(*args)
+
+    monkeypatch.setattr(store, "measured", move_first)
+    with pytest.raises(MoveConflict, match="shard 0 on island 1"):
+        store.compact("data")
+    assert values(store)[1000] == (0, "born") and store.running() == {}
+
+
+def test_many_named_shards_are_read_by_copies(spark, monkeypatch):
+    monkeypatch.setattr(stores, "MOST_NAMED", 1)
+    store = layered(spark)
+    got = values(store)
+    assert len(got) == 400 and got[0] == (1, "late") and got[2] == (1, "old")
+
+
+def test_no_listing_of_whole_tables_in_a_move(spark, monkeypatch):
+    store = store_of(spark)
+    source, fence = growing(spark, scratch_path(spark, "feed"), EARLY)
+    monkeypatch.setattr(store, "stored", lambda table, copies=None, schema=None: _only(copies, relocate.ShardStore.stored(store, table, copies, schema)))
+    monkeypatch.setattr(store, "listed", lambda *t, copies=None: _only(copies, relocate.ShardStore.listed(store, *t, copies=copies)))
+    relocate.move_shards(store, moves_of(spark, (0, 0, 1)), {"data": source}, fence(LATE, 5), id_columns={"data": "key"})
+
+
+def _only(copies, found):
+    assert copies is not None
+    return found
+
+
+# columns
+
+
+def test_columns_are_declared_with_the_publication(spark):
+    """A move with a new column that fails leaves the columns as they were."""
+    store = store_of(spark)
+    path = scratch_path(spark, "feed")
+    wide = "lsn bigint, op string, shard_no int, key bigint, payload struct<v: string, w: int>"
+    spark.createDataFrame([(1, "U", 0, 0, ("new", 7))], wide).write.parquet(path)
+    source = lambda: relocate.ChangeSource(change_feed(spark, path, wide), spark.read.schema(wide).parquet(path), ["key"], 0)
+
+    def fail(_):
+        raise KeyError("stop")
+
+    with pytest.raises(KeyError):
+        relocate.move_shards(store, moves_of(spark, (0, 0, 1)), {"data": source()}, 1, before_commit=fail)
+    assert store.declared("data").names == ["key", "v"]
+    relocate.move_shards(store, moves_of(spark, (0, 0, 1)), {"data": source()}, 1)
+    assert store.declared("data").names == ["key", "v", "w"]
+    assert {r.key: r.w for r in store.table("data").filter("w is not null").collect()} == {0: 7}
+
+
+# commits side by side
+
+
+def test_versions_are_given_once(spark):
+    path = scratch_path(spark, "versions")
+    assert put_if_absent(spark, f"{path}/x", "one") and not put_if_absent(spark, f"{path}/x", "two")
+    log = CommitLog(spark, f"{path}/log")
+
+    def work(writer):
+        return [log.commit(lambda _, c: {"seen": [*c.get("seen", []), f"{writer}-{i}"]}) for i in range(5)]
+
+    with ThreadPoolExecutor(6) as pool:
+        given = [n for numbers in pool.map(work, range(6)) for n in numbers]
+    assert sorted(given) == list(range(1, 31))
+    assert sorted(log.head()[1]["seen"]) == sorted(f"{w}-{i}" for w in range(6) for i in range(5))
+
+
+def move_side_by_side(store, first, second):
+    """Both moves reach their commits at the same time; returns what each raised."""
+    gate = threading.Barrier(2, timeout=120)
+
+    def move(moves):
+        try:
+            relocate.move_shards(store, moves, before_commit=lambda _: gate.wait() and None)
+        except Exception as error:
+            return error
+
+    with ThreadPoolExecutor(2) as pool:
+        return list(pool.map(move, [first, second]))
+
+
+def test_movers_of_different_shards_both_land(spark):
+    store = store_of(spark)
+    before = content(store)
+    assert move_side_by_side(store, moves_of(spark, (0, 0, 1)), moves_of(spark, (1, 0, 2), (3, 1, 0))) == [None, None]
+    target = {0: 1, 1: 2, 3: 0}
+    assert content(store) == sorted((target.get(s, i), s, k) for i, s, k in before)
+    assert store.running() == {} and leftovers(store) == set()
+
+
+def test_of_movers_of_one_shard_one_fails_and_leaves_nothing(spark):
+    store = store_of(spark)
+    before = content(store)
+    errors = move_side_by_side(store, moves_of(spark, (0, 0, 1), (2, 1, 0)), moves_of(spark, (1, 0, 2), (0, 0, 2)))
+    [failed] = [e for e in errors if e is not None]
+    assert isinstance(failed, MoveConflict) and "shard 0 on island 0" in str(failed)
+    target = {0: 1, 2: 0} if errors[0] is None else {0: 2, 1: 2}
+    assert content(store) == sorted((target.get(s, i), s, k) for i, s, k in before)
+    assert store.running() == {} and leftovers(store) == set()
+
+
+def test_status_changes_beside_a_move(spark):
+    store = store_of(spark)
+    relocate.move_shards(store, moves_of(spark, (0, 0, 1)), before_commit=lambda _: store.deactivate(0, 1) and None)
+    assert states(store)[(0, "sh0001")] == "inactive" and states(store)[(1, "sh0000")] == "active"
+    with pytest.raises(MoveConflict):
+        relocate.move_shards(store, moves_of(spark, (2, 1, 0)), before_commit=lambda _: store.deactivate(1, 2) and None)
+
+
+def test_cleanup_beside_a_move(spark):
+    """What a running move has written stays; what a dead one has left goes when it is ended."""
+    store = store_of(spark)
+    source, fence = growing(spark, scratch_path(spark, "feed"), EARLY)
+    relocate.move_shards(store, moves_of(spark, (3, 1, 0)))
+    relocate.move_shards(store, moves_of(spark, (0, 0, 1)), {"data": source}, fence(LATE, 5), before_commit=lambda _: store.cleanup() and None)
+    assert values(store)[1000] == (1, "born") and not any("old" in label for i, label in states(store) if label.startswith("sh0003"))
+    store.mark("c-dead")
+    store.table("data").withColumn("copy", F.lit("c-dead")).write.partitionBy("copy", "island_no", "shard_no").mode("append").parquet(f"{store.root}/data")
+    store.cleanup()
+    assert "c-dead" in copies(store)
+    relocate.abort_move(store, "c-dead")
+    assert "c-dead" not in copies(store) and store.running() == {}
+
+
+def test_batches_side_by_side(spark):
+    store = store_of(spark, shards=6, rows=60)
+    rows = [(n, n, n // 2, 2 - n // 2) for n in (0, 1, 4, 5)]
+    moves = spark.createDataFrame(rows, f"move_no int, {MOVES}")
+    relocate.move_in_batches(store, moves, batches=4, at_once=4)
+    assert {(i, s) for i, s, _ in content(store)} == {(2, 0), (2, 1), (1, 2), (1, 3), (0, 4), (0, 5)}
+    bad = spark.createDataFrame([(0, 0, 2, 0), (1, 9, 0, 1)], f"move_no int, {MOVES}")
+    with pytest.raises(ValueError, match="shard 9 is not active"):
+        relocate.move_in_batches(store, bad, batches=2, at_once=2)
+    assert store.running() == {}
+
+
+def test_the_registry_is_written_anew_now_and_then(spark, monkeypatch):
+    monkeypatch.setattr(stores, "MOST_PARTS", 3)
+    store = store_of(spark)
+    for i, j in ((0, 1), (1, 2), (2, 0), (0, 1), (1, 0)):
+        relocate.move_shards(store, moves_of(spark, (0, i, j)))
+        assert len(store.log.head()[1]["parts"]) <= 3 and len(store.log.head()[1]["stats"]) <= 4
+    assert states(store)[(0, "sh0000")] == "active" and len(content(store)) == 400
+    again = relocate.ShardStore(spark, store.root)
+    assert again.tables == ["data", "notes"] and content(again) == content(store)
+    sizes = {(r.island_no, r.shard_no, r.table): r.bytes for r in store.sizes().collect()}
+    assert sizes == {(r.island_no, r.shard_no, r.table): r.bytes for r in store.statistics().collect()}
+
+
+# statistics and progress
+
+
+def test_statistics_equal_sizes(spark):
+    def both(store):
+        sizes = {(r.island_no, r.shard_no, r.table): r.bytes for r in store.sizes().collect()}
+        assert sizes == {(r.island_no, r.shard_no, r.table): r.bytes for r in store.statistics().collect()}
+        counted = store.table("data").groupBy("island_no", "shard_no").agg(
+            F.count(F.lit(1)).alias("rows"), (F.sum(F.octet_length("v")) + 8 * F.count("key")).alias("bytes"), F.max("key").alias("last")
+        )
+        return {tuple(r) for r in counted.collect()}
+
+    def told(store):
+        rows = store.statistics().filter("table = 'data'").select("island_no", "shard_no", "rows", "value_bytes", "max_id")
+        return {tuple(r) for r in rows.collect()}
+
+    data = spark.range(300).select((F.col("id") % 3).cast("int").alias("shard_no"), F.col("id").alias("key"), F.lit("old").alias("v"))
+    places = spark.createDataFrame([(0, 0), (1, 0), (2, 1)], "shard_no int, island_no int")
+    store = relocate.ShardStore.create(spark, scratch_path(spark, "store"), {"data": data}, places, {"data": "key"})
+    assert both(store) == told(store)
+    relocate.move_shards(store, moves_of(spark, (0, 0, 1)))
+    assert both(store) == told(store)
+    relocate.move_shards(store, moves_of(spark, (2, 1, 0)), activate=False)
+    assert both(store) == told(store)
+    source, fence = growing(spark, scratch_path(spark, "feed"), [(1, "I", 0, 3000, ("longer",)), (1, "D", 0, 0, None)])
+    ids = relocate.move_shards(store, moves_of(spark, (0, 1, 0)), {"data": source}, fence([(2, "I", 0, 6000, ("late",))], 2), id_columns={"data": "key"})
+    assert [r.next_id for r in ids.collect()] == [7001]
+    [own] = store.statistics().filter("shard_no = 0").collect()
+    assert (own["rows"], own.max_id, own.delta_changes, own.island_no) == (100, 6000, 1, 0)
+    store.compact("data")
+    assert both(store) == told(store)
+
+
+def test_progress_of_a_move_that_stops(spark):
+    store = store_of(spark)
+    seen = {}
+
+    def look(copy, table):
+        seen[table] = {r.table: tuple(r)[1:] for r in relocate.move_progress(store, copy).collect()}
+        if table == "notes":
+            raise KeyError("stop")
+
+    with pytest.raises(KeyError):
+        relocate.move_shards(store, moves_of(spark, (0, 0, 1), (1, 0, 1)), after_table=look)
+    assert seen["data"] == {"data": ("synchronized", 100, 200, 200), "notes": ("initializing", 0, 0, 4)}
+    assert seen["notes"]["notes"] == ("synchronized", 100, 4, 4)
+    assert store.running() == {} and leftovers(store) == set()
+
+
+def test_inputs_of_plans(spark):
+    """Labels without a number count for what an island holds; shard 0 may be pinned."""
+    weights = spark.createDataFrame([(0, 0, 5), (1, 0, 7), (1, 1, 10), (2, 0, 1)], "island_no int, shard_no int, weight bigint")
+    active = spark.createDataFrame([(0, "sh0000"), (0, "extra"), (1, "sh0000"), (1, "sh0001"), (2, "sh0000")], "island_no int, shard string")
+    sources = spark.createDataFrame([(n, f"db{n}") for n in range(4)], "island_no int, name string")
+
+    def inputs(**options):
+        placement, islands = plan.plan_inputs(weights, sources, **options)
+        return sorted((r.island_no, r.shard_no) for r in placement.collect()), sorted(r.island_no for r in islands.collect())
+
+    assert inputs() == ([(1, 0), (1, 1)], [1, 3])
+    assert inputs(active=active) == ([(0, 0), (1, 0), (1, 1)], [0, 1, 3])
+    assert inputs(active=active, pin_shard0=True) == ([(1, 1)], [0, 1, 3])
+
+
+# positions per key
+
+
+def table_of(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def replayed(changes, base):
+    """The last change of each key, by lsn."""
+    state = {(s, k): (v, -1) for s, k, v in base}
+    for lsn, op, shard, key, payload in sorted(changes):
+        state[shard, key] = (payload[0] if op != "D" else None, lsn)
+    return sorted((s, k, v) for (s, k), (v, _) in state.items() if v is not None)
+
+
+def random_changes(n, seed):
+    rng = random.Random(seed)
+    rows = []
+    for lsn in range(1, n + 1):
+        key, op = rng.randrange(30), rng.choice("IUUD")
+        rows.append((lsn, op, key % 3, key, None if op == "D" else (f"v{lsn}",)))
+    return rows
+
+
+BASE = [(k % 3, k, "old") for k in range(0, 30, 2)]
+
+
+def positioned(spark):
+    rows = spark.createDataFrame(BASE, "shard_no int, key bigint, v string")
+    return PositionedTable.create(spark, scratch_path(spark, "table"), rows, ["key"])
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_shuffled_and_doubled_feeds_equal_the_ordered_one(spark, seed):
+    changes = random_changes(120, seed)
+    table, path = positioned(spark), scratch_path(spark, "feed")
+    doubled = changes + changes
+    random.Random(seed).shuffle(doubled)
+    for i in range(0, len(doubled), 40):
+        write_changes(spark, path, doubled[i : i + 40])
+    for _ in range(2):  # and once more from the start, as another stream
+        table.apply(change_feed(spark, path, CHANGE, max_files=1), f"s{_}").awaitTermination()
+        assert table_of(table.rows()) == replayed(changes, BASE)
+        table.compact()
+        assert table_of(table.rows()) == replayed(changes, BASE)
+    told = {(r.shard_no, r.key): (r.lsn, r.deleted) for r in table.positions().collect()}
+    last = {(s, k): (lsn, op == "D") for lsn, op, s, k, _ in changes}
+    assert told == {(s, k): (None, False) for s, k, _ in BASE} | last
+
+
+def test_an_older_insert_does_not_bring_a_row_back(spark):
+    table, path = positioned(spark), scratch_path(spark, "feed")
+    feed = lambda: change_feed(spark, path, CHANGE)
+    write_changes(spark, path, [(9, "D", 0, 0, None), (8, "U", 1, 4, ("eight",))])
+    table.apply(feed(), "a").awaitTermination()
+    table.compact()
+    write_changes(spark, path, [(5, "I", 0, 0, ("older",)), (7, "U", 1, 4, ("older",))])
+    table.apply(feed(), "a").awaitTermination()
+    got = {r.key: r.v for r in table.rows().collect()}
+    assert 0 not in got and got[4] == "eight"
+    table.compact(forget_through=9)
+    assert not any(r.deleted for r in table.positions().collect())
+
+
+def test_a_copy_goes_on_without_a_common_position(spark):
+    """Made in the middle of a stream, of some shards; the whole stream, from its start, is then applied to it."""
+    changes = random_changes(90, 3)
+    table, path, whole = positioned(spark), scratch_path(spark, "feed"), scratch_path(spark, "whole")
+    write_changes(spark, path, changes[:50:2])
+    table.apply(change_feed(spark, path, CHANGE), "a").awaitTermination()
+    some = spark.createDataFrame([(0,), (2,)], "shard_no int")
+    copy = table.copy_to(scratch_path(spark, "copy"), some)
+    write_changes(spark, whole, changes)
+    copy.apply(change_feed(spark, whole, CHANGE), "b", some).awaitTermination()
+    assert table_of(copy.rows()) == [r for r in replayed(changes, BASE) if r[0] != 1]
+    with pytest.raises(ValueError, match="already"):
+        table.copy_to(copy.root)
+
+
+def test_rows_with_positions_and_tombstones_at_the_start(spark):
+    rows = spark.createDataFrame([(0, 1, "a", 5), (0, 2, "b", None)], "shard_no int, key bigint, v string, seen bigint")
+    dead = spark.createDataFrame([(0, 3, 7)], "shard_no int, key bigint, lsn bigint")
+    table = PositionedTable.create(spark, scratch_path(spark, "table"), rows, ["key"], "seen", dead)
+    path = scratch_path(spark, "feed")
+    write_changes(spark, path, [(4, "U", 0, 1, ("older",)), (4, "U", 0, 2, ("new",)), (6, "I", 0, 3, ("older",)), (8, "I", 0, 4, ("born",))])
+    table.apply(change_feed(spark, path, CHANGE), "a").awaitTermination()
+    assert table_of(table.rows()) == [(0, 1, "a"), (0, 2, "new"), (0, 4, "born")]
+    wide = "lsn bigint, op string, shard_no int, key bigint, payload struct<v: string, w: int>"
+    with pytest.raises(ValueError, match="differ in columns: w"):
+        table.apply(spark.readStream.schema(wide).parquet(path), "b")
+
+
+def test_compactions_side_by_side(spark, monkeypatch):
+    table, path = positioned(spark), scratch_path(spark, "feed")
+    write_changes(spark, path, [(1, "U", 0, 0, ("new",))])
+    table.apply(change_feed(spark, path, CHANGE), "a").awaitTermination()
+    other = PositionedTable(spark, table.root)
+    merged = table._merged
+    monkeypatch.setattr(table, "_merged", lambda: (merged(), other.compact())[0])
+    with pytest.raises(Exception, match="meanwhile|does not exist|PATH_NOT_FOUND|FILE_NOT_EXIST"):
+        table.compact()
+    assert {r.key: r.v for r in other.rows().collect()}[0] == "new"
