@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from queries.fixtures import ORDERS, PARTIES, cents, customers, labels, nations, orders, sql_label, suppliers, table
 from shardkit.functions import names
 from shardkit.operators import federate
+from shardkit.operators.catalog import ColumnCatalog
 from shardkit.session import scratch_path
 from shardkit.sources import layout, mounts
 
@@ -132,6 +133,29 @@ def refresh_if_changed(spark: SparkSession, sf: str) -> DataFrame:
     return federate.changed_tables(columns, manifest)
 
 
+def refresh_unions(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers and suppliers are written by nation; then some nations' suppliers anew, with a wider key and one more column.
+
+    The union of each table as it was rebuilt last, in the first refresh or the second.
+    """
+    path = scratch_path(spark, "parties")
+    catalog = ColumnCatalog(spark, scratch_path(spark, "catalog"))
+    parties = {"customer": customers(spark, sf).drop("shard"), "supplier": suppliers(spark, sf).drop("shard", "name")}
+    parties["supplier"] = parties["supplier"].withColumn("id", F.col("id").cast("int"))
+    for name, df in parties.items():
+        catalog.write(name, df, path)
+    unions = {}
+    _, manifest = catalog.refresh(path, federate.fingerprints(catalog.columns()).limit(0), lambda name, df: unions.update({name: (1, df)}))
+    catalog.write("supplier", suppliers(spark, sf).drop("shard").filter(F.col("shard_no") % 3 == 0), path)
+    catalog.refresh(path, manifest, lambda name, df: unions.update({name: (2, df)}))
+    found = []
+    for name, (number, df) in unions.items():
+        filled = F.count("name").alias("names")
+        rows = df.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), F.sum("id").alias("ids"), F.sum(cents("acctbal")).alias("cents"), filled)
+        found.append(rows.select(F.lit(name).alias("tab"), F.lit(number).alias("refresh"), "*"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def _active_orders(spark: SparkSession, sf: str) -> DataFrame:
     """Shards whose customers' balances are 4,500 or more on average."""
     shard_no = (F.col("c_custkey") % 64).cast("int").alias("shard_no")
@@ -179,7 +203,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         mount_shards, mounted_shards, table_inventory, skip_existing, align_columns, union_shards, union_sources,
-        union_stored, strip_prefix, refresh_if_changed, for_each_shard, run_each_shard, map_each_shard,
+        union_stored, strip_prefix, refresh_if_changed, refresh_unions, for_each_shard, run_each_shard, map_each_shard,
     )
 }
 
@@ -246,6 +270,12 @@ ORACLES = {
           SELECT tab, shard, md5(string_agg(col, ',' ORDER BY col)) AS digest FROM cols GROUP BY 1, 2)
         SELECT tab AS "table", md5(string_agg(shard || ' ' || digest, ',' ORDER BY shard)) AS fingerprint
         FROM per_shard WHERE tab IN ('supplier', 'mixed') GROUP BY 1""",
+    "refresh_unions": f"""
+        WITH {PARTIES}
+        SELECT 'customer' AS tab, 1 AS refresh, shard, count(*) AS rows, CAST(sum(id) AS BIGINT) AS ids,
+               CAST(sum(floor(acctbal * 100 + 0.5)) AS BIGINT) AS cents, count(name) AS names FROM cust GROUP BY shard
+        UNION ALL SELECT 'supplier', 2, shard, count(*), CAST(sum(id) AS BIGINT), CAST(sum(floor(acctbal * 100 + 0.5)) AS BIGINT),
+               count(CASE WHEN shard_no % 3 = 0 THEN name END) FROM supp GROUP BY shard""",
     "for_each_shard": f"""
         WITH {ORDERS}, {_ACTIVE_ORDERS},
         spent AS (SELECT shard_no, o_custkey FROM ord GROUP BY 1, 2 HAVING sum(floor(o_totalprice * 100 + 0.5)) > 350000000),

@@ -6,6 +6,7 @@ of its rows see no change. Its shard is the key modulo 16, its island that div 4
 """
 
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from shardkit.operators.weights import island_weights, size_weights
 from shardkit.plans import rebalance as plan
 from shardkit.session import scratch_path, settle
 from shardkit.sources import changes, layout
+from shardkit.sources.feed import PositionFeed, rows_by_shard
 from shardkit.streaming import apply, positions
 
 USER_SHARDS = 16
@@ -100,6 +102,22 @@ def replication_gap(spark: SparkSession, sf: str) -> DataFrame:
     return progress.replication_gap(done, target)
 
 
+def feed_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Changes taken up to a fence, then those of half of the shards, then again from earlier positions: rows of each batch."""
+    feed = PositionFeed(spark, lambda: as_changes(table(spark, sf, "events")), scratch_path(spark, "positions"))
+    end, taken = _fence(spark, sf), []
+
+    def sink(batch: DataFrame, number: int) -> None:
+        taken.append(rows_by_shard(batch).withColumn("batch", F.lit(number)))
+
+    feed.step(sink, end)
+    feed.step(sink, {shard: 2 * end for shard in range(0, USER_SHARDS, 2)})
+    gap = settle(feed.gap())
+    feed.seek({shard: end // 2 for shard in range(USER_SHARDS)})
+    feed.step(sink)
+    return reduce(DataFrame.unionByName, taken).join(gap, "shard_no").select("batch", "shard_no", "changes", "lsn", "gap")
+
+
 def _order_moves(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(1, 0, 3), (5, 0, 2), (41, 1, 0)], "shard_no int, from_island int, to_island int")
 
@@ -315,7 +333,7 @@ def rebalance_store(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        write_placed, change_feed, apply_changes, drain_to_fence, replication_gap, backfill, backfill_progress,
+        write_placed, change_feed, feed_positions, apply_changes, drain_to_fence, replication_gap, backfill, backfill_progress,
         advance_ids, commit_move, abort_move, move_shard, move_deltas, move_drifted, move_concurrent, move_progress,
         statistics, rebalance_by_size, apply_positions, rebalance_store,
     )
@@ -377,6 +395,16 @@ _MOVED = "(shard_no = 1 OR shard_no = 5 OR shard_no = 41)"
 ORACLES = {
     "write_placed": f"WITH {ORDERS} {_TOTALS.format(source='SELECT * FROM ord')}",
     "change_feed": f"WITH {_CHANGES} SELECT shard_no, op, count(*) AS changes, max(lsn) AS lsn FROM chg GROUP BY 1, 2",
+    "feed_positions": f"""
+        WITH {_CHANGES}, f AS (SELECT *, (SELECT lsn FROM fence) AS fence FROM chg),
+        gaps AS (
+          SELECT shard_no, max(lsn) - max(CASE WHEN shard_no % 2 = 0 THEN least(lsn, 2 * fence) ELSE least(lsn, fence) END) AS gap
+          FROM f GROUP BY 1)
+        SELECT batch, shard_no, count(*) AS changes, max(lsn) AS lsn, any_value(gap) AS gap
+        FROM (SELECT 0 AS batch, * FROM f WHERE lsn <= fence
+              UNION ALL SELECT 1, * FROM f WHERE lsn > fence AND lsn <= 2 * fence AND shard_no % 2 = 0
+              UNION ALL SELECT 3, * FROM f WHERE lsn > fence // 2) JOIN gaps USING (shard_no)
+        GROUP BY 1, 2""",
     "apply_changes": f"WITH {_CHANGES}, {_merged('true')} SELECT * FROM merged",
     "drain_to_fence": f"WITH {_CHANGES}, {_merged('lsn <= (SELECT lsn FROM fence)')} SELECT * FROM merged",
     "replication_gap": f"""
