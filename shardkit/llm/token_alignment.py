@@ -22,6 +22,7 @@ tokens. Special tokens in a text are plain text. Equal ids and repeated rows are
 An empty table gives no rows. Columns besides doc_id and text are left out.
 """
 
+import gc
 import hashlib
 import re
 import sys
@@ -296,6 +297,16 @@ class Aligner:
 
     def align(self, texts: list[str | None]) -> list[tuple[int, int, bytes, bytes]]:
         """(n_a, n_b, keys of links in order, text of groups) of each text."""
+        # nothing here refers to itself, and collections would walk through all that is remembered
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._align(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _align(self, texts: list[str | None]) -> list[tuple[int, int, bytes, bytes]]:
         split = [self.stretches(" " + t) if t else [""] for t in texts]
         new, known, once = [p for p in self.known.missing(set(chain.from_iterable(split))) if p], self.known.now, {}
         known[""] = (b"", b"", 0, 0)
@@ -319,10 +330,17 @@ class Aligner:
         a, a_to, b, b_to, fine = self.token_ids(known)
         if not fine.all():
             return None
-        a, b = (np.split(ids, to[:-1]) for ids, to in ((a, a_to), (b, b_to)))
         number = {p: i for i, p in enumerate(known)}
-        order = [number[p] for p in pieces]
-        return self.tokens(np.concatenate([a[i] for i in order]), np.concatenate([b[i] for i in order]), start)
+        order = np.array([number[p] for p in pieces], dtype=np.int64)
+        return self.tokens(_in_order(a, a_to, order), _in_order(b, b_to, order), start)
+
+
+def _in_order(ids: np.ndarray, to: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Ids of stretches, which lie end to end up to `to`, in another order and repeated."""
+    sizes = np.diff(to, prepend=0)
+    own = sizes[order]
+    ends = np.cumsum(own)
+    return ids[np.arange(ends[-1]) + np.repeat((to - sizes)[order] - (ends - own), own)]
 
 
 _ALIGNERS = {}
