@@ -5,8 +5,10 @@ hash is a row of `projections` quantised Gaussian projections, floor((a.x + b) /
 share all of them, far ones hardly ever. Vectors that share label and hash in some
 table are compared by cosine in double precision.
 
-Equal vectors are one class beforehand, so copies are neither hashed nor compared. The vectors
-of one bucket are compared in blocks, each pair of blocks (a cell) in one place; a task goes through the cells it
+Equal vectors of a label are one class beforehand, with a number of its own, so copies are neither hashed nor compared. How many
+projections a hash has follows from the classes of a label, so that unrelated vectors that meet by chance are a bounded number
+for each, however many there are; how many tables follows from that and the chance of missing a pair right at the threshold.
+The vectors of one bucket are compared in blocks, each pair of blocks (a cell) in one place; a task goes through the cells it
 has got in order. A pair that meets in several tables counts in the first. Tasks return a row per vector: its links, and where its component starts.
 
 Defined results: vectors with a null label or id, null, empty, zero, or with null or non-finite
@@ -14,6 +16,8 @@ components link with nothing, as do vectors of different length. Rows that repea
 are vectors of their own. Ties do not arise. Columns besides vec_id, label and embedding are left out.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,10 +26,14 @@ from pyspark.sql import functions as F
 
 from shardkit.limits import broadcast_within
 from shardkit.llm.common import components, stored
+from shardkit.session import settle
 
 THRESHOLD = 0.93
-# Chance to meet in some table at cosine 0.93: 0.99; at 0.95: 0.9996. For unrelated vectors: 0.006.
-TABLES, PROJECTIONS, WIDTH = 32, 12, 2.0
+WIDTH = 2.0
+# Chance that two vectors right at the threshold meet in no table.
+MISSED = 1e-4
+# Unrelated vectors that a vector meets in one table, on average.
+CHANCE = 30
 SEED = 20_240_607
 # Vectors of a bucket that one task compares with as many others.
 BLOCK = 2_000
@@ -38,9 +46,23 @@ def usable(embedding):
     return x.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(x, lambda v: v != 0)
 
 
+def _share(distance: float, width: float) -> float:
+    """Chance that two vectors so far apart fall into one interval of a quantised projection."""
+    x = width / distance
+    below = 0.5 * math.erfc(x / math.sqrt(2))  # of a normal number beyond x
+    return 1 - 2 * below - 2 / (math.sqrt(2 * math.pi) * x) * (1 - math.exp(-x * x / 2))
+
+
+def parameters(classes: int, threshold: float = THRESHOLD, missed: float = MISSED, width: float = WIDTH) -> tuple[int, int]:
+    """(tables, projections) for a label of so many classes."""
+    near, far = _share(math.sqrt(2 - 2 * threshold), width), _share(math.sqrt(2), width)
+    projections = max(2, math.ceil(math.log(max(classes, 1) / CHANCE) / -math.log(far)))
+    return math.ceil(math.log(missed) / math.log1p(-(near**projections))), projections
+
+
 def _signatures(unit: np.ndarray, tables: int, projections: int, width: float) -> np.ndarray:
     """A 64-bit hash per vector and table."""
-    rng = np.random.default_rng([SEED, unit.shape[1]])
+    rng = np.random.default_rng([SEED, unit.shape[1], projections])
     directions = rng.standard_normal((unit.shape[1], tables * projections))
     offsets = rng.uniform(0, width, tables * projections)
     steps = np.floor((unit @ directions + offsets) / width).astype(np.int64).reshape(len(unit), tables, projections)
@@ -67,7 +89,11 @@ def _links(rows: pa.Table, threshold: float):
         rows[c].to_numpy() for c in ("bucket", "low", "high", "table", "side", "size", "rep", "n")
     )
     unit = _units(rows["embedding"].combine_chunks())
-    signs = rows["signs"].combine_chunks().flatten().to_numpy().reshape(len(reps), -1)
+    listed = rows["signs"].combine_chunks()
+    tables = pc.list_value_length(listed).to_numpy(zero_copy_only=False)
+    # labels have numbers of tables of their own; within a cell they are equal
+    signs = np.zeros((len(reps), tables.max()), dtype=np.int64)
+    signs[np.arange(signs.shape[1]) < tables[:, None]] = listed.flatten().to_numpy()
     ends = np.nonzero((bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))[0] + 1
     out = {"rep": [], "links": [], "root": []}
     for begin, end in zip([0, *ends.tolist()], [*ends.tolist(), len(reps)]):
@@ -106,9 +132,8 @@ def _links(rows: pa.Table, threshold: float):
 
 
 def link_vectors(
-    vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, projections: int = PROJECTIONS,
-    width: float = WIDTH, block: int = BLOCK,
-) -> DataFrame:
+    vectors: DataFrame, threshold: float = THRESHOLD, missed: float = MISSED, width: float = WIDTH, block: int = BLOCK
+) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of vectors (vec_id, label, embedding)."""
     rows = vectors.select(
         F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding"
@@ -118,16 +143,21 @@ def link_vectors(
     keys = [F.when(fine, F.xxhash64(F.lit(i), "label", "embedding")).alias(f"k{i}") for i in (1, 2)]
     rows = rows.withColumns({"k1": keys[0], "k2": keys[1]})
     classes = rows.where("k1 is not null").groupBy("k1", "k2").agg(
-        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"),
-        F.first("embedding").alias("embedding"),
+        F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"),
+        F.first("embedding").cast("array<double>").alias("embedding"),
     )
+    # numbers of classes, which ids are not: two classes may share their smallest; they stay as they are once stored
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "vector-kinds")
+    of_label = settle(classes.groupBy("label").agg(F.count(F.lit(1)).alias("of_label")))
 
     def sign(batches):
         for batch in batches:
             embedding = batch.column(2)
             lengths = pc.list_value_length(embedding).to_numpy(zero_copy_only=False)
-            for length in np.unique(lengths).tolist():
-                own = batch.filter(pa.array(lengths == length))
+            kinds = [(length, *parameters(n, threshold, missed, width)) for length, n in zip(lengths.tolist(), batch.column(4).to_pylist())]
+            for kind in sorted(set(kinds)):
+                length, tables, projections = kind
+                own = batch.filter(pa.array([x == kind for x in kinds]))
                 signs = _signatures(_units(own.column(2)), tables, projections, width)
                 yield pa.RecordBatch.from_arrays(
                     [own.column(0), own.column(1), own.column(2), own.column(3),
@@ -135,8 +165,9 @@ def link_vectors(
                     names=["rep", "n", "embedding", "label", "size", "signs"],
                 )
 
+    counted = classes.select("rep", "n", "embedding", "label").join(broadcast_within(of_label), "label")
     signed = stored(
-        classes.select("rep", "n", F.col("embedding").cast("array<double>").alias("embedding"), "label").mapInArrow(
+        counted.select("rep", "n", "embedding", "label", "of_label").mapInArrow(
             sign, "rep bigint, n bigint, embedding array<double>, label string, size int, signs array<bigint>"
         ),
         "signed-vectors",
@@ -178,14 +209,17 @@ def link_vectors(
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     component = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     of_class = (
-        classes.select("k1", "k2", "rep", "n")
+        classes.select("k1", "k2", "rep", "n", "first_id")
         .join(links, "rep", "left")
         .join(component.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("k1", "k2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
+        .select("k1", "k2", "first_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
     )
     of_class = stored(of_class, "vector-classes")
+    # a component has the name of its smallest id
+    named = of_class.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    of_class = stored(of_class.join(named, "component").select("k1", "k2", "links", "component_id"), "named-classes")
     out = rows.select("vec_id", "k1", "k2").join(broadcast_within(of_class), ["k1", "k2"], "left")
-    component = F.coalesce("component", "vec_id")
+    component = F.coalesce("component_id", "vec_id")
     return out.select(
         "vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"),
         F.col("vec_id").eqNullSafe(component).alias("kept"),

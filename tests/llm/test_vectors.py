@@ -57,6 +57,37 @@ def test_links_are_those_of_all_pairs(odd, block):
         assert r.vec_id in used or r.n_links == 0
 
 
+def test_repeated_ids_with_other_vectors_and_labels(spark):
+    """An id that stands for two classes: links are those of each row, and no component goes over labels."""
+    rng = np.random.default_rng(5)
+    u, v, w = rng.standard_normal((3, 16))
+    near = lambda x: (x + 0.02 * rng.standard_normal(16)).tolist()
+    rows = [
+        (1, near(v), 0), (1, near(u), 1), (2, near(v), 0), (3, near(u), 1), (4, near(w), 0), (4, near(w), 0), (5, near(u), 0),
+    ]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_lsh.link_vectors(df).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 1, 4), (4, 1, 4), (5, 0, 5)]
+
+
+@pytest.mark.parametrize("classes", [3, 1000, 100_000, 10_000_000])
+def test_pairs_at_the_threshold_are_met(classes):
+    """Whatever the size of a label, hardly a pair right at the threshold is missed, and chance meetings stay bounded."""
+    tables, projections = embedding_lsh.parameters(classes)
+    rng, n = np.random.default_rng(2), 3000
+    a = rng.standard_normal((n, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal((n, 64))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    near = 0.93 * a + math.sqrt(1 - 0.93**2) * b
+    signs = [embedding_lsh._signatures(x, tables, projections, embedding_lsh.WIDTH) for x in (a, near)]
+    missed = ~(signs[0] == signs[1]).any(axis=1)
+    assert missed.sum() <= 3
+    by_chance = (signs[0][:-1] == signs[0][1:]).mean()
+    assert by_chance * classes < 3 * embedding_lsh.CHANCE or classes < embedding_lsh.CHANCE
+
+
 def test_links_of_the_test_table(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = table.collect()
@@ -87,6 +118,28 @@ def test_neighbours_are_nearly_always_the_nearest(spark):
     assert hits / total >= 0.95
 
 
+@pytest.mark.parametrize("at_once", [3, 4096])
+def test_each_length_has_its_own_candidates(spark, at_once):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(16 if i % 3 else 8).tolist()) for i in range(400)] + [(1000, [1.0, 2.0, 3.0]), (1050, [0.5])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    index, codes = hamming_index.build(df, 5, block=70)
+    for r in hamming_index.search(index, codes, 5, 50, at_once).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 9)))
+    hits = 0
+    for q, x in rows:
+        if q % 50:
+            continue
+        u = unit(x)
+        want = sorted(((-float(u @ unit(y)), v) for v, y in rows if v != q and len(y) == len(x)))[:5]
+        own = got.get(q, [])
+        assert len(own) == len(want)
+        hits += len({v for v, _ in own} & {v for _, v in want}) - len(want)
+    # recall over 8 queries of five each
+    assert hits >= -2
+
+
 def test_every_code_in_the_radius_is_retrieved():
     rng = np.random.default_rng(9)
     codes = rng.integers(0, 256, (3000, 8), dtype=np.uint8)
