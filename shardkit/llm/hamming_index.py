@@ -11,15 +11,18 @@ lie (by brute force over the sample). Neighbours among all rows are nearer than
 that R finds them as well or better. Where fewer than k codes lie within R, a block's radius grows
 until there are k, or all.
 
-The index is a stored table of blocks: ids, vectors, codes, and for each substring the rows by value.
-Queries meet each block once; a block returns k rows per query, and the best k of all blocks stay.
+The index is a stored table of blocks: ids, vectors, codes, and for each substring the rows by value. Vectors of each
+length have blocks and codes of their own. Queries are gathered by the thousand, and each such set meets each block of its length once;
+a block returns k rows per query, and the best k of all blocks stay.
 
-Defined results: vectors that are null, empty, zero, with null or non-finite components, without an
-id, or of a length that is not the most frequent one take no part. Rows that repeat an id are candidates of
+Defined results: vectors that are null, empty, zero, with null or non-finite components, or without an
+id take no part. Vectors of different lengths have no cosine: a query's candidates are those of its own length. Rows that repeat an id are candidates of
 their own, also for each other. Ties go to the smaller vec_id. With fewer candidates than k all
 are returned. Columns besides vec_id and embedding are left out.
 """
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -35,6 +38,8 @@ COVERED = 0.995
 ROUNDS = 30
 BITS, PARTS = 64, 8
 BLOCK = 8_192
+# Queries that meet a block together.
+QUERIES = 4_096
 SEED = 7
 
 _VALUES = np.arange(256, dtype=np.uint8)
@@ -82,22 +87,22 @@ class Codes:
         return codes
 
 
-_INDEX = "block int, n int, ids binary, vectors binary, codes binary, by_value binary, offsets binary"
+_INDEX = "size int, block int, n int, ids binary, vectors binary, codes binary, by_value binary, offsets binary"
 
 
-def build(vectors: DataFrame, k: int, sample: int = SAMPLE, block: int = BLOCK) -> tuple[DataFrame, Codes | None, int]:
-    """The stored index over all usable rows of vectors, its codes, and the number of blocks."""
+def build(vectors: DataFrame, k: int, sample: int = SAMPLE, block: int = BLOCK) -> tuple[DataFrame, dict[int, Codes]]:
+    """The stored index over all usable rows of vectors, and the codes of each length."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.where(usable("embedding") & F.col("vec_id").isNotNull())
-    sizes = rows.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    if sizes is None:
-        return spark.createDataFrame([], _INDEX), None, 0
-    rows = rows.where(F.size("embedding") == sizes["size"])
-    chosen = rows.orderBy(F.xxhash64("vec_id", "embedding")).limit(sample).select("embedding").toArrow()
-    codes = Codes.learned(np.array(chosen["embedding"].to_pylist(), dtype=np.float64), k)
+    # lengths that a table has, a few
+    sizes = {r["size"]: r["count"] for r in rows.groupBy(F.size("embedding").alias("size")).count().collect()}
+    codes = {}
+    for size in sorted(sizes):
+        own = rows.where(F.size("embedding") == size)
+        chosen = own.orderBy(F.xxhash64("vec_id", "embedding")).limit(sample).select("embedding").toArrow()
+        codes[size] = Codes.learned(np.array(chosen["embedding"].to_pylist(), dtype=np.float64), k)
     held = spark.sparkContext.broadcast(codes)
-    n_blocks = max(1, -(-sizes["count"] // block))
 
     def index(batches):
         ids, parts = [], []
@@ -107,20 +112,24 @@ def build(vectors: DataFrame, k: int, sample: int = SAMPLE, block: int = BLOCK)
         if not ids:
             return
         ids, x = np.concatenate(ids), np.concatenate(parts)
-        bits = held.value.of(x)
+        bits = held.value[x.shape[1]].of(x)
         order = [np.argsort(bits[:, j], kind="stable").astype("<u4") for j in range(PARTS)]
         offsets = [np.searchsorted(bits[o, j], np.arange(257)).astype("<u4") for j, o in enumerate(order)]
         yield pa.RecordBatch.from_pylist(
             [{
-                "block": task_number(), "n": len(ids), "ids": ids.astype("<i8").tobytes(), "vectors": x.astype("<f8").tobytes(),
-                "codes": bits.tobytes(), "by_value": np.stack(order).tobytes(), "offsets": np.stack(offsets).tobytes(),
+                "size": x.shape[1], "block": task_number(), "n": len(ids), "ids": ids.astype("<i8").tobytes(),
+                "vectors": x.astype("<f8").tobytes(), "codes": bits.tobytes(), "by_value": np.stack(order).tobytes(),
+                "offsets": np.stack(offsets).tobytes(),
             }],
-            schema=pa.schema([("block", pa.int32()), ("n", pa.int32())] + [(c, pa.binary()) for c in ("ids", "vectors", "codes", "by_value", "offsets")]),
+            schema=pa.schema([(c, pa.int32()) for c in ("size", "block", "n")] + [(c, pa.binary()) for c in ("ids", "vectors", "codes", "by_value", "offsets")]),
         )
 
     # dealt out evenly, a block per task
-    table = stored(rows.repartition(n_blocks).mapInArrow(index, _INDEX), "hamming-index")
-    return table, codes, n_blocks
+    parts = [
+        rows.where(F.size("embedding") == size).repartition(max(1, -(-n // block))).mapInArrow(index, _INDEX) for size, n in sorted(sizes.items())
+    ]
+    empty = spark.createDataFrame([], _INDEX)
+    return stored(reduce(DataFrame.unionByName, parts, empty), "hamming-index"), codes
 
 
 class Block:
@@ -163,29 +172,53 @@ class Block:
         return self.ids[rows[best]], score[best]
 
 
-def search(index: DataFrame, codes: Codes | None, n_blocks: int, k: int, every: int) -> DataFrame:
+_QUERIES = "size int, from_block int, row bigint, query_id bigint, query binary, code binary"
+
+
+def search(index: DataFrame, codes: dict[int, Codes], k: int, every: int, at_once: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: for rows of the index whose id is divisible by `every`, the k nearest other rows."""
-    if codes is None:
-        return index.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    radius = codes.radius
-    fields = [("from_block", pa.int32()), ("rows", pa.binary()), ("query_ids", pa.binary()), ("queries", pa.binary()), ("query_codes", pa.binary())]
+    held = index.sparkSession.sparkContext.broadcast({size: own.radius for size, own in codes.items()})
+    fields = [("size", pa.int32()), ("from_block", pa.int32()), ("row", pa.int64()), ("query_id", pa.int64()), ("query", pa.binary()), ("code", pa.binary())]
 
     def ask(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 block = Block(row)
                 at = np.nonzero(block.ids % every == 0)[0]
-                if len(at):
-                    yield pa.RecordBatch.from_pylist(
-                        [{
-                            "from_block": row["block"], "rows": at.astype("<i8").tobytes(), "query_ids": block.ids[at].tobytes(),
-                            "queries": block.vectors[at].tobytes(), "query_codes": block.codes[at].tobytes(),
-                        }],
-                        schema=pa.schema(fields),
-                    )
-
-    asked = index.mapInArrow(ask, "from_block int, rows binary, query_ids binary, queries binary, query_codes binary")
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+                columns = [
+                    [row["size"]] * len(at), [row["block"]] * len(at), at, block.ids[at],
+                    [x.tobytes() for x in block.vectors[at]], [x.tobytes() for x in block.codes[at]],
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], schema=pa.schema(fields))
+
+    asked = stored(index.mapInArrow(ask, _QUERIES), "queries")
+    counts = {r["size"]: r["count"] for r in asked.groupBy("size").count().collect()}
+    blocks = {r["size"]: r["blocks"] for r in index.groupBy("size").agg(F.collect_list("block").alias("blocks")).collect()}
+    sets = [("size", pa.int32()), ("blocks", pa.list_(pa.int32())), ("from_blocks", pa.binary()), ("rows", pa.binary()), ("query_ids", pa.binary()), ("queries", pa.binary()), ("query_codes", pa.binary())]
+
+    def gather(batches):
+        """A task's queries as one row."""
+        own = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        if own is None or not own.num_rows:
+            return
+        size = own["size"][0].as_py()
+        yield pa.RecordBatch.from_pylist(
+            [{
+                "size": size, "blocks": blocks[size], "from_blocks": own["from_block"].to_numpy().astype("<i4").tobytes(),
+                "rows": own["row"].to_numpy().astype("<i8").tobytes(), "query_ids": own["query_id"].to_numpy().astype("<i8").tobytes(),
+                "queries": b"".join(own["query"].to_pylist()), "query_codes": b"".join(own["code"].to_pylist()),
+            }],
+            schema=pa.schema(sets),
+        )
+
+    shape = "size int, blocks array<int>, from_blocks binary, rows binary, query_ids binary, queries binary, query_codes binary"
+    gathered = [
+        asked.where(F.col("size") == size).repartition(max(1, -(-n // at_once))).mapInArrow(gather, shape) for size, n in sorted(counts.items())
+    ]
+    empty = index.sparkSession.createDataFrame([], shape)
+    # each set of queries meets each block of its length
+    asking = reduce(DataFrame.unionByName, gathered, empty).withColumn("block", F.explode("blocks")).drop("blocks")
     answers = [
         ("from_block", pa.int32()), ("row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())
     ]
@@ -194,19 +227,19 @@ def search(index: DataFrame, codes: Codes | None, n_blocks: int, k: int, every:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                block = Block(row)
-                at, ids = np.frombuffer(row["rows"], dtype="<i8"), np.frombuffer(row["query_ids"], dtype="<i8")
+                block, radius = Block(row), held.value[row["size"]]
+                homes, at = np.frombuffer(row["from_blocks"], dtype="<i4"), np.frombuffer(row["rows"], dtype="<i8")
+                ids = np.frombuffer(row["query_ids"], dtype="<i8")
                 queries = np.frombuffer(row["queries"], dtype="<f8").reshape(len(at), -1)
                 bits = np.frombuffer(row["query_codes"], dtype=np.uint8).reshape(len(at), PARTS)
                 columns = [[], [], [], [], []]
-                for q, vector, code, query_id in zip(at.tolist(), queries, bits, ids.tolist()):
-                    found, score = block.nearest(vector, code, q if row["from_block"] == row["block"] else -1, radius, k)
-                    for column, values in zip(columns, ([row["from_block"]] * len(found), [q] * len(found), [query_id] * len(found), found.tolist(), score.tolist())):
+                for home, q, vector, code, query_id in zip(homes.tolist(), at.tolist(), queries, bits, ids.tolist()):
+                    found, score = block.nearest(vector, code, q if home == row["block"] else -1, radius, k)
+                    for column, values in zip(columns, ([home] * len(found), [q] * len(found), [query_id] * len(found), found.tolist(), score.tolist())):
                         column.extend(values)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, answers)], schema=pa.schema(answers))
 
-    pairs = asked.join(index.hint("merge"), "block")
-    pairs = pairs.select("from_block", "rows", "query_ids", "queries", "query_codes", *index.columns)
+    pairs = asking.join(index.drop("size").hint("merge"), "block")
     found = pairs.mapInArrow(answer, "from_block int, row bigint, query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("from_block", "row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -215,5 +248,4 @@ def search(index: DataFrame, codes: Codes | None, n_blocks: int, k: int, every:
 
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """The k nearest of each row of vectors whose vec_id is divisible by `every`, among all other rows."""
-    index, codes, n_blocks = build(vectors, k)
-    return search(index, codes, n_blocks, k, every)
+    return search(*build(vectors, k), k, every)
