@@ -8,12 +8,11 @@ only to shared content. Texts of up to 32 words need no luck: of two with at mos
 of the longer stands unchanged in the other, so they are candidates by their segments. Candidates are verified by aligning their words in a band: they are
 linked if 1 - edits / words of the longer one is at least 0.8.
 
-Equal texts are one node beforehand. Sketch values link nodes to candidate clusters; the words of nodes
-in clusters are gathered by cluster and length, as linked texts differ in length by at most a
-fifth. Large ones are split into blocks, each pair of blocks a task's work. Within, each node is aligned until its
-component is known, first with those whose words are most alike; a bound by pairs of neighbouring
-words, which no alignment can beat, spares most. So no link that joins different components within a cluster is lost, and nothing grows with the number
-of pairs but comparisons of bit maps.
+Equal texts are one node beforehand. Texts that share a value are a bucket. First, each text of a bucket is compared with a few
+leaders of it, which joins nearly all of a group of copies at the cost of a few comparisons each. Then the texts of a bucket that are
+still of different components are compared all with all, in blocks, each pair of blocks (a cell) in one place: by their lengths and by
+bit maps of their pairs of neighbouring words, whose bound no alignment can beat. What passes is aligned. So
+every pair that shares a value is either of one component already, or ruled out by the bound, or aligned: no link that joins components is lost.
 
 Defined results: null and empty texts are equal. Texts without words link with equal ones only; a text of
 fewer than four words has one k-mer, all its words. Rows with a null doc_id take no part and
@@ -22,7 +21,6 @@ their class. Columns besides doc_id and text are left out, but for one_of_each()
 """
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +28,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardkit.limits import broadcast_within
-from shardkit.llm.common import components, stored
+from shardkit.llm.common import components, stored, task_number
 
 WORDS, SIMILARITY = 3, 0.8
-# Chance that two texts share a sketch value, by the part of k-mers they share: 0.9998 at 0.3, 0.998 at 0.25.
-SKETCHES, SAMPLED = 96, 2
+# Chance that two texts share a sketch value, by the part of k-mers they share: 0.999 at 0.3, 0.99 at 0.25.
+SKETCHES = 72
 # Texts of up to so many words meet all that are similar to them.
 SHORT = 32
 SEED = 11
-# A task aligns at most so many texts, or words, with as many others.
-BLOCK_TEXTS, BLOCK_WORDS = 1_500, 2_000_000
+# Texts of a bucket that are compared with as many others in one place.
+BLOCK_TEXTS = 1_500
+# Texts of a bucket that all of it is compared with first.
+LEADERS = 3
+# Bits of a text's map: twice its words, within these.
+LEAST_BITS, MOST_BITS = 512, 32_768
 _REMEMBERED = 400_000
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -195,57 +197,63 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return edits_within(a, b, _most(longest, least)) is not None
 
 
-def _pair_bits(words: list[np.ndarray]) -> np.ndarray:
-    """A bit map per text of its pairs of neighbouring words, each labelled with how often it occurred before.
+def pair_bits(words: np.ndarray) -> bytes:
+    """A bit map of a text's pairs of neighbouring words, each labelled with how often it occurred before.
 
     A bit that one text has and another lacks stands for a pair of words that only the one has. An edit takes away two
-    of a text's pairs at most and adds two, so texts whose maps differ in more than 4 e bits are more than e edits apart.
+    of a text's pairs at most and adds two, so texts whose maps differ in more than 4 e bits are more than e edits apart. A map
+    is as long as a power of two; folded to half its length it says the same of fewer bits.
     """
-    n_bits = 512
-    while n_bits < 2 * max(map(len, words)) and n_bits < 4096:
+    n_bits = LEAST_BITS
+    while n_bits < 2 * len(words) and n_bits < MOST_BITS:
         n_bits *= 2
-    out = np.zeros((len(words), n_bits), dtype=bool)
-    for i, w in enumerate(words):
-        if len(w) > 1:
-            out[i, (labelled_kmers(w, 2) % np.uint64(n_bits)).astype(np.int64)] = True
-    return np.packbits(out, axis=1).view(np.uint64)
-
-
-def joins(
-    words: list[np.ndarray], sides: np.ndarray, at_home: np.ndarray, across: bool, least: float
-) -> list[tuple[int, int]]:
-    """Links that join the components of these texts.
-
-    With `across`, between texts of different sides only. Of each two, one is at home here: others meet elsewhere.
-    """
-    n = len(words)
-    lengths, bits = np.array([len(w) for w in words]), _pair_bits(words)
-    root, out, step = np.arange(n), [], max(1, 4_000_000 // (n * bits.shape[1]))
-    for first in range(0, n, step):
-        last = min(n, first + step)
-        apart = np.bitwise_count(bits[first:last, None, :] ^ bits[None, :last, :]).sum(axis=2, dtype=np.int32)
-        longest = np.maximum(lengths[first:last, None], lengths[None, :last])
-        most = ((1 - least) * longest + 1e-9).astype(np.int64)
-        close = (apart <= 4 * most) & (np.abs(lengths[first:last, None] - lengths[None, :last]) <= most)
-        close &= np.arange(last)[None, :] < np.arange(first, last)[:, None]
-        close &= at_home[first:last, None] | at_home[None, :last]
-        if across:
-            close &= sides[first:last, None] != sides[None, :last]
-        for i in (np.nonzero(close.any(axis=1))[0] + first).tolist():
-            open_ = np.nonzero(close[i - first])[0]
-            open_ = open_[root[open_] != root[i]]
-            open_ = open_[np.argsort(apart[i - first, open_], kind="stable")]
-            while len(open_):
-                j, open_ = int(open_[0]), open_[1:]
-                if edits_within(words[i], words[j], int(most[i - first, j])) is not None:
-                    out.append((i, j))
-                    old, new = root[i], root[j]
-                    root[root == old] = new
-                    open_ = open_[root[open_] != new]
+    out = np.zeros(n_bits, dtype=bool)
+    if len(words) > 1:
+        out[(labelled_kmers(words, 2) % np.uint64(n_bits)).astype(np.int64)] = True
+    return np.packbits(out).tobytes()
+
+
+def _bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which each map of a differs from each of b."""
+    return np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int32)
+
+
+def _folded(maps: np.ndarray) -> np.ndarray:
+    half = maps.shape[1] // 2
+    return maps[:, :half] | maps[:, half:]
+
+
+def close_pairs(lengths: np.ndarray, maps: list[bytes], groups: np.ndarray, sides: np.ndarray | None, least: float) -> list[tuple[int, int]]:
+    """Pairs of different groups, and sides if given, that lengths and bit maps do not rule out."""
+    by_size: dict[int, np.ndarray] = {}
+    sizes = np.array([len(m) for m in maps])
+    for size in np.unique(sizes).tolist():
+        by_size[size] = np.nonzero(sizes == size)[0]
+    held = {size: np.frombuffer(b"".join(maps[i] for i in at), dtype=np.uint64).reshape(len(at), -1) for size, at in by_size.items()}
+    out = []
+    for size, at in by_size.items():
+        # similar texts have maps of one size, or of twice the size
+        others = [(at, held[size], True)]
+        if 2 * size in by_size:
+            others.append((by_size[2 * size], _folded(held[2 * size]), False))
+        for to, wide, same in others:
+            step = max(1, 4_000_000 // (len(to) * wide.shape[1]))
+            for first in range(0, len(at), step):
+                i = at[first : first + step]
+                longest = np.maximum(lengths[i][:, None], lengths[to][None, :])
+                most = ((1 - least) * longest + 1e-9).astype(np.int64)
+                fine = (np.abs(lengths[i][:, None] - lengths[to][None, :]) <= most) & (groups[i][:, None] != groups[to][None, :])
+                if same:
+                    fine &= i[:, None] < to[None, :]
+                if sides is not None:
+                    fine &= sides[i][:, None] != sides[to][None, :]
+                if fine.any():
+                    fine &= _bits_apart(held[size][first : first + step], wide) <= 4 * most
+                    out += [(int(i[x]), int(to[y])) for x, y in np.argwhere(fine)]
     return out
 
 
-_FEATURES = "doc_id bigint, key binary, n_words int, sketch array<bigint>"
+_FEATURES = "doc_id bigint, key binary, at bigint, n_words int, sketch array<bigint>, bits binary"
 
 
 def _keyed(docs: DataFrame, *more) -> DataFrame:
@@ -260,90 +268,170 @@ def classes(docs: DataFrame, k: int = WORDS, least: float = SIMILARITY, sketches
     """Two stored tables: (doc_id, key) of every row, and (key, rep, component, class_id) of every text."""
 
     def features(batches):
-        hashes = WordHashes()
+        hashes, at = WordHashes(), task_number() << 40
         for batch in batches:
-            words = [hashes.of(t) for t in batch.column(2).to_pylist()]
+            # copies in a row are worked on once
+            known: dict[bytes, tuple] = {}
+            found = []
+            for key, text in zip(batch.column(1).to_pylist(), batch.column(2)):
+                if key not in known:
+                    words = hashes.of(text.as_py())
+                    # texts up to SHORT words meet by segments
+                    values = [segments(words, least)] + ([sketch(words, k, sketches)] if len(words) > SHORT else [])
+                    known[key] = (len(words), np.concatenate(values), pair_bits(words))
+                found.append(known[key])
+            n_words, values, bits = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(w) for w in words], pa.int32()),
-                 pa.array([np.concatenate([sketch(w, k, sketches), segments(w, least)]) for w in words], pa.list_(pa.int64()))],
-                names=["doc_id", "key", "n_words", "sketch"],
+                [batch.column(0), batch.column(1), pa.array(np.arange(at, at + len(found))), pa.array(n_words, pa.int32()),
+                 pa.array(list(values), pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                names=["doc_id", "key", "at", "n_words", "sketch", "bits"],
             )
+            at += len(found)
 
     rows = stored(_keyed(docs).mapInArrow(features, _FEATURES), "sketches")
-    nodes = rows.where("doc_id is not null").groupBy("key").agg(
-        F.min("doc_id").alias("rep"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch")
-    )
-    # numbers for texts, that stay as they are once they are stored
-    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "texts")
+    # a text's node is the number of one of its rows
+    first = rows.where("doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("m"))
+    nodes = stored(first.select("key", F.col("m.doc_id").alias("rep"), F.col("m.at").alias("node")), "texts")
+    one_each = rows.withColumnRenamed("at", "node").join(broadcast_within(nodes.select("node")), "node", "left_semi")
     # values differ by hash function already
-    met = nodes.select("node", F.explode("sketch").alias("bucket"))
-    leaders = met.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    near = met.join(leaders, "bucket").where(F.col("node") != F.col("leader"))
-    clusters = components(near.select(F.col("node").alias("a"), F.col("leader").alias("b"))).withColumnRenamed("id", "node")
-    members = stored(nodes.join(clusters, "node").select("node", "key", "rep", "n_words", "component"), "candidates")
-    links = stored(_verified(docs, members, least), "text-links")
-    final = nodes.select("node", "key", "rep").join(components(links).withColumnRenamed("id", "node"), "node", "left")
-    final = stored(final.withColumn("component", F.coalesce("component", "node")), "linked")
+    met = one_each.select("node", F.explode("sketch").alias("bucket"))
+    shared = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = stored(met.join(shared, "bucket").select("bucket", "node", "n"), "buckets")
+    in_buckets = stored(met.select("node").distinct(), "candidates")
+    traits = stored(
+        rows.withColumnRenamed("at", "node").join(broadcast_within(in_buckets), "node", "left_semi").select("node", "n_words", "bits"), "traits"
+    )
+    words = _words(docs, in_buckets.join(nodes, "node"))
+    links = stored(_aligned(_with_leaders(met, traits, least), words, least), "leader-links")
+    of_node = stored(components(links).select(F.col("id").alias("node"), "component"), "leader-components")
+    more = stored(_aligned(_across(met, of_node, traits, least), words, least), "further-links")
+    # components of components
+    of_component = components(
+        more.join(of_node.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+        .join(of_node.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+        .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    )
+    final = nodes.join(of_node, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    final = final.join(of_component.select(F.col("id").alias("component"), F.col("component").alias("whole")), "component", "left")
+    final = stored(final.select("key", "rep", F.coalesce("whole", "component").alias("component")), "linked")
     names = final.groupBy("component").agg(F.min("rep").alias("class_id"))
     return rows.select("doc_id", "key"), stored(final.join(names, "component").select("key", "rep", "component", "class_id"), "classes")
 
 
-def _verified(docs: DataFrame, members: DataFrame, least: float) -> DataFrame:
-    """(a, b): links between texts of a candidate cluster that join its components."""
-    # a little wider than the bound, so that rounding parts no pair
-    band = F.floor(F.log(F.greatest(F.col("n_words"), F.lit(1)).cast("double")) / -math.log(least - 0.01)).cast("int")
-    # texts of one length are at home in its band, and guests of the next one, where they meet somewhat longer ones
-    dealt = members.withColumn("_band", F.explode(F.array(band, band + 1))).withColumn("home", F.col("_band") == band)
-    sizes = dealt.groupBy("component", "_band").agg(F.count(F.lit(1)).alias("_n"), F.sum("n_words").alias("_words"))
-    blocks = F.greatest(F.ceil(F.col("_n") / BLOCK_TEXTS), F.ceil(F.col("_words") / BLOCK_WORDS)).cast("int")
-    sizes = stored(sizes.where("_n > 1").select("component", "_band", blocks.alias("_blocks")), "cluster-sizes")
-    dealt = dealt.join(broadcast_within(sizes), ["component", "_band"])
-    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("key"), F.col("_blocks")).cast("int"))
-    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.select(
-        "node", "key", "side", "home", "component", "_band",
-        F.least("side", "_other").alias("low"), F.greatest("side", "_other").alias("high"),
-    )
+def _words(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, words): hashes of the words of texts that share a bucket with another."""
 
     def read(batches):
         hashes = WordHashes()
         for batch in batches:
-            words = [hashes.of(t).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], names=["key", "words"])
-
-    texts = _keyed(docs).join(
-        broadcast_within(members.select("key", F.col("rep").alias("doc_id"))), ["key", "doc_id"], "left_semi"
+            words = [hashes.of(t.as_py()).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], names=["node", "words"])
+
+    wanted = members.select("key", F.col("rep").alias("doc_id"), "node")
+    texts = _keyed(docs).join(broadcast_within(wanted), ["key", "doc_id"]).select("node", "text")
+    # rows may repeat id and text
+    return stored(texts.mapInArrow(read, "node bigint, words binary"), "words").dropDuplicates(["node"])
+
+
+def _with_leaders(met: DataFrame, traits: DataFrame, least: float) -> DataFrame:
+    """(a, b): texts of a bucket with its leaders, the same few of a group in all its buckets; those that the bound rules out are left out."""
+    chosen = [F.min_by("node", F.xxhash64("node", F.lit(r))).alias(f"l{r}") for r in range(LEADERS)]
+    leaders = met.groupBy("bucket").agg(*chosen)
+    listed = F.array(*[f"l{r}" for r in range(LEADERS)])
+    pairs = met.join(leaders, "bucket").select("node", F.explode(F.array_distinct(listed)).alias("leader")).where("node <> leader")
+    pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(traits.select(F.col("node").alias(side), F.col("n_words").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
+    most = F.floor((1 - least) * F.greatest("n_a", "n_b") + 1e-9)
+    pairs = pairs.where(F.abs(F.col("n_a") - F.col("n_b")) <= most)
+
+    def bounded(batches):
+        for batch in batches:
+            a, b, n_a, n_b, x, y = (batch.column(c) for c in ("a", "b", "n_a", "n_b", "bits_a", "bits_b"))
+            longest = np.maximum(n_a.to_numpy(), n_b.to_numpy())
+            fine = np.zeros(batch.num_rows, dtype=bool)
+            for i in range(batch.num_rows):
+                maps = [np.frombuffer(v[i].as_buffer(), dtype=np.uint64)[None] for v in (x, y)]
+                if maps[0].shape != maps[1].shape:
+                    wide = int(maps[1].shape[1] > maps[0].shape[1])
+                    maps[wide] = _folded(maps[wide])
+                fine[i] = maps[0].shape != maps[1].shape or _bits_apart(*maps)[0, 0] <= 4 * _most(int(longest[i]), least)
+            keep = pa.array(fine)
+            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
+
+    return pairs.mapInArrow(bounded, "a bigint, b bigint")
+
+
+def _across(met: DataFrame, of_node: DataFrame, traits: DataFrame, least: float) -> DataFrame:
+    """(a, b): texts of a bucket that are of different components, and not ruled out by the bound."""
+    grouped = met.join(of_node, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    sizes = grouped.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
+    mixed = sizes.groupBy("bucket").agg(
+        F.sum("c").alias("n"), F.max("c").alias("of_main"), F.max_by("component", F.struct("c", "component")).alias("main")
+    )
+    # texts of a bucket's largest component meet the others only; a bucket of one component has no others
+    mixed = mixed.where("n > of_main")
+    few = F.col("n") <= BLOCK_TEXTS
+    blocks = F.ceil(F.when(few, F.col("n")).otherwise(F.col("n") - F.col("of_main")) / BLOCK_TEXTS).cast("int")
+    main_blocks = F.when(few, 0).otherwise(F.ceil(F.col("of_main") / BLOCK_TEXTS)).cast("int")
+    mixed = mixed.select("bucket", F.when(~few, F.col("main")).alias("main"), blocks.alias("_blocks"), main_blocks.alias("_main_blocks"))
+    in_main = F.coalesce(F.col("component") == F.col("main"), F.lit(False))
+    number = F.xxhash64("node", "bucket")
+    side = F.when(in_main, F.col("_blocks") + F.pmod(number, F.greatest("_main_blocks", F.lit(1)))).otherwise(F.pmod(number, F.col("_blocks")))
+    dealt = grouped.join(mixed, "bucket").withColumn("side", side.cast("int"))
+    last = F.col("_blocks") + F.when(in_main, 0).otherwise(F.col("_main_blocks")) - 1
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), last)))
+    cell = ["bucket", "low", "high"]
+    dealt = dealt.select(
+        "node", "component", "side", "bucket", F.least("side", "_other").alias("low"), F.greatest("side", "_other").alias("high")
     )
-    words = stored(texts.select("key", "text").mapInArrow(read, "key binary, words binary"), "words").dropDuplicates(["key"])
-    group = ["component", "_band", "low", "high"]
-    gathered = dealt.join(words, "key").select("node", "side", "home", *group, "words")
-    links = [("a", pa.int64()), ("b", pa.int64())]
+    gathered = dealt.join(traits, "node").repartition(*cell).sortWithinPartitions(*cell)
 
-    def verify(batches):
+    def compare(batches):
+        """Each cell comes in a row, though over several batches perhaps."""
         held, at = [], None
 
         def close():
-            own = sorted(held, key=lambda r: (len(r["words"]), r["node"]))
-            words = [np.frombuffer(r["words"], dtype=np.uint64) for r in own]
-            found = []
-            if len(own) > 1:
-                sides, home = np.array([r["side"] for r in own]), np.array([r["home"] for r in own])
-                found = joins(words, sides, home, at[2] != at[3], least)
-            columns = [pa.array([own[p[x]]["node"] for p in found], pa.int64()) for x in (0, 1)]
-            return pa.RecordBatch.from_arrays(columns, schema=pa.schema(links))
+            own = sorted({r["node"]: r for r in held}.values(), key=lambda r: r["node"])
+            sides = np.array([r["side"] for r in own]) if at[1] != at[2] else None
+            lengths, groups = np.array([r["n_words"] for r in own]), np.array([r["component"] for r in own])
+            found = close_pairs(lengths, [r["bits"] for r in own], groups, sides, least)
+            return [(own[i]["node"], own[j]["node"]) for i, j in found]
 
+        out = []
         for batch in batches:
             for row in batch.to_pylist():
-                key = tuple(row[c] for c in group)
+                key = tuple(row[c] for c in cell)
                 if key != at and held:
-                    yield close()
+                    out += close()
                     held = []
                 at = key
                 held.append(row)
+            if out:
+                yield _pairs(out)
+                out = []
         if held:
-            yield close()
+            yield _pairs(close())
+
+    return gathered.mapInArrow(compare, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[x] for p in found], pa.int64()) for x in (0, 1)], names=["a", "b"])
+
+
+def _aligned(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs that are similar."""
+    for side in ("a", "b"):
+        pairs = pairs.join(words.select(F.col("node").alias(side), F.col("words").alias(f"words_{side}")), side)
+
+    def align(batches):
+        for batch in batches:
+            fine = [similar(*(np.frombuffer(batch.column(f"words_{side}")[i].as_buffer(), dtype=np.uint64) for side in ("a", "b")), least) for i in range(batch.num_rows)]
+            keep = pa.array(fine, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(side).filter(keep) for side in ("a", "b")], names=["a", "b"])
 
-    return gathered.repartition(*group).sortWithinPartitions(*group).mapInArrow(verify, "a bigint, b bigint")
+    return pairs.mapInArrow(align, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
