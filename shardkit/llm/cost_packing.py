@@ -27,15 +27,12 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardkit.limits import broadcast_within
 from shardkit.llm.bpe_tree import _SPLIT
-from shardkit.llm.common import stored, task_number
+from shardkit.llm.common import gapless, numbered, stored, task_number, text_slices
 from shardkit.llm.encoder import Learned, library_tokenizer, shared
-from shardkit.session import settle
 
 CAPACITY = 2048
 END_ID = 1
@@ -43,8 +40,8 @@ END_ID = 1
 LINEAR = 2048
 # Pieces remembered by a worker at most; bounds its memory.
 REMEMBERED = 500_000
-# Characters of texts worked on together, at least one text.
-CHARS_AT_ONCE = 2_000_000
+# Bytes of texts worked on together, at least one text.
+BYTES_AT_ONCE = 2_000_000
 # Marks that no alternative of the pre-tokenizer's pattern joins to letters, and that run on with each other.
 _MARKS = ".,;:!?$%&*"
 
@@ -106,17 +103,6 @@ def cut_evenly(tokens: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarra
     return doc, number * base + np.minimum(number, longer), base + (number < longer)
 
 
-def numbered(lengths: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """The number of each among those of its length, from `seen` on, which is brought up to date."""
-    order = np.argsort(lengths, kind="stable")
-    of = lengths[order]
-    first = np.searchsorted(of, of)
-    out = np.empty(len(lengths), dtype=np.int64)
-    out[order] = np.arange(len(of)) - first + seen[of]
-    seen += np.bincount(lengths, minlength=len(seen))
-    return out
-
-
 def cut_into_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Whole texts as pieces of at most `capacity` ids, numbered by length within each task (`part`, `local`)."""
     # a vocabulary, whose size the data do not change
@@ -126,7 +112,7 @@ def cut_into_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
     def cut(batches):
         encoder, part, seen = shared(WordIds, model.value), task_number(), np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in text_slices(batch.column(1), BYTES_AT_ONCE):
                 rows = []
                 for text in batch.column(1).slice(a, b - a).to_pylist():
                     found = encoder.ids(text or "")
@@ -149,17 +135,6 @@ def cut_into_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
     return rows.mapInArrow(cut, _PIECES)
 
 
-def slices(texts: pa.Array):
-    """Index ranges of consecutive texts of about CHARS_AT_ONCE bytes."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < len(ends):
-        before = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, before + CHARS_AT_ONCE, side="right")))
-        yield at, to
-        at = to
-
-
 def cost(length, linear: int = LINEAR):
     """Estimated cost of a piece; also of a column."""
     return length * linear + length * length
@@ -260,24 +235,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, linear: int = LINEAR) -> D
     The counts per length come to the driver: at most `capacity` rows, whatever the input.
     """
     spark = pieces.sparkSession
-    counts = settle(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")))
-    total = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    total = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     layers = spark.sparkContext.broadcast(Plan(total, capacity, linear).layers)
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    # a row per task: where its numbers of each length start
-    per_task = bases.groupBy("part").agg(F.collect_list(F.struct("length", "base")).alias("listed"))
-
-    def dense(batches):
-        for batch in batches:
-            out = []
-            for listed in batch.column(1):
-                own = np.zeros(capacity + 1, dtype=np.int64)
-                own[listed.values.field("length").to_numpy()] = listed.values.field("base").to_numpy()
-                out.append(own)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, type=pa.list_(pa.int64()))], names=["part", "_bases"])
-
-    per_task = settle(per_task.mapInArrow(dense, "part int, _bases array<bigint>"))
 
     @F.arrow_udf("array<struct<before: bigint, length: bigint, sequence_id: bigint, offset: bigint>>")
     def place(length: pa.Array, number: pa.Array) -> pa.Array:
@@ -286,9 +245,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, linear: int = LINEAR) -> D
         fields = pa.StructArray.from_arrays([pa.array(x) for x in columns], ["before", "length", "sequence_id", "offset"])
         return pa.ListArray.from_arrays(pa.array(offsets), fields)
 
-    joined = pieces.join(broadcast_within(per_task), "part")
-    number = F.col("local") + F.get("_bases", F.col("length").cast("int"))
-    found = joined.select("doc_id", "start", "doc_tokens", "ids", F.explode(place("length", number)).alias("at"))
+    found = gapless(pieces, "length", capacity, "_number")
+    found = found.select("doc_id", "start", "doc_tokens", "ids", F.explode(place("length", "_number")).alias("at"))
     # a part of the piece's ids: substring counts bytes, from 1
     own = F.substring("ids", (F.col("at.before") * 4 + 1).cast("int"), (F.col("at.length") * 4).cast("int"))
     return found.select(

@@ -103,6 +103,8 @@ class Encoder:
 
     def __init__(self, json_text: str):
         self.tokenizer = library_tokenizer(json_text)
+        # an attribute of the library's that is a new object each time
+        self.tokenize = self.tokenizer.model.tokenize
         self.known = Learned(self._learn)
         config, self.letters = json.loads(json_text), byte_letters()
         before = config["pre_tokenizer"] or {}
@@ -128,7 +130,7 @@ class Encoder:
             word.replace(" ", self.letters[32]) if word.isascii()
             else word.encode("utf-8").decode("latin-1").translate(self.letters)
         )
-        ids = array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)])
+        ids = array("I", [t.id for t in self.tokenize(spelled)])
         if sys.byteorder == "big":
             ids.byteswap()
         return ids.tobytes()

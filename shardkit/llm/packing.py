@@ -18,17 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardkit.llm.common import gapless, stored, task_number
-from shardkit.llm.encoder import Encoder, shared, slices, tokenizer_text
+from shardkit.llm.common import gapless, numbered, stored, task_number, text_slices
+from shardkit.llm.encoder import Encoder, shared, tokenizer_text
 
 CAPACITY = 1024
 END_ID = 2
 
+# Bytes of texts worked on together, at least one text.
+BYTES_AT_ONCE = 2_000_000
+
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary, part int, local bigint"
-_PIECE_FIELDS = [
-    ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
-    ("ids", pa.binary()), ("part", pa.int32()), ("local", pa.int64()),
-]
 
 
 def cut_into_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -40,22 +39,27 @@ def cut_into_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches):
-        encoder, part, seen = shared(Encoder, model.value), task_number(), [0] * (capacity + 1)
+        encoder, part, seen = shared(Encoder, model.value), task_number(), np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
-                rows = []
-                for key, ids in zip(doc_ids[a:b], encoder.ids(texts[a:b])):
-                    ids += end
-                    n = len(ids) // 4
-                    start, until = 0, (n - 1) % capacity + 1
-                    for piece in range(-(-n // capacity)):
-                        length = until - start
-                        rows.append((key, piece, start, length, ids[4 * start : 4 * until], part, seen[length]))
-                        seen[length] += 1
-                        start, until = until, until + capacity
-                columns = [pa.array(c, type=t) for c, (_, t) in zip(zip(*rows), _PIECE_FIELDS)]
-                yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(_PIECE_FIELDS))
+            for a, b in text_slices(batch.column(1), BYTES_AT_ONCE):
+                rows = encoder.ids([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])
+                tokens = np.array([len(x) // 4 + 1 for x in rows], dtype=np.int64)
+                pieces = -(-tokens // capacity)
+                doc = np.repeat(np.arange(len(rows)), pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                first = ((tokens - 1) % capacity + 1)[doc]
+                length = np.where(piece == 0, first, capacity)
+                start = np.where(piece == 0, 0, first + (piece - 1) * capacity)
+                # pieces lie one behind the other, as the documents do
+                ends = np.concatenate([[0], np.cumsum(4 * length)]).astype(np.int32)
+                ids = pa.BinaryArray.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends), pa.py_buffer(end.join([*rows, b""]))])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(a, b - a).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length),
+                        ids, pa.array(np.full(len(doc), part, dtype=np.int32)), pa.array(numbered(length, seen)),
+                    ],
+                    names=["doc_id", "piece", "start", "length", "ids", "part", "local"],
+                )
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     return rows.mapInArrow(cut, _PIECES)
@@ -107,18 +111,18 @@ def _two_for(left: np.ndarray, room: int, smallest: int) -> list[int] | None:
     return [int(max(a[best], b[best])), int(min(a[best], b[best]))] if total[best] > smallest else None
 
 
-def places(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, ...]]:
-    """Per length: from which number on its pieces go to which sequences, and at which offset."""
-    next_number, out, sequence = {}, {}, 0
+def places(plan: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...]:
+    """Sorted by length and number: from which number on the pieces of a length go to which sequences, and at which offset."""
+    next_number, rows, sequence = {}, [], 0
     for lengths, times in plan:
         offset = 0
         for length in lengths:
             number = next_number.get(length, 0)
-            out.setdefault(length, []).append((number, sequence, offset))
+            rows.append(((length << 48) + number, sequence, offset))
             next_number[length] = number + times
             offset += length
         sequence += times
-    return {length: tuple(np.array(x, dtype=np.int64) for x in zip(*rows)) for length, rows in out.items()}
+    return tuple(np.array(x, dtype=np.int64) for x in zip(*sorted(rows)))
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -130,22 +134,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     where = pieces.sparkSession.sparkContext.broadcast(places(fillings(counts, capacity)))
 
-    @F.pandas_udf("struct<sequence_id: bigint, offset: bigint>")
-    def place(length, number):
-        import pandas as pd
-
-        lengths, numbers = length.to_numpy(), number.to_numpy()
-        sequence, offset = np.zeros(len(lengths), dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
-        order = np.argsort(lengths, kind="stable")
-        kinds, first = np.unique(lengths[order], return_index=True)
-        for kind, rows in zip(kinds.tolist(), np.split(order, first[1:])):
-            start, to, at = where.value[kind]
-            i = np.searchsorted(start, numbers[rows], side="right") - 1
-            sequence[rows], offset[rows] = to[i] + numbers[rows] - start[i], at[i]
-        return pd.DataFrame({"sequence_id": sequence, "offset": offset})
-
-    numbered = gapless(pieces, "length", "_number").withColumn("_place", place("length", "_number"))
-    placed = numbered.withColumn("sequence_id", F.col("_place.sequence_id")).withColumn("offset", F.col("_place.offset"))
+    @F.arrow_udf("struct<sequence_id: bigint, offset: bigint>")
+    def place(length: pa.Array, number: pa.Array) -> pa.Array:
+        starts, to, at = where.value
+        key = (length.to_numpy() << 48) + number.to_numpy()
+        i = np.searchsorted(starts, key, side="right") - 1
+        return pa.StructArray.from_arrays([pa.array(to[i] + key - starts[i]), pa.array(at[i])], ["sequence_id", "offset"])
+
+    placed = gapless(pieces, "length", capacity, "_number").withColumn("_place", place("length", "_number"))
+    placed = placed.withColumn("sequence_id", F.col("_place.sequence_id")).withColumn("offset", F.col("_place.offset"))
     return placed.drop("_place", "_number", "part", "local")
 
 

@@ -32,12 +32,11 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardkit.limits import broadcast_within
-from shardkit.llm.common import stored
+from shardkit.llm.common import stored, text_slices
 from shardkit.llm.encoder import _WORD, LONGEST_REMEMBERED, Learned, Remembered, byte_letters, library_tokenizer
 from shardkit.session import settle
 
@@ -374,22 +373,11 @@ def _found_arrays(found: list) -> list[pa.Array]:
     return [pa.array(x, type=t) for x, (_, t) in zip((n_a, n_b, links, sha), _FOUND)]
 
 
-def _slices(texts: pa.Array, most: int = BYTES_AT_ONCE):
-    """Index ranges of consecutive texts of about so many bytes."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < len(ends):
-        before = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
-        yield at, to
-        at = to
-
-
 def _short(rows: DataFrame, model) -> DataFrame:
     def run(batches):
         tool = aligner(model.value)
         for batch in batches:
-            for a, b in _slices(batch.column("text")):
+            for a, b in text_slices(batch.column("text"), BYTES_AT_ONCE):
                 part = batch.slice(a, b - a)
                 found = _found_arrays(tool.align(part.column("text").to_pylist()))
                 ids = [part.column(name) for name in ("part", "row", "doc_id")]
@@ -553,7 +541,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, long_chars: int = LONG_CHAR
 
 def _link_slices(links: pa.Array):
     """Parts of a column of links, of about a million each."""
-    for a, b in _slices(links, 4_000_000):
+    for a, b in text_slices(links, 4_000_000):
         yield links.slice(a, b - a)
 
 

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from shardkit import limits
-from shardkit.llm import cost_packing
+from shardkit.llm import common, cost_packing
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 SF = "/root/testdata/sf0.001"
@@ -108,7 +108,7 @@ def tables(spark, odd_docs, no_docs):
 @pytest.mark.parametrize("name", ["odd", "none", "documents"])
 @pytest.mark.parametrize("rows", [limits.MAX_BROADCAST_ROWS, 0])
 def test_every_id_lies_in_one_piece(tables, name, rows, monkeypatch):
-    monkeypatch.setattr(cost_packing, "broadcast_within", lambda df: limits.broadcast_within(df, rows))
+    monkeypatch.setattr(common, "broadcast_within", lambda df: limits.broadcast_within(df, rows))
     docs, library = tables[name].repartition(5), Tokenizer.from_file(WORDS)
     got = cost_packing.pack_documents(docs, WORDS, capacity=256).collect()
     check_sequences([(None, r.start, r.length, r.sequence_id, r.offset) for r in got], 256)
