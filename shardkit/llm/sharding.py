@@ -55,6 +55,38 @@ def place(sizes: np.ndarray, residual: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, residual
 
 
+def mend(sizes: np.ndarray, chosen: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Placement of groups by which shards are more equal in bytes; `held` are bytes of shards besides.
+
+    The fullest shard gives a group to the emptiest one, or swaps one for a smaller one, whichever comes nearest to half of what is
+    between them, until no such step makes them more equal.
+    """
+    chosen = chosen.copy()
+    total = held + np.bincount(chosen, weights=sizes, minlength=len(held)) if len(sizes) else held
+    for _ in range(20 * len(sizes)):
+        full, empty = int(total.argmax()), int(total.argmin())
+        wanted = (total[full] - total[empty]) / 2
+        own, theirs = np.nonzero(chosen == full)[0], np.nonzero(chosen == empty)[0]
+        if not len(own) or wanted < 1:
+            break
+        # swaps: for each group of the fullest, the one of the emptiest that leaves the wanted difference, or none
+        given = np.concatenate([[0], np.sort(sizes[theirs])])
+        at = np.clip(np.searchsorted(given, sizes[own] - wanted), 1, len(given)) - 1
+        options = [(np.abs(sizes[own] - given[np.minimum(at + step, len(given) - 1)] - wanted), np.minimum(at + step, len(given) - 1)) for step in (0, 1)]
+        off, step = min((o.min(), i) for i, (o, _) in enumerate(options))
+        if off >= wanted:
+            break
+        i = int(options[step][0].argmin())
+        back = int(options[step][1][i])
+        moved = sizes[own[i]] - given[back]
+        chosen[own[i]] = empty
+        if back:
+            chosen[theirs[np.argsort(sizes[theirs], kind="stable")[back - 1]]] = full
+        total[full] -= moved
+        total[empty] += moved
+    return chosen
+
+
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, n_tokens (words between white space), shard, slot of every row of docs.
 
@@ -67,7 +99,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             F.col("doc_id").cast("bigint").alias("doc_id"),
             (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("bigint").alias("size"),
             F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("bigint").alias("text_crc32"),
-            F.coalesce(F.size(F.split(F.trim(text), r"\s+")), F.lit(0)).cast("bigint").alias("n_tokens"),
+            F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")).cast("bigint").alias("n_tokens"),
             F.unhex(F.coalesce(F.md5(text.cast("binary")), F.lit(""))).alias("group"),
         ),
         "sized",
@@ -102,9 +134,6 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     sizes = np.array([[r[x] for x in _DIMENSIONS] for r in large], dtype=float).reshape(-1, 3) / capacity
     chosen, residual = place(sizes, full)
     residual = np.maximum(residual, 0)
-    placed_large = spark.createDataFrame(
-        [(bytes(r["group"]), r["lot"], int(s)) for r, s in zip(large, chosen)], "group binary, lot int, shard int"
-    )
     left = spark.sparkContext.broadcast((residual, capacity))
 
     def fill(batches):
@@ -128,8 +157,17 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     small = groups.where(~is_large).select("group", "lot", *_DIMENSIONS)
     tasks = max(1, math.ceil(summed.count() / TASK_GROUPS))
-    placed = small.repartition(tasks, "group", "lot").mapInArrow(fill, "group binary, lot int, shard int")
-    placed = stored(placed.unionByName(placed_large), "placed")
+    placed = stored(small.repartition(tasks, "group", "lot").mapInArrow(fill, "group binary, lot int, shard int"), "placed-small")
+    # how full the small groups make each shard, before the large ones are mended
+    held = np.zeros(shards)
+    for r in placed.join(small, ["group", "lot"]).groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect():
+        held[r["shard"]] = r["bytes"]
+    chosen = mend(np.array([r["bytes"] for r in large], dtype=np.int64), chosen, held)
+    placed_large = spark.createDataFrame(
+        [(bytes(r["group"]), r["lot"], int(s)) for r, s in zip(large, chosen)], "group binary, lot int, shard int"
+    )
+    placed = placed.unionByName(placed_large)
+    placed = stored(placed, "placed")
 
     def number(batches):
         part, seen = task_number(), np.zeros(shards, dtype=np.int64)
@@ -148,4 +186,4 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     located = rows.withColumn("lot", lot).join(broadcast_within(placed), ["group", "lot"])
     located = located.select("doc_id", "size", "text_crc32", "n_tokens", "shard")
     numbered = stored(located.mapInArrow(number, fields + ", part int, local bigint"), "located")
-    return gapless(numbered, "shard", "slot").drop("part", "local")
+    return gapless(numbered, "shard", shards - 1, "slot").drop("part", "local")

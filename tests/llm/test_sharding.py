@@ -2,6 +2,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from shardkit.llm import sharding
 
@@ -34,6 +35,37 @@ def test_bytes_are_near_equal_and_equal_texts_together(spark):
     assert max(n_rows.values()) < 1.05 * len(rows) / 24
 
 
+@pytest.mark.parametrize("sf, most", [("sf0.001", 1.02), ("sf0.01", 1.005)])
+def test_bytes_of_small_tables(spark, sf, most):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    size = held(sharding.shard_documents(docs).collect(), docs.count())
+    mean = sum(size.values()) / 24
+    # no better than the largest text allows
+    largest = max(len(r.text.encode()) + 8 for r in docs.select("text").collect())
+    assert max(size.values()) <= max(most * mean, 1.001 * largest) and min(size.values()) >= (2 - most) * mean
+
+
+def brute_mended(sizes, chosen, held):
+    """Any single move or swap that lowers the difference of fullest and emptiest."""
+    total = held + np.bincount(chosen, weights=sizes, minlength=len(held))
+    full, empty = total.argmax(), total.argmin()
+    between = total[full] - total[empty]
+    own, theirs = sizes[chosen == full], np.concatenate([[0], sizes[chosen == empty]])
+    return any(abs(between - 2 * (a - b)) < between and a > b for a in own for b in theirs)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_mended_placements_cannot_be_mended_by_one_step(seed):
+    rng = np.random.default_rng(seed)
+    sizes = (rng.lognormal(5, 1.5, 150) + 8).astype(np.int64)
+    chosen, held = rng.integers(0, 6, 150).astype(np.int32), rng.integers(0, 500, 6).astype(float)
+    got = sharding.mend(sizes, chosen, held)
+    assert sorted(sizes) == sorted(sizes[np.argsort(got, kind="stable")])
+    assert not brute_mended(sizes, got, held)
+    before, after = (held + np.bincount(x, weights=sizes, minlength=6) for x in (chosen, got))
+    assert after.max() - after.min() <= before.max() - before.min()
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     rows = sharding.shard_documents(odd_docs, 3).collect()
     held(rows, odd_docs.count(), 3)
