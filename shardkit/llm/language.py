@@ -92,6 +92,10 @@ def words_of(texts: list[str]) -> Words:
     )
 
 
+# Labels of words are 16-bit numbers.
+MOST_LANGUAGES = 32_000
+
+
 @dataclass
 class LanguageModel:
     """Log likelihoods per bucket and language, the scripts of each language, the penalty."""
@@ -121,7 +125,7 @@ class LanguageModel:
         steps = int(n[0]) if len(n) else 0
         active = np.searchsorted(-n, -np.arange(steps), side="left")  # texts with more than t words
         total = np.zeros((len(n), scores.shape[1]), dtype=np.float64)
-        came = np.zeros(scores.shape, dtype=np.int8)
+        came = np.zeros(scores.shape, dtype=np.int16)
         for t in range(steps):
             a = active[t]
             now, row = total[:a], first[:a] + t
@@ -129,7 +133,7 @@ class LanguageModel:
             switched = now[np.arange(a), best][:, None] - self.penalty
             came[row] = np.where(now >= switched, -1, best[:, None])
             total[:a] = np.maximum(now, switched) + scores[row]
-        labels, label = np.zeros(len(scores), dtype=np.int8), total.argmax(axis=1)
+        labels, label = np.zeros(len(scores), dtype=np.int16), total.argmax(axis=1)
         for t in range(steps - 1, -1, -1):
             a = active[t]
             row = first[:a] + t
@@ -170,15 +174,18 @@ def learn(docs: DataFrame, learned_docs: int = LEARNED_DOCS, penalty: float = SW
 
     Counts are summed on Spark; one row per language, kind and bucket comes to the driver, however many documents.
     """
-    rows = docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).where(
-        "text is not null and lang is not null"
-    )
+    # copies of a text are drawn each on its own, so that a language of few texts is learned too
+    drawn = F.xxhash64("text", *(["doc_id"] if "doc_id" in docs.columns else []))
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), drawn.alias("drawn"))
+    rows = rows.where("text is not null and lang is not null")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(sizes)
     if not langs:
         return None
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"{len(langs)} languages; up to {MOST_LANGUAGES} can be told apart")
     parts = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, learned_docs / sizes[lang]))])
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < parts[F.col("lang")] * 1_000_000)
+    chosen = rows.where(F.pmod("drawn", F.lit(1_000_000)) < parts[F.col("lang")] * 1_000_000).select("text", "lang")
 
     def count(batches):
         found = {}

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from shardkit.llm import language
@@ -61,3 +63,21 @@ def test_scripts_narrow_candidates(spark):
     model = language.learn(spark.createDataFrame(rows, "text string, lang string"))
     lang, score, spans = model.label(["погода zzzz"])[0]
     assert [s[2] for s in spans] in (["ru", "en"], ["ru"], ["en"]) and not model.scripts[:, 0].tolist() == model.scripts[:, 1].tolist()
+
+
+def test_two_hundred_languages(spark):
+    """More languages than an eight-bit number tells apart, each of words of its own."""
+    rng = random.Random(3)
+    words = {f"l{i:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(6)] for i in range(200)}
+    rows = [(i, " ".join(rng.choice(own) for _ in range(30)), lang) for lang, own in words.items() for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.learn(docs)
+    assert len(model.langs) == 200
+    found = model.label([t for _, t, _ in rows])
+    assert sum(lang == want for (lang, *_), (_, _, want) in zip(found, rows)) >= 0.98 * len(rows)
+
+
+def test_a_language_of_one_text_with_many_copies_is_learned(spark):
+    rows = [(i, "eins zwei drei vier", "de") for i in range(400)] + [(i, "uno dos tres cuatro", "es") for i in range(400, 800)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert language.learn(docs, learned_docs=20).langs == ["de", "es"]
