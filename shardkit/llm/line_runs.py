@@ -14,13 +14,16 @@ shorter than the least length are never dropped. If all lines go, the text is em
 drop_lines() keeps all columns of docs.
 """
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardkit.limits import broadcast_within
-from shardkit.llm.common import stored
+from shardkit.llm.common import scratch, stored
 from shardkit.llm.secret_ledger import replaced
-from shardkit.session import scratch_path, settle
+from shardkit.session import settle
+from shardkit.sources.commits import CommitLog, delete
 
 LEAST_CHARS = 40
 LEAST_DOCS = 5
@@ -37,27 +40,46 @@ def line_key(line):
     return F.translate(F.btrim(line, F.lit(STRIPPED)), UPPER, LOWER)
 
 
+_RUN = "line binary, n_docs bigint, last_doc bigint"
+
+
 class LineRuns:
-    """Runs (line, n_docs, last_doc) below `root`, by level."""
+    """Runs (line, n_docs, last_doc) below `root`, by level; opened again, it goes on with the runs that are there.
+
+    Which runs count is one small file per version, so that a compaction takes effect at once; the runs it replaced are then removed.
+    """
 
     def __init__(self, spark: SparkSession, root: str, least_docs: int = LEAST_DOCS, fanout: int = FANOUT):
         self.spark, self.root, self.least_docs, self.fanout = spark, root, least_docs, fanout
-        self.levels: list[list[DataFrame]] = []
-        self.written = 0
+        self.log = CommitLog(spark, f"{root}/versions")
+
+    @property
+    def levels(self) -> list[list[str]]:
+        """Names of the runs of each level."""
+        return self.log.head()[1].get("levels", [])
+
+    def _run(self, name: str) -> DataFrame:
+        return self.spark.read.schema(_RUN).parquet(f"{self.root}/runs/{name}")
 
     def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
-
-    def _write(self, run: DataFrame, level: int) -> None:
-        path = f"{self.root}/level-{level}/run-{self.written}"
-        self.written += 1
-        run.sortWithinPartitions("line").write.parquet(path)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(self.spark.read.schema(run.schema).parquet(path))
-        if len(self.levels[level]) >= self.fanout:
-            full, self.levels[level] = self.levels[level], []
-            self._write(self._merged(full), level + 1)
+        return [self._run(name) for level in self.levels for name in level]
+
+    def _write(self, run: DataFrame, level: int, replaced: list[str]) -> None:
+        name = f"{level}-{uuid.uuid4().hex}"
+        run.sortWithinPartitions("line").write.parquet(f"{self.root}/runs/{name}")
+
+        def change(_: int, content: dict) -> dict:
+            levels = [[n for n in names if n not in replaced] for names in content.get("levels", [])]
+            levels += [[] for _ in range(level + 1 - len(levels))]
+            levels[level].append(name)
+            return {"levels": levels}
+
+        self.log.commit(change)
+        for old in replaced:
+            delete(self.spark, f"{self.root}/runs/{old}")
+        full = self.levels[level]
+        if len(full) >= self.fanout:
+            self._write(self._merged([self._run(n) for n in full]), level + 1, full)
 
     @staticmethod
     def _merged(runs: list[DataFrame]) -> DataFrame:
@@ -74,7 +96,7 @@ class LineRuns:
         for run in self.runs():
             done = run.where(F.col("n_docs") >= self.least_docs).select("line")
             own = own.join(done.hint("merge"), "line", "left_anti")
-        self._write(own, 0)
+        self._write(own, 0, [])
 
     def repeated(self) -> DataFrame:
         """(line, last_doc) of lines in at least `least_docs` documents."""
@@ -112,7 +134,7 @@ def drops(
     hashes = F.array_distinct(F.transform(long, lambda k: F.unhex(F.md5(k.cast("binary")))))
     hashed = docs.select(_document().alias("doc_id"), F.explode(hashes).alias("line"))
     hashed = stored(hashed.withColumn("batch", batch), "line-hashes")
-    runs = LineRuns(spark, scratch_path(spark, "line-runs"), least_docs, fanout)
+    runs = LineRuns(spark, scratch(spark, "line-runs"), least_docs, fanout)
     for number in range(batches):
         runs.add(hashed.where(F.col("batch") == number).select("line", "doc_id"))
     repeated = settle(runs.repeated())
