@@ -4,8 +4,9 @@ A blob is a text, addressed by its SHA-256. The ledger is a folder of Parquet ba
 each blob and rule version that was scanned, and the spans found. A scan dedupes the
 texts at hand by address, leaves out what the ledger has for this rule version, scans the rest
 and adds it as one batch; findings are then joined back to every row ("path") that
-holds the blob, in whichever version. Rules that change get another version, and old
-findings stay beside the new.
+holds the blob, in whichever version of the corpus: the ledger also keeps which path held which blob in which
+version. Rules that change get another version, and old findings stay beside the new. Of a corpus that the ledger
+knows already only addresses are compared: no text is shuffled.
 
 Defined results: a null text is the empty text, without findings. Repeated rows and copies get
 the findings of their blob each. Spans of different kinds may overlap; they are ordered by
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 from shardkit.limits import broadcast_within
 from shardkit.session import settle
+from shardkit.sources.commits import names
+from shardkit.sources.layout import exists
 
 MASK = "[SECRET]"
 # Kinds in order, their patterns, the group that is measured and its least length.
@@ -31,6 +34,7 @@ RULES = (
     ("access", r"AKIA[A-Z0-9]+", 0, 18),
     ("hex", r"[0-9a-f]+", 0, 16),
 )
+_PATHS = "doc_id bigint, corpus_version string"
 _LEDGER = "blob binary, rule_version string, spans array<struct<kind: string, start: int, end: int>>"
 
 
@@ -65,15 +69,10 @@ class SecretLedger:
         self.spark, self.root, self.rules = spark, root.rstrip("/"), rules
         self.version = version_of(rules)
 
-    def _batches(self) -> list[str]:
+    def _batches(self, kind: str = "batch") -> list[str]:
         """Batches that were written whole."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        found = [s.getPath() for s in fs.listStatus(path)]
-        done = [p for p in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(p.toString() for p in done)
+        found = [f"{self.root}/{name}" for name in names(self.spark, self.root) if name.startswith(f"{kind}-")]
+        return [path for path in found if exists(self.spark, f"{path}/_SUCCESS")]
 
     def scanned(self) -> DataFrame | None:
         """Blobs and spans of this rule version; None while there are none."""
@@ -91,12 +90,25 @@ class SecretLedger:
             text.alias("text"),
         )
 
-    def update(self, docs: DataFrame) -> None:
-        """Scans the blobs of docs that this rule version has not seen, and adds them."""
-        # copies meet in the map side of the aggregation already, so none of them makes a task large
-        unseen = self._addressed(docs).groupBy("blob").agg(F.first("text").alias("text"))
+    def _unseen(self, docs: DataFrame) -> DataFrame:
+        """(blob, text) of texts that this rule version has not seen, each once."""
+        rows = self._addressed(docs)
         if (scanned := self.scanned()) is not None:
-            unseen = unseen.join(scanned.select("blob"), "blob", "left_anti")
+            # addresses first: only texts that are new are brought together
+            new = settle(rows.select("blob").distinct().join(scanned.select("blob"), "blob", "left_anti"))
+            rows = rows.join(broadcast_within(new), "blob", "left_semi")
+        # copies meet in the map side of the aggregation already, so none of them makes a task large
+        return rows.groupBy("blob").agg(F.first("text").alias("text"))
+
+    def update(self, docs: DataFrame, corpus_version: str | None = None) -> None:
+        """Scans the blobs of docs that this rule version has not seen, and adds them.
+
+        With `corpus_version`, the ledger also keeps which doc_id held which blob in that version; see history().
+        """
+        if corpus_version is not None:
+            paths = self._addressed(docs).select("doc_id", "blob", F.lit(corpus_version).alias("corpus_version"))
+            paths.write.parquet(f"{self.root}/paths-{uuid.uuid4().hex}")
+        unseen = self._unseen(docs)
         rules, version = self.rules, self.version
 
         def scan(batches):
@@ -111,6 +123,14 @@ class SecretLedger:
 
         unseen.mapInArrow(scan, _LEDGER).write.parquet(f"{self.root}/batch-{uuid.uuid4().hex}")
 
+    def history(self) -> DataFrame:
+        """doc_id, corpus_version, blob and spans of every path and version that the ledger keeps and this rule version has seen."""
+        kept = self._batches("paths")
+        if not kept or (scanned := self.scanned()) is None:
+            return self.spark.createDataFrame([], f"{_PATHS}, {_LEDGER}").drop("rule_version")
+        paths = self.spark.read.schema(_PATHS + ", blob binary").parquet(*kept).distinct()
+        return paths.join(scanned, "blob").select("doc_id", "corpus_version", "blob", "spans")
+
     def findings(self, docs: DataFrame) -> DataFrame:
         """doc_id, blob and spans of every row of docs, after update(docs)."""
         paths = self._addressed(docs).select("doc_id", "blob")
