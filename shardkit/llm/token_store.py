@@ -18,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardkit.limits import MAX_BROADCAST_ROWS, fits
+from shardkit.limits import MAX_BROADCAST_ROWS, broadcast_within, fits
 from shardkit.llm.common import task_number
 from shardkit.llm.encoder import Encoder, shared, slices, tokenizer_text
+from shardkit.session import settle
 
 END_ID = 2
 # Ids after which a shard is closed.
@@ -169,7 +170,8 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = E
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first())
+    # rows of one id, or without one, go to several tasks by their texts
+    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     rows.mapInArrow(encode, _STORE).write.option("compression", "zstd").parquet(path)
 
@@ -238,14 +240,22 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     """The same for the documents whose keys are in `keys` (doc_id); unknown keys give nothing.
 
-    Up to MAX_BROADCAST_ROWS keys, counted first, go to all tasks: shards whose range holds
-    none are skipped, and the others answer from their index. More keys are joined with a scan.
+    Up to MAX_BROADCAST_ROWS keys, counted first, are compared with the shards' ranges of keys, and only
+    shards whose range holds one are read and answer from their index. More keys are joined with a scan.
     """
     keys = keys.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
     if not fits(keys, MAX_BROADCAST_ROWS):
         return read_store(spark, path).join(keys, "doc_id", "left_semi")
     asked = np.array(sorted(r[0] for r in keys.collect()), dtype="<i8")
-    shards = _with_starts(spark, path)
-    if len(asked):
-        shards = shards.where((F.col("last_key") >= int(asked[0])) & (F.col("first_key") <= int(asked[-1])))
-    return _read(shards, spark.sparkContext.broadcast(asked))
+    held = spark.sparkContext.broadcast(asked)
+
+    @F.arrow_udf("boolean")
+    def has_one(first: pa.Array, last: pa.Array) -> pa.Array:
+        a = np.searchsorted(held.value, first.fill_null(1).to_numpy(), side="left")
+        b = np.searchsorted(held.value, last.fill_null(0).to_numpy(), side="right")
+        return pa.array(a < b)
+
+    # two small columns tell which shards are wanted; their numbers select the others' rows
+    ranges = spark.read.schema(_STORE).parquet(path).select("part", "shard", "first_key", "last_key")
+    wanted = settle(ranges.where(has_one("first_key", "last_key")).select("part", "shard"))
+    return _read(_with_starts(spark, path).join(broadcast_within(wanted), ["part", "shard"], "left_semi"), held)

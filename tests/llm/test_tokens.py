@@ -50,6 +50,42 @@ def test_lookup_finds_all_rows_of_known_keys(spark, tables):
     assert found == {6: 2, 4: 1}
 
 
+def test_lookup_reads_hit_shards_only(spark, tables):
+    path = scratch_path(spark, "store")
+    token_store.write_store(tables["documents"], path, BYTES, shard_ids=500)
+    ids = sorted(r.doc_id for r in tables["documents"].select("doc_id").collect())
+    asked = spark.createDataFrame([(ids[0],), (ids[-1],), (ids[-1] + 10,)], "doc_id bigint")
+    found = token_store.lookup(spark, path, asked)
+    assert sorted(r.doc_id for r in found.collect()) == [ids[0], ids[-1]]
+    shards = spark.read.parquet(path).count()
+    read = found._jdf.queryExecution().executedPlan().toString()
+    assert shards > 10 and "LeftSemi" in read
+
+
+def test_rows_of_one_id_go_to_several_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    docs = spark.createDataFrame([(None if i % 2 else 7, f"text {i} " * 20) for i in range(4000)], "doc_id bigint, text string").repartition(8)
+    path = scratch_path(spark, "store")
+    token_store.write_store(docs, path, BYTES, shard_ids=5000)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = spark.read.parquet(path).groupBy("part").count().count()
+    assert parts > 2
+    rows = token_store.read_store(spark, path).collect()
+    assert Counter(r.doc_id for r in rows) == {None: 2000, 7: 2000}
+    at = 0
+    for r in sorted(rows, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    found = token_store.lookup(spark, path, spark.createDataFrame([(7,)], "doc_id bigint"))
+    assert found.count() == 2000
+
+
+def test_packed_ids_cross_no_exchange(tables):
+    packed = packing.pack_documents(tables["documents"], BYTES)
+    plan = packed._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
 def test_key_index_is_minimal_and_knows_strangers():
     keys = np.unique(np.random.default_rng(1).integers(-(1 << 60), 1 << 60, 50_000))
     index = KeyIndex.of(keys)
