@@ -4,7 +4,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from shardkit.llm import language, line_runs, order_minhash, packing, secret_ledger
+from shardkit.llm.common import scratch, scratch_removed
 from shardkit.session import scratch_path
+from shardkit.sources.commits import delete
 
 # Texts of which a smaller part is in their language are rejected.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -27,7 +29,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are masked."""
-    ledger = secret_ledger.SecretLedger(spark, scratch_path(spark, "secret-ledger"))
+    ledger = secret_ledger.SecretLedger(spark, scratch(spark, "secret-ledger"))
     ledger.update(docs)
     return ledger.redact(docs)
 
@@ -45,18 +47,20 @@ STAGES = [
     ("packing", packed),
 ]
 
-# Language models, sketches and tokenizers are beyond SQL; tests hold run() against a brute-force version.
+# Language models, sketches and tokenizers are beyond SQL; tests/llm/test_pipeline.py holds run() against brute-force stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            path = scratch_path(spark, f"stage-{number}")
+    """All stages over documents; each stage's rows are written and read again, and what it was made of is removed."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for number, (_, stage) in enumerate(STAGES[:-1]):
+        path = scratch_path(spark, f"stage-{number}")
+        with scratch_removed(spark):
+            out = stage(spark, docs, sf_dir)
             out.write.parquet(path)
-            out = spark.read.schema(out.schema).parquet(path)
-        docs = out
-    return docs
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before is not None:
+            delete(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
