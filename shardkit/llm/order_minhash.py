@@ -11,7 +11,7 @@ linked if 1 - edits / words of the longer one is at least 0.8.
 Equal texts are one node beforehand. Texts that share a value are a bucket. First, each text of a bucket is compared with a few
 leaders of it, which joins nearly all of a group of copies at the cost of a few comparisons each. Then the texts of a bucket that are
 still of different components are compared all with all, in blocks, each pair of blocks (a cell) in one place: by their lengths and by
-bit maps of their pairs of neighbouring words, whose bound no alignment can beat. What passes is aligned. So
+bit maps of their words and pairs of neighbouring words, whose bounds no alignment can beat. What passes is aligned. So
 every pair that shares a value is either of one component already, or ruled out by the bound, or aligned: no link that joins components is lost.
 
 Defined results: null and empty texts are equal. Texts without words link with equal ones only; a text of
@@ -40,8 +40,8 @@ SEED = 11
 BLOCK_TEXTS = 1_500
 # Texts of a bucket that all of it is compared with first.
 LEADERS = 3
-# Bits of a text's map: twice its words, within these.
-LEAST_BITS, MOST_BITS = 512, 32_768
+# Bits of a text's map: four times its words, within these.
+LEAST_BITS, MOST_BITS = 512, 65_536
 _REMEMBERED = 400_000
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -197,39 +197,46 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return edits_within(a, b, _most(longest, least)) is not None
 
 
-def pair_bits(words: np.ndarray) -> bytes:
-    """A bit map of a text's pairs of neighbouring words, each labelled with how often it occurred before.
+def text_maps(words: np.ndarray) -> bytes:
+    """Two bit maps of a text, of its words and of its pairs of neighbouring words, each labelled with how often it occurred before.
 
-    A bit that one text has and another lacks stands for a pair of words that only the one has. An edit takes away two
-    of a text's pairs at most and adds two, so texts whose maps differ in more than 4 e bits are more than e edits apart. A map
-    is as long as a power of two; folded to half its length it says the same of fewer bits.
+    A bit that one text has and another lacks stands for a word, or pair, that only the one has. An edit takes away one word
+    and two pairs at most, and adds as many: so of texts that are up to e edits apart, and d words in length, the maps of words
+    differ in 2 e - d bits at most, those of pairs in 4 e. A map is as long as a power of two; folded to half its
+    length it says the same of fewer bits.
     """
     n_bits = LEAST_BITS
-    while n_bits < 2 * len(words) and n_bits < MOST_BITS:
+    while n_bits < 4 * len(words) and n_bits < MOST_BITS:
         n_bits *= 2
-    out = np.zeros(n_bits, dtype=bool)
-    if len(words) > 1:
-        out[(labelled_kmers(words, 2) % np.uint64(n_bits)).astype(np.int64)] = True
-    return np.packbits(out).tobytes()
+    out = np.zeros((2, n_bits), dtype=bool)
+    for row, k in enumerate((1, 2)):
+        if len(words) >= k:
+            out[row, (labelled_kmers(words, k) % np.uint64(n_bits)).astype(np.int64)] = True
+    return np.packbits(out, axis=1).tobytes()
 
 
-def _bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Bits in which each map of a differs from each of b."""
-    return np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int32)
+def _read_maps(maps: list) -> np.ndarray:
+    """(text, kind of map, 64 bits of it); maps of one length."""
+    return np.frombuffer(b"".join(maps), dtype=np.uint64).reshape(len(maps), 2, -1)
 
 
 def _folded(maps: np.ndarray) -> np.ndarray:
-    half = maps.shape[1] // 2
-    return maps[:, :half] | maps[:, half:]
+    half = maps.shape[2] // 2
+    return maps[:, :, :half] | maps[:, :, half:]
+
+
+def _within(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, least: float) -> np.ndarray:
+    """Whether texts may be similar, by lengths and maps, pair by pair."""
+    apart = np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+    most = ((1 - least) * np.maximum(n_a, n_b) + 1e-9).astype(np.int64)
+    return (apart[..., 0] <= 2 * most - np.abs(n_a - n_b)) & (apart[..., 1] <= 4 * most)
 
 
 def close_pairs(lengths: np.ndarray, maps: list[bytes], groups: np.ndarray, sides: np.ndarray | None, least: float) -> list[tuple[int, int]]:
-    """Pairs of different groups, and sides if given, that lengths and bit maps do not rule out."""
-    by_size: dict[int, np.ndarray] = {}
+    """Pairs of different groups, and sides if given, that lengths and maps do not rule out."""
     sizes = np.array([len(m) for m in maps])
-    for size in np.unique(sizes).tolist():
-        by_size[size] = np.nonzero(sizes == size)[0]
-    held = {size: np.frombuffer(b"".join(maps[i] for i in at), dtype=np.uint64).reshape(len(at), -1) for size, at in by_size.items()}
+    by_size = {size: np.nonzero(sizes == size)[0] for size in np.unique(sizes).tolist()}
+    held = {size: _read_maps([maps[i] for i in at]) for size, at in by_size.items()}
     out = []
     for size, at in by_size.items():
         # similar texts have maps of one size, or of twice the size
@@ -237,19 +244,22 @@ def close_pairs(lengths: np.ndarray, maps: list[bytes], groups: np.ndarray, side
         if 2 * size in by_size:
             others.append((by_size[2 * size], _folded(held[2 * size]), False))
         for to, wide, same in others:
-            step = max(1, 4_000_000 // (len(to) * wide.shape[1]))
+            step = max(1, 4_000_000 // (len(to) * wide.shape[2]))
             for first in range(0, len(at), step):
-                i = at[first : first + step]
-                longest = np.maximum(lengths[i][:, None], lengths[to][None, :])
-                most = ((1 - least) * longest + 1e-9).astype(np.int64)
-                fine = (np.abs(lengths[i][:, None] - lengths[to][None, :]) <= most) & (groups[i][:, None] != groups[to][None, :])
+                i, own = at[first : first + step], held[size][first : first + step]
+                n_i, n_to = lengths[i][:, None], lengths[to][None, :]
+                most = ((1 - least) * np.maximum(n_i, n_to) + 1e-9).astype(np.int64)
+                fine = (np.abs(n_i - n_to) <= most) & (groups[i][:, None] != groups[to][None, :])
                 if same:
                     fine &= i[:, None] < to[None, :]
                 if sides is not None:
                     fine &= sides[i][:, None] != sides[to][None, :]
-                if fine.any():
-                    fine &= _bits_apart(held[size][first : first + step], wide) <= 4 * most
-                    out += [(int(i[x]), int(to[y])) for x, y in np.argwhere(fine)]
+                if not fine.any():
+                    continue
+                apart = np.bitwise_count(own[:, None, 0] ^ wide[None, :, 0]).sum(axis=2, dtype=np.int32)
+                x, y = np.nonzero(fine & (apart <= 2 * most - np.abs(n_i - n_to)))
+                good = _within(own[x], wide[y], lengths[i[x]], lengths[to[y]], least)
+                out += list(zip(i[x[good]].tolist(), to[y[good]].tolist()))
     return out
 
 
@@ -278,7 +288,7 @@ def classes(docs: DataFrame, k: int = WORDS, least: float = SIMILARITY, sketches
                     words = hashes.of(text.as_py())
                     # texts up to SHORT words meet by segments
                     values = [segments(words, least)] + ([sketch(words, k, sketches)] if len(words) > SHORT else [])
-                    known[key] = (len(words), np.concatenate(values), pair_bits(words))
+                    known[key] = (len(words), np.concatenate(values), text_maps(words))
                 found.append(known[key])
             n_words, values, bits = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
@@ -348,14 +358,14 @@ def _with_leaders(met: DataFrame, traits: DataFrame, least: float) -> DataFrame:
     def bounded(batches):
         for batch in batches:
             a, b, n_a, n_b, x, y = (batch.column(c) for c in ("a", "b", "n_a", "n_b", "bits_a", "bits_b"))
-            longest = np.maximum(n_a.to_numpy(), n_b.to_numpy())
             fine = np.zeros(batch.num_rows, dtype=bool)
-            for i in range(batch.num_rows):
-                maps = [np.frombuffer(v[i].as_buffer(), dtype=np.uint64)[None] for v in (x, y)]
+            for i, (p, q) in enumerate(zip(n_a.to_numpy(), n_b.to_numpy())):
+                maps = [_read_maps([v[i].as_py()]) for v in (x, y)]
                 if maps[0].shape != maps[1].shape:
-                    wide = int(maps[1].shape[1] > maps[0].shape[1])
+                    wide = int(maps[1].shape[2] > maps[0].shape[2])
                     maps[wide] = _folded(maps[wide])
-                fine[i] = maps[0].shape != maps[1].shape or _bits_apart(*maps)[0, 0] <= 4 * _most(int(longest[i]), least)
+                # similar texts have maps of one size, or of twice the size
+                fine[i] = maps[0].shape == maps[1].shape and _within(maps[0][0], maps[1][0], p, q, least)
             keep = pa.array(fine)
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 

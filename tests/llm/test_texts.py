@@ -236,6 +236,29 @@ def test_near_duplicates_of_odd_rows(spark, odd_docs, no_docs):
     assert order_minhash.near_duplicates(no_docs).count() == 0 and order_minhash.one_of_each(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_no_similar_pair_is_ruled_out(seed):
+    """Texts of many lengths, with edits around the bound, moved parts and words that repeat."""
+    rng, made = random.Random(seed), []
+    for _ in range(60):
+        n = rng.choice([1, 2, 5, 20, 60, 127, 129, 200])
+        made.append([rng.randint(0, rng.choice([5, 100, 10**6])) for _ in range(n)])
+        made.append([abs(w) for w in edited(rng, made[-1], rng.randint(0, max(1, n // 4)), False)] or [1])
+        at = rng.randrange(n)
+        made.append(made[-2][at:] + made[-2][:at])
+    words = [np.array(w, dtype=np.uint64) for w in made]
+    maps, lengths = [order_minhash.text_maps(w) for w in words], np.array([len(w) for w in words])
+    found = set(order_minhash.close_pairs(lengths, maps, np.arange(len(words)), None, 0.8))
+    found |= {(j, i) for i, j in found}
+    near = {(i, j) for i in range(len(words)) for j in range(i) if order_minhash.similar(words[i], words[j])}
+    assert near and near <= found and len(found) < 0.2 * len(words) ** 2
+    sides = np.arange(len(words)) % 2
+    groups = np.arange(len(words)) // 3
+    across = set(order_minhash.close_pairs(lengths, maps, groups, sides, 0.8))
+    want = {(i, j) for i, j in found if sides[i] != sides[j] and groups[i] != groups[j]}
+    assert across | {(j, i) for i, j in across} == want
+
+
 def test_blocks_do_not_change_classes(spark, monkeypatch):
     rng = random.Random(5)
     base = [[f"w{rng.randint(0, 400)}" for _ in range(60)] for _ in range(4)]
@@ -247,6 +270,7 @@ def test_blocks_do_not_change_classes(spark, monkeypatch):
         rows.append((i, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     monkeypatch.setattr(order_minhash, "BLOCK_TEXTS", 10)
+    monkeypatch.setattr(order_minhash, "LEADERS", 1)
     got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs).collect()}
     assert got == {i: i % 4 for i in range(160)}
 
