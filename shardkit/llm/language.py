@@ -92,6 +92,8 @@ def words_of(texts: list[str]) -> Words:
     )
 
 
+# Characters of texts labelled together, at least one text; a task holds some 80 bytes for each.
+CHARS_AT_ONCE = 1_500_000
 # Labels of words are 16-bit numbers.
 MOST_LANGUAGES = 32_000
 
@@ -238,7 +240,7 @@ def _labels(docs: DataFrame, model: LanguageModel | None):
         if model is None:
             out = [(UNKNOWN, 0.0, [])] * len(whole)
         else:
-            for a, b in slices(whole, 4_000_000):
+            for a, b in slices(whole, CHARS_AT_ONCE):
                 out.extend(model.label(whole[a:b]))
         frame = pd.DataFrame({"lang_pred": [x[0] for x in out], "score": [x[1] for x in out]})
         frame["spans"] = [[{"start": s, "end": e, "lang": lang} for s, e, lang in x[2]] for x in out]
