@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queries.fixtures import PARTIES, as_int, customers, labels, nations, sql_label, suppliers, table
+from queries.fixtures import PARTIES, as_int, cents, customers, labels, nations, sql_label, suppliers, table
 from shardkit.functions import names
 from shardkit.operators import registry as reg
 
@@ -47,8 +47,14 @@ def _active(df: DataFrame) -> DataFrame:
     return df.select("shard").distinct().withColumn("status", F.lit(reg.ACTIVE))
 
 
+def _rich(df: DataFrame, mean: int) -> DataFrame:
+    """Shards with so many cents on average, over all their rows."""
+    means = df.groupBy("shard").agg(F.sum(cents("acctbal")).alias("cents"), F.count(F.lit(1)).alias("n"))
+    return _active(means.filter(F.col("cents") > F.col("n") * mean))
+
+
 def activate_shards(spark: SparkSession, sf: str) -> DataFrame:
-    registry = _active(suppliers(spark, sf).filter(F.col("acctbal") > 9000))
+    registry = _rich(suppliers(spark, sf), 550_000)
     return reg.activate_shards(registry, customers(spark, sf), 5, 9)[1]
 
 
@@ -59,7 +65,7 @@ def deactivate_shards(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def active_shards(spark: SparkSession, sf: str) -> DataFrame:
-    registry = _active(suppliers(spark, sf).filter(F.col("acctbal") > 0))
+    registry = _rich(suppliers(spark, sf), 400_000)
     found = reg.active_shards(registry, customers(spark, sf))
     return found.select(F.array_join("shards", ",").alias("shards"), F.size("shards").alias("n"))
 
@@ -96,6 +102,10 @@ QUERIES = {
     )
 }
 
+def _rich_sql(mean: int) -> str:
+    return f"GROUP BY shard HAVING sum(floor(acctbal * 100 + 0.5)) > count(*) * {mean}"
+
+
 _SERIES = "(SELECT {label} AS shard FROM (SELECT unnest(generate_series({lo}, {hi})) AS n))"
 
 
@@ -126,7 +136,7 @@ ORACLES = {
     "activate_shards": f"""
         WITH {PARTIES}
         SELECT shard, 'active' AS status
-        FROM (SELECT shard FROM supp WHERE acctbal > 9000 UNION SELECT shard FROM {_series(5, 9)} r)
+        FROM (SELECT shard FROM supp {_rich_sql(550000)} UNION SELECT shard FROM {_series(5, 9)} r)
         WHERE shard IN (SELECT shard FROM cust)""",
     "deactivate_shards": f"""
         WITH {PARTIES}
@@ -135,7 +145,7 @@ ORACLES = {
         FROM cust""",
     "active_shards": f"""
         WITH {PARTIES}, hit AS (
-          SELECT DISTINCT shard FROM supp WHERE acctbal > 0 AND shard IN (SELECT shard FROM cust))
+          SELECT shard FROM (SELECT shard FROM supp {_rich_sql(400000)}) WHERE shard IN (SELECT shard FROM cust))
         SELECT string_agg(shard, ',' ORDER BY shard) AS shards, CAST(count(*) AS INTEGER) AS n FROM hit""",
     "reconcile_active": f"""
         WITH old AS (SELECT DISTINCT s_suppkey % 40 AS n FROM supplier),

@@ -8,7 +8,7 @@ of its rows see no change. Its shard is the key modulo 16, its island that div 4
 from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from queries.fixtures import ORDER_SHARDS, ORDERS, as_int, cents, order_islands, orders, table
@@ -133,25 +133,28 @@ def backfill(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def backfill_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole tables beside what a copy of them holds: all of one, none of others, one twice, one without the orders' last line items."""
     src = {t: table(spark, sf, t) for t in ("orders", "customer", "part", "lineitem")}
+    last = Window.partitionBy("l_orderkey").orderBy(F.desc("l_linenumber"))
     dst = {
-        "orders": src["orders"].filter(F.col("o_orderstatus") == "F"),
+        "orders": src["orders"],
         "customer": src["customer"].unionByName(src["customer"]),
-        "lineitem": src["lineitem"].filter(F.col("l_returnflag") == "R"),
+        "lineitem": src["lineitem"].withColumn("n", F.row_number().over(last)).filter("n > 1"),
     }
-    src["empty"] = src["part"].filter(F.col("p_size") < 0)
-    states = [("orders", "d"), ("customer", "s"), ("part", "i"), ("lineitem", "r"), ("empty", "x")]
+    src["empty"] = src["part"].limit(0)
+    states = [("orders", "f"), ("customer", "s"), ("part", "i"), ("lineitem", "d"), ("empty", "x")]
     state_rows = spark.createDataFrame(states, "table string, state string")
     found = progress.backfill_progress(progress.row_counts(src), progress.row_counts(dst), state_rows)
     return found.withColumnRenamed("table", "tab")
 
 
 def advance_ids(spark: SparkSession, sf: str) -> DataFrame:
-    placed = orders(spark, sf)
-    columns = {"orders": "o_orderkey", "customer": "c_custkey", "part": "p_partkey"}
-    src = {"orders": placed.filter(F.col("island_no") == 2), "customer": table(spark, sf, "customer"),
-           "part": table(spark, sf, "part")}
-    dst = {"orders": placed.filter(F.col("island_no") == 0), "customer": table(spark, sf, "customer").filter("false")}
+    """Ids after all tables of one place went to another that has line items of its own, and none of the customers."""
+    columns = {"orders": "o_orderkey", "customer": "c_custkey", "part": "p_partkey", "lines": "l_orderkey"}
+    lines = table(spark, sf, "lineitem")
+    src = {"orders": table(spark, sf, "orders"), "customer": table(spark, sf, "customer"), "part": table(spark, sf, "part"),
+           "lines": lines.withColumn("l_orderkey", F.col("l_orderkey") * 2)}
+    dst = {"orders": lines.select(F.col("l_orderkey").alias("o_orderkey")), "customer": table(spark, sf, "customer").limit(0), "lines": lines}
     return progress.advance_ids(progress.next_ids(src, columns), progress.next_ids(dst, columns))
 
 
@@ -414,17 +417,17 @@ ORACLES = {
         WITH {ORDERS} {_TOTALS.format(source='SELECT * REPLACE ((island_no + 1) % 4 AS island_no) FROM ord')}""",
     "backfill_progress": """
         WITH c AS (
-          SELECT 'orders' AS tab, 'data is being copied' AS state, count(*) AS count_from,
-                 count(*) FILTER (o_orderstatus = 'F') AS copied FROM orders
+          SELECT 'orders' AS tab, 'finished table copy' AS state, count(*) AS count_from, count(*) AS copied FROM orders
           UNION ALL SELECT 'customer', 'synchronized', count(*), 2 * count(*) FROM customer
           UNION ALL SELECT 'part', 'initializing', count(*), 0 FROM part
+          UNION ALL SELECT 'lineitem', 'data is being copied', count(*), count(*) - count(DISTINCT l_orderkey) FROM lineitem
           UNION ALL SELECT 'empty', 'x', 0, 0)
         SELECT tab, state, CAST(CASE WHEN count_from = 0 THEN 100 ELSE round(least(count_from, copied) / count_from * 100) END AS INTEGER) AS percent,
                least(count_from, copied) AS count_to, count_from
         FROM c""",
-    "advance_ids": f"""
-        WITH {ORDERS}
-        SELECT 'orders' AS name, greatest(max(o_orderkey) FILTER (island_no = 2), max(o_orderkey) FILTER (island_no = 0)) + 1001 AS next_id FROM ord
+    "advance_ids": """
+        SELECT 'orders' AS name, greatest((SELECT max(o_orderkey) FROM orders), max(l_orderkey)) + 1001 AS next_id FROM lineitem
+        UNION ALL SELECT 'lines', max(l_orderkey) * 2 + 1001 FROM lineitem
         UNION ALL SELECT 'customer', max(c_custkey) + 1001 FROM customer""",
     "commit_move": f"""
         WITH {ORDERS}, s AS (SELECT DISTINCT island_no, shard_no, shard FROM ord)
