@@ -1,5 +1,6 @@
 """What several operators here need: scratch tables, gapless numbers, connected components."""
 
+import gc
 import hashlib
 import threading
 from contextlib import contextmanager
@@ -22,6 +23,15 @@ LINKS_PER_TASK = 50_000
 _KEPT = threading.local()
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of frames that nothing refers to any more.
+
+    It does so when the driver collects garbage, of which one with little to do has none for long.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def scratch_removed(spark: SparkSession):
     """Scratch tables that are made inside are removed at the end: for callers that have written what they made of them."""
@@ -33,6 +43,7 @@ def scratch_removed(spark: SparkSession):
         for path in paths:
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+        release(spark)
 
 
 def scratch(spark: SparkSession, label: str) -> str:

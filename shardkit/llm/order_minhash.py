@@ -8,8 +8,8 @@ only to shared content. Texts of up to 32 words need no luck: of two with at mos
 of the longer stands unchanged in the other, so they are candidates by their segments. Candidates are verified by aligning their words in a band: they are
 linked if 1 - edits / words of the longer one is at least 0.8.
 
-Equal texts are one node beforehand. Texts that share a value are a bucket. First, each text of a bucket is compared with a few
-leaders of it, which joins nearly all of a group of copies at the cost of a few comparisons each. Then the texts of a bucket that are
+Equal texts are one node beforehand. Texts that share a value are a bucket. First, each text is compared with a few
+leaders of its largest and of its smallest bucket, which joins nearly all of a group of copies at the cost of a few comparisons each. Then the texts of a bucket that are
 still of different components are compared all with all, in blocks, each pair of blocks (a cell) in one place: by their lengths and by
 bit maps of their words and pairs of neighbouring words, whose bounds no alignment can beat. What passes is aligned. So
 every pair that shares a value is either of one component already, or ruled out by the bound, or aligned: no link that joins components is lost.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardkit.limits import broadcast_within
-from shardkit.llm.common import components, stored, task_number
+from shardkit.llm.common import components, release, stored, task_number
 
 WORDS, SIMILARITY = 3, 0.8
 # Chance that two texts share a sketch value, by the part of k-mers they share: 0.999 at 0.3, 0.99 at 0.25.
@@ -312,7 +312,9 @@ def classes(docs: DataFrame, k: int = WORDS, least: float = SIMILARITY, sketches
         rows.withColumnRenamed("at", "node").join(broadcast_within(in_buckets), "node", "left_semi").select("node", "n_words", "bits"), "traits"
     )
     words = _words(docs, in_buckets.join(nodes, "node"))
+    release(docs.sparkSession)
     links = stored(_aligned(_with_leaders(met, traits, least), words, least), "leader-links")
+    release(docs.sparkSession)
     of_node = stored(components(links).select(F.col("id").alias("node"), "component"), "leader-components")
     more = stored(_aligned(_across(met, of_node, traits, least), words, least), "further-links")
     # components of components
@@ -344,11 +346,14 @@ def _words(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def _with_leaders(met: DataFrame, traits: DataFrame, least: float) -> DataFrame:
-    """(a, b): texts of a bucket with its leaders, the same few of a group in all its buckets; those that the bound rules out are left out."""
+    """(a, b): texts with the leaders of two of their buckets; those that the bounds rule out are left out."""
     chosen = [F.min_by("node", F.xxhash64("node", F.lit(r))).alias(f"l{r}") for r in range(LEADERS)]
-    leaders = met.groupBy("bucket").agg(*chosen)
-    listed = F.array(*[f"l{r}" for r in range(LEADERS)])
-    pairs = met.join(leaders, "bucket").select("node", F.explode(F.array_distinct(listed)).alias("leader")).where("node <> leader")
+    leaders = met.groupBy("bucket").agg(F.array_distinct(F.array(*chosen)).alias("leaders"))
+    # the largest bucket of a text, where a group of copies has the same leaders, and the smallest, where near ones are among themselves
+    size = F.struct("n", "bucket")
+    own = met.groupBy("node").agg(F.array_distinct(F.array(F.max(size), F.min(size))).alias("own"))
+    own = own.select("node", F.explode("own.bucket").alias("bucket"))
+    pairs = own.join(leaders, "bucket").select("node", F.explode("leaders").alias("leader")).where("node <> leader")
     pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     for side in ("a", "b"):
         pairs = pairs.join(traits.select(F.col("node").alias(side), F.col("n_words").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
