@@ -30,7 +30,6 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,7 +47,7 @@ FAN = 4
 # Pairs of which every task has the count; a pair takes 13 bytes.
 MOST_KNOWN_PAIRS = 1_000_000
 # Pieces between spaces that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 # Bytes of texts worked on together, at least one text.
 BYTES_AT_ONCE = 1_000_000
 _SPACE = "▁"
@@ -452,38 +451,49 @@ def _chunk_tokens(stretches: DataFrame, model, chunk: int) -> DataFrame:
 _TOKEN_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), *[pa.binary()] * 4]
 
 
-def _of_row(r) -> Fragment:
-    prefix, suffix = (Open(*map(_ints, x)) for x in (r.prefix, r.suffix))
-    return Fragment(prefix, r.closed, [r.groups], [np.frombuffer(r.links, "<u4")], r.n_a, r.n_b, suffix, r.fine)
+def _of_row(r: dict) -> Fragment:
+    prefix, suffix = (Open(*map(_ints, x)) for x in (r["prefix"], r["suffix"]))
+    return Fragment(prefix, r["closed"], [r["groups"]], [np.frombuffer(r["links"], "<u4")], r["n_a"], r["n_b"], suffix, r["fine"])
 
 
-def _to_row(part: int, row: int, doc_id: int | None, node: int, f: Fragment) -> pd.DataFrame:
+_FRAGMENT_FIELDS = pa.schema(
+    [("part", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("node", pa.int64()), ("fine", pa.bool_()), ("closed", pa.bool_()),
+     ("prefix", pa.list_(pa.binary())), ("suffix", pa.list_(pa.binary())), ("groups", pa.binary()), ("links", pa.binary()),
+     ("n_a", pa.int64()), ("n_b", pa.int64())]
+)
+
+
+def _to_row(key: tuple, f: Fragment) -> pa.Table:
+    """A fragment under its key (part, row, doc_id, node)."""
     prefix, suffix = ([_raw(x) for x in o.parts()] for o in (f.prefix, f.suffix))
     links = np.concatenate([np.empty(0, dtype="<u4"), *f.links]).astype("<u4").tobytes()
-    values = (part, row, doc_id, node, f.fine, f.closed, prefix, suffix, b"".join(f.groups), links, f.n_a, f.n_b)
-    return pd.DataFrame([values], columns=[c.split()[0] for c in _FRAGMENTS.split(", ")])
+    values = (*[k.as_py() for k in key], f.fine, f.closed, prefix, suffix, b"".join(f.groups), links, f.n_a, f.n_b)
+    return pa.table([pa.array([v], t) for v, t in zip(values, _FRAGMENT_FIELDS.types)], schema=_FRAGMENT_FIELDS)
 
 
 def _chunk_fragments(model):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         """A fragment of each chunk, from the tokens that end in it, of the stretches it lies in; neighbours as one."""
-        texts, whole = aligner(model.value).texts, EMPTY
-        for _, own in rows.sort_values(["chunk", "stretch"]).groupby("chunk"):
-            f = fragment(Open(*(_ints(b"".join(own[c])) for c in ("a", "a_ends", "b", "b_ends"))), texts)
-            f.fine = bool(own["fine"].all())
+        texts, whole, held = aligner(model.value).texts, EMPTY, {}
+        for r in rows.sort_by([("chunk", "ascending"), ("stretch", "ascending")]).to_pylist():
+            held.setdefault(r["chunk"], []).append(r)
+        for own in held.values():
+            f = fragment(Open(*(_ints(b"".join(r[c] for r in own)) for c in ("a", "a_ends", "b", "b_ends"))), texts)
+            f.fine = all(r["fine"] for r in own)
             whole = whole.then(f, texts)
-        return _to_row(*key, whole)
+        return _to_row(key, whole)
 
     return run
 
 
 def _put_together(model):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         """Neighbouring fragments as one."""
         texts, f = aligner(model.value).texts, EMPTY
-        for r in rows.sort_values("node").itertuples():
+        # the number of a fragment's group hides its own
+        for r in rows.sort_by("at").to_pylist():
             f = f.then(_of_row(r), texts)
-        return _to_row(*key, f)
+        return _to_row(key, f)
 
     return run
 
@@ -493,10 +503,11 @@ def _long(rows: DataFrame, model, chunk: int) -> DataFrame:
     stretches = stored(_cut_stretches(rows, chunk), "stretches")
     spread = stretches.repartition("part", "row", "stretch")
     nodes = _chunk_tokens(spread, model, chunk).groupBy("part", "row", "doc_id", F.floor(F.col("chunk") / FAN).alias("node"))
-    nodes = settle(nodes.applyInPandas(_chunk_fragments(model), _FRAGMENTS))
+    nodes = settle(nodes.applyInArrow(_chunk_fragments(model), _FRAGMENTS))
     most = nodes.agg(F.max("node")).first()[0] or 0
     while most > 0:
-        nodes = nodes.groupBy("part", "row", "doc_id", F.floor(F.col("node") / FAN).alias("node")).applyInPandas(_put_together(model), _FRAGMENTS)
+        groups = nodes.withColumnRenamed("node", "at").groupBy("part", "row", "doc_id", F.floor(F.col("at") / FAN).alias("node"))
+        nodes = groups.applyInArrow(_put_together(model), _FRAGMENTS)
         most //= FAN
 
     def run(batches):
@@ -504,7 +515,7 @@ def _long(rows: DataFrame, model, chunk: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 own = batch.slice(i, 1)
-                f = _of_row(next(own.to_pandas().itertuples())).whole(texts)
+                f = _of_row(own.to_pylist()[0]).whole(texts)
                 whole = (f.n_a, f.n_b, np.concatenate([_NONE, *f.links]).astype("<u4").tobytes(), b"".join(f.groups)[:-1])
                 found = _found_arrays([whole if f.fine else (0, 0, b"", b"")])
                 ids = [own.column(name) for name in ("part", "row", "doc_id")]
@@ -550,6 +561,7 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
 
     def run(batches):
         _ALIGNERS.clear()  # what the worker remembers is needed no more
+        pa.default_memory_pool().release_unused()
         held_keys, held = _NONE, _NONE
         for links in (part for batch in batches for part in _link_slices(batch.column(0))):
             offsets = np.frombuffer(links.buffers()[1], dtype=np.int32)[links.offset : links.offset + len(links) + 1]
