@@ -1,11 +1,13 @@
 """One table over all shards, although their columns may have drifted apart."""
 
+from __future__ import annotations
+
 import threading
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,9 @@ from shardkit.functions.names import shard_name, strip_prefix
 from shardkit.limits import broadcast_within
 from shardkit.session import scratch_path
 
+if TYPE_CHECKING:  # tasks that do not need it are spared its memory
+    import pandas as pd
+
 # Table names taken into the union.
 TABLE_NAME_RE = "(?i)^[a-zA-Z0-9_]+$"
 
