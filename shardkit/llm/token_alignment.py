@@ -551,8 +551,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, long_chars: int = LONG_CHAR
 
 
 def _link_slices(links: pa.Array):
-    """Parts of a column of links, of about a million each."""
-    for a, b in text_slices(links, 4_000_000):
+    """Parts of a column of links, of some hundred thousand each."""
+    for a, b in text_slices(links, BYTES_AT_ONCE):
         yield links.slice(a, b - a)
 
 
@@ -560,7 +560,9 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
     """(key, n): how many documents hold each pair of ids linked. Counted in tasks first."""
 
     def run(batches):
-        _ALIGNERS.clear()  # what the worker remembers is needed no more
+        # what the worker remembers is needed no more; it refers to itself, so that only a collection frees it
+        _ALIGNERS.clear()
+        gc.collect()
         pa.default_memory_pool().release_unused()
         held_keys, held = _NONE, _NONE
         for links in (part for batch in batches for part in _link_slices(batch.column(0))):
