@@ -8,8 +8,9 @@ only to shared content. Texts of up to 32 words need no luck: of two with at mos
 of the longer stands unchanged in the other, so they are candidates by their segments. Candidates are verified by aligning their words in a band: they are
 linked if 1 - edits / words of the longer one is at least 0.8.
 
-Equal texts are one node beforehand. Texts that share a value are a bucket. First, each text is compared with a few
-leaders of its largest and of its smallest bucket, which joins nearly all of a group of copies at the cost of a few comparisons each. Then the texts of a bucket that are
+Equal texts are one node beforehand. Texts that share a value are a bucket. First, each text is compared with the
+leaders of some of its buckets, and, if it is still apart, with one text of the component that most of a bucket's are of: this joins
+nearly all of a group of copies at the cost of a few comparisons each. Then the texts of a bucket that are
 still of different components are compared all with all, in blocks, each pair of blocks (a cell) in one place: by their lengths and by
 bit maps of their words and pairs of neighbouring words, whose bounds no alignment can beat. What passes is aligned. So
 every pair that shares a value is either of one component already, or ruled out by the bound, or aligned: no link that joins components is lost.
@@ -38,8 +39,8 @@ SHORT = 32
 SEED = 11
 # Texts of a bucket that are compared with as many others in one place.
 BLOCK_TEXTS = 1_500
-# Texts of a bucket that all of it is compared with first.
-LEADERS = 3
+# Texts of a bucket that others are compared with first, and buckets of a text, besides its largest and smallest, for that.
+LEADERS, CHOSEN = 2, 8
 # Bits of a text's map: four times its words, within these.
 LEAST_BITS, MOST_BITS = 512, 65_536
 _REMEMBERED = 400_000
@@ -313,9 +314,13 @@ def classes(docs: DataFrame, k: int = WORDS, least: float = SIMILARITY, sketches
     )
     words = _words(docs, in_buckets.join(nodes, "node"))
     release(docs.sparkSession)
-    links = stored(_aligned(_with_leaders(met, traits, least), words, least), "leader-links")
+    links = stored(_aligned(_ruled(_leader_pairs(met), traits, least), words, least), "leader-links")
     release(docs.sparkSession)
     of_node = stored(components(links).select(F.col("id").alias("node"), "component"), "leader-components")
+    # those still apart, with a leader of the component that most of a bucket's texts are of
+    links = stored(links.unionByName(_aligned(_ruled(_main_pairs(met, of_node), traits, least), words, least)), "main-links")
+    of_node = stored(components(links).select(F.col("id").alias("node"), "component"), "main-components")
+    release(docs.sparkSession)
     more = stored(_aligned(_across(met, of_node, traits, least), words, least), "further-links")
     # components of components
     of_component = components(
@@ -341,19 +346,45 @@ def _words(docs: DataFrame, members: DataFrame) -> DataFrame:
 
     wanted = members.select("key", F.col("rep").alias("doc_id"), "node")
     texts = _keyed(docs).join(broadcast_within(wanted), ["key", "doc_id"]).select("node", "text")
-    # rows may repeat id and text
-    return stored(texts.mapInArrow(read, "node bigint, words binary"), "words").dropDuplicates(["node"])
+    # rows may repeat id and text; then a node is there more than once
+    return stored(texts.mapInArrow(read, "node bigint, words binary"), "words")
 
 
-def _with_leaders(met: DataFrame, traits: DataFrame, least: float) -> DataFrame:
-    """(a, b): texts with the leaders of two of their buckets; those that the bounds rule out are left out."""
+def _leader_pairs(met: DataFrame) -> DataFrame:
+    """(node, leader): texts with the leaders of some of their buckets."""
     chosen = [F.min_by("node", F.xxhash64("node", F.lit(r))).alias(f"l{r}") for r in range(LEADERS)]
     leaders = met.groupBy("bucket").agg(F.array_distinct(F.array(*chosen)).alias("leaders"))
-    # the largest bucket of a text, where a group of copies has the same leaders, and the smallest, where near ones are among themselves
+    # the largest bucket of a text, the smallest, where near ones are among themselves, and some by their hashes: texts that
+    # share most buckets choose the same ones, and so the same leaders
     size = F.struct("n", "bucket")
-    own = met.groupBy("node").agg(F.array_distinct(F.array(F.max(size), F.min(size))).alias("own"))
-    own = own.select("node", F.explode("own.bucket").alias("bucket"))
-    pairs = own.join(leaders, "bucket").select("node", F.explode("leaders").alias("leader")).where("node <> leader")
+    some = [F.min_by("bucket", F.xxhash64("bucket", F.lit(r))) for r in range(CHOSEN)]
+    own = met.groupBy("node").agg(F.array_distinct(F.array(F.max(size)["bucket"], F.min(size)["bucket"], *some)).alias("own"))
+    own = own.select("node", F.explode("own").alias("bucket"))
+    return own.join(leaders, "bucket").select("node", F.explode("leaders").alias("leader"))
+
+
+def _grouped(met: DataFrame, of_node: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bucket, node, component), and (bucket, n, of_main, main) of buckets with texts of several components, main being that of most."""
+    grouped = met.join(of_node, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    sizes = grouped.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
+    mixed = sizes.groupBy("bucket").agg(
+        F.sum("c").alias("n"), F.max("c").alias("of_main"), F.max_by("component", F.struct("c", "component")).alias("main")
+    )
+    return grouped, mixed.where("n > of_main")
+
+
+def _main_pairs(met: DataFrame, of_node: DataFrame) -> DataFrame:
+    """(node, leader): texts of a bucket that are not of its main component, with one that is."""
+    grouped, mixed = _grouped(met, of_node)
+    held = grouped.join(mixed.where("of_main > 1").select("bucket", "main"), "bucket")
+    in_main = F.col("component") == F.col("main")
+    leaders = held.where(in_main).groupBy("bucket").agg(F.min_by("node", F.xxhash64("node")).alias("leader"))
+    return held.where(~in_main).join(leaders, "bucket").select("node", "leader")
+
+
+def _ruled(pairs: DataFrame, traits: DataFrame, least: float) -> DataFrame:
+    """(a, b): pairs (node, leader), each once, that lengths and maps do not rule out."""
+    pairs = pairs.where("node <> leader")
     pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     for side in ("a", "b"):
         pairs = pairs.join(traits.select(F.col("node").alias(side), F.col("n_words").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
@@ -379,13 +410,8 @@ def _with_leaders(met: DataFrame, traits: DataFrame, least: float) -> DataFrame:
 
 def _across(met: DataFrame, of_node: DataFrame, traits: DataFrame, least: float) -> DataFrame:
     """(a, b): texts of a bucket that are of different components, and not ruled out by the bound."""
-    grouped = met.join(of_node, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    sizes = grouped.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
-    mixed = sizes.groupBy("bucket").agg(
-        F.sum("c").alias("n"), F.max("c").alias("of_main"), F.max_by("component", F.struct("c", "component")).alias("main")
-    )
-    # texts of a bucket's largest component meet the others only; a bucket of one component has no others
-    mixed = mixed.where("n > of_main")
+    grouped, mixed = _grouped(met, of_node)
+    # texts of a bucket's main component meet the others only; a bucket of one component has no others
     few = F.col("n") <= BLOCK_TEXTS
     blocks = F.ceil(F.when(few, F.col("n")).otherwise(F.col("n") - F.col("of_main")) / BLOCK_TEXTS).cast("int")
     main_blocks = F.when(few, 0).otherwise(F.ceil(F.col("of_main") / BLOCK_TEXTS)).cast("int")
@@ -436,7 +462,10 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _aligned(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs that are similar."""
+    """Those of the pairs that are similar. Only words of texts in pairs are brought together."""
+    pairs = stored(pairs, "pairs")
+    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "paired")
+    words = words.join(broadcast_within(needed), "node", "left_semi").dropDuplicates(["node"])
     for side in ("a", "b"):
         pairs = pairs.join(words.select(F.col("node").alias(side), F.col("words").alias(f"words_{side}")), side)
 
