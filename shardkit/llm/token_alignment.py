@@ -49,7 +49,7 @@ MOST_KNOWN_PAIRS = 1_000_000
 # Pieces between spaces that a worker remembers.
 REMEMBERED = 250_000
 # Bytes of texts worked on together, at least one text.
-BYTES_AT_ONCE = 1_000_000
+BYTES_AT_ONCE = 300_000
 _SPACE = "▁"
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _TWO_SPACES = re.compile(r"\s\s")
