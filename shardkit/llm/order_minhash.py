@@ -40,7 +40,7 @@ SEED = 11
 # Texts of a bucket that are compared with as many others in one place.
 BLOCK_TEXTS = 1_500
 # Texts of a bucket that others are compared with first, and buckets of a text, besides its largest and smallest, for that.
-LEADERS, CHOSEN = 2, 8
+LEADERS, CHOSEN = 2, 5
 # Bits of a text's map: four times its words, within these.
 LEAST_BITS, MOST_BITS = 512, 65_536
 _REMEMBERED = 400_000
