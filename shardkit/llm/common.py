@@ -34,12 +34,24 @@ def release(spark: SparkSession) -> None:
 
 @contextmanager
 def scratch_removed(spark: SparkSession):
-    """Scratch tables that are made inside are removed at the end: for callers that have written what they made of them."""
-    outer, _KEPT.paths = getattr(_KEPT, "paths", None), []
+    """Scratch tables that are made inside are removed at the end: for callers that have written what they made of them.
+
+    Gives a function like stored(), whose tables stay as if they were made outside.
+    """
+    outer, own = getattr(_KEPT, "paths", None), []
+
+    def stays(df: DataFrame, label: str) -> DataFrame:
+        now, _KEPT.paths = _KEPT.paths, outer
+        try:
+            return stored(df, label)
+        finally:
+            _KEPT.paths = now
+
+    _KEPT.paths = own
     try:
-        yield
+        yield stays
     finally:
-        paths, _KEPT.paths = _KEPT.paths, outer
+        paths, _KEPT.paths = own, outer
         for path in paths:
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)

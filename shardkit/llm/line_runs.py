@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardkit.limits import broadcast_within
-from shardkit.llm.common import scratch, stored
+from shardkit.llm.common import scratch, scratch_removed, stored
 from shardkit.llm.secret_ledger import replaced
 from shardkit.session import settle
 from shardkit.sources.commits import CommitLog, delete
@@ -132,14 +132,16 @@ def drops(
     lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1)
     long = F.filter(F.transform(lines, line_key), lambda k: F.length(k) >= least_chars)
     hashes = F.array_distinct(F.transform(long, lambda k: F.unhex(F.md5(k.cast("binary")))))
-    hashed = docs.select(_document().alias("doc_id"), F.explode(hashes).alias("line"))
-    hashed = stored(hashed.withColumn("batch", batch), "line-hashes")
-    runs = LineRuns(spark, scratch(spark, "line-runs"), least_docs, fanout)
-    for number in range(batches):
-        runs.add(hashed.where(F.col("batch") == number).select("line", "doc_id"))
-    repeated = settle(runs.repeated())
-    lost = hashed.join(broadcast_within(repeated), "line").where(F.col("doc_id") != F.col("last_doc"))
-    return lost.groupBy(F.col("doc_id").alias("document")).agg(F.collect_set("line").alias("lines"))
+    with scratch_removed(spark) as result:
+        hashed = docs.select(_document().alias("doc_id"), F.explode(hashes).alias("line"))
+        hashed = stored(hashed.withColumn("batch", batch), "line-hashes")
+        runs = LineRuns(spark, scratch(spark, "line-runs"), least_docs, fanout)
+        for number in range(batches):
+            runs.add(hashed.where(F.col("batch") == number).select("line", "doc_id"))
+        repeated = settle(runs.repeated())
+        lost = hashed.join(broadcast_within(repeated), "line").where(F.col("doc_id") != F.col("last_doc"))
+        # of all hashes and runs, only what documents lose is needed further on
+        return result(lost.groupBy(F.col("doc_id").alias("document")).agg(F.collect_set("line").alias("lines")), "lost-lines")
 
 
 def drop_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, **options) -> DataFrame:

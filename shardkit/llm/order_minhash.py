@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardkit.limits import broadcast_within
-from shardkit.llm.common import components, release, stored, task_number
+from shardkit.llm.common import components, release, scratch_removed, stored, task_number
 
 WORDS, SIMILARITY = 3, 0.8
 # Chance that two texts share a sketch value, by the part of k-mers they share: 0.999 at 0.3, 0.99 at 0.25.
@@ -299,40 +299,45 @@ def classes(docs: DataFrame, k: int = WORDS, least: float = SIMILARITY, sketches
             )
             at += len(found)
 
-    rows = stored(_keyed(docs).mapInArrow(features, _FEATURES), "sketches")
-    # a text's node is the number of one of its rows
-    first = rows.where("doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("m"))
-    nodes = stored(first.select("key", F.col("m.doc_id").alias("rep"), F.col("m.at").alias("node")), "texts")
-    one_each = rows.withColumnRenamed("at", "node").join(broadcast_within(nodes.select("node")), "node", "left_semi")
-    # values differ by hash function already
-    met = one_each.select("node", F.explode("sketch").alias("bucket"))
-    shared = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = stored(met.join(shared, "bucket").select("bucket", "node", "n"), "buckets")
-    in_buckets = stored(met.select("node").distinct(), "candidates")
-    traits = stored(
-        rows.withColumnRenamed("at", "node").join(broadcast_within(in_buckets), "node", "left_semi").select("node", "n_words", "bits"), "traits"
-    )
-    words = _words(docs, in_buckets.join(nodes, "node"))
-    release(docs.sparkSession)
-    links = stored(_aligned(_ruled(_leader_pairs(met), traits, least), words, least), "leader-links")
-    release(docs.sparkSession)
-    of_node = stored(components(links).select(F.col("id").alias("node"), "component"), "leader-components")
-    # those still apart, with a leader of the component that most of a bucket's texts are of
-    links = stored(links.unionByName(_aligned(_ruled(_main_pairs(met, of_node), traits, least), words, least)), "main-links")
-    of_node = stored(components(links).select(F.col("id").alias("node"), "component"), "main-components")
-    release(docs.sparkSession)
-    more = stored(_aligned(_across(met, of_node, traits, least), words, least), "further-links")
-    # components of components
-    of_component = components(
-        more.join(of_node.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-        .join(of_node.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    )
-    final = nodes.join(of_node, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    final = final.join(of_component.select(F.col("id").alias("component"), F.col("component").alias("whole")), "component", "left")
-    final = stored(final.select("key", "rep", F.coalesce("whole", "component").alias("component")), "linked")
-    names = final.groupBy("component").agg(F.min("rep").alias("class_id"))
-    return rows.select("doc_id", "key"), stored(final.join(names, "component").select("key", "rep", "component", "class_id"), "classes")
+    spark = docs.sparkSession
+    with scratch_removed(spark) as result:
+        # sketches are removed once buckets and traits are there, all other tables with the last step
+        with scratch_removed(spark) as later:
+            rows = stored(_keyed(docs).mapInArrow(features, _FEATURES), "sketches")
+            ids = result(rows.select("doc_id", "key"), "keys")
+            # a text's node is the number of one of its rows
+            first = rows.where("doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("m"))
+            nodes = later(first.select("key", F.col("m.doc_id").alias("rep"), F.col("m.at").alias("node")), "texts")
+            one_each = rows.withColumnRenamed("at", "node").join(broadcast_within(nodes.select("node")), "node", "left_semi")
+            # values differ by hash function already
+            met = one_each.select("node", F.explode("sketch").alias("bucket"))
+            shared = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+            met = later(met.join(shared, "bucket").select("bucket", "node", "n"), "buckets")
+            in_buckets = later(met.select("node").distinct(), "candidates")
+            traits = later(
+                rows.withColumnRenamed("at", "node").join(broadcast_within(in_buckets), "node", "left_semi").select("node", "n_words", "bits"), "traits"
+            )
+        words = _words(docs, in_buckets.join(nodes, "node"))
+        release(spark)
+        links = stored(_aligned(_ruled(_leader_pairs(met), traits, least), words, least), "leader-links")
+        release(spark)
+        of_node = stored(components(links).select(F.col("id").alias("node"), "component"), "leader-components")
+        # those still apart, with a leader of the component that most of a bucket's texts are of
+        links = stored(links.unionByName(_aligned(_ruled(_main_pairs(met, of_node), traits, least), words, least)), "main-links")
+        of_node = stored(components(links).select(F.col("id").alias("node"), "component"), "main-components")
+        release(spark)
+        more = stored(_aligned(_across(met, of_node, traits, least), words, least), "further-links")
+        # components of components
+        of_component = components(
+            more.join(of_node.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+            .join(of_node.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+            .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        )
+        final = nodes.join(of_node, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        final = final.join(of_component.select(F.col("id").alias("component"), F.col("component").alias("whole")), "component", "left")
+        final = stored(final.select("key", "rep", F.coalesce("whole", "component").alias("component")), "linked")
+        names = final.groupBy("component").agg(F.min("rep").alias("class_id"))
+        return ids, result(final.join(names, "component").select("key", "rep", "component", "class_id"), "classes")
 
 
 def _words(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -408,8 +413,22 @@ def _ruled(pairs: DataFrame, traits: DataFrame, least: float) -> DataFrame:
     return pairs.mapInArrow(bounded, "a bigint, b bigint")
 
 
+def cell_pairs(rows: list[dict], bucket: int, two_sides: bool, least: float) -> list[tuple[int, int]]:
+    """Pairs of nodes of a cell that lengths and maps do not rule out, of those whose first shared bucket is this one.
+
+    `shared` has all buckets in which a node meets others. Two nodes that share several are compared in each, as they
+    are of different components in each, so a pair that is left to its first bucket is found there.
+    """
+    own = sorted({r["node"]: r for r in rows}.values(), key=lambda r: r["node"])
+    sides = np.array([r["side"] for r in own]) if two_sides else None
+    lengths, groups = np.array([r["n_words"] for r in own]), np.array([r["component"] for r in own])
+    earlier = [{x for x in r["shared"] if x < bucket} for r in own]
+    found = close_pairs(lengths, [r["bits"] for r in own], groups, sides, least)
+    return [(own[i]["node"], own[j]["node"]) for i, j in found if earlier[i].isdisjoint(earlier[j])]
+
+
 def _across(met: DataFrame, of_node: DataFrame, traits: DataFrame, least: float) -> DataFrame:
-    """(a, b): texts of a bucket that are of different components, and not ruled out by the bound."""
+    """(a, b): texts of a bucket that are of different components, and not ruled out by the bound. Each pair comes once."""
     grouped, mixed = _grouped(met, of_node)
     # texts of a bucket's main component meet the others only; a bucket of one component has no others
     few = F.col("n") <= BLOCK_TEXTS
@@ -420,31 +439,25 @@ def _across(met: DataFrame, of_node: DataFrame, traits: DataFrame, least: float)
     number = F.xxhash64("node", "bucket")
     side = F.when(in_main, F.col("_blocks") + F.pmod(number, F.greatest("_main_blocks", F.lit(1)))).otherwise(F.pmod(number, F.col("_blocks")))
     dealt = grouped.join(mixed, "bucket").withColumn("side", side.cast("int"))
+    shared = dealt.groupBy("node").agg(F.collect_set("bucket").alias("shared"))
     last = F.col("_blocks") + F.when(in_main, 0).otherwise(F.col("_main_blocks")) - 1
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), last)))
     cell = ["bucket", "low", "high"]
     dealt = dealt.select(
         "node", "component", "side", "bucket", F.least("side", "_other").alias("low"), F.greatest("side", "_other").alias("high")
     )
-    gathered = dealt.join(traits, "node").repartition(*cell).sortWithinPartitions(*cell)
+    gathered = dealt.join(traits, "node").join(shared, "node").repartition(*cell).sortWithinPartitions(*cell)
 
     def compare(batches):
         """Each cell comes in a row, though over several batches perhaps."""
         held, at = [], None
 
-        def close():
-            own = sorted({r["node"]: r for r in held}.values(), key=lambda r: r["node"])
-            sides = np.array([r["side"] for r in own]) if at[1] != at[2] else None
-            lengths, groups = np.array([r["n_words"] for r in own]), np.array([r["component"] for r in own])
-            found = close_pairs(lengths, [r["bits"] for r in own], groups, sides, least)
-            return [(own[i]["node"], own[j]["node"]) for i, j in found]
-
         out = []
         for batch in batches:
             for row in batch.to_pylist():
                 key = tuple(row[c] for c in cell)
                 if key != at and held:
-                    out += close()
+                    out += cell_pairs(held, at[0], at[1] != at[2], least)
                     held = []
                 at = key
                 held.append(row)
@@ -452,9 +465,9 @@ def _across(met: DataFrame, of_node: DataFrame, traits: DataFrame, least: float)
                 yield _pairs(out)
                 out = []
         if held:
-            yield _pairs(close())
+            yield _pairs(cell_pairs(held, at[0], at[1] != at[2], least))
 
-    return gathered.mapInArrow(compare, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return gathered.mapInArrow(compare, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:

@@ -332,3 +332,36 @@ def test_near_duplicates_of_short_texts(spark):
     got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs).collect()}
     assert got == {d: want[t or ""] for d, t in rows}
     assert got[1] == 0 and got[3] == 2
+
+
+def test_a_pair_comes_from_its_first_shared_bucket_only():
+    words = np.arange(40, dtype=np.uint64)
+    row = {"side": 0, "n_words": 40, "bits": order_minhash.text_maps(words)}
+    a, b = row | {"node": 1, "component": 1, "shared": [7, 3, 9]}, row | {"node": 2, "component": 2, "shared": [9, 7]}
+    assert order_minhash.cell_pairs([a, b], 7, False, 0.8) == [(1, 2)]
+    assert order_minhash.cell_pairs([b, a, a], 9, False, 0.8) == []
+
+
+def test_pairs_that_share_many_buckets_come_once(spark):
+    met = spark.createDataFrame([(b, n, 3) for b in range(-4, 5) for n in range(3)], "bucket bigint, node bigint, n bigint")
+    of_node = spark.createDataFrame([], "node bigint, component bigint")
+    bits = order_minhash.text_maps(np.arange(40, dtype=np.uint64))
+    traits = spark.createDataFrame([(n, 40, bits) for n in range(3)], "node bigint, n_words int, bits binary")
+    across = order_minhash._across(met, of_node, traits, 0.8)
+    assert sorted(map(tuple, across.collect())) == [(0, 1), (0, 2), (1, 2)]
+    # nothing has to take repeats away behind the comparison
+    plan = across._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("HashAggregate")
+
+
+def test_tables_that_nothing_needs_any_more_are_removed(spark, odd_docs):
+    import glob
+
+    from shardkit.session import shared_dir
+
+    base = shared_dir(spark).removeprefix("file:")
+    kinds = ("sketches", "buckets", "traits", "words", "line-hashes", "line-runs")
+    before = {path for kind in kinds for path in glob.glob(f"{base}/{kind}-*")}
+    found = [order_minhash.near_duplicates(odd_docs), line_runs.deduped(odd_docs)]
+    assert {path for kind in kinds for path in glob.glob(f"{base}/{kind}-*")} <= before
+    assert [df.count() for df in found] == [odd_docs.count()] * 2
