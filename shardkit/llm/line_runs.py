@@ -147,7 +147,8 @@ def drops(
 def drop_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, **options) -> DataFrame:
     """Rows of docs as `row`, the text that is left as `text`, n_lines (before) and n_dropped.
 
-    What documents lose is joined to them; one that loses nothing passes as it is.
+    What documents lose is joined to them; one that loses nothing passes as it is. Texts are brought to what they lose
+    however little that is: a broadcast of it would end at some size, and the disk needed would rise there at once.
     """
     lost = drops(docs, least_chars, **options)
     rows = docs.select(F.struct("*").alias("row"), _document().alias("document"))
@@ -177,7 +178,7 @@ def drop_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, **options) -> Da
             kept.append(text)
         return pd.DataFrame({"text": kept, "n_lines": n_lines, "n_dropped": n_dropped})
 
-    joined = rows.join(lost, "document", "left")
+    joined = rows.join(lost.hint("merge"), "document", "left")
     return joined.select("row", rest(F.col("row.text").cast("string"), "lines").alias("rest")).select("row", "rest.*")
 
 

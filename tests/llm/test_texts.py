@@ -161,6 +161,15 @@ def test_one_outlier_id_leaves_the_others_counted(spark):
     assert sum(r.n_dropped for r in line_runs.drop_lines(docs).collect()) == 81
 
 
+def test_few_lost_lines_are_joined_as_many_are(spark):
+    """Texts cross one exchange at any size, so that the disk needed grows as the input."""
+    docs = spark.createDataFrame([(i, f"{COMMON}\nown line {i}") for i in range(30)], "doc_id bigint, text string")
+    out = line_runs.drop_lines(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert sum(r.n_dropped for r in out.collect()) == 29
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
