@@ -40,8 +40,8 @@ SEED = 11
 # Texts of a bucket that are compared with as many others in one place.
 BLOCK_TEXTS = 1_500
 # Texts of a bucket that others are compared with first, and buckets of a text, besides its largest and smallest, for that.
-LEADERS, CHOSEN = 2, 5
-# Bits of a text's map: four times its words, within these.
+LEADERS, CHOSEN = 1, 5
+# Bits of a text's map: eight times its words, within these.
 LEAST_BITS, MOST_BITS = 512, 65_536
 _REMEMBERED = 400_000
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -207,7 +207,7 @@ def text_maps(words: np.ndarray) -> bytes:
     length it says the same of fewer bits.
     """
     n_bits = LEAST_BITS
-    while n_bits < 4 * len(words) and n_bits < MOST_BITS:
+    while n_bits < 8 * len(words) and n_bits < MOST_BITS:
         n_bits *= 2
     out = np.zeros((2, n_bits), dtype=bool)
     for row, k in enumerate((1, 2)):
@@ -308,7 +308,8 @@ def classes(docs: DataFrame, k: int = WORDS, least: float = SIMILARITY, sketches
             # a text's node is the number of one of its rows
             first = rows.where("doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("m"))
             nodes = later(first.select("key", F.col("m.doc_id").alias("rep"), F.col("m.at").alias("node")), "texts")
-            one_each = rows.withColumnRenamed("at", "node").join(broadcast_within(nodes.select("node")), "node", "left_semi")
+            # merged at any size, as a broadcast would end at some size and the disk needed rise there at once
+            one_each = rows.withColumnRenamed("at", "node").join(nodes.select("node").hint("merge"), "node", "left_semi")
             # values differ by hash function already
             met = one_each.select("node", F.explode("sketch").alias("bucket"))
             shared = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

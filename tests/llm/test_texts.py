@@ -284,6 +284,27 @@ def test_blocks_do_not_change_classes(spark, monkeypatch):
     assert got == {i: i % 4 for i in range(160)}
 
 
+def test_maps_rule_out_texts_that_are_a_little_too_far(spark):
+    """Of pairs with a quarter of 170 words replaced, where a fifth may be, few are left to align."""
+    rng = random.Random(12)
+    base = [rng.getrandbits(60) for _ in range(170)]
+    texts = [np.array(w, dtype=np.uint64) for w in [base, *[edited(rng, base, 42, True) for _ in range(60)]]]
+    maps, lengths = [order_minhash.text_maps(w) for w in texts], np.full(len(texts), 170)
+    groups = np.minimum(np.arange(len(texts)), 1)
+    assert not any(order_minhash.similar(texts[0], t) for t in texts[1:])
+    assert len(order_minhash.close_pairs(lengths, maps, groups, None, 0.8)) <= 6
+
+
+def test_a_text_meets_one_leader_of_each_chosen_bucket(spark):
+    rng = random.Random(13)
+    rows = [(b, n, 40) for b in range(72) for n in rng.sample(range(60), 40)]
+    met = spark.createDataFrame(rows, "bucket bigint, node bigint, n bigint")
+    pairs = order_minhash._leader_pairs(met).collect()
+    assert max(Counter(p.node for p in pairs).values()) <= order_minhash.CHOSEN + 2
+    leaders = {b: {n for x, n, _ in rows if x == b} for b in range(72)}
+    assert all(any({p.node, p.leader} <= held for held in leaders.values()) for p in pairs)
+
+
 def edited(rng, words, n_edits, evenly):
     """words with so many of them replaced, deleted or preceded by a new one; evenly: replaced, at equal distances."""
     words = list(words)
