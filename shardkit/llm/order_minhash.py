@@ -511,7 +511,8 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     whole = docs.select(F.struct("*").alias("row"))
     text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
     keyed = whole.select("row", F.col("row.doc_id").cast("bigint").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
-    kept = keyed.join(broadcast_within(stay), ["doc_id", "key"], "left_semi")
+    # most texts stay, so they cross an exchange at any size
+    kept = keyed.join(stay.hint("merge"), ["doc_id", "key"], "left_semi")
     again = rows.join(broadcast_within(stay), ["doc_id", "key"], "left_semi").groupBy("doc_id", "key").count().where("count > 1")
     if again.count():  # rows that repeat id and text; else nothing needs to be brought together
         kept = kept.dropDuplicates(["doc_id", "key"])

@@ -305,6 +305,15 @@ def test_a_text_meets_one_leader_of_each_chosen_bucket(spark):
     assert all(any({p.node, p.leader} <= held for held in leaders.values()) for p in pairs)
 
 
+def test_kept_texts_are_joined_alike_at_any_size(spark):
+    docs = spark.createDataFrame([(i, f"text number {i // 2} of some words") for i in range(20)], "doc_id bigint, text string")
+    kept = order_minhash.one_of_each(docs)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    got = sorted(r.doc_id for r in kept.collect())
+    assert got == [0]
+
+
 def edited(rng, words, n_edits, evenly):
     """words with so many of them replaced, deleted or preceded by a new one; evenly: replaced, at equal distances."""
     words = list(words)
