@@ -93,7 +93,7 @@ def words_of(texts: list[str]) -> Words:
 
 
 # Characters of texts labelled together, at least one text; a task holds some 80 bytes for each.
-CHARS_AT_ONCE = 1_500_000
+CHARS_AT_ONCE = 500_000
 # Labels of words are 16-bit numbers.
 MOST_LANGUAGES = 32_000
 

@@ -81,3 +81,26 @@ def test_a_language_of_one_text_with_many_copies_is_learned(spark):
     rows = [(i, "eins zwei drei vier", "de") for i in range(400)] + [(i, "uno dos tres cuatro", "es") for i in range(400, 800)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     assert language.learn(docs, learned_docs=20).langs == ["de", "es"]
+
+
+def test_texts_labelled_together_take_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = random.Random(2)
+    logs = np.random.default_rng(1).random((language.BUCKETS, 4), dtype=np.float32)
+    model = language.LanguageModel(list("abcd"), logs, np.ones((len(language.SCRIPTS), 4), dtype=bool), 0, language.SWITCH_PENALTY)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(2000)]
+    texts = [" ".join(rng.choices(words, k=rng.choice([20, 100, 300, 300, 1500]))) for _ in range(1500)]
+    whole, parts = model.label(texts), []
+    tracemalloc.start()
+    try:
+        for a, b in language.slices(texts, language.CHARS_AT_ONCE):
+            model.label(texts[a:b])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    for a, b in language.slices(texts, language.CHARS_AT_ONCE):
+        parts += model.label(texts[a:b])
+    assert peak < 30_000_000 and parts == whole
